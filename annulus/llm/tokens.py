@@ -4,23 +4,77 @@ Most of a corpus is made of words seen before. With a byte-level BPE whose
 pre-tokenizer keeps the space in front of a word, a text may be cut at every
 single space between two characters that are not white space: neither the
 pre-tokenizer's pattern nor the merges cross such a place. So a text is split
-there, and the library encodes each distinct piece once per worker. A text
-with any other use of white space, and every text of another kind of
-tokenizer, goes to the library whole. Both ways give the same ids.
+there, and each distinct piece is encoded once per worker. Most pieces are a
+word with a mark behind it, perhaps over a line's end: their parts go straight
+to the library's model, as the pre-tokenizer would send them; any other piece
+goes through the whole library. A text with other white space next to a space,
+and every text of another kind of tokenizer, goes to the library whole. All ways
+give the same ids.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces kept per worker, a bound on memory only: a full table is emptied.
-CACHE_PIECES = 400_000
-#: Characters encoded between two looks at the table's size.
+#: Pieces and words kept per worker, a bound on memory only: a full table is emptied.
+CACHE_PIECES = 700_000
+#: Characters encoded between two looks at the tables' sizes.
 SLICE_CHARS = 1 << 20
-JOIN_PIECES = 4096
+
+_WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)"
+_MARK = "([.,;:!?)\\]}\"]*)"
+#: Word, marks, and perhaps a line's end with the same again: each group is a token of the pre-tokenizer's pattern.
+_PLAIN = re.compile(f"{_WORD}{_MARK}(?:\n{_WORD}{_MARK})?")
+
+
+class _Unsafe(Exception):
+    """A piece with white space at its edges."""
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is visible, else the next free one."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b if b in visible else 256 + sum(x not in visible for x in range(b)) for b in range(256)}
+
+
+class _Words(dict):
+    """Ids of words by the model alone; the lead is the space in front of them, or nothing."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        self.model, self.dtype, self.lead = encoder.tokenizer.model, encoder.dtype, lead
+
+    def __missing__(self, word: str) -> bytes:
+        letters = (self.lead + word).encode().decode("latin-1").translate(_LETTERS)
+        self[word] = ids = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        return ids
+
+
+_LETTERS = _byte_letters()
+
+
+class _Pieces(dict):
+    """Ids of pieces with the space in front of them."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        e = self.encoder
+        if m := _PLAIN.fullmatch(piece):
+            word, mark, line, mark2 = m.groups()
+            ids = e.spaced[word] + (e.bare[mark] if mark else b"")
+            if line:
+                ids += e.bare["\n"] + e.bare[line] + (e.bare[mark2] if mark2 else b"")
+        elif not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Unsafe
+        else:
+            ids = e.whole(" " + piece)
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -41,66 +95,37 @@ class Encoder:
             and pre.get("use_regex") is True
             and pre.get("add_prefix_space") is False
         )
-        self.opens = np.zeros(size, dtype=bool)  # ids of tokens that begin with the space
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.opens[i] = token.startswith("Ġ")
+        self.pieces, self.spaced, self.bare = _Pieces(self), _Words(self, " "), _Words(self, "")
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), JOIN_PIECES):
-            some = pieces[i : i + JOIN_PIECES]
-            got = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
-            ids = np.array(got, dtype=self.dtype)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some):
-                raise AssertionError("a piece did not begin with its space")
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = np.append(starts[1:], len(ids)) * width
-            self.later.update((p, raw[a:b]) for p, a, b in zip(some, (starts * width).tolist(), ends.tolist()))
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        if not self.cuttable:
-            return [self._whole(t) if t else b"" for t in texts]
-        if len(self.later) > CACHE_PIECES:
-            self.later.clear()
-        if len(self.first) > CACHE_PIECES // 8:
-            self.first.clear()
-        split, new = [], set()
-        for t in texts:
-            head, _, rest = t.partition(" ")
-            rest = rest.split(" ") if len(head) < len(t) else []
-            split.append((head, rest))
-            new.update(rest)
-        new.difference_update(self.later.keys())
-        self._learn([p for p in new if p and not p[0].isspace() and not p[-1].isspace()])
-        out = []
-        for t, (head, rest) in zip(texts, split):
-            try:
-                tail = b"".join(map(self.later.__getitem__, rest))
-            except KeyError:
-                out.append(self._whole(t))
-                continue
+    def _one(self, text: str) -> bytes:
+        if not text or not self.cuttable:
+            return self.whole(text) if text else b""
+        head, *rest = text.split(" ")
+        try:
             if rest and head and head[-1].isspace():
-                out.append(self._whole(t))
-                continue
-            if head not in self.first:
-                self.first[head] = self._whole(head) if head else b""
-            out.append(self.first[head] + tail)
-        return out
+                raise _Unsafe
+            tail = b"".join(map(self.pieces.__getitem__, rest))
+        except _Unsafe:
+            return self.whole(text)
+        if head not in self.first:
+            self.first[head] = self.whole(head) if head else b""
+        return self.first[head] + tail
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, in order; a null text has none."""
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= SLICE_CHARS or i + 1 == len(texts):
-                for raw in self._some([t or "" for t in texts[at : i + 1]]):
-                    yield np.frombuffer(raw, dtype=self.dtype)
-                at, size = i + 1, 0
+        size = 0
+        for text in texts:
+            yield np.frombuffer(self._one(text or ""), dtype=self.dtype)
+            size += len(text or "")
+            if size >= SLICE_CHARS:
+                size = 0
+                for table in (self.pieces, self.spaced, self.bare, self.first):
+                    if len(table) > CACHE_PIECES:
+                        table.clear()
 
 
 _encoders: dict[str, Encoder] = {}
