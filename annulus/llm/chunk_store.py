@@ -6,8 +6,8 @@ BLAKE2b digest. The store is a folder:
 
   chunks/    address, n_ids, ids      each distinct chunk once
   recipes/   part, doc_id, row, n_tokens, start, chunks, root
-             in ascending order of doc_id; chunks: 20 bytes for each chunk, its
-             address and its number of ids; root: Merkle root over the addresses
+             in ascending order of doc_id; chunks: 24 bytes for each chunk, its
+             address and how many ids follow it (8 bytes, big-endian); root: Merkle root over the addresses
   manifest/  part, n_docs, n_tokens, start, root   a Merkle root over the part's document roots
 
 Ids are little-endian unsigned integers of 16 bits if the vocabulary allows, else of 32.
@@ -95,35 +95,38 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc, part, row, seen = encoder(tokenizer), TaskContext.get().partitionId(), 0, set()
         names = ["recipe", "key", "doc_id", "n", "data", "root"]
 
-        def out(got):
+        def out():
             kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        got, size = [], 0
+        columns, size = [[] for _ in names], 0
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, ids.dtype.type(end_id))
-                raw, width = ids.tobytes(), ids.dtype.itemsize
-                last, parts, leaves = 0, [], []
+                raw, width, n = ids.tobytes(), ids.dtype.itemsize, len(ids)
+                last, recipe, leaves = 0, [], []
                 for e in cut_points(ids):
                     chunk = raw[last * width : e * width]
                     key = address(chunk)
                     leaves.append(key)
-                    parts.append(key + (e - last).to_bytes(4, "little"))
+                    recipe.append(key + (n - e).to_bytes(8, "big"))
                     if key not in seen:
                         seen.add(key)
-                        got.append((False, key, None, e - last, chunk, None))
+                        for column, x in zip(columns, (False, key, None, e - last, chunk, None)):
+                            column.append(x)
                         size += len(chunk)
                     last = e
-                got.append((True, b"%d:%d" % (part, row), doc, len(ids), b"".join(parts), merkle_root(leaves)))
+                told = (True, b"%d:%d" % (part, row), doc, n, b"".join(recipe), merkle_root(leaves))
+                for column, x in zip(columns, told):
+                    column.append(x)
                 row += 1
-                if size > 1 << 22 or len(got) > 20_000:
-                    yield out(got)
-                    got, size = [], 0
+                if size > 1 << 22 or len(columns[0]) > 20_000:
+                    yield out()
+                    columns, size = [[] for _ in names], 0
                 if len(seen) > SEEN:
                     seen.clear()
-        if got:
-            yield out(got)
+        if columns[0]:
+            yield out()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         rows, "recipe boolean, key binary, doc_id long, n long, data binary, root binary"
@@ -133,9 +136,9 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     spark = docs.sparkSession
     first = Window.partitionBy("recipe", "key").orderBy("n")
-    rows = _encoded(docs, tokenizer, end_id).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    rows = _encoded(docs, tokenizer, end_id).repartition("recipe", "key").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
     raw = f"{path}/raw"
-    rows.write.partitionBy("recipe").option("compression", "zstd").parquet(raw)
+    rows.write.partitionBy("recipe").option("compression", "lz4_raw").parquet(raw)
     both = spark.read.schema("key binary, doc_id long, n long, data binary, root binary, recipe boolean").parquet(raw)
     ordered = (
         both.where("recipe")
@@ -200,24 +203,24 @@ def _checked_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def checked(batches):
         for batch in batches:
-            keys, raws = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            crcs, sound = [], []
-            for key, n, raw in zip(keys, batch.column(1).to_pylist(), raws):
-                width = len(raw) // n
-                crcs.append(zlib.crc32(raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
+            keys, sizes, ids = (batch.column(k) for k in range(3))
+            sizes, crcs, sound, last = sizes.to_pylist(), [], [], 0
+            raws = ids.to_pylist()
+            joined = b"".join(raws)
+            wide = memoryview(joined)
+            if len(joined) == 2 * sum(sizes):
+                wide = memoryview(np.frombuffer(joined, "<u2").astype("<u4")).cast("B")
+            for key, n, raw in zip(keys.to_pylist(), sizes, raws):
+                crcs.append(zlib.crc32(wide[last : last + 4 * n]))
+                last += 4 * n
                 sound.append(address(raw) == key)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(crcs, pa.int64()), pa.array(sound)], ["address", "crc", "sound"]
-            )
+            yield pa.RecordBatch.from_arrays([keys, pa.array(crcs, pa.int64()), pa.array(sound, pa.bool_())], ["address", "crc", "sound"])
 
     return _chunks(spark, path).mapInArrow(checked, "address binary, crc long, sound boolean")
 
 
 def _powers() -> np.ndarray:
-    """[b][i]: bit i of a CRC-32 register after 2**b further ids (of 4 bytes) of zeros."""
-
-    def squared(m):
-        return [times(m, x) for x in m]
+    """[b][k][x]: byte k of a CRC-32 register with value x after 2**b further ids (of 4 bytes) of zeros."""
 
     def times(m, x):
         out = 0
@@ -228,47 +231,52 @@ def _powers() -> np.ndarray:
 
     one = [0xEDB88320, *(1 << i for i in range(31))]  # one bit of zeros
     for _ in range(5):  # 32 bits
-        one = squared(one)
-    out = [one]
-    for _ in range(40):
-        out.append(squared(out[-1]))
-    return np.array(out, np.uint32)
+        one = [times(one, x) for x in one]
+    tables = np.zeros((41, 4, 256), np.uint32)
+    for b in range(41):
+        for k in range(4):
+            for i in range(8):
+                tables[b, k, 1 << i : 2 << i] = tables[b, k, : 1 << i] ^ np.uint32(one[8 * k + i])
+        one = [times(one, x) for x in one]
+    return tables
 
 
-def shifted_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
+def shifted_crc(crc: np.ndarray, after: np.ndarray, powers: np.ndarray) -> np.ndarray:
     """What each chunk adds to its document's CRC-32 when `after` ids follow it; the sum is an exclusive or."""
     crc, b = crc.astype(np.uint32), 0
-    powers = _powers()
     while (after >> b).any():
-        moved = np.zeros_like(crc)
-        for i in range(32):
-            moved ^= np.where(crc >> np.uint32(i) & np.uint32(1), powers[b][i], np.uint32(0))
-        crc, b = np.where(after >> b & 1, moved, crc), b + 1
+        at = np.flatnonzero(after >> b & 1)
+        x = crc[at]
+        crc[at] = powers[b, 0, x & 255] ^ powers[b, 1, x >> 8 & 255] ^ powers[b, 2, x >> 16 & 255] ^ powers[b, 3, x >> 24]
+        b += 1
     return crc
 
 
 def _entries(recipes: DataFrame) -> DataFrame:
-    """part, row, address, after, whole: one row for each chunk of each recipe; whole: the root fits."""
+    """row, address, after (ids that follow it): one row for each chunk of each recipe."""
+    step = ADDRESS + 8
+    starts = F.sequence(F.lit(0), F.octet_length("chunks") - step, F.lit(step))
+    part = lambda at, size: F.substring(F.col("chunks"), F.col("at") + at + 1, F.lit(size))
+    return recipes.select("row", "chunks", F.explode(starts).alias("at")).select(
+        "row", part(0, ADDRESS).alias("address"), F.conv(F.hex(part(ADDRESS, 8)), 16, 10).cast("long").alias("after")
+    )
+
+
+def checked_recipes(recipes: DataFrame) -> DataFrame:
+    """part, row, whole (its root fits its addresses, and its chunks' sizes its length)."""
 
-    def entries(batches):
+    def checked(batches):
+        step = ADDRESS + 8
         for batch in batches:
-            out = [[], [], [], [], []]
-            for part, row, n, data, root in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                step = ADDRESS + 4
+            whole = []
+            for n, data, root in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 keys = [data[i : i + ADDRESS] for i in range(0, len(data), step)]
-                sizes = [int.from_bytes(data[i + ADDRESS : i + step], "little") for i in range(0, len(data), step)]
-                whole, after = merkle_root(keys) == root and sum(sizes) == n, n
-                for key, size in zip(keys, sizes):
-                    after -= size
-                    for column, x in zip(out, (part, row, key, after, whole)):
-                        column.append(x)
-            kinds = [pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.bool_()]
-            names = ["part", "row", "address", "after", "whole"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-
-    return recipes.select("part", "row", "n_tokens", "chunks", "root").mapInArrow(
-        entries, "part int, row string, address binary, after long, whole boolean"
-    )
+                after = [int.from_bytes(data[i + ADDRESS : i + step], "big") for i in range(0, len(data), step)]
+                falls = all(a > b for a, b in zip([n, *after], after))
+                whole.append(falls and after[-1] == 0 and merkle_root(keys) == root)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.bool_())], ["part", "row", "whole"])
+
+    return recipes.select("part", "row", "n_tokens", "chunks", "root").mapInArrow(checked, "part int, row string, whole boolean")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -281,26 +289,21 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     manifest = spark.read.parquet(f"{path}/manifest")
 
     def moved(batches):
+        powers = _powers()
         for batch in batches:
-            crc = batch.column("crc").to_numpy(zero_copy_only=False)
-            got = shifted_crc(crc, batch.column("after").to_numpy(zero_copy_only=False))
-            columns = [batch.column("part"), batch.column("row"), pa.array(got.astype("int64")), batch.column("ok")]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "row", "crc", "ok"])
+            crc = batch.column(1).to_numpy(zero_copy_only=False)
+            got = shifted_crc(crc, batch.column(2).to_numpy(zero_copy_only=False), powers)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.astype("int64")), batch.column(3)], ["row", "crc", "ok"])
 
     sums = (
         _entries(recipes)
         .join(_checked_chunks(spark, path), "address", "left")
-        .select(
-            "part",
-            "row",
-            F.coalesce("crc", F.lit(0)).cast("long").alias("crc"),
-            "after",
-            (F.col("whole") & F.coalesce("sound", F.lit(False))).alias("ok"),
-        )
-        .mapInArrow(moved, "part int, row string, crc long, ok boolean")
+        .select("row", F.coalesce("crc", F.lit(0)).cast("long").alias("crc"), "after", F.coalesce("sound", F.lit(False)).alias("ok"))
+        .mapInArrow(moved, "row string, crc long, ok boolean")
         .groupBy("row")
         .agg(F.bit_xor("crc").alias("ids_crc32"), F.bool_and("ok").alias("ok"))
     )
+    whole = checked_recipes(recipes).select("row", "whole")
     again = part_roots(recipes).select("part", F.col("root").alias("root_again"))
     parts = manifest.join(again, "part", "left").select(
         "part", F.col("start").alias("part_start"), F.col("root").eqNullSafe(F.col("root_again")).alias("part_ok")
@@ -309,13 +312,14 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         recipes.select("part", "doc_id", "row", "start", "n_tokens")
         .join(parts, "part")
         .join(sums, "row")
+        .join(whole, "row")
         .select(
             "doc_id",
             "row",
             (F.col("start") + F.col("part_start")).alias("start"),
             "n_tokens",
             "ids_crc32",
-            (F.col("ok") & F.col("part_ok")).alias("verified"),
+            (F.col("ok") & F.col("whole") & F.col("part_ok")).alias("verified"),
         )
     )
 

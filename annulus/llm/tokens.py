@@ -20,8 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces and words kept per worker, a bound on memory only: a full table is emptied.
-CACHE_PIECES = 700_000
+#: Pieces kept per worker, a bound on memory only: a full table is emptied.
+CACHE_PIECES = 1_200_000
 #: Characters encoded between two looks at the tables' sizes.
 SLICE_CHARS = 1 << 20
 
@@ -41,38 +41,51 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in visible else 256 + sum(x not in visible for x in range(b)) for b in range(256)}
 
 
+_LETTERS = _byte_letters()
+
+
 class _Words(dict):
-    """Ids of words by the model alone; the lead is the space in front of them, or nothing."""
+    """Ids of tokens of the pre-tokenizer, by the model alone; the lead is the space in front of them, or nothing."""
 
     def __init__(self, encoder: Encoder, lead: str):
-        self.model, self.dtype, self.lead = encoder.tokenizer.model, encoder.dtype, lead
+        self.tokenize, self.raw = encoder.tokenizer.model.tokenize, encoder.raw
+        self.lead, self.letter = lead, lead.translate(_LETTERS)
 
     def __missing__(self, word: str) -> bytes:
-        letters = (self.lead + word).encode().decode("latin-1").translate(_LETTERS)
-        self[word] = ids = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        if word.isascii() and word.isalpha():
+            letters = self.letter + word
+        else:
+            letters = (self.lead + word).encode().decode("latin-1").translate(_LETTERS)
+        raw = self.raw
+        self[word] = ids = b"".join([raw[t.id] for t in self.tokenize(letters)])
         return ids
 
 
-_LETTERS = _byte_letters()
-
-
-class _Pieces(dict):
-    """Ids of pieces with the space in front of them."""
+class _Pieces(_Words):
+    """Ids of pieces with the space in front of them; a word is a piece, too."""
 
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        super().__init__(encoder, " ")
+        self.bare, self.whole = encoder.bare, encoder.whole
 
     def __missing__(self, piece: str) -> bytes:
-        e = self.encoder
+        if piece.isascii() and piece.isalpha():
+            return super().__missing__(piece)
         if m := _PLAIN.fullmatch(piece):
             word, mark, line, mark2 = m.groups()
-            ids = e.spaced[word] + (e.bare[mark] if mark else b"")
+            if word == piece:
+                return super().__missing__(piece)
+            ids = self[word]
+            if mark:
+                ids += self.bare[mark]
             if line:
-                ids += e.bare["\n"] + e.bare[line] + (e.bare[mark2] if mark2 else b"")
+                ids += self.bare["\n"] + self.bare[line]
+            if mark2:
+                ids += self.bare[mark2]
         elif not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Unsafe
         else:
-            ids = e.whole(" " + piece)
+            ids = self.whole(" " + piece)
         self[piece] = ids
         return ids
 
@@ -95,7 +108,9 @@ class Encoder:
             and pre.get("use_regex") is True
             and pre.get("add_prefix_space") is False
         )
-        self.pieces, self.spaced, self.bare = _Pieces(self), _Words(self, " "), _Words(self, "")
+        self.raw = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
+        self.bare = _Words(self, "")
+        self.pieces = _Pieces(self)
         self.first: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -123,7 +138,7 @@ class Encoder:
             size += len(text or "")
             if size >= SLICE_CHARS:
                 size = 0
-                for table in (self.pieces, self.spaced, self.bare, self.first):
+                for table in (self.pieces, self.bare, self.first):
                     if len(table) > CACHE_PIECES:
                         table.clear()
 
