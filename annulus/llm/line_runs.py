@@ -108,7 +108,7 @@ def _runs(suffixes: DataFrame, min_words: int) -> DataFrame:
 def _doubled(ranks: DataFrame, k: int) -> DataFrame:
     """row, pos, r: ranks of suffixes by their first 2^(k+1) lines, from those by 2^k; others have no such prefix."""
     second = ranks.select("row", (F.col("pos") - (1 << k)).alias("pos"), F.col("r").alias("s"))
-    pairs = ranks.join(second, ["row", "pos"])
+    pairs = written(ranks.join(second, ["row", "pos"]), "pairs")
     keys = _ranked(pairs.groupBy("r", "s").agg(F.count("*").alias("n")), ["r", "s"])
     return pairs.join(keys, ["r", "s"]).select("row", "pos", F.col("rank").alias("r"))
 
@@ -122,13 +122,18 @@ def deleted_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     most = runs.agg(F.max("k")).first()[0]
     copies = None
     for k in range((-1 if most is None else most) + 1):
-        level = runs.where(F.col("k") == k)
+        # A table for each step: six levels in one plan would fill the driver.
         last = ranks.select("row", F.col("pos").alias("end"), F.col("r").alias("s"))
-        named = level.join(ranks, ["row", "pos"]).withColumn("end", F.col("pos") + F.col("n") - (1 << k)).join(last, ["row", "end"])
+        named = runs.where(F.col("k") == k).join(ranks, ["row", "pos"])
+        if k:
+            named = named.withColumn("end", F.col("pos") + F.col("n") - (1 << k)).join(last, ["row", "end"])
+        else:
+            named = named.withColumn("s", F.col("r"))
+        named = written(named.select("row", "doc_id", "pos", "n", "r", "s"), "named")
         key = ["n", "r", "s"]
         place = F.struct(F.col("doc_id"), F.col("row"), F.col("pos"))
         first = named.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-        later = named.join(first, key).where(place > F.col("first")).select("row", "pos", "n")
+        later = written(named.join(first, key).where(place > F.col("first")).select("row", "pos", "n"), "copies")
         copies = later if copies is None else copies.union(later)
         if k < most:
             ranks = written(_doubled(ranks, k), "suffixes")
