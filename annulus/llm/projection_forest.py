@@ -27,7 +27,8 @@ embedding and label are read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ LEAF = 1024
 BLOCK = 1024
 #: Splits of one round at most, and rows that decide about a leaf's splits.
 ROUND_DEPTH, SAMPLE = 5, 4096
+#: A leaf of up to GROWN times LEAF, as a sample's error makes, isn't split again.
+GROWN = 2
 MAX_ROUNDS = 12
 #: Margin in standard deviations, and the share of a node that a side of a useful split may hold.
 MARGIN, USEFUL = 0.75, 0.8
@@ -51,8 +54,15 @@ def direction(seed: int, tree: int, depth: int, dims: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def _unit(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, in double precision."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
+
+
+def _unit(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    x = _matrix(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -98,22 +108,25 @@ def _descend(x: np.ndarray, cuts: list[float], tree: int, depth: int, threshold:
 
 
 def _fitted(sample: DataFrame, threshold: float, seed: int, leaf: int) -> DataFrame:
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        cuts = fit_splits(_unit(pdf.sort_values("id").v), int(first.n), int(first.tree), int(first.depth), threshold, seed, leaf)
-        return pd.DataFrame({"tree": [first.tree], "leaf": [first.leaf], "cuts": [cuts]})
+    def fit(table: pa.Table) -> pa.Table:
+        first = table.select(["n", "tree", "depth", "leaf"]).slice(0, 1).to_pylist()[0]
+        x = _unit(table.sort_by("id").column("v"))
+        cuts = fit_splits(x, first["n"], first["tree"], first["depth"], threshold, seed, leaf)
+        kinds = pa.schema([("tree", pa.int32()), ("leaf", pa.int64()), ("cuts", pa.list_(pa.float64()))])
+        return pa.Table.from_pydict({"tree": [first["tree"]], "leaf": [first["leaf"]], "cuts": [cuts]}, kinds)
 
-    return sample.groupBy("tree", "leaf").applyInPandas(fit, "tree int, leaf string, cuts array<double>")
+    some = sample.select("id", "tree", "leaf", "n", "depth", "v")
+    return some.groupBy("tree", "leaf").applyInArrow(fit, "tree int, leaf long, cuts array<double>")
 
 
 def forest_leaves(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
     """(id, tree, leaf) for nodes (id, label, v): a row for each leaf a vector is in."""
-    root = F.concat_ws("/", F.col("label").cast("string"), F.size("v").cast("string"))
+    root = F.xxhash64(F.col("label").cast("string"), F.size("v"))  # leaves have 64-bit names, hashed from the path
     # Vectors stay in `nodes`; the rows that are dealt out anew each round carry them only while a leaf is split.
     rows = nodes.select("id", "v", root.alias("leaf"), F.explode(F.array(*(F.lit(t) for t in range(trees)))).alias("tree"))
     rows, done = written(rows.select("id", "tree", "leaf"), "leaves"), None
     for r in range(MAX_ROUNDS):
-        sizes = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf)
+        sizes = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > GROWN * leaf)
         sizes = written(sizes.withColumn("depth", F.lit(r * ROUND_DEPTH)), "sizes")
         if sizes.isEmpty():
             break
@@ -126,54 +139,61 @@ def forest_leaves(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = T
             break
 
         def split(batches):
-            for pdf in batches:
-                for (tree, name), part in pdf.groupby(["tree", "leaf"], sort=False):
-                    x, ids = _unit(part.v), part.id.to_numpy()
-                    for at, node in _descend(x, list(part.cuts.iloc[0]), int(tree), int(part.depth.iloc[0]), threshold, seed):
-                        if len(at):
-                            yield pd.DataFrame({"id": ids[at], "tree": np.int32(tree), "leaf": f"{name}.{node:x}"})
-
-        moved = large.join(useful, ["tree", "leaf"]).select("id", "tree", "leaf", "depth", "v", "cuts").mapInPandas(split, "id long, tree int, leaf string")
+            for batch in batches:
+                ids, trees_, names, depths, vectors, all_cuts = batch.columns
+                ids, trees_, names, depths = (c.to_numpy() for c in (ids, trees_, names, depths))
+                order = np.lexsort((names, trees_))
+                new = np.flatnonzero((np.diff(names[order]) != 0) | (np.diff(trees_[order]) != 0)) + 1
+                for part in np.split(order, new):
+                    if not len(part):
+                        continue
+                    k = int(part[0])
+                    x, tree = _unit(vectors.take(pa.array(part))), int(trees_[k])
+                    found = list(_descend(x, all_cuts[k].as_py(), tree, int(depths[k]), threshold, seed))
+                    at = np.concatenate([rows for rows, _ in found])
+                    node = np.repeat([n for _, n in found], [len(rows) for rows, _ in found])
+                    columns = [ids[part][at], np.full(len(at), tree, np.int32), np.full(len(at), names[k]), node.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "tree", "leaf", "node"])
+
+        moved = large.join(useful, ["tree", "leaf"]).select("id", "tree", "leaf", "depth", "v", "cuts")
+        moved = moved.mapInArrow(split, "id long, tree int, leaf long, node int")
+        moved = moved.select("id", "tree", F.xxhash64("leaf", "node").alias("leaf"))
         stay = rows.join(useful.select("tree", "leaf"), ["tree", "leaf"], "left_anti").select("id", "tree", "leaf")
         done = stay if done is None else done.union(stay)
         rows = written(moved, "leaves")
     return rows if done is None else done.union(rows)
 
 
-def _compare(left: pd.DataFrame, same: bool, right: pd.DataFrame, threshold: float):
+def _compare(left: pa.Table, same: bool, right: pa.Table, threshold: float) -> pa.Table | None:
     """Links of two blocks of one leaf and the least of each vector's part: (id, n_links, least)."""
-    a = np.stack([np.asarray(v, np.float64) for v in left.v])
-    b = a if same else np.stack([np.asarray(v, np.float64) for v in right.v])
-    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    linked = (a @ b.T) / np.outer(na, nb) >= threshold
+    a = _matrix(left.column("v"))
+    b = a if same else _matrix(right.column("v"))
+    linked = (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) >= threshold
     if same:
         np.fill_diagonal(linked, False)
     i, j = np.nonzero(linked)
     if not len(i):
         return None
     # A pair counts where its first common leaf is: elsewhere both are in an earlier one.
-    code: dict[str, int] = {}
-    sets = []
-    for frame in (left, left if same else right):
-        m = np.zeros((len(frame), 1 << 10), np.float32)
-        for k, names in enumerate(frame.earlier):
-            for name in names:
-                c = code.setdefault(name, len(code))
-                if c >= m.shape[1]:
-                    m = np.hstack([m, np.zeros_like(m)])
-                m[k, c] = 1
-        sets.append(m)
-    width = max(m.shape[1] for m in sets)
-    sets = [np.hstack([m, np.zeros((len(m), width - m.shape[1]), np.float32)])[:, : max(1, len(code))] for m in sets]
-    counted = linked & ((sets[0] @ sets[1].T) == 0)
-    ids_a, ids_b = left.id.to_numpy(), right.id.to_numpy()
+    lists = [t.column("earlier").combine_chunks() for t in ((left,) if same else (left, right))]
+    names, code = np.unique(np.concatenate([x.flatten().to_numpy() for x in lists]), return_inverse=True)
+    members, last = [], 0
+    for x in lists:
+        counts = x.value_lengths().to_numpy()
+        m = np.zeros((len(x), max(1, len(names))), np.float32)
+        m[np.repeat(np.arange(len(x)), counts), code[last : last + counts.sum()]] = 1
+        last += counts.sum()
+        members.append(m)
+    counted = linked & ((members[0] @ members[-1].T) == 0)
+    ids_a, ids_b = left.column("id").to_numpy(), right.column("id").to_numpy()
     least_a, least_b = _least(ids_a, ids_b, i, j)
-    found = [(ids_a, counted @ right.weight.to_numpy(), least_a, linked.any(axis=1))]
+    found = [(ids_a, counted @ right.column("weight").to_numpy(), least_a, linked.any(axis=1))]
     if same:
         least_a[:] = np.minimum(least_a, least_b)
     else:
-        found.append((ids_b, left.weight.to_numpy() @ counted, least_b, linked.any(axis=0)))
-    return pd.concat(pd.DataFrame({"id": ids[some], "n_links": n[some], "least": least[some]}) for ids, n, least, some in found)
+        found.append((ids_b, left.column("weight").to_numpy() @ counted, least_b, linked.any(axis=0)))
+    columns = zip(*((ids[some], n[some], least[some]) for ids, n, least, some in found))
+    return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["id", "n_links", "least"])
 
 
 def _least(ids_a: np.ndarray, ids_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +212,7 @@ def _least(ids_a: np.ndarray, ids_b: np.ndarray, i: np.ndarray, j: np.ndarray) -
 
 def compared(nodes: DataFrame, leaves: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(id, n_links, least): for each vector and pair of blocks where it has links, their number and the least vector it reaches there."""
-    name = F.concat_ws(":", "tree", "leaf")
+    name = F.xxhash64("tree", "leaf")
     named = leaves.select("id", name.alias("leaf"))
     sizes = named.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     of = named.groupBy("id").agg(F.array_sort(F.collect_list("leaf")).alias("all"))  # as many as trees and spills
@@ -204,14 +224,16 @@ def compared(nodes: DataFrame, leaves: DataFrame, threshold: float = THRESHOLD,
     earlier = F.filter("all", lambda x: x < F.col("leaf"))
     full = dealt.join(nodes, "id").join(of, "id").select("id", "leaf", "mine", "lo", "hi", "v", "weight", earlier.alias("earlier"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf.lo.iloc[0]), int(pdf.hi.iloc[0])
-        left, right = pdf[pdf.mine == lo], pdf[pdf.mine == hi]
+    kinds = pa.schema([("id", pa.int64()), ("n_links", pa.int64()), ("least", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        mine, lo, hi = table.column("mine"), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, right = table.filter(pc.equal(mine, lo)), table.filter(pc.equal(mine, hi))
         if len(left) and len(right) and (got := _compare(left, lo == hi, right, threshold)) is not None:
             return got
-        return pd.DataFrame({"id": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64), "least": np.zeros(0, np.int64)})
+        return kinds.empty_table()
 
-    return full.groupBy("leaf", "lo", "hi").applyInPandas(compare, "id long, n_links long, least long")
+    return full.groupBy("leaf", "lo", "hi").applyInArrow(compare, "id long, n_links long, least long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
