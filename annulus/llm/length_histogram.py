@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annulus.llm.workspace import written
+
 #: Lengths are summed within buckets of this width and then over the buckets, so
 #: that no task holds more than the lengths of one bucket.
 BUCKET = 1024
@@ -46,6 +48,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
         .withColumn("bucket", F.expr(f"n_tokens div {BUCKET}"))
         .withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     )
+    counts = written(counts, "lengths")  # read twice below; encoding is the costly part
     within = Window.partitionBy("bucket").orderBy(F.desc("n_tokens"))
     parts = counts.select(
         "*",

@@ -25,6 +25,7 @@ CACHE_PIECES = 1_200_000
 #: Characters encoded between two looks at the tables' sizes.
 SLICE_CHARS = 1 << 20
 
+_MARKS = frozenset(".,;:!?)]}\"")
 _WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)"
 _MARK = "([.,;:!?)\\]}\"]*)"
 #: Word, marks, and perhaps a line's end with the same again: each group is a token of the pre-tokenizer's pattern.
@@ -44,37 +45,37 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
-class _Words(dict):
-    """Ids of tokens of the pre-tokenizer, by the model alone; the lead is the space in front of them, or nothing."""
+def _letters(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_LETTERS)
 
-    def __init__(self, encoder: Encoder, lead: str):
+
+class _Bare(dict):
+    """Ids of tokens of the pre-tokenizer without a space in front, by the model alone."""
+
+    def __init__(self, encoder: Encoder):
         self.tokenize, self.raw = encoder.tokenizer.model.tokenize, encoder.raw
-        self.lead, self.letter = lead, lead.translate(_LETTERS)
 
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            letters = self.letter + word
-        else:
-            letters = (self.lead + word).encode().decode("latin-1").translate(_LETTERS)
+    def __missing__(self, token: str) -> bytes:
         raw = self.raw
-        self[word] = ids = b"".join([raw[t.id] for t in self.tokenize(letters)])
+        self[token] = ids = b"".join([raw[t.id] for t in self.tokenize(_letters(token))])
         return ids
 
 
-class _Pieces(_Words):
+class _Pieces(dict):
     """Ids of pieces with the space in front of them; a word is a piece, too."""
 
     def __init__(self, encoder: Encoder):
-        super().__init__(encoder, " ")
-        self.bare, self.whole = encoder.bare, encoder.whole
+        self.tokenize, self.raw = encoder.tokenizer.model.tokenize, encoder.raw
+        self.bare, self.whole, self.space = encoder.bare, encoder.whole, _letters(" ")
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            return super().__missing__(piece)
-        if m := _PLAIN.fullmatch(piece):
+        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0180"):
+            raw, letters = self.raw, self.space + (piece if piece.isascii() else _letters(piece))
+            ids = b"".join([raw[t.id] for t in self.tokenize(letters)])
+        elif piece[-1:] in _MARKS and (word := piece[:-1]).isalpha() and (word.isascii() or max(word) < "\u0180"):
+            ids = self[word] + self.bare[piece[-1]]
+        elif m := _PLAIN.fullmatch(piece):
             word, mark, line, mark2 = m.groups()
-            if word == piece:
-                return super().__missing__(piece)
             ids = self[word]
             if mark:
                 ids += self.bare[mark]
@@ -109,7 +110,7 @@ class Encoder:
             and pre.get("add_prefix_space") is False
         )
         self.raw = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
-        self.bare = _Words(self, "")
+        self.bare = _Bare(self)
         self.pieces = _Pieces(self)
         self.first: dict[str, bytes] = {}
 
