@@ -25,6 +25,7 @@ an empty store.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -36,32 +37,57 @@ from annulus.llm.workspace import new_path, written
 
 MIN_IDS, MAX_IDS, MASK_BITS, WINDOW = 64, 2048, 8, 8
 ADDRESS = 16
+#: Bytes of ids hashed at a time.
+HASHED_BYTES = 1 << 18
 #: Addresses a task remembers so as not to send a chunk twice; beyond it forgets, and the shuffle finds the repeats.
 SEEN = 1 << 20
 _MIX = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
+def _candidates(ids: np.ndarray) -> list[int]:
+    """Places behind an id where the hash of the last WINDOW ids asks for a cut."""
+    rolling, width = _MIX[ids & 0xFFFF], 1
+    while width < WINDOW:  # a window is two of half the width
+        wider = rolling.copy()
+        wider[width:] += rolling[:-width] << np.uint32(3 * width)
+        rolling, width = wider, 2 * width
+    return (np.flatnonzero(rolling >> np.uint32(32 - MASK_BITS) == 0) + 1).tolist()
+
+
+def _cuts(lengths: list[int], candidates: list[int]) -> Iterator[list[int]]:
+    """For each of several streams that follow each other: the ends of its chunks, from its start.
+
+    A hash over the border of two streams lies within the first WINDOW ids of the later one, where
+    MIN_IDS allows no cut: so streams may be hashed together.
+    """
+    at, base, m = 0, 0, len(candidates)
+    for n in lengths:
+        out, last = [], 0
+        while True:
+            e = candidates[at] - base if at < m else n
+            at += 1
+            if e >= n:
+                e = n
+            elif e - last < MIN_IDS:
+                continue
+            while e - last > MAX_IDS:
+                last += MAX_IDS
+                out.append(last)
+            if e > last:
+                out.append(e)
+                last = e
+            if e == n:
+                break
+        at -= 1
+        while at < m and candidates[at] - base <= n:
+            at += 1
+        base += n
+        yield out
+
+
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of `ids`; the last is its length. An empty stream has none."""
-    n = len(ids)
-    if n <= MIN_IDS:
-        return [n] if n else []
-    mixed = _MIX[ids & 0xFFFF]
-    rolling = np.zeros(n, np.uint32)
-    for j in range(WINDOW):  # the hash at i depends on ids i-WINDOW+1 .. i alone
-        rolling[j:] += mixed[: n - j] << np.uint32(j * 3)
-    ends = (np.flatnonzero(rolling >> np.uint32(32 - MASK_BITS) == 0) + 1).tolist()
-    out, last = [], 0
-    for e in [*ends, n]:
-        if e - last < MIN_IDS and e < n:
-            continue
-        while e - last > MAX_IDS:
-            last += MAX_IDS
-            out.append(last)
-        if e > last:
-            out.append(e)
-            last = e
-    return out
+    return next(_cuts([len(ids)], _candidates(ids)))
 
 
 def address(raw: bytes) -> bytes:
@@ -99,27 +125,36 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        columns, size = [[] for _ in names], 0
+        columns, size, end = [[] for _ in names], 0, end_id.to_bytes(enc.dtype.itemsize, "little")
+        width = enc.dtype.itemsize
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                ids = np.append(ids, ids.dtype.type(end_id))
-                raw, width, n = ids.tobytes(), ids.dtype.itemsize, len(ids)
-                last, recipe, leaves = 0, [], []
-                for e in cut_points(ids):
-                    chunk = raw[last * width : e * width]
-                    key = address(chunk)
-                    leaves.append(key)
-                    recipe.append(key + (n - e).to_bytes(8, "big"))
-                    if key not in seen:
-                        seen.add(key)
-                        for column, x in zip(columns, (False, key, None, e - last, chunk, None)):
-                            column.append(x)
-                        size += len(chunk)
-                    last = e
-                told = (True, b"%d:%d" % (part, row), doc, n, b"".join(recipe), merkle_root(leaves))
-                for column, x in zip(columns, told):
-                    column.append(x)
-                row += 1
+            docs_, raws, held, left = [], [], 0, batch.num_rows
+            for doc, raw in zip(batch.column(0).to_pylist(), enc.encode_raw(batch.column(1).to_pylist())):
+                docs_.append(doc)
+                raws.append(raw + end)
+                held, left = held + len(raw), left - 1
+                if held < HASHED_BYTES and left:
+                    continue
+                lengths = [len(raw) // width for raw in raws]
+                cuts = _cuts(lengths, _candidates(np.frombuffer(b"".join(raws), enc.dtype)))
+                for doc_, raw_, n, ends in zip(docs_, raws, lengths, cuts):
+                    last, recipe, leaves = 0, [], []
+                    for e in ends:
+                        chunk = raw_[last * width : e * width]
+                        key = address(chunk)
+                        leaves.append(key)
+                        recipe.append(key + (n - e).to_bytes(8, "big"))
+                        if key not in seen:
+                            seen.add(key)
+                            for column, x in zip(columns, (False, key, None, e - last, chunk, None)):
+                                column.append(x)
+                            size += len(chunk)
+                        last = e
+                    told = (True, b"%d:%d" % (part, row), doc_, n, b"".join(recipe), merkle_root(leaves))
+                    for column, x in zip(columns, told):
+                        column.append(x)
+                    row += 1
+                docs_, raws, held = [], [], 0
                 if size > 1 << 22 or len(columns[0]) > 20_000:
                     yield out()
                     columns, size = [[] for _ in names], 0

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pieces kept per worker, a bound on memory only: a full table is emptied.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 1_000_000
 #: Characters encoded between two looks at the tables' sizes.
 SLICE_CHARS = 1 << 20
 
@@ -131,11 +131,11 @@ class Encoder:
             self.first[head] = self.whole(head) if head else b""
         return self.first[head] + tail
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order; a null text has none."""
+    def encode_raw(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, in order, as little-endian integers of this encoder's type; a null text has none."""
         size = 0
         for text in texts:
-            yield np.frombuffer(self._one(text or ""), dtype=self.dtype)
+            yield self._one(text or "")
             size += len(text or "")
             if size >= SLICE_CHARS:
                 size = 0
@@ -143,6 +143,10 @@ class Encoder:
                     if len(table) > CACHE_PIECES:
                         table.clear()
 
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for raw in self.encode_raw(texts):
+            yield np.frombuffer(raw, dtype=self.dtype)
+
 
 _encoders: dict[str, Encoder] = {}
 
