@@ -115,7 +115,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reference(spark: SparkSession, path: str) -> str:
     """The one sequence of a FASTA file: a small file, read on the driver."""
-    whole = spark.read.option("wholetext", True).text(path).first()
+    whole = spark.read.text(path, wholetext=True).first()
     lines = [x.strip() for x in (whole.value if whole else "").splitlines() if x.strip()]
     sequence = "".join(lines[1:]).upper()
     if not lines or not lines[0].startswith(">") or any(x.startswith(">") for x in lines[1:]) or not sequence or set(sequence) - set("ACGTN"):
