@@ -256,31 +256,32 @@ def spanning_count(spark, d):
     return evidence.spanning(pieces, points, molecules.where((F.col("molecule") + F.col("point")) % 10 == 0))
 
 
-_TOKENS_SQL = "tokens AS (SELECT DISTINCT o_custkey AS k, p_brand AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3), sets AS (SELECT k, list_sort(list(t)) AS s FROM tokens GROUP BY k), profiles AS (SELECT min(k) AS p, s, count(*) AS members FROM sets GROUP BY s)"
-_PAIRS_SQL = "pairs AS (SELECT a.p AS a, b.p AS b, 1.0 - len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s))) AS distance FROM profiles a JOIN profiles b ON a.p < b.p WHERE 1.0 - len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s))) <= 0.300000000001)"
+_TOKENS_SQL = "tokens AS (SELECT DISTINCT doc_id AS k, unnest(string_split(text, chr(10))) AS t FROM documents), sets AS (SELECT k, list_sort(list(t)) AS s FROM tokens GROUP BY k), profiles AS (SELECT min(k) AS p, s, count(*) AS members FROM sets GROUP BY s)"
 
 
-def _sets(spark, d) -> DataFrame:
-    lines = C.table(spark, d, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_partkey")
-    orders = C.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
-    parts = C.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("t"))
-    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
-    return similarity.profiles(rows.select("k", "t"), "k", "t")
+def _pairs_sql(epsilon: float) -> str:
+    distance = "1.0 - len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s)))"
+    return f"pairs AS (SELECT a.p AS a, b.p AS b, {distance} AS distance FROM profiles a JOIN profiles b ON a.p < b.p WHERE list_has_any(a.s, b.s) AND {distance} <= {epsilon} + 1e-12)"
 
 
-@_query(f"WITH {_TOKENS_SQL}, {_PAIRS_SQL} SELECT a, b, round(distance, 6) AS distance FROM pairs")
+def _line_sets(spark, d) -> DataFrame:
+    """Documents as sets of lines."""
+    return similarity.profiles(C.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t")), "doc_id", "t")
+
+
+@_query(f"WITH {_TOKENS_SQL}, {_pairs_sql(0.5)} SELECT a, b, round(distance, 6) AS distance FROM pairs")
 def jaccard_pairs(spark, d):
-    return similarity.similar_pairs(_sets(spark, d), 0.3).withColumn("distance", F.round("distance", 6))
+    return similarity.similar_pairs(_line_sets(spark, d), 0.5).withColumn("distance", F.round("distance", 6))
 
 
 @_query(
-    f"""WITH RECURSIVE {_TOKENS_SQL}, {_PAIRS_SQL}, edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    f"""WITH RECURSIVE {_TOKENS_SQL}, {_pairs_sql(0.72)}, edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach(n, r) AS (SELECT p, p FROM profiles UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.n WHERE reach.r < e.b),
 labels AS (SELECT n, min(r) AS root FROM reach GROUP BY n)
 SELECT n AS profile, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM labels"""
 )
 def dbscan_labels(spark, d):
-    return similarity.density_clusters(_sets(spark, d), 0.3, 1)
+    return similarity.density_clusters(_line_sets(spark, d), Config().cluster_epsilon, Config().min_cluster_size)
 
 
 _ASSERT_SQL = """assertions AS (SELECT event_id % 997 AS variant, event_type || ' ' || CASE event_id % 7 WHEN 0 THEN 'Pathogenic' WHEN 1 THEN 'Likely-Pathogenic' WHEN 2 THEN 'benign' WHEN 3 THEN 'Uncertain significance'
