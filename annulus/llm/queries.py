@@ -166,5 +166,21 @@ FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM drawn)
 """
 
 
+# Brute force over all pairs of a label, and reachability by recursion.
+_FOREST_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {projection_forest.THRESHOLD}
+), reach(n, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.n WHERE reach.r < l.b
+), parts AS (SELECT n, min(r) AS r FROM reach GROUP BY n), counts AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(k, 0) AS n_links, r AS component_id, e.vec_id = r AS kept
+FROM embeddings e JOIN parts ON n = e.vec_id LEFT JOIN counts ON a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_runs": _LINE_RUNS_SQL, "op8_poisson_mix": _MIX_SQL}
+    return {"op3_projection_forest": _FOREST_SQL, "op7_line_runs": _LINE_RUNS_SQL, "op8_poisson_mix": _MIX_SQL}

@@ -477,7 +477,8 @@ def test_pipeline(spark, tmp_path, docs, none):
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
     want = con.sql(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, sf).toPandas()
     columns = sorted(want.columns)
