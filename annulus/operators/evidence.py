@@ -108,6 +108,39 @@ def clinical_consensus(assertions: DataFrame, keys: list[str]) -> DataFrame:
     return sets.select(*keys, "assertions", status.alias("conflict_status"), joint.alias("significance"))
 
 
+def band_components(df: DataFrame, key: str, widths: dict[str, int]) -> DataFrame:
+    """key, component: rows whose values are all within their width of each other's, and what they connect to.
+
+    The first value is dealt to cells as wide as its width, each row to its own and the next, so
+    the band join is an equi-join.
+    """
+    from annulus.operators.graph import components
+
+    first, width = next(iter(widths.items()))
+    cell = F.floor(F.col(first) / width)
+    names = [key, *widths]
+    a = df.select(*(F.col(c).alias(f"a_{c}") for c in names), cell.alias("cell"))
+    b = df.select(*(F.col(c).alias(f"b_{c}") for c in names), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    near = F.col(f"a_{key}") < F.col(f"b_{key}")
+    for c, w in widths.items():
+        near = near & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= w)
+    edges = a.join(b, "cell").where(near).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))
+    return components(df.select(F.col(key).alias("node")), edges).select(F.col("node").alias(key), "component")
+
+
+def event_profile(observations: DataFrame, group: str, config) -> DataFrame:
+    """For each group and event: states, the share of ALTERNATE where enough members are callable, and what is expected."""
+    alt, absent = F.count_if(F.col("state") == "ALTERNATE"), F.count_if(F.col("state").isin("REFERENCE", "EVENT_ABSENT"))
+    uncertain = F.count_if(~F.col("state").isin(*CALLABLE))
+    rows = observations.groupBy(group, "event").agg(alt.alias("alternate"), absent.alias("absent"), uncertain.alias("uncertain"))
+    n = F.col("alternate") + F.col("absent")
+    shared = rows.withColumn("fraction", F.when(n >= config.min_architecture_molecules, F.col("alternate") / n))
+    expected = lambda c: F.coalesce(c, F.lit(False))
+    return shared.withColumn("expected_alternate", expected(F.col("fraction") >= config.architecture_consensus_fraction)).withColumn(
+        "expected_absent", expected(F.col("fraction") <= config.architecture_optional_fraction)
+    )
+
+
 def outliers(df: DataFrame, value: str, scale: float = 6 * 1.4826, least: float = 0.02) -> DataFrame:
     """Adds center (upper median), spread (upper median of distances) and outlier; a value per molecule, not per base."""
     center = df.agg(stats.upper_median(F.col(value)).alias("center"))

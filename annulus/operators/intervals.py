@@ -42,6 +42,14 @@ def depth(pieces: DataFrame, length: int = coords.L) -> DataFrame:
     return every.join(sums, "position", "left").select("position", F.sum(F.coalesce("d", F.lit(0))).over(running).cast("long").alias("depth"))
 
 
+def active_counts(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, position, active: how many ranges of a key hold from each position where that changes."""
+    ends = F.array(F.struct(F.col("start").alias("position"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("position"), F.lit(-1).alias("d")))
+    sums = pieces.select(*keys, F.explode(ends).alias("x")).groupBy(*keys, "x.position").agg(F.sum("x.d").alias("d"))
+    running = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # a row for each position at most
+    return sums.select(*keys, "position", F.sum("d").over(running).alias("active"))
+
+
 def bins(depths: DataFrame, count: int = 180, length: int = coords.L) -> DataFrame:
     """bin, start, end, mean_depth (rounded half up); the last bin holds the rest of the division."""
     width = length // count

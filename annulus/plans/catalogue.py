@@ -494,6 +494,97 @@ def candidate_score_top3(spark, d):
     return ranked_candidates(seen, defined, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
+@_query(
+    """WITH dim AS (SELECT p_partkey % 100 AS position, min(p_type) AS assertion, count(*) AS assertions FROM part WHERE p_partkey % 100 < 60 GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey % 100 AS position, assertion, coalesce(assertions, 0) AS assertions FROM lineitem LEFT JOIN dim ON l_partkey % 100 = position"""
+)
+def clinical_left_join(spark, d):
+    key = F.pmod("p_partkey", F.lit(100)).alias("position")
+    dim = C.table(spark, d, "part").where(F.pmod("p_partkey", F.lit(100)) < 60).groupBy(key).agg(F.min("p_type").alias("assertion"), F.count("*").alias("assertions"))
+    rows = C.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(100)).alias("position"))
+    return rows.join(dim, "position", "left").select("l_orderkey", "l_linenumber", "position", "assertion", F.coalesce("assertions", F.lit(0)).cast("long").alias("assertions"))
+
+
+@_query(
+    """WITH model AS (SELECT p_brand AS gene, p_partkey % 300 AS first, p_partkey % 300 + p_size AS last FROM part WHERE p_partkey <= 200),
+differs AS (SELECT DISTINCT p_brand AS gene, p_partkey % 350 AS residue FROM part WHERE p_partkey % 7 = 0),
+asked AS (SELECT DISTINCT p_brand AS gene, l_suppkey * 13 % 350 AS residue FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT a.gene, a.residue, count(*) AS models FROM asked a JOIN model m ON a.gene = m.gene AND a.residue BETWEEN m.first AND m.last ANTI JOIN differs x ON x.gene = a.gene AND x.residue = a.residue GROUP BY 1, 2"""
+)
+def structure_map(spark, d):
+    part, n = C.table(spark, d, "part"), F.col("p_partkey")
+    gene = F.col("p_brand").alias("gene")
+    model = part.where(n <= 200).select(gene, F.pmod(n, F.lit(300)).alias("first"), (F.pmod(n, F.lit(300)) + F.col("p_size")).alias("last"))
+    differs = part.where(n % 7 == 0).select(gene, F.pmod(n, F.lit(350)).alias("residue")).distinct()
+    lines = C.table(spark, d, "lineitem").select("l_partkey", F.pmod(F.col("l_suppkey") * 13, F.lit(350)).alias("residue"))
+    asked = lines.join(part, lines.l_partkey == part.p_partkey).select(gene, "residue").distinct()
+    residues = model.select("gene", F.explode(F.sequence("first", "last")).alias("residue"))  # ranges of a gene, so the join is an equi-join
+    return asked.join(differs, ["gene", "residue"], "left_anti").join(residues, ["gene", "residue"]).groupBy("gene", "residue").agg(F.count("*").alias("models"))
+
+
+@_query(
+    """WITH RECURSIVE j AS (SELECT o_orderkey AS id, o_orderkey * 7919 % 1000003 AS place, o_custkey * 104729 % 50021 AS len FROM orders),
+e AS (SELECT a.id AS a, b.id AS b FROM j a JOIN j b ON a.id <> b.id AND abs(a.place - b.place) <= 30 AND abs(a.len - b.len) <= 800),
+reach(n, r) AS (SELECT id, id FROM j UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.n WHERE reach.r < e.b)
+SELECT n AS id, min(r) AS component FROM reach GROUP BY n"""
+)
+def junction_clusters(spark, d):
+    orders = C.table(spark, d, "orders")
+    place = F.pmod(F.col("o_orderkey") * 7919, F.lit(1000003))
+    junctions = orders.select(F.col("o_orderkey").alias("id"), place.alias("place"), F.pmod(F.col("o_custkey") * 104729, F.lit(50021)).alias("len"))
+    return evidence.band_components(junctions, "id", {"place": 30, "len": 800})
+
+
+_PROFILE_SQL = f"""WITH {C.OBS_SQL}, profile AS (SELECT molecule % 8 AS architecture, event, count(*) FILTER (state = 'ALTERNATE') AS alternate, count(*) FILTER (state = 'REFERENCE') AS absent,
+  count(*) FILTER (state = 'LOW_QUALITY') AS uncertain FROM obs GROUP BY 1, 2)"""
+
+
+def _profile(spark, d) -> DataFrame:
+    return evidence.event_profile(C.obs(spark, d).withColumn("architecture", F.pmod("molecule", F.lit(8))), "architecture", Config())
+
+
+@_query(
+    _PROFILE_SQL
+    + """ SELECT architecture, event, alternate, absent, uncertain, CASE WHEN alternate + absent >= 2 THEN round(alternate * 1.0 / (alternate + absent), 6) END AS fraction,
+  alternate + absent >= 2 AND alternate * 1.0 / (alternate + absent) >= 0.8 AS expected_alternate, alternate + absent >= 2 AND alternate * 1.0 / (alternate + absent) <= 0.2 AS expected_absent FROM profile"""
+)
+def event_profile(spark, d):
+    return _profile(spark, d).withColumn("fraction", F.round("fraction", 6))
+
+
+@_query(
+    f"""WITH {C.PIECES_SQL}, changes AS (SELECT c, p, CAST(sum(d) AS BIGINT) AS d FROM (
+  SELECT molecule % 5 AS c, start AS p, 1 AS d FROM pieces UNION ALL SELECT molecule % 5, "end" + 1, -1 FROM pieces) GROUP BY 1, 2)
+SELECT c AS cluster, p AS position, CAST(sum(d) OVER (PARTITION BY c ORDER BY p) AS BIGINT) AS active FROM changes"""
+)
+def callable_counts(spark, d):
+    pieces = intervals.split_at_origin(C.ranged(spark, d).select("molecule", "start", "end"))
+    return intervals.active_counts(pieces.withColumn("cluster", F.pmod("molecule", F.lit(5))), ["cluster"])
+
+
+@_query(
+    """WITH b AS (SELECT p_partkey AS position, substr('ACGT', CAST((p_size + p_partkey % 3) % 4 AS INTEGER) + 1, 1) AS ref FROM part),
+r AS (SELECT *, position - row_number() OVER (PARTITION BY ref ORDER BY position) AS run FROM b)
+SELECT ref, min(position) AS start, max(position) AS "end" FROM r GROUP BY ref, run HAVING count(*) >= 2"""
+)
+def homopolymer_runs(spark, d):
+    base = F.substring(F.lit("ACGT"), (F.pmod(F.col("p_size") + F.pmod("p_partkey", F.lit(3)), F.lit(4)) + 1).cast("int"), F.lit(1))
+    bases = C.table(spark, d, "part").select(F.col("p_partkey").alias("position"), base.alias("ref"))
+    return intervals.islands(bases, ["ref"], "position").where("end > start")
+
+
+@_query(
+    f"""WITH {C.OBS_SQL}, items AS (SELECT DISTINCT CASE WHEN molecule % 2 = 0 THEN 'even' ELSE 'odd' END AS side, event || ':' || quality AS item, CASE WHEN quality > 40 THEN 3.0 WHEN quality > 20 THEN 2.0 ELSE 1.0 END AS weight FROM obs WHERE molecule % 10 < 2)
+SELECT round(sum(CASE WHEN n = 2 THEN weight ELSE 0 END) / sum(weight), 6) AS similarity FROM (SELECT item, max(weight) AS weight, count(*) AS n FROM items GROUP BY item)"""
+)
+def weighted_jaccard(spark, d):
+    rows = C.obs(spark, d).where(F.pmod("molecule", F.lit(10)) < 2)
+    weight = F.when(F.col("quality") > 40, 3.0).when(F.col("quality") > 20, 2.0).otherwise(1.0)
+    side = F.when(F.pmod("molecule", F.lit(2)) == 0, "even").otherwise("odd")
+    items = rows.select(side.alias("side"), F.concat_ws(":", "event", F.col("quality").cast("string")).alias("item"), weight.alias("weight")).distinct()
+    return similarity.weighted_jaccard(items, "even", "odd", "side", "item", "weight").select(F.round("similarity", 6).alias("similarity"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locus levels with intervals, and the genes at their positions."""
     levels = evidence.locus_levels(evidence.best_observation(C.bases(spark, sf_dir).withColumn("position", F.col("position") * 270)))
