@@ -371,9 +371,9 @@ def evidence_page(spark, d):
     return C.table(spark, d, "events").groupBy(page).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@_query("SELECT event_id, user_id, event_type, n, total FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS n, count(*) OVER () AS total FROM events WHERE event_type = 'click' AND user_id % 3 = 1) WHERE n BETWEEN 11 AND 110")
+@_query("SELECT event_id, user_id, event_type, n, total FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS n, count(*) OVER () AS total FROM events WHERE event_type = 'click') WHERE n BETWEEN 11 AND 110")
 def evidence_search(spark, d):
-    found = C.table(spark, d, "events").where((F.col("event_type") == "click") & (F.pmod("user_id", F.lit(3)) == 1))
+    found = C.table(spark, d, "events").where("event_type = 'click'")
     page = found.orderBy("event_id").limit(110)  # a page of the search: offset 10, limit 100
     numbered = page.withColumn("n", F.row_number().over(Window.orderBy("event_id")).cast("long")).where("n > 10")
     return numbered.crossJoin(F.broadcast(found.agg(F.count("*").alias("total")))).select("event_id", "user_id", "event_type", "n", "total")
@@ -447,12 +447,12 @@ def prf_by_band(spark, d):
 
 @_query(
     """SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_first' WHEN a.k IS NULL THEN 'only_second' ELSE 'both' END AS side
-FROM (SELECT DISTINCT l_partkey || ':' || l_returnflag AS k FROM lineitem WHERE l_linenumber = 1) a FULL JOIN (SELECT DISTINCT l_partkey || ':' || l_returnflag AS k FROM lineitem WHERE l_linenumber = 2) b ON a.k = b.k"""
+FROM (SELECT DISTINCT l_partkey || ':' || l_returnflag AS k FROM lineitem WHERE l_linestatus = 'F') a FULL JOIN (SELECT DISTINCT l_partkey || ':' || l_returnflag AS k FROM lineitem WHERE l_linestatus = 'O') b ON a.k = b.k"""
 )
 def callset_differential(spark, d):
     key = F.concat_ws(":", F.col("l_partkey").cast("string"), "l_returnflag").alias("k")
-    side = lambda n: C.table(spark, d, "lineitem").where(F.col("l_linenumber") == n).select(key).distinct()
-    a, b = side(1).withColumn("a", F.lit(True)), side(2).withColumn("b", F.lit(True))
+    side = lambda n: C.table(spark, d, "lineitem").where(F.col("l_linestatus") == n).select(key).distinct()
+    a, b = side("F").withColumn("a", F.lit(True)), side("O").withColumn("b", F.lit(True))
     return a.join(b, "k", "full").select("k", F.when(F.col("b").isNull(), "only_first").when(F.col("a").isNull(), "only_second").otherwise("both").alias("side"))
 
 
@@ -476,50 +476,49 @@ def majority_markers(spark, d):
 
 
 @_query(
-    """WITH o AS (SELECT DISTINCT l_suppkey % 50 AS cluster, l_partkey % 40 AS marker FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 25),
-e AS (SELECT DISTINCT s_suppkey AS definition, (s_suppkey * 7 + i * i) % 40 AS marker FROM supplier, (SELECT unnest(range(0, 12)) AS i)),
+    """WITH o AS (SELECT DISTINCT l_orderkey AS cluster, l_partkey % 400 AS marker FROM lineitem),
+e AS (SELECT DISTINCT s_suppkey AS definition, (s_suppkey * 7 + i * i) % 400 AS marker FROM supplier, (SELECT unnest(range(0, 12)) AS i)),
 eo AS (SELECT cluster, count(*) AS observed FROM o GROUP BY 1), ee AS (SELECT definition, count(*) AS expected FROM e GROUP BY 1),
 m AS (SELECT cluster, definition, count(*) AS matched FROM o JOIN e USING (marker) GROUP BY 1, 2)
 SELECT cluster, definition, matched, expected - matched AS missing, observed - matched AS extra, round(50.0 * matched / expected + 50.0 * matched / observed, 6) AS score, n AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(50.0 * matched / expected + 50.0 * matched / observed, 6) DESC, definition) AS n FROM m JOIN eo USING (cluster) JOIN ee USING (definition)) WHERE n <= 3"""
 )
 def candidate_score_top3(spark, d):
-    lines = C.table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity > 25")
-    seen = lines.select(F.pmod("l_suppkey", F.lit(50)).alias("cluster"), F.pmod("l_partkey", F.lit(40)).alias("marker")).distinct()
+    seen = C.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cluster"), F.pmod("l_partkey", F.lit(400)).alias("marker")).distinct()
     steps = F.explode(F.sequence(F.lit(0), F.lit(11)))
     defined = C.table(spark, d, "supplier").select(F.col("s_suppkey").alias("definition"), steps.alias("i"))
-    defined = defined.select("definition", F.pmod(F.col("definition") * 7 + F.col("i") * F.col("i"), F.lit(40)).alias("marker")).distinct()
+    defined = defined.select("definition", F.pmod(F.col("definition") * 7 + F.col("i") * F.col("i"), F.lit(400)).alias("marker")).distinct()
     from annulus.operators.lineage import ranked_candidates
 
     return ranked_candidates(seen, defined, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 @_query(
-    """WITH dim AS (SELECT p_partkey % 100 AS position, min(p_type) AS assertion, count(*) AS assertions FROM part WHERE p_partkey % 100 < 60 GROUP BY 1)
-SELECT l_orderkey, l_linenumber, l_partkey % 100 AS position, assertion, coalesce(assertions, 0) AS assertions FROM lineitem LEFT JOIN dim ON l_partkey % 100 = position"""
+    """WITH dim AS (SELECT p_partkey AS position, min(p_type) AS assertion, count(*) AS assertions FROM part WHERE p_size > 20 GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey AS position, assertion, coalesce(assertions, 0) AS assertions FROM lineitem LEFT JOIN dim ON l_partkey = position"""
 )
 def clinical_left_join(spark, d):
-    key = F.pmod("p_partkey", F.lit(100)).alias("position")
-    dim = C.table(spark, d, "part").where(F.pmod("p_partkey", F.lit(100)) < 60).groupBy(key).agg(F.min("p_type").alias("assertion"), F.count("*").alias("assertions"))
-    rows = C.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(100)).alias("position"))
+    dim = C.table(spark, d, "part").where("p_size > 20").groupBy(F.col("p_partkey").alias("position")).agg(F.min("p_type").alias("assertion"), F.count("*").alias("assertions"))
+    rows = C.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("position"))
     return rows.join(dim, "position", "left").select("l_orderkey", "l_linenumber", "position", "assertion", F.coalesce("assertions", F.lit(0)).cast("long").alias("assertions"))
 
 
 @_query(
-    """WITH model AS (SELECT p_brand AS gene, p_partkey % 300 AS first, p_partkey % 300 + p_size AS last FROM part WHERE p_partkey <= 200),
-differs AS (SELECT DISTINCT p_brand AS gene, p_partkey % 350 AS residue FROM part WHERE p_partkey % 7 = 0),
+    """WITH model AS (SELECT p_brand AS gene, p_partkey % 300 AS first, p_partkey % 300 + p_size AS last FROM part),
+differs AS (SELECT DISTINCT p_brand AS gene, p_partkey % 350 AS residue FROM part WHERE p_size = 7),
 asked AS (SELECT DISTINCT p_brand AS gene, l_suppkey * 13 % 350 AS residue FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT a.gene, a.residue, count(*) AS models FROM asked a JOIN model m ON a.gene = m.gene AND a.residue BETWEEN m.first AND m.last ANTI JOIN differs x ON x.gene = a.gene AND x.residue = a.residue GROUP BY 1, 2"""
 )
 def structure_map(spark, d):
     part, n = C.table(spark, d, "part"), F.col("p_partkey")
     gene = F.col("p_brand").alias("gene")
-    model = part.where(n <= 200).select(gene, F.pmod(n, F.lit(300)).alias("first"), (F.pmod(n, F.lit(300)) + F.col("p_size")).alias("last"))
-    differs = part.where(n % 7 == 0).select(gene, F.pmod(n, F.lit(350)).alias("residue")).distinct()
+    model = part.select(gene, F.pmod(n, F.lit(300)).alias("first"), (F.pmod(n, F.lit(300)) + F.col("p_size")).alias("last"))
+    differs = part.where("p_size = 7").select(gene, F.pmod(n, F.lit(350)).alias("residue")).distinct()
     lines = C.table(spark, d, "lineitem").select("l_partkey", F.pmod(F.col("l_suppkey") * 13, F.lit(350)).alias("residue"))
     asked = lines.join(part, lines.l_partkey == part.p_partkey).select(gene, "residue").distinct()
     residues = model.select("gene", F.explode(F.sequence("first", "last")).alias("residue"))  # ranges of a gene, so the join is an equi-join
-    return asked.join(differs, ["gene", "residue"], "left_anti").join(residues, ["gene", "residue"]).groupBy("gene", "residue").agg(F.count("*").alias("models"))
+    models = residues.groupBy("gene", "residue").agg(F.count("*").alias("models"))  # counted first: the join meets a row for each residue
+    return asked.join(differs, ["gene", "residue"], "left_anti").join(models, ["gene", "residue"])
 
 
 @_query(
@@ -574,11 +573,11 @@ def homopolymer_runs(spark, d):
 
 
 @_query(
-    f"""WITH {C.OBS_SQL}, items AS (SELECT DISTINCT CASE WHEN molecule % 2 = 0 THEN 'even' ELSE 'odd' END AS side, event || ':' || quality AS item, CASE WHEN quality > 40 THEN 3.0 WHEN quality > 20 THEN 2.0 ELSE 1.0 END AS weight FROM obs WHERE molecule % 10 < 2)
+    f"""WITH {C.OBS_SQL}, items AS (SELECT DISTINCT CASE WHEN molecule % 2 = 0 THEN 'even' ELSE 'odd' END AS side, event || ':' || quality AS item, CASE WHEN quality > 40 THEN 3.0 WHEN quality > 20 THEN 2.0 ELSE 1.0 END AS weight FROM obs)
 SELECT round(sum(CASE WHEN n = 2 THEN weight ELSE 0 END) / sum(weight), 6) AS similarity FROM (SELECT item, max(weight) AS weight, count(*) AS n FROM items GROUP BY item)"""
 )
 def weighted_jaccard(spark, d):
-    rows = C.obs(spark, d).where(F.pmod("molecule", F.lit(10)) < 2)
+    rows = C.obs(spark, d)
     weight = F.when(F.col("quality") > 40, 3.0).when(F.col("quality") > 20, 2.0).otherwise(1.0)
     side = F.when(F.pmod("molecule", F.lit(2)) == 0, "even").otherwise("odd")
     items = rows.select(side.alias("side"), F.concat_ws(":", "event", F.col("quality").cast("string")).alias("item"), weight.alias("weight")).distinct()
