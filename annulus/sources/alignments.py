@@ -137,5 +137,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if name.endswith((".fastq", ".fq")):
         return read_fastq(spark, path)
     if name.endswith((".bam", ".cram")):
-        raise AnalysisError("E1401", f"{path}: no decoder for this container")
+        from annulus.sources.bam import read_bam
+
+        return read_bam(spark, path)  # CRAM is refused by its first bytes
     raise AnalysisError("E1102", path)

@@ -88,7 +88,7 @@ def test_fastq_and_reference(spark, tmp_path):
     (tmp_path / "y.fa").write_text(">one\nACGT\n>two\nA\n")
     with pytest.raises(AnalysisError, match="E1202"):
         source.read_reference(spark, str(tmp_path / "y.fa"))
-    with pytest.raises(AnalysisError, match="E1401"):
+    with pytest.raises(AnalysisError, match="E1101"):
         source.read(spark, "x.bam")
 
 
