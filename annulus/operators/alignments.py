@@ -83,20 +83,36 @@ def walked(ops: Column) -> Column:
     return F.aggregate(ops, start, step, lambda s: s["out"])
 
 
+def base_places(ops: Column, extra=None) -> Column:
+    """array of (query, reference, base, quality, extra's fields) of the M, = and X among walked operations.
+
+    Bases are cut out of the strings here, a piece for each operation, so that rows need not carry whole strings when
+    they are exploded and no string is scanned anew for each base. `extra` gives fields from an operation and an offset.
+    """
+    piece = lambda c, o: F.split(F.substring(F.col(c), o["query"] + 1, o["length"]), "")
+
+    def places(o):
+        pairs = F.zip_with(piece("sequence", o), piece("qualities", o), lambda b, q: F.struct(b.alias("b"), q.alias("q")))
+        return F.transform(
+            pairs,
+            lambda x, i: F.struct(
+                (o["query"] + i).alias("query"), (o["reference"] + i).alias("reference"), F.upper(x["b"]).alias("base"), (F.ascii(x["q"]) - 33).alias("quality"), *(extra(o, i) if extra else ())
+            ),
+        )
+
+    return F.flatten(F.transform(F.filter(ops, lambda o: o["code"].isin("M", "=", "X")), places))
+
+
 def aligned_bases(reads: DataFrame, length: int = coords.L) -> DataFrame:
     """record_index, id, position (folded), query, base, quality: a row for each aligned base."""
-    ops = F.filter(walked(F.col("cigar_operations")), lambda o: o["code"].isin("M", "=", "X"))
-    places = F.flatten(
-        F.transform(ops, lambda o: F.transform(F.sequence(F.lit(0), o["length"] - 1), lambda i: F.struct((o["query"] + i).alias("query"), (o["reference"] + i).alias("reference"))))
-    )
-    rows = reads.select("record_index", "id", "sequence", "qualities", "reference_start", F.explode(places).alias("x"))
+    rows = reads.select("record_index", "id", "reference_start", F.explode(base_places(walked(F.col("cigar_operations")))).alias("x"))
     return rows.select(
         "record_index",
         "id",
         coords.fold(F.col("reference_start") + F.col("x.reference"), length).cast("long").alias("position"),
         F.col("x.query").alias("query"),
-        F.substring(F.col("sequence"), F.col("x.query") + 1, F.lit(1)).alias("base"),
-        (F.ascii(F.substring(F.col("qualities"), F.col("x.query") + 1, F.lit(1))) - 33).alias("quality"),
+        F.col("x.base").alias("base"),
+        F.col("x.quality").alias("quality"),
     )
 
 

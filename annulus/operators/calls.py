@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.functions import coords, indels, stats
-from annulus.operators.alignments import walked
+from annulus.operators.alignments import base_places, walked
 from annulus.operators.evidence import outliers
 
 # Fixed values of the calling method.
@@ -42,36 +42,21 @@ def read_bases(reads: DataFrame, config: Config, length: int = coords.L) -> Data
         ops,
         lambda o, i: F.struct(o["code"].alias("code"), o["length"].alias("length"), o["query"].alias("query"), o["reference"].alias("reference"), gap(F.get(ops, i - 1)).alias("before"), gap(F.get(ops, i + 1)).alias("after")),
     )
-    used = F.filter(around, lambda o: o["code"].isin("M", "=", "X"))
-    places = F.flatten(
-        F.transform(
-            used,
-            lambda o: F.transform(
-                F.sequence(F.lit(0), o["length"] - 1),
-                lambda i: F.struct(
-                    (o["query"] + i).alias("query"),
-                    (o["reference"] + i).alias("reference"),
-                    ((o["before"] & (i < GAP_WINDOW)) | (o["after"] & (o["length"] - 1 - i < GAP_WINDOW))).alias("near_gap"),
-                ),
-            ),
-        )
-    )
+    beside = lambda o, i: [((o["before"] & (i < GAP_WINDOW)) | (o["after"] & (o["length"] - 1 - i < GAP_WINDOW))).alias("near_gap")]
     strand = F.when(F.col("flags").bitwiseAND(F.lit(0x10)) != 0, 1).otherwise(0)
-    rows = reads.select("molecule", "record_index", "reference_start", "sequence", "qualities", strand.alias("strand"), F.explode(places).alias("x"))
-    q = F.col("x.query")
-    quality = F.ascii(F.substring(F.col("qualities"), q + 1, F.lit(1))) - 33
-    size = F.length("sequence")
-    distance = F.least(q, size - 1 - q)
+    rows = reads.select("molecule", "record_index", "reference_start", F.length("sequence").alias("size"), strand.alias("strand"), F.explode(base_places(around, beside)).alias("x"))
+    q, quality = F.col("x.query"), F.col("x.quality")
+    distance = F.least(q, F.col("size") - 1 - q)
     out = rows.select(
         "molecule",
         "record_index",
         q.alias("query"),
         coords.fold(F.col("reference_start") + F.col("x.reference"), length).cast("long").alias("position"),
-        F.upper(F.substring(F.col("sequence"), q + 1, F.lit(1))).alias("base"),
+        F.col("x.base").alias("base"),
         "strand",
         quality.alias("quality"),
         F.least(F.floor(quality / 5), F.lit(QUALITY_BINS - 1)).cast("int").alias("quality_bin"),
-        F.least(F.floor(2 * distance * PROXIMITY_BINS / size), F.lit(PROXIMITY_BINS - 1)).cast("int").alias("proximity_bin"),
+        F.least(F.floor(2 * distance * PROXIMITY_BINS / F.col("size")), F.lit(PROXIMITY_BINS - 1)).cast("int").alias("proximity_bin"),
         F.col("x.near_gap").alias("near_gap"),
     )
     return out.where((F.col("quality") >= config.min_base_quality) & F.col("base").isin(*"ACGT")).drop("quality")
