@@ -123,7 +123,8 @@ def assigned(signed: DataFrame, scored: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def _profiles(members: DataFrame, observations: DataFrame, config: Config) -> DataFrame:
+def member_profiles(members: DataFrame, observations: DataFrame, config: Config) -> DataFrame:
+    """Each candidate's events that enough of its members are callable at, with the share that shows them."""
     rows = event_profile(observations.join(members.select("architecture", "molecule"), "molecule"), "architecture", config)
     return rows.where("fraction is not null")
 
@@ -147,7 +148,7 @@ def infer(molecules: DataFrame, observations: DataFrame, weights: DataFrame, con
     candidates = _cut(members.select("architecture", "signature").distinct())
     stable = False
     for _ in range(ROUNDS):
-        profiles = _cut(_profiles(members, observations, config))
+        profiles = _cut(member_profiles(members, observations, config))
         result = _cut(assigned(signed, scores(signed, observations, candidates, profiles, weights), config))
         enough = result.where("status = 'ASSIGNED'").groupBy("architecture").agg(F.count("*").alias("n")).where(F.col("n") >= config.min_architecture_molecules)
         kept = _cut(candidates.join(enough.select("architecture"), "architecture", "left_semi"))
@@ -183,7 +184,7 @@ def summary(members: DataFrame, assignments: DataFrame, observations: DataFrame,
     order = Window.partitionBy("architecture").orderBy(F.desc("confidence"), "molecule")
     first = assignments.where("status = 'ASSIGNED'").withColumn("_n", F.row_number().over(order)).where("_n <= 5")
     first = first.groupBy("architecture").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "molecule"))), lambda x: x["molecule"]).alias("representatives"))
-    share = _profiles(members, observations, config)
+    share = member_profiles(members, observations, config)
     optional = ~F.col("expected_alternate") & (F.col("alternate") > 0) & (F.col("fraction") >= config.architecture_optional_fraction)
     lists = share.groupBy("architecture").agg(F.array_sort(F.collect_list(F.when(F.col("expected_alternate"), F.col("event")))).alias("defining"), F.array_sort(F.collect_list(F.when(optional, F.col("event")))).alias("optional"))
     low, high = stats.wilson(F.col("members"), F.col("eligible"))

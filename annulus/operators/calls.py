@@ -65,8 +65,8 @@ def read_bases(reads: DataFrame, config: Config, length: int = coords.L) -> Data
 def pileup(bases: DataFrame) -> DataFrame:
     """position, base, forward, reverse, near_gap, quality (histogram), proximity (histogram): a molecule counts once at a
     position, by its first base there."""
-    fields = F.struct("base", "strand", "quality_bin", "proximity_bin", "near_gap")
-    one = bases.groupBy("molecule", "position").agg(F.min_by(fields, F.struct("record_index", "query")).alias("b")).select("position", "b.*")
+    first = F.min(F.struct("record_index", "query", "base", "strand", "quality_bin", "proximity_bin", "near_gap"))
+    one = bases.groupBy("molecule", "position").agg(first.alias("b")).select("position", "b.*")
     histogram = lambda c, n: F.array(*(F.count_if(F.col(c) == i) for i in range(n))).alias(c.removesuffix("_bin"))
     return one.groupBy("position", "base").agg(
         F.count_if(F.col("strand") == 0).alias("forward"),

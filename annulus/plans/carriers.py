@@ -43,6 +43,15 @@ BASES_SQL = """bases AS (
   FROM lineitem
 )"""
 
+#: Cells of a pileup: a molecule's first base at each position, by strand.
+CELLS_SQL = BASES_SQL + """, firsts AS (
+  SELECT position, base, query % 2 AS strand FROM bases QUALIFY row_number() OVER (PARTITION BY molecule, position ORDER BY fragment, query, base) = 1
+), cells AS (SELECT position, base, count(*) FILTER (strand = 0) AS forward, count(*) FILTER (strand = 1) AS reverse FROM firsts GROUP BY 1, 2)"""
+#: An insertion for suppliers with an odd key, a deletion for the others, and alignments in which something is inserted.
+SITES_SQL = """sites AS (SELECT s_suppkey AS event, s_suppkey % 2 = 1 AS insertion, s_suppkey * 7919 % 16569 + 1 AS start,
+    CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey * 7919 % 16569 + 1 ELSE s_suppkey * 7919 % 16569 + s_suppkey % 40 + 1 END AS "end" FROM supplier),
+broken AS (SELECT molecule, frag AS alignment, start + 5 AS anchor FROM aln WHERE mapq < 30)"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,15 +75,15 @@ def ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aln(spark, sf_dir).withColumn("end", F.pmod(F.col("start") + F.col("len") - 2, F.lit(16569)) + 1)
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def obs(spark: SparkSession, sf_dir: str, event: str = "p_brand") -> DataFrame:
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = joined.select(
         F.col("l_orderkey").alias("molecule"),
-        F.col("p_brand").alias("event"),
+        F.col(event).alias("event"),
         F.when(F.col("l_returnflag") == "R", "ALTERNATE").when(F.col("l_returnflag") == "N", "REFERENCE").otherwise("LOW_QUALITY").alias("state"),
         F.floor("l_quantity").cast("long").alias("quality"),
         F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"),
-        F.row_number().over(Window.partitionBy("l_orderkey", "p_brand").orderBy("l_linenumber", "l_returnflag", "l_quantity", "l_linestatus")).alias("n"),
+        F.row_number().over(Window.partitionBy("l_orderkey", event).orderBy("l_linenumber", "l_returnflag", "l_quantity", "l_linestatus")).alias("n"),
     )
     return rows.where("n = 1").drop("n")
 
@@ -88,3 +97,22 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor("l_quantity").cast("long").alias("quality"),
         F.col("l_orderkey").alias("query"),
     )
+
+
+def read_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bases as a pileup takes them."""
+    rows = bases(spark, sf_dir).withColumnRenamed("fragment", "record_index").withColumn("strand", F.pmod("query", F.lit(2)).cast("int"))
+    bin_ = F.least(F.floor(F.col("quality") / 5), F.lit(7)).cast("int")
+    return rows.withColumn("quality_bin", bin_).withColumn("proximity_bin", F.pmod("query", F.lit(5)).cast("int")).withColumn("near_gap", F.pmod("query", F.lit(11)) == 0)
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    start = F.pmod(key * 7919, F.lit(16569)) + 1
+    insertion = F.pmod(key, F.lit(2)) == 1
+    rows = table(spark, sf_dir, "supplier")
+    return rows.select(key.alias("event"), insertion.alias("insertion"), start.alias("start"), F.when(insertion, start).otherwise(start + F.pmod(key, F.lit(40))).alias("end"))
+
+
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aln(spark, sf_dir).where("mapq < 30").select("molecule", F.col("frag").alias("alignment"), (F.col("start") + 5).alias("anchor"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.functions import coords, genome, stats, text
-from annulus.operators import alignments, evidence, intervals, similarity
+from annulus.operators import alignments, architectures, calls, events, evidence, intervals, similarity
 from annulus.plans import carriers as C
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -584,6 +584,94 @@ def weighted_jaccard(spark, d):
     return similarity.weighted_jaccard(items, "even", "odd", "side", "item", "weight").select(F.round("similarity", 6).alias("similarity"))
 
 
+@_query(
+    f"""WITH {C.CELLS_SQL}, refs AS (SELECT p AS position, substr('ACGT', CAST(p % 4 AS INTEGER) + 1, 1) AS ref FROM (SELECT unnest(range(1, 61)) AS p)),
+top AS (SELECT position, base FROM cells JOIN refs USING (position) QUALIFY row_number() OVER (PARTITION BY position ORDER BY forward + reverse DESC, base = ref DESC, base) = 1)
+SELECT position, ref, coalesce(base, ref) AS major FROM refs LEFT JOIN top USING (position)"""
+)
+def pileup_consensus(spark, d):
+    return calls.consensus(calls.pileup(C.read_bases(spark, d)), _genome(spark))
+
+
+def _genome(spark) -> DataFrame:
+    """position, ref of a genome as long as the bases' positions."""
+    return _reference(spark.range(1, 61).select(F.col("id").alias("position")))
+
+
+@_query(f"WITH {C.CELLS_SQL} SELECT position, base, forward, reverse FROM cells")
+def pileup_cells(spark, d):
+    return calls.pileup(C.read_bases(spark, d)).select("position", "base", "forward", "reverse")
+
+
+@_query()
+def substitution_calls(spark, d):
+    cells = calls.pileup(C.read_bases(spark, d))
+    found = calls.substitutions(cells, calls.consensus(cells, _genome(spark)))
+    return found.select("position", "ref", "alt", "depth", "alternate_depth", *(F.round(c, 6).alias(c) for c in ("fraction", "ci_low", "ci_high", "p", "q")), F.array_join("filters", ",").alias("filters"), "pass")
+
+
+@_query(
+    f"""WITH {C.PIECES_SQL}, {C.SITES_SQL}, asked AS (SELECT *, CASE WHEN insertion THEN start WHEN start = 1 THEN 16569 ELSE start - 1 END AS l, CASE WHEN "end" = 16569 THEN 1 ELSE "end" + 1 END AS r FROM sites WHERE "end" <= 16569),
+whole AS (SELECT DISTINCT event, molecule, frag FROM asked a JOIN pieces p ON p.start <= a.start AND p."end" >= a."end"),
+lefts AS (SELECT DISTINCT event, molecule, frag FROM asked a JOIN pieces p ON a.l BETWEEN p.start AND p."end"),
+rights AS (SELECT DISTINCT event, molecule, frag FROM asked a JOIN pieces p ON a.r BETWEEN p.start AND p."end"),
+kept AS (SELECT w.* FROM whole w JOIN lefts USING (event, molecule, frag) JOIN rights USING (event, molecule, frag))
+SELECT DISTINCT k.event, k.molecule FROM kept k JOIN asked a ON a.event = k.event
+WHERE NOT (a.insertion AND EXISTS (SELECT 1 FROM broken b WHERE b.molecule = k.molecule AND b.alignment = k.frag AND b.anchor = a.start))"""
+)
+def reference_paths(spark, d):
+    pieces = intervals.split_at_origin(C.ranged(spark, d).select("molecule", F.col("frag").alias("alignment"), "start", "end"))
+    return events.reference_paths(C.sites(spark, d), pieces, C.broken(spark, d))
+
+
+_ARCHITECTURE_SQL = """WITH obs AS (
+  SELECT molecule, event, state FROM (
+    SELECT l_orderkey AS molecule, p_type AS event, CASE l_returnflag WHEN 'R' THEN 'ALTERNATE' WHEN 'N' THEN 'REFERENCE' ELSE 'LOW_QUALITY' END AS state,
+           row_number() OVER (PARTITION BY l_orderkey, p_type ORDER BY l_linenumber, l_returnflag, l_quantity, l_linestatus) AS n
+    FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE n = 1),
+weights AS (SELECT DISTINCT event, CASE WHEN event < 'M' THEN 2.0 ELSE 1.0 END AS weight FROM obs),
+signed AS (SELECT molecule, coalesce(string_agg(event, '|' ORDER BY event) FILTER (state = 'ALTERNATE'), '') AS signature FROM obs GROUP BY 1),
+seeds AS (SELECT signature FROM signed GROUP BY 1 HAVING count(*) >= 2),
+counts AS (SELECT signature, event, count(*) FILTER (state = 'ALTERNATE') AS a, count(*) FILTER (state = 'REFERENCE') AS r FROM seeds JOIN signed USING (signature) JOIN obs USING (molecule) GROUP BY 1, 2),
+profile AS (SELECT signature, event, a * 1.0 / (a + r) AS f, weight FROM counts JOIN weights USING (event) WHERE a + r >= 2),
+firm AS (SELECT * FROM profile WHERE f >= 0.8 OR f <= 0.2), totals AS (SELECT signature, sum(weight) AS total FROM firm GROUP BY 1),
+met AS (SELECT molecule, p.signature, sum(weight) AS joint, sum(weight * CASE WHEN state = 'ALTERNATE' THEN 1 - f ELSE f END) AS differs FROM obs JOIN firm p USING (event) WHERE state <> 'LOW_QUALITY' GROUP BY 1, 2),
+shown AS (SELECT molecule, sum(weight) AS shown FROM obs JOIN weights USING (event) WHERE state = 'ALTERNATE' GROUP BY 1),
+known AS (SELECT molecule, p.signature, sum(weight) AS known FROM obs JOIN profile p USING (event) WHERE state = 'ALTERNATE' GROUP BY 1, 2),
+bare AS (SELECT signature FROM seeds WHERE signature NOT IN (SELECT signature FROM profile)),
+grid AS (SELECT s.molecule, c.signature, total, coalesce(joint, 0) AS joint, coalesce(differs, 0) AS differs, coalesce(shown, 0) - coalesce(known, 0) AS extra, b.signature IS NOT NULL AS bare, s.signature AS own
+  FROM signed s CROSS JOIN seeds c LEFT JOIN totals t ON t.signature = c.signature LEFT JOIN met m ON m.molecule = s.molecule AND m.signature = c.signature
+  LEFT JOIN shown h ON h.molecule = s.molecule LEFT JOIN known k ON k.molecule = s.molecule AND k.signature = c.signature LEFT JOIN bare b ON b.signature = c.signature)"""
+
+
+def _architecture_input(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    observed = C.obs(spark, d, "p_type").select("molecule", "event", "state")
+    weights = observed.select("event").distinct().withColumn("weight", F.when(F.col("event") < "M", 2.0).otherwise(1.0))
+    return observed.select("molecule").distinct(), observed, weights
+
+
+@_query(
+    _ARCHITECTURE_SQL
+    + """, scored AS (SELECT molecule, signature, CASE WHEN bare AND signature = '' AND own = '' THEN 0.0 WHEN joint + extra > 0 AND total > 0 THEN (differs + extra) / (joint + extra) END AS distance,
+  CASE WHEN bare THEN 1.0 ELSE least(1.0, joint / total) END AS overlap FROM grid)
+SELECT molecule, signature, round(distance, 6) AS distance, round(overlap, 6) AS overlap, round(distance + 0.25 * (1 - overlap), 6) AS score FROM scored WHERE distance IS NOT NULL"""
+)
+def architecture_scores(spark, d):
+    molecules, observed, weights = _architecture_input(spark, d)
+    signed = architectures.signatures(molecules, observed)
+    members = architectures.seeds(signed, Config())
+    named = members.select("architecture", "signature").distinct()
+    rows = architectures.scores(signed, observed, named, architectures.member_profiles(members, observed, Config()), weights)
+    named = named.select("architecture", F.array_join("signature", "|").alias("signature"))
+    return rows.join(named, "architecture").select("molecule", "signature", *(F.round(c, 6).alias(c) for c in ("distance", "overlap", "score")))
+
+
+@_query()
+def architecture_assignments(spark, d):
+    found = architectures.infer(*_architecture_input(spark, d), Config()).assignments
+    return found.select("molecule", "status", "architecture", F.array_join("candidates", " ").alias("candidates"), *(F.round(c, 6).alias(c) for c in ("distance", "overlap", "score", "confidence")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locus levels with intervals, and the genes at their positions."""
     levels = evidence.locus_levels(evidence.best_observation(C.bases(spark, sf_dir).withColumn("position", F.col("position") * 270)))
