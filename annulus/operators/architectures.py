@@ -129,6 +129,13 @@ def member_profiles(members: DataFrame, observations: DataFrame, config: Config)
     return rows.where("fraction is not null")
 
 
+def _alike(signed: DataFrame, observations: DataFrame) -> DataFrame:
+    """molecule, first: the smallest molecule with the same observations; each such group is scored once."""
+    pairs = observations.groupBy("molecule").agg(F.array_sort(F.collect_list(F.struct("event", "state"))).alias("pattern"))
+    named = signed.select("molecule").join(pairs, "molecule", "left").select("molecule", F.sha2(F.coalesce(F.to_json("pattern"), F.lit("")), 256).alias("pattern"))
+    return named.join(named.groupBy("pattern").agg(F.min("molecule").alias("first")), "pattern").select("molecule", "first")
+
+
 def _no_scores(signed: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     return signed.select("molecule", F.lit("").alias("architecture"), *(none.alias(c) for c in ("distance", "overlap", "score"))).where("false")
@@ -146,10 +153,13 @@ def infer(molecules: DataFrame, observations: DataFrame, weights: DataFrame, con
     if members.isEmpty():
         return Inference("NO_SUPPORTED_SEEDS", ["NO_SIGNATURE_REACHED_MINIMUM_SUPPORT"], None, nothing())
     candidates = _cut(members.select("architecture", "signature").distinct())
+    alike = _cut(_alike(signed, observations))
+    few, few_observations = (df.join(alike.select(F.col("first").alias("molecule")).distinct(), "molecule", "left_semi") for df in (signed, observations))
     stable = False
     for _ in range(ROUNDS):
         profiles = _cut(member_profiles(members, observations, config))
-        result = _cut(assigned(signed, scores(signed, observations, candidates, profiles, weights), config))
+        judged = assigned(few, scores(few, few_observations, candidates, profiles, weights), config)
+        result = _cut(alike.join(judged.withColumnRenamed("molecule", "first"), "first").drop("first"))
         enough = result.where("status = 'ASSIGNED'").groupBy("architecture").agg(F.count("*").alias("n")).where(F.col("n") >= config.min_architecture_molecules)
         kept = _cut(candidates.join(enough.select("architecture"), "architecture", "left_semi"))
         if kept.isEmpty():
