@@ -5,10 +5,10 @@ import pytest
 from annulus.errors import AnalysisError
 from annulus.sources import lineages, snapshots
 
-TREE = """<?xml version="1.0"?><phylotree>
+TREE = """<?xml version="1.0"?><tree>
 <haplogroup name="root"><haplogroup name="A"><details><poly>73G</poly><poly>263G</poly><poly>523d</poly></details>
   <haplogroup name="A1"><details><poly>73G!</poly><poly>263C</poly><poly>315.1C</poly><poly>523A</poly></details></haplogroup>
-  <haplogroup name="A2"><details><poly>315.XC</poly></details></haplogroup></haplogroup></haplogroup></phylotree>"""
+  <haplogroup name="A2"><details><poly>315.XC</poly></details></haplogroup></haplogroup></haplogroup></tree>"""
 
 
 def test_tree(spark, tmp_path):
