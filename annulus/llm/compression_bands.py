@@ -1,6 +1,9 @@
 """Quality rules by compression bands.
 
-A text is compressed with zstandard, whole and in fixed chunks. Text that
+A text is compressed with zstandard, whole and in fixed chunks. A text that is
+longer than a chunk has full chunks alone: its last one ends with the text and
+may overlap the one before, so that every byte is judged at the same length. A
+shorter text is one chunk, with limits for its length. Text that
 compresses too well for its length repeats itself; text that hardly compresses
 is noise (keys, encoded binary). Short texts compress less, so the limits
 depend on the length. Whole-document limits find documents that are junk
@@ -33,9 +36,21 @@ BANDS = (
     (float("inf"), 1.5, 3.2),
 )
 LEVEL = 3
-CHUNK_BYTES = 4096
-CHUNK_BAND = (1.4, 3.0)
-#: A text is rejected when more than this share of its full chunks is outside the chunk band.
+CHUNK_BYTES = 1024
+#: The same for chunks, fitted likewise with 2 % to spare on either side.
+CHUNK_BANDS = (
+    (256, 0.0, float("inf")),
+    (320, 1.425, 1.655),
+    (384, 1.35, 1.695),
+    (448, 1.395, 1.875),
+    (512, 1.38, 1.86),
+    (640, 1.435, 1.84),
+    (768, 1.44, 1.935),
+    (896, 1.575, 1.975),
+    (1023, 1.65, 2.01),
+    (1024, 1.62, 2.055),
+)
+#: A text is rejected when more than this share of its chunks is outside the chunk's band.
 MAX_BAD_CHUNKS = 0.25
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -64,6 +79,12 @@ def _repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _chunks(raw: bytes) -> list[bytes]:
+    """The text's fixed chunks; the last one ends with it."""
+    whole = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    return whole + [raw[-CHUNK_BYTES:]] if len(raw) % CHUNK_BYTES else whole
+
+
 def measure(text: str | None, compressor, bands=BANDS) -> tuple:
     """The values of MEASURES for one text."""
     text = text or ""
@@ -76,10 +97,9 @@ def measure(text: str | None, compressor, bands=BANDS) -> tuple:
     repeats = _repeat_words(words)
     ratio = len(raw) / len(compressor.compress(raw)) if raw else 0.0
     low, high = next((a, b) for most, a, b in bands if len(raw) <= most)
-    chunks = range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)
-    bad = sum(
-        not CHUNK_BAND[0] <= CHUNK_BYTES / len(compressor.compress(raw[i : i + CHUNK_BYTES])) <= CHUNK_BAND[1] for i in chunks
-    )
+    chunks = _chunks(raw)
+    least, most = next((a, b) for size, a, b in CHUNK_BANDS if min(len(raw), CHUNK_BYTES) <= size)
+    bad = sum(not least <= len(x) / len(compressor.compress(x)) <= most for x in chunks)
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
     kept = not failed and low <= ratio <= high and bad <= MAX_BAD_CHUNKS * len(chunks)
     return n, word_chars, symbols, len(lines) - len(set(lines)), repeats, ratio, len(chunks), bad, failed, kept
