@@ -23,16 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: (up to so many bytes, smallest ratio, largest ratio); fitted on documents labelled as good, with about 5 % to spare.
+#: (up to so many bytes, smallest ratio, largest ratio); fitted on documents labelled as good, with about 5 % to spare on
+#: either side. No good document that passes the base rules has up to 256 bytes or more than 65536: there the limits are none, or loose.
 BANDS = (
     (256, 0.0, float("inf")),
-    (512, 1.15, 2.0),
-    (1024, 1.25, 2.1),
-    (2048, 1.35, 2.25),
-    (4096, 1.45, 2.33),
-    (8192, 1.5, 2.42),
-    (16384, 1.5, 2.52),
-    (65536, 1.5, 2.65),
+    (512, 1.31, 2.0),
+    (1024, 1.39, 2.1),
+    (2048, 1.635, 2.25),
+    (4096, 1.82, 2.33),
+    (8192, 2.01, 2.42),
+    (16384, 2.1, 2.52),
+    (65536, 2.215, 2.65),
     (float("inf"), 1.5, 3.2),
 )
 LEVEL = 3

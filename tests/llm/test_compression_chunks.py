@@ -25,3 +25,13 @@ def test_junk_in_a_short_texts_tail_is_rejected():
     low, high = next((a, b) for most, a, b in compression_bands.BANDS if len(prose + table) + 1 <= most)
     assert good[-1] and not bad[-2] and low <= bad[5] <= high  # neither the base rules nor the whole text tell
     assert not bad[-1] and bad[7] > 0
+
+
+def test_whole_texts_between_noise_and_prose_are_rejected(monkeypatch):
+    """Prose with a part of noise, at a ratio above the old lower limit for its length (1.45)."""
+    monkeypatch.setattr(compression_bands, "MAX_BAD_CHUNKS", 1.0)  # the whole-text limits alone
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(9)) for _ in range(90))
+    got = compression_bands.measure(" ".join(rng.choice(words) for _ in range(400)) + " " + noise, zstandard.ZstdCompressor(level=3))
+    assert 1.45 < got[5] < 1.82 and not got[-2] and not got[-1]
