@@ -17,7 +17,7 @@ from annulus.config import Config
 from annulus.errors import AnalysisError
 from annulus.functions import stats
 from annulus.operators.evidence import CALLABLE, event_profile
-from annulus.operators.graph import _cut
+from annulus.operators.shared import written
 
 ROUNDS = 8
 #: An event's weight by how its type begins; other types weigh 1.
@@ -26,6 +26,10 @@ WEIGHTS = {"COMPLEX_SV_PATH": 3.0, "SV_": 2.0, "SMALL_": 1.5}
 MISSING_PENALTY = 0.25
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return written(df, "architectures")
+
+
 @dataclass
 class Inference:
     status: str
