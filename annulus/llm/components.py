@@ -1,50 +1,5 @@
-"""Connected components by alternating large and small stars.
+"""Connected components for the corpus operators: the library's star contraction, under one name."""
 
-Each round moves every edge towards the smallest node it knows. Minima are
-plain aggregates, so a hub with a third of all edges is combined before the
-shuffle; the joins back are sort-merge joins that AQE splits when skewed.
-Every round is a table in the shared folder: a lost executor repeats one
-round, not the history.
-"""
+from annulus.operators.graph import edge_components as components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from annulus.llm.workspace import dropped, written
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows (node, component) for every node that has an edge; component is its smallest node.
-
-    Self loops and repeated edges are allowed; null ends are dropped; no
-    edges give no rows.
-    """
-    now = written(
-        edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges"
-    )
-    seen = None
-    while True:
-        digest = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if digest == seen or not digest[0]:
-            break
-        seen = digest
-        after = written(_small_star(_large_star(now)).where("a <> b").distinct(), "edges")
-        dropped(now)
-        now = after
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+__all__ = ["components"]

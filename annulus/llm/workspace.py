@@ -1,42 +1,13 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables of the corpus operators: the library's, under one name, and documents with a row number."""
 
-`spark.checkpoint.dir` names it on a cluster; only where a session has none
-(tests, one machine) a temporary folder is made for it.
-"""
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from __future__ import annotations
+from annulus.operators.shared import dropped, free_name, new_path, shared_dir, written
 
-import tempfile
-import uuid
+__all__ = ["dropped", "free_name", "keyed", "new_path", "shared_dir", "written"]
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="annulus-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/annulus-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by `written` that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/annulus-" in name and name.split("/annulus-")[0].endswith(root.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc): the documents with a row number that stays the same however often they are read."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "documents", "zstd")
