@@ -4,12 +4,14 @@ Most of a corpus is made of words seen before. With a byte-level BPE whose
 pre-tokenizer keeps the space in front of a word, a text may be cut at every
 single space between two characters that are not white space: neither the
 pre-tokenizer's pattern nor the merges cross such a place. So a text is split
-there, and each distinct piece is encoded once per worker. Most pieces are a
-word with a mark behind it, perhaps over a line's end: their parts go straight
-to the library's model, as the pre-tokenizer would send them; any other piece
-goes through the whole library. A text with other white space next to a space,
-and every text of another kind of tokenizer, goes to the library whole. All ways
-give the same ids.
+there, and each distinct piece is encoded once per worker. Most pieces are words,
+numbers and marks, perhaps over a line's end: their parts go straight to the
+library's model, as the pre-tokenizer would send them; any other piece goes
+through the whole library. A text with other white space next to a space, and
+every text of another kind of tokenizer, goes to the library whole. The strings
+of added tokens (such as an end-of-text mark) are tokens wherever they stand in
+a text, as the library has it; what is between them is encoded as above. All
+ways give the same ids.
 """
 
 from __future__ import annotations
@@ -20,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces kept per worker, a bound on memory only: a full table is emptied.
-CACHE_PIECES = 1_000_000
+#: Pieces of a table's generation, a bound on memory only: a full one becomes the old one, whose pieces move up when met.
+CACHE_PIECES = 700_000
 #: Characters encoded between two looks at the tables' sizes.
 SLICE_CHARS = 1 << 20
 
-_MARKS = frozenset(".,;:!?)]}\"")
-_WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)"
-_MARK = "([.,;:!?)\\]}\"]*)"
-#: Word, marks, and perhaps a line's end with the same again: each group is a token of the pre-tokenizer's pattern.
-_PLAIN = re.compile(f"{_WORD}{_MARK}(?:\n{_WORD}{_MARK})?")
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+#: All ASCII marks but the apostrophe, with which the pre-tokenizer has special cases.
+_MARK = "!-&(-/:-@\\[-`{-~"
+#: A piece of words, numbers, marks and single line ends between them, and the tokens that the pre-tokenizer's pattern makes of it.
+_PLAIN = re.compile(f"[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*")
+_PARTS = re.compile(f"[{_LETTER}]+|[0-9]+|[{_MARK}]+|\n")
 
 
 class _Unsafe(Exception):
@@ -49,40 +52,57 @@ def _letters(text: str) -> str:
     return text.encode().decode("latin-1").translate(_LETTERS)
 
 
-class _Bare(dict):
+class _Table(dict):
+    """Ids by key, in two generations: `old` is looked at when a key isn't found."""
+
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
+
+    def aged(self, encoder: Encoder) -> _Table:
+        """This table, or where it is full a new one that has it as the old one."""
+        if len(self) <= CACHE_PIECES:
+            return self
+        new, self.old = type(self)(encoder), {}
+        new.old = self
+        return new
+
+
+class _Bare(_Table):
     """Ids of tokens of the pre-tokenizer without a space in front, by the model alone."""
 
     def __init__(self, encoder: Encoder):
+        super().__init__()
         self.tokenize, self.raw = encoder.tokenizer.model.tokenize, encoder.raw
 
     def __missing__(self, token: str) -> bytes:
-        raw = self.raw
-        self[token] = ids = b"".join([raw[t.id] for t in self.tokenize(_letters(token))])
+        if (ids := self.old.get(token)) is None:
+            raw = self.raw
+            ids = b"".join([raw[t.id] for t in self.tokenize(token if token.isascii() and token != "\n" else _letters(token))])
+        self[token] = ids
         return ids
 
 
-class _Pieces(dict):
+class _Pieces(_Table):
     """Ids of pieces with the space in front of them; a word is a piece, too."""
 
     def __init__(self, encoder: Encoder):
+        super().__init__()
         self.tokenize, self.raw = encoder.tokenizer.model.tokenize, encoder.raw
         self.bare, self.whole, self.space = encoder.bare, encoder.whole, _letters(" ")
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0180"):
+        if (ids := self.old.get(piece)) is not None:
+            pass
+        elif piece.isalpha() and (piece.isascii() or max(piece) < "\u0180"):
             raw, letters = self.raw, self.space + (piece if piece.isascii() else _letters(piece))
             ids = b"".join([raw[t.id] for t in self.tokenize(letters)])
-        elif piece[-1:] in _MARKS and (word := piece[:-1]).isalpha() and (word.isascii() or max(word) < "\u0180"):
-            ids = self[word] + self.bare[piece[-1]]
-        elif m := _PLAIN.fullmatch(piece):
-            word, mark, line, mark2 = m.groups()
-            ids = self[word]
-            if mark:
-                ids += self.bare[mark]
-            if line:
-                ids += self.bare["\n"] + self.bare[line]
-            if mark2:
-                ids += self.bare[mark2]
+        elif _PLAIN.fullmatch(piece):
+            head, *parts = _PARTS.findall(piece)
+            if parts:
+                ids = self[head] + b"".join(map(self.bare.__getitem__, parts))
+            else:  # a number, or marks
+                raw = self.raw
+                ids = b"".join([raw[t.id] for t in self.tokenize(self.space + head)])
         elif not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Unsafe
         else:
@@ -96,7 +116,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         spec = json.loads(self.tokenizer.to_str())
@@ -108,7 +127,12 @@ class Encoder:
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex") is True
             and pre.get("add_prefix_space") is False
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", ()))
         )
+        # Of several added tokens at one place, the longest is taken.
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if longest else None
         self.raw = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
         self.bare = _Bare(self)
         self.pieces = _Pieces(self)
@@ -120,6 +144,13 @@ class Encoder:
     def _one(self, text: str) -> bytes:
         if not text or not self.cuttable:
             return self.whole(text) if text else b""
+        if any(map(text.__contains__, self.added)):
+            parts = self.cut_added(text)  # texts and added tokens in turn
+            return b"".join(self.raw[self.added[x]] if k % 2 else self._between(x) for k, x in enumerate(parts))
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without the strings of added tokens."""
         head, *rest = text.split(" ")
         try:
             if rest and head and head[-1].isspace():
@@ -139,9 +170,11 @@ class Encoder:
             size += len(text or "")
             if size >= SLICE_CHARS:
                 size = 0
-                for table in (self.pieces, self.bare, self.first):
-                    if len(table) > CACHE_PIECES:
-                        table.clear()
+                self.bare = self.bare.aged(self)
+                self.pieces = self.pieces.aged(self)
+                self.pieces.bare = self.bare
+                if len(self.first) > CACHE_PIECES:
+                    self.first.clear()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for raw in self.encode_raw(texts):
