@@ -4,22 +4,25 @@ A rolling hash over the last ids of a stream decides where it is cut, so equal
 passages give equal chunks wherever they stand. A chunk's address is its
 BLAKE2b digest. The store is a folder:
 
-  chunks/    address, n_ids, ids      each distinct chunk once
-  recipes/   part, doc_id, row, n_tokens, start, chunks, root
-             in ascending order of doc_id; chunks: 24 bytes for each chunk, its
-             address and how many ids follow it (8 bytes, big-endian); root: Merkle root over the addresses
+  raw/       each distinct chunk once (recipe=false: key, its address; n, its ids; data), and the recipes as first written
+  recipes/   part, place, doc_id, row, n_tokens, start, chunks, root
+             in ascending order of doc_id; chunks: 24 bytes for each chunk, its address and how many ids follow it
+             (8 bytes, big-endian); root: Merkle root over these entries, with doc_id and n_tokens
   manifest/  part, n_docs, n_tokens, start, root   a Merkle root over the part's document roots
 
 Ids are little-endian unsigned integers of 16 bits if the vocabulary allows, else of 32.
 
 Writing shuffles each chunk's ids once: every task sends a chunk it has met
-before only by address. Reading checks each chunk against its address and each
-recipe and part against its root; a document's checksum is put together from
-its chunks' checksums, so ids aren't shuffled again.
+before only by address. Reading checks each chunk against its address and the
+sizes that the recipes state, and each recipe and part against its root; a
+document's checksum is put together from its chunks' checksums, so ids aren't
+shuffled again.
 
 A null text counts as empty; each document ends with the end id. Documents with
-the same doc_id, or none (first), are kept apart by `row`. An empty table gives
-an empty store.
+the same doc_id, or none (first), are kept apart by `row`. A very long text is
+one row of the input and of the encoding, in the store it is chunks and a recipe
+of 24 bytes each. An empty table gives an empty store. Only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annulus.llm.workspace import new_path, written
+from annulus.llm.workspace import new_path
 
 MIN_IDS, MAX_IDS, MASK_BITS, WINDOW = 64, 2048, 8, 8
 ADDRESS = 16
@@ -94,6 +97,13 @@ def address(raw: bytes) -> bytes:
     return blake2b(raw, digest_size=ADDRESS).digest()
 
 
+def document_root(doc_id: int | None, n_tokens: int, entries: bytes) -> bytes:
+    """Root of a document: over its recipe's entries, named with its doc_id and length."""
+    step = ADDRESS + 8
+    own = b"\0" if doc_id is None else doc_id.to_bytes(8, "big", signed=True)
+    return address(b"\2" + n_tokens.to_bytes(8, "big") + merkle_root([entries[i : i + step] for i in range(0, len(entries), step)]) + own)
+
+
 def merkle_root(leaves) -> bytes:
     """Root over any number of leaves, from a stack as high as the tree; without leaves, the address of nothing."""
     stack: list[tuple[int, bytes]] = []
@@ -138,11 +148,10 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 lengths = [len(raw) // width for raw in raws]
                 cuts = _cuts(lengths, _candidates(np.frombuffer(b"".join(raws), enc.dtype)))
                 for doc_, raw_, n, ends in zip(docs_, raws, lengths, cuts):
-                    last, recipe, leaves = 0, [], []
+                    last, recipe = 0, []
                     for e in ends:
                         chunk = raw_[last * width : e * width]
                         key = address(chunk)
-                        leaves.append(key)
                         recipe.append(key + (n - e).to_bytes(8, "big"))
                         if key not in seen:
                             seen.add(key)
@@ -150,7 +159,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                                 column.append(x)
                             size += len(chunk)
                         last = e
-                    told = (True, b"%d:%d" % (part, row), doc_, n, b"".join(recipe), merkle_root(leaves))
+                    entries = b"".join(recipe)
+                    told = (True, b"%d:%d" % (part, row), doc_, n, entries, document_root(doc_, n, entries))
                     for column, x in zip(columns, told):
                         column.append(x)
                     row += 1
@@ -180,19 +190,30 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         .select("doc_id", F.col("key").cast("string").alias("row"), F.col("n").alias("n_tokens"), F.col("data").alias("chunks"), "root")
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("row"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
-        .withColumn("part", F.spark_partition_id())
     )
-    placed = written(ordered.withColumn("place", F.monotonically_increasing_id()), "recipes")
-    running = Window.partitionBy("part").orderBy("place")
-    placed = placed.withColumn("start", F.sum("n_tokens").over(running) - F.col("n_tokens"))
-    placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    # One pass over the sorted rows: each file is a part, with its own places and starts.
+    ordered.mapInArrow(_placed, "doc_id long, row string, n_tokens long, chunks binary, root binary, part int, place long, start long").write.option(
+        "compression", "zstd"
+    ).parquet(f"{path}/recipes")
 
-    recipes = spark.read.parquet(f"{path}/recipes")
-    parts = part_roots(recipes)
+    parts = part_roots(spark.read.parquet(f"{path}/recipes"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
 
 
+def _placed(batches):
+    """The rows of one part with part, place (from 0) and start (ids before, in this part)."""
+    from pyspark import TaskContext
+
+    part, place, ids = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n, lengths = batch.num_rows, batch.column(2).to_numpy()
+        ends = ids + np.cumsum(lengths)
+        added = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), pa.array(ends - lengths)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "part", "place", "start"])
+        place, ids = place + n, int(ends[-1]) if n else ids
+
+
 def part_roots(recipes: DataFrame) -> DataFrame:
     """part, n_docs, n_tokens, root: recomputed from the recipes, each part's in its order."""
 
@@ -234,7 +255,7 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checked_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """address, crc (of the ids as 32-bit integers), sound."""
+    """address, size, crc (of the ids as 32-bit integers), sound."""
 
     def checked(batches):
         for batch in batches:
@@ -249,9 +270,10 @@ def _checked_chunks(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(zlib.crc32(wide[last : last + 4 * n]))
                 last += 4 * n
                 sound.append(address(raw) == key)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(crcs, pa.int64()), pa.array(sound, pa.bool_())], ["address", "crc", "sound"])
+            columns = [keys, batch.column(1), pa.array(crcs, pa.int64()), pa.array(sound, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["address", "size", "crc", "sound"])
 
-    return _chunks(spark, path).mapInArrow(checked, "address binary, crc long, sound boolean")
+    return _chunks(spark, path).mapInArrow(checked, "address binary, size long, crc long, sound boolean")
 
 
 def _powers() -> np.ndarray:
@@ -287,31 +309,39 @@ def shifted_crc(crc: np.ndarray, after: np.ndarray, powers: np.ndarray) -> np.nd
     return crc
 
 
-def _entries(recipes: DataFrame) -> DataFrame:
-    """row, address, after (ids that follow it): one row for each chunk of each recipe."""
-    step = ADDRESS + 8
-    starts = F.sequence(F.lit(0), F.octet_length("chunks") - step, F.lit(step))
-    part = lambda at, size: F.substring(F.col("chunks"), F.col("at") + at + 1, F.lit(size))
-    return recipes.select("row", "chunks", F.explode(starts).alias("at")).select(
-        "row", part(0, ADDRESS).alias("address"), F.conv(F.hex(part(ADDRESS, 8)), 16, 10).cast("long").alias("after")
-    )
+ENTRY = "row string, address binary, after long, n_ids long, whole boolean"
 
 
-def checked_recipes(recipes: DataFrame) -> DataFrame:
-    """part, row, whole (its root fits its addresses, and its chunks' sizes its length)."""
+def _entries(recipes: DataFrame) -> DataFrame:
+    """ENTRY: one row for each chunk of each recipe; n_ids is its size by the recipe, whole tells whether the recipe fits its root."""
+    step = ADDRESS + 8
 
-    def checked(batches):
-        step = ADDRESS + 8
+    def entries(batches):
         for batch in batches:
-            whole = []
-            for n, data, root in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                keys = [data[i : i + ADDRESS] for i in range(0, len(data), step)]
-                after = [int.from_bytes(data[i + ADDRESS : i + step], "big") for i in range(0, len(data), step)]
-                falls = all(a > b for a, b in zip([n, *after], after))
-                whole.append(falls and after[-1] == 0 and merkle_root(keys) == root)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.bool_())], ["part", "row", "whole"])
+            lists, lengths = batch.column(3).to_pylist(), batch.column(2).to_numpy()
+            whole = [
+                document_root(doc, n, data) == root
+                for doc, n, data, root in zip(batch.column(1).to_pylist(), lengths.tolist(), lists, batch.column(4).to_pylist())
+            ]
+            lists = [x if x and len(x) % step == 0 else bytes(step) for x in lists]  # a damaged one names a chunk that isn't there
+            counts = np.array([len(x) // step for x in lists], np.int64)
+            table = np.frombuffer(b"".join(lists), np.uint8).reshape(-1, step)
+            after = table[:, ADDRESS:].copy().view(">i8").reshape(-1).astype(np.int64)
+            before = np.empty_like(after)  # ids from a chunk's start on
+            before[1:] = after[:-1]
+            ends = np.cumsum(counts)
+            before[ends - counts] = lengths
+            at = np.repeat(np.arange(len(lists)), counts)
+            falls = np.logical_and.reduceat((before > after) & (after >= 0), ends - counts) if len(after) else np.zeros(0, bool)
+            sound = np.array(whole, bool) & falls & (after[ends - 1] == 0) if len(after) else np.zeros(0, bool)
+            places = np.arange(0, ADDRESS * len(after) + 1, ADDRESS, dtype=np.int32)
+            keys = pa.Array.from_buffers(
+                pa.binary(), len(after), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(table[:, :ADDRESS]))]
+            )
+            columns = [batch.column(0).take(pa.array(at)), keys, pa.array(after), pa.array(before - after), pa.array(sound[at])]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "address", "after", "n_ids", "whole"])
 
-    return recipes.select("part", "row", "n_tokens", "chunks", "root").mapInArrow(checked, "part int, row string, whole boolean")
+    return recipes.select("row", "doc_id", "n_tokens", "chunks", "root").mapInArrow(entries, ENTRY)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -330,31 +360,33 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             got = shifted_crc(crc, batch.column(2).to_numpy(zero_copy_only=False), powers)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.astype("int64")), batch.column(3)], ["row", "crc", "ok"])
 
+    # An entry fits if its chunk is there, sound, and as long as the recipe says.
+    fits = F.coalesce(F.col("sound") & (F.col("n_ids") == F.col("size")), F.lit(False))
     sums = (
         _entries(recipes)
         .join(_checked_chunks(spark, path), "address", "left")
-        .select("row", F.coalesce("crc", F.lit(0)).cast("long").alias("crc"), "after", F.coalesce("sound", F.lit(False)).alias("ok"))
+        .select("row", F.coalesce("crc", F.lit(0)).cast("long").alias("crc"), "after", (F.col("whole") & fits).alias("ok"))
         .mapInArrow(moved, "row string, crc long, ok boolean")
         .groupBy("row")
         .agg(F.bit_xor("crc").alias("ids_crc32"), F.bool_and("ok").alias("ok"))
     )
-    whole = checked_recipes(recipes).select("row", "whole")
-    again = part_roots(recipes).select("part", F.col("root").alias("root_again"))
+    again = part_roots(recipes).select("part", F.col("root").alias("root_again"), F.col("n_tokens").alias("n_again"))
     parts = manifest.join(again, "part", "left").select(
-        "part", F.col("start").alias("part_start"), F.col("root").eqNullSafe(F.col("root_again")).alias("part_ok")
+        "part",
+        F.col("start").alias("part_start"),
+        (F.col("root").eqNullSafe(F.col("root_again")) & F.col("n_tokens").eqNullSafe(F.col("n_again"))).alias("part_ok"),
     )
     return (
         recipes.select("part", "doc_id", "row", "start", "n_tokens")
         .join(parts, "part")
         .join(sums, "row")
-        .join(whole, "row")
         .select(
             "doc_id",
             "row",
             (F.col("start") + F.col("part_start")).alias("start"),
             "n_tokens",
             "ids_crc32",
-            (F.col("ok") & F.col("whole") & F.col("part_ok")).alias("verified"),
+            (F.col("ok") & F.col("part_ok")).alias("verified"),
         )
     )
 
@@ -366,7 +398,7 @@ def read_ids(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     task's memory can still be read in order.
     """
     wanted = spark.read.parquet(f"{path}/recipes").join(rows.select("row").distinct(), "row", "left_semi")
-    entries = _entries(wanted)
+    entries = _entries(wanted).select("row", "address", "after")
     order = Window.partitionBy("row").orderBy(F.desc("after"))
     return (
         entries.withColumn("place", F.row_number().over(order) - 1)
