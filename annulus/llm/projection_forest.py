@@ -19,9 +19,11 @@ with TREES trees almost none is lost; measured recall is in the README.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and
 rows without label or vec_id, link with nothing; nor do vectors of different
-lengths. vec_id names a vector: rows that share it are one node of a component.
-Repeated rows link with each other. An empty table gives no rows. Only vec_id,
-embedding and label are read.
+lengths. Every row is a vector of its own: repeated rows link with each other,
+and rows that share a vec_id but not the vector link only if their vectors do. A
+component is named by the smallest vec_id of its rows. A very long vector is one
+row of its block. An empty table gives no rows. Only vec_id, embedding and label
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -242,14 +244,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     sound = F.coalesce(finite & F.exists(x, lambda e: e != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", x.alias("v"), sound.alias("sound"))
-    nodes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    nodes = written(nodes, "nodes")
+    nodes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")  # a vec_id may stand for several nodes
     leaves = written(forest_leaves(nodes.select("id", "label", "v"), threshold, trees, leaf, seed), "leaves")
     found = written(compared(nodes.select("id", "v", "weight"), leaves, threshold), "found")
     links = found.groupBy("id").agg(F.sum("n_links").alias("others"))
     parts = components(found.select("id", "least"), "id", "least").withColumnRenamed("node", "id")
-    answers = nodes.join(links, "id", "left").join(parts, "id", "left").select(
-        "label", "v", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("part")
+    parts = written(nodes.select("id", "least").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "parts")
+    names = written(parts.groupBy("component").agg(F.min("least").alias("part")), "names")
+    answers = nodes.select("id", "label", "v", "weight").join(links, "id", "left").join(parts.select("id", "component").join(names, "component"), "id").select(
+        "label", "v", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("links"), "part"
     )
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     member = rows.where("sound").join(answers, ["label", "v"]).select("vec_id", F.col("links").alias("n_links"), F.col("part").alias("component_id"))
