@@ -8,14 +8,17 @@ are byte 1-, 2- and 3-grams of the lower-cased letters, hashed, as square roots
 of their shares.
 
 The machines are fitted on at most TRAIN_PER_LANG documents of each language,
-those with the smallest hash of doc_id; prediction reads every text whole and
-nothing else. Fitting takes bounded memory on the driver: a sparse vector of at
-most DIMS entries for each training document.
+those with the smallest hash of doc_id and text; prediction reads every text
+whole and nothing else. Repeated rows count once in the sample, and it is cut to
+TRAIN_PER_LANG before anything goes to the driver, which then holds a row of DIMS
+numbers for each training document.
 
 Null texts and texts without a letter are `und` with score 0, and so is every
 text if nothing can be learned (no labelled rows, an empty table). Rows without
-lang or doc_id are predicted but not learned from. Repeated rows get equal
-predictions. Only doc_id, text and lang are read.
+lang or doc_id are predicted but not learned from. Rows that share a doc_id are
+drawn for the sample each by its own text; repeated rows get equal predictions. A
+very long text is one vector like any other. Only doc_id, text and lang are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annulus.llm.workspace import written
+
 DIMS = 1 << 13
 TRAIN_PER_LANG = 400
 HELD_OUT_OF = 5
@@ -134,14 +139,16 @@ class Model:
 
 def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int))
-    names = sorted(counts)
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("place")
+    placed = known.select("lang", "text", place)
+    # Distinct places, so that copies of one row neither fill the sample nor decide on the share that is drawn.
+    counts = written(placed.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")), "languages")
     # A share that holds per_lang documents with near certainty; the excess goes below.
-    share = F.create_map(*(F.lit(x) for n in names for x in (n, min(1.0, (1.15 * per_lang + 40) / counts[n]))))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)).alias("place")
-    sample = known.select("lang", "text", place).where(F.col("place") < F.element_at(share, F.col("lang")) * (1 << 30))
+    share = F.least(F.lit(1.0), (1.15 * per_lang + 40) / F.col("n"))
+    drawn = placed.join(counts, "lang").where(F.col("place") < share * (1 << 30))
+    once = drawn.groupBy("lang", "place").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("place")  # about 1.2 * per_lang rows of each language
+    sample = once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("lang", "text", "place")
 
     def vectors(batches):
         for batch in batches:
@@ -157,13 +164,8 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
             yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "at", "value"])
 
     rows = sample.mapInArrow(vectors, "lang string, place long, at binary, value binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["place"], r["at"], r["value"]))
-    taken, used = [], {}
-    for r in rows:
-        used[r["lang"]] = used.get(r["lang"], 0) + 1
-        if used[r["lang"]] <= per_lang:
-            taken.append(r)
-    names = sorted(used)
+    taken = sorted(rows, key=lambda r: (r["lang"], r["place"]))
+    names = sorted({r["lang"] for r in taken})
     x = np.zeros((len(taken), DIMS), np.float32)
     for i, r in enumerate(taken):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f4")
