@@ -2,16 +2,18 @@
 
 A source's rate is its mean number of repetitions: the budget times its target
 weight over its present size. Each document draws its count by inverting the
-Poisson distribution of its source's rate at a point given by a hash of seed and
-doc_id, is exploded by this count, and all copies are shuffled globally by
-another hash. Expected sizes are exact; a count depends on no other row, so
+Poisson distribution of its source's rate at a point given by a hash of seed,
+doc_id and text, is exploded by this count, and all copies are shuffled globally
+by another hash. Expected sizes are exact; a count depends on no other row, so
 retried tasks repeat it.
 
-Nulls: documents without source form a source of their own; a null text has size
-0; rows without doc_id draw from the hash of the empty text. Rows that share a
-doc_id draw the same count. A source whose texts are all empty has no size to
-scale: rate 1. Sources without a target weight get weight 0; an empty table
-gives no rows. Columns named as the added ones are replaced.
+Nulls: documents without source form a source of their own; a null text counts as
+empty, with size 0; rows without doc_id draw by their texts. Rows that share a
+doc_id but not the text draw each for itself; rows equal in both draw the same
+count. A source whose texts are all empty has no size to scale: rate 1. Sources
+without a target weight get weight 0; a very long text is one row like any other;
+an empty table gives no rows. Columns named as the added ones are replaced, other
+names don't matter.
 """
 
 from __future__ import annotations
@@ -19,13 +21,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annulus.llm.workspace import written
+from annulus.llm.workspace import free_name, written
 
 SEED = 11
 #: Without target weights a source's weight is its size to this power: small sources repeat, large ones thin out.
 TEMPERATURE = 0.7
 
 
+def _name():
+    """What a document's draws are made of: doc_id and a digest of the text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def _point(*parts):
     """A point in [0, 1) from 52 bits of an MD5 digest."""
     digest = F.md5(F.concat_ws(":", *parts).cast("binary"))
@@ -64,12 +71,12 @@ def repetitions(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """The rows of `docs` with rate and n_copies."""
     table = rates(docs.select("source", "text"), weights, budget)
     # Written first, so that its size is known when the join is planned: a row for each source.
-    table = written(table.select(F.col("source").alias("_source"), "rate", _cdf(F.col("rate")).alias("_cdf")), "rates")
     own = docs.drop("rate", "n_copies")
-    joined = own.join(table, F.col("source").eqNullSafe(F.col("_source")))
-    point = _point(F.lit(f"{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    joined = joined.withColumn("_point", point)
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_point"))).cast("long")
+    source, cdf, point = (free_name(own, x) for x in ("_source", "_cdf", "_point"))
+    table = written(table.select(F.col("source").alias(source), "rate", _cdf(F.col("rate")).alias(cdf)), "rates")
+    joined = own.join(table, F.col("source").eqNullSafe(F.col(source)))
+    joined = joined.withColumn(point, _point(F.lit(f"{seed}"), _name()))
+    count = F.size(F.filter(cdf, lambda c: c <= F.col(point))).cast("long")
     return joined.withColumn("n_copies", count).select(*own.columns, "rate", "n_copies")
 
 
@@ -81,6 +88,5 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, budget:
     """
     drawn = repetitions(docs.drop("copy", "shuffle_key"), weights, budget, seed)
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), name, F.col("copy").cast("string")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), _name(), F.col("copy").cast("string")).cast("binary"))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

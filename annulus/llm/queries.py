@@ -150,7 +150,7 @@ WITH sizes AS (
   FROM sizes
 ), points AS (
   SELECT doc_id, d.source, text, rate,
-         CAST(('0x' || substr(md5('{poisson_mix.SEED}:' || CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / pow(2, 52) AS u
+         CAST(('0x' || substr(md5('{poisson_mix.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) / pow(2, 52) AS u
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 ), steps AS (
   SELECT source, rate, k, exp(-rate + sum(CASE WHEN k = 0 THEN 0 ELSE ln(rate / k) END) OVER (PARTITION BY source ORDER BY k)) AS p
@@ -161,7 +161,7 @@ WITH sizes AS (
   SELECT p.*, CAST(len(list_filter(cs, lambda c: c <= u)) AS BIGINT) AS n_copies FROM points p JOIN cdf ON p.source IS NOT DISTINCT FROM cdf.source
 )
 SELECT doc_id, source, text, round(rate, 9) AS rate, n_copies, copy,
-       md5('order {poisson_mix.SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
+       md5('order {poisson_mix.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
 FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM drawn)
 """
 
