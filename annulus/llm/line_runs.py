@@ -9,22 +9,27 @@ is a copy and goes.
 
 Suffixes are ranked by their first line, then by 2, 4, 8 ... lines: a rank is the
 number of suffixes that sort before, so suffixes that share their first 2^k lines
-form one interval of the suffix array with a longest common prefix of at least
-2^k. Which maximal runs to delete is decided by their smallest parts: for each
-line the shortest run from it, and the shortest run up to it, that has
-min_words words. A line lies in a repeated run exactly if it lies in one of these
-that is repeated, and the run's interval (its first and last 2^k lines fix all
-its lines) names its first place. As every line has a word, no such run has more
+form one interval of the suffix array, with a longest common prefix of at least
+2^k. The interval of those that share n lines, 2^k <= n < 2^(k+1), is named by the
+ranks of their first and their last 2^k lines. For each line, the intervals of the
+shortest run from it, and of the shortest run up to it, that has min_words words
+tell whether the run is repeated and where it stands first. Later copies of such
+shortest runs that overlap or touch are merged, as a running maximum of their
+ends within the row: that gives the maximal repeated runs, which are deleted.
+Nothing else can lie in a repeated run: a line of a longer one also lies in a
+shortest one that is repeated. As every line has a word, no shortest run has more
 than min_words lines: the doubling ends after log2(min_words) rounds whatever
 the length of the copies.
 
-Only lines that occur twice enter the suffix array. Hot lines are counted before
-the shuffle, joins that meet them are sort-merge joins that AQE splits, and
-ranks come from range-sorted distinct keys, never from one task.
+Only lines that occur twice enter the suffix array. Hot lines and runs are counted
+before the shuffle. Counts and first places are written before they are joined
+back: then a small table is broadcast, and in a join of two large ones AQE can
+split a hot key. Ranks come from range-sorted distinct keys, never from one task.
 
-Nulls: a null text has no lines and stays. Repeated rows: the first stays. An
-empty table gives no rows. Clashing names of other columns don't matter, as
-documents are carried in one struct.
+Nulls: a null text has no lines and stays. Repeated rows: the first stays. A very
+long text is one row of the input, in between each line is a row. An empty table
+gives no rows. Clashing names of other columns don't matter, as documents are
+carried in one struct.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annulus.llm.workspace import written
+from annulus.llm.workspace import dropped, keyed, written
 
 MIN_WORDS = 50
 
@@ -52,11 +57,6 @@ def _ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
     return placed.withColumn("rank", F.sum("n").over(here) - F.col("n")).join(sums, "p").select(*columns, (F.col("rank") + F.col("start")).alias("rank"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(row, doc): the documents with a row number that stays the same however often they are read."""
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "documents", "zstd")
-
-
 def _lines(rows: DataFrame) -> DataFrame:
     """row, doc_id, line (its place among the text's lines), pos (among those with a word), a, b (ids), words."""
     line = F.col("x.line")
@@ -82,7 +82,8 @@ def _lines(rows: DataFrame) -> DataFrame:
 def _repeated(lines: DataFrame) -> DataFrame:
     """The lines that occur twice or more, with r0, the rank of their first line's interval."""
     counts = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    return lines.join(_ranked(counts, ["a", "b"]), ["a", "b"]).select("row", "doc_id", "line", "pos", "words", F.col("rank").alias("r0"))
+    ranks = written(_ranked(counts, ["a", "b"]), "ranks")
+    return lines.join(ranks, ["a", "b"]).select("row", "doc_id", "line", "pos", "words", F.col("rank").alias("r0"))
 
 
 def _runs(suffixes: DataFrame, min_words: int) -> DataFrame:
@@ -109,7 +110,7 @@ def _doubled(ranks: DataFrame, k: int) -> DataFrame:
     """row, pos, r: ranks of suffixes by their first 2^(k+1) lines, from those by 2^k; others have no such prefix."""
     second = ranks.select("row", (F.col("pos") - (1 << k)).alias("pos"), F.col("r").alias("s"))
     pairs = written(ranks.join(second, ["row", "pos"]), "pairs")
-    keys = _ranked(pairs.groupBy("r", "s").agg(F.count("*").alias("n")), ["r", "s"])
+    keys = written(_ranked(pairs.groupBy("r", "s").agg(F.count("*").alias("n")), ["r", "s"]), "ranks")
     return pairs.join(keys, ["r", "s"]).select("row", "pos", F.col("rank").alias("r"))
 
 
@@ -132,15 +133,23 @@ def deleted_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         named = written(named.select("row", "doc_id", "pos", "n", "r", "s"), "named")
         key = ["n", "r", "s"]
         place = F.struct(F.col("doc_id"), F.col("row"), F.col("pos"))
-        first = named.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+        first = written(named.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1"), "intervals")
         later = written(named.join(first, key).where(place > F.col("first")).select("row", "pos", "n"), "copies")
+        dropped(named, first)
         copies = later if copies is None else copies.union(later)
         if k < most:
-            ranks = written(_doubled(ranks, k), "suffixes")
+            after = written(_doubled(ranks, k), "suffixes")
+            if k:
+                dropped(ranks)
+            ranks = after
     if copies is None:
         return suffixes.where("false").select("row", "line")
-    covered = copies.select("row", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos")).distinct()
-    return covered.join(suffixes.select("row", "pos", "line"), ["row", "pos"]).select("row", "line")
+    dropped(lines, runs)
+    # Maximal runs: the furthest end of the copies that start at or before a line, as a running maximum within the row.
+    ends = copies.groupBy("row", "pos").agg(F.max(F.col("pos") + F.col("n")).alias("end"))
+    own = suffixes.select("row", "pos", "line").join(written(ends, "runs"), ["row", "pos"], "left")
+    sofar = Window.partitionBy("row").orderBy("pos")
+    return own.withColumn("reach", F.max("end").over(sofar)).where("pos < reach").select("row", "line")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -148,7 +157,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone (whether no line with a word is left of a document that had one), for every document."""
     rows = keyed(docs)
     gone = deleted_lines(rows, min_words).groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("deleted"))
-    joined = rows.join(gone, "row", "left").select(
+    joined = rows.join(written(gone, "deleted"), "row", "left").select(
         "doc", "deleted", F.when(F.col("deleted").isNotNull(), F.split("doc.text", "\n")).alias("lines")
     )
     # What lies between two deleted lines, as slices: linear in the text's lines.
