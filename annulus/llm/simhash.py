@@ -19,7 +19,9 @@ such a group, so no link's connection is lost, and rows stay linear in the list.
 
 Nulls and texts without words have fingerprint 0 and are linked like any other.
 Repeated rows share a fingerprint; an empty table gives no rows. Rows without
-doc_id take part; a component of such rows alone has component_id null.
+doc_id, or that share one, take part each for itself; a component of rows without
+doc_id alone has component_id null. A very long text is hashed in blocks. Only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annulus.llm import minhash
 from annulus.llm.components import components
 from annulus.llm.workspace import written
 
@@ -94,7 +97,8 @@ def linked(distinct: DataFrame, most: int = LIST) -> DataFrame:
         fp,
         F.explode(F.array(*(F.struct(F.lit(k).alias("k"), fp.bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(signed)))).alias("key"),
     ).select("fp", "key.k", "key.v")
-    sizes = postings.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
+    # Counts and minima are written before they are joined back, so that a small table is broadcast and a long list can be split.
+    sizes = written(postings.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     listed = written(postings.join(sizes, ["k", "v"]), "postings")
 
     short = listed.where(F.col("n") <= most)
@@ -113,7 +117,7 @@ def linked(distinct: DataFrame, most: int = LIST) -> DataFrame:
     ]
     around = F.element_at(F.array(*flips), F.col("k") + 1)
     near = listed.where(F.col("n") > most).select("k", "fp", F.explode(around).alias("center"))
-    least = near.groupBy("k", "center").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    least = written(near.groupBy("k", "center").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "least")
     stars = near.join(least, ["k", "center"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.union(stars)
 
@@ -126,13 +130,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) ->
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "component").select("fp", "component_id"), "fp")
+    named = written(named, "named")
+    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    answers = written(named.join(ids, "component").select("fp", "component_id"), "answers")
+    return rows.join(answers, "fp")  # copies of one text are many rows of one side, which a skewed join splits
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its columns; of rows that share this doc_id
-    one stays. Rows without doc_id can't stand for a component: all of them stay."""
-    least = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
-    own = docs.join(least, F.col("doc_id") == F.col("_least"), "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where("doc_id is null"))
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One document of each group of near duplicates by shingles of `width` words and a Jaccard similarity of 0.8.
+
+    At that similarity fingerprints differ in more bits than positional bytes can find, so the pairs come from another
+    search (`minhash`), which decides on the shingle sets; its docstring has the cases."""
+    return minhash.one_of_each(docs, width)

@@ -2,11 +2,11 @@
 
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
-from annulus.llm import components, minhash
+from annulus.llm import components, minhash, workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -16,8 +16,8 @@ def brute_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
 
 
-def brute_components(rows):
-    """The smallest doc_id reachable by pairs of a Jaccard similarity of 0.8, for each row."""
+def brute_groups(rows):
+    """A number for each row: equal for rows that pairs of a Jaccard similarity of 0.8 connect."""
     sets, parent = [brute_set(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
@@ -29,11 +29,16 @@ def brute_components(rows):
         for j, b in enumerate(sets[:i]):
             if a == b or 5 * len(a & b) >= 4 * len(a | b):
                 parent[find(i)] = find(j)
-    least = {}
-    for i, (doc, _) in enumerate(rows):
+    return [find(i) for i in range(len(rows))]
+
+
+def brute_components(rows):
+    """The smallest doc_id reachable, for each row."""
+    groups, least = brute_groups(rows), {}
+    for (doc, _), g in zip(rows, groups):
         if doc is not None:
-            least[find(i)] = min(doc, least.get(find(i), doc))
-    return [least.get(find(i)) for i in range(len(rows))]
+            least[g] = min(doc, least.get(g, doc))
+    return [least.get(g) for g in groups]
 
 
 def edited(rng, words, n):
@@ -69,9 +74,10 @@ def test_groups_are_those_of_all_pairs(spark, rows):
     assert got == Counter((doc, c) for (doc, _), c in zip(rows, brute_components(rows)))
     kept = minhash.one_of_each(frame)
     assert kept.columns == frame.columns
-    want = Counter(doc for doc in {d for (d, _), c in zip(rows, brute_components(rows)) if d is not None and d == c})
-    want[None] = sum(d is None for d, _ in rows)
-    assert Counter(r.doc_id for r in kept.collect()) == want
+    groups = defaultdict(list)
+    for (doc, _), g in zip(rows, brute_groups(rows)):
+        groups[g].append(doc)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(min((d for d in docs if d is not None), default=None) for docs in groups.values())
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
 
 
@@ -83,8 +89,8 @@ def test_members_of_a_long_list_are_compared_with_each_other(spark, most, block_
     for _ in range(8):
         family = edited(rng, common, 9)
         rows += [(len(rows) + i, " ".join(edited(rng, family, 3))) for i in range(9)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    table = minhash.signatures(frame).localCheckpoint()
+    frame = workspace.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    table = workspace.written(minhash.signatures(frame), "signatures")
     edges = minhash.linked(frame, table, most=most, block_nodes=block_nodes)
     found = {r.node: r.component for r in components.components(edges, "a", "b").collect()}
     node = {r.doc_id: r.node for r in table.collect()}

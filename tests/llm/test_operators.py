@@ -65,7 +65,6 @@ def encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -78,7 +77,10 @@ def test_encoder_gives_the_librarys_ids(encode):
 
     rng = random.Random(1)
     pieces = ["a", "the", "don't", "'s", " ", "  ", "\n", "\t", "é", "日本", "12", "...", "　", "\x85", "\x1c", "<|endoftext|>", ",\nB"]
-    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    pieces += ["<|endoftext", "|>", "X###", "=", "a1b2", "§", "ß!?", "'", "1.5", "\n\n", "--", "½", "²", "ª"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|> ", "<|endoftext|>\n", "x" * 100_000 + "<|endoftext|>y z", "<|endoftext<|endoftext|>|>"]
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
     for text, ids in zip(texts, Encoder(queries.tokenizer_path()).encode(texts)):
         assert ids.tolist() == encode(text), repr(text)
 
@@ -124,14 +126,29 @@ def test_chunk_store_round_trip(spark, docs, none, encode):
     assert chunk_store.read_digests(spark, empty).count() == 0
 
 
-def test_chunk_store_notices_damage(spark, docs):
+@pytest.mark.parametrize("damage", ["chunk", "size", "recipe", "length", "order", "lost chunk"])
+def test_chunk_store_notices_damage(spark, docs, damage):
     path = chunk_store.store_path(spark)
     chunk_store.write_store(docs, path, queries.tokenizer_path())
-    raw = f"{path}/raw/recipe=false"
-    bad = spark.read.parquet(raw).withColumn("data", F.when(F.col("n") == 64, F.overlay("data", F.lit(b"zz"), 1)).otherwise(F.col("data")))
-    kept = spark.createDataFrame(bad.collect(), bad.schema)
-    kept.write.mode("overwrite").parquet(raw)
-    assert {r.verified for r in chunk_store.read_digests(spark, path).collect()} >= {False} or not bad.where("n = 64").count()
+    where = f"{path}/raw/recipe=false" if "chunk" in damage or damage == "size" else f"{path}/recipes"
+    table = spark.read.parquet(where)
+    rows = [r.asDict() for r in table.collect()]
+    hit = max(range(len(rows)), key=lambda i: rows[i].get("n") or rows[i].get("n_tokens"))
+    if damage == "chunk":
+        rows[hit]["data"] = bytes(rows[hit]["data"][:-2]) + b"zz"
+    elif damage == "size":
+        rows[hit]["n"] -= 1
+    elif damage == "lost chunk":
+        del rows[hit]
+    elif damage == "recipe":
+        rows[hit]["chunks"] = bytes(rows[hit]["chunks"][24:])
+    elif damage == "length":
+        rows[hit]["n_tokens"] += 1
+    elif damage == "order":
+        rows = [r | {"place": -r["place"]} for r in rows]
+    spark.createDataFrame(rows, table.schema).coalesce(1).write.mode("overwrite").parquet(where)
+    got = chunk_store.read_digests(spark, path).collect()
+    assert len(got) == len(ODD) and not all(r.verified for r in got)
 
 
 def test_cut_points_follow_content():
@@ -433,6 +450,15 @@ def test_packing(docs, none, encode):
     for doc, parts in pieces.items():
         want = [s for (d, s), n in streams.items() if d == doc for _ in range(n)]
         assert sum(len(p[2]) for p in parts) == sum(map(len, want))
+        if len(want) > 1:  # rows that share a doc_id: their pieces make up their streams
+            left = Counter(want)
+            found = Counter()
+            for start, n, ids in parts:
+                found[n, start, start + len(ids)] += 1
+                assert any(tuple(ids) == s[start : start + len(ids)] and n == len(s) for s in left)
+            for s, n in left.items():
+                spans = sorted((a, b) for (size, a, b), k in found.items() if size == len(s) for _ in range(k))
+                assert sum(b - a for a, b in spans) == len(s) * sum(k for t, k in left.items() if len(t) == len(s))
         if len(want) == 1:
             parts.sort(key=lambda p: p[0])
             assert tuple(x for p in parts for x in p[2]) == want[0] and {p[1] for p in parts} == {len(want[0])}
@@ -446,6 +472,11 @@ def test_packing(docs, none, encode):
     for r in rows:
         steps[r.step_id].add((r.sequence_id, r.tier))
     assert all(len({t for _, t in s}) == 1 and sum(t for _, t in s) <= packing.STEP_TOKENS for s in steps.values())
+    sizes = defaultdict(list)
+    for s in steps.values():
+        sizes[next(iter(s))[1]].append(len(s))
+    for tier, held in sizes.items():  # as few steps as hold the windows of all partitions, as even as can be
+        assert len(held) == -(-sum(held) // (packing.STEP_TOKENS // tier)) and max(held) - min(held) <= 1
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
 
 
