@@ -7,11 +7,14 @@ with rests of shorter tiers: the longest that fits, again and again, then a
 piece cut from the next one. A partition packs its own documents in bounded
 batches, so packing needs no shuffle and a lost task repeats alone. What a
 partition can't fill at its end is cut into windows of powers of two, which need
-no padding. Steps are groups of windows of one tier with the same number of
-tokens.
-
-Nulls and empty texts consist of the end id; repeated rows are packed each time;
-an empty table gives no rows. Only doc_id and text are read.
+no padding. Steps are groups of windows of one length. They are balanced over all
+partitions: the windows of a length are numbered through, by a table with a row
+for each partition and length that is joined to the pieces, and dealt to as few
+steps as hold them, so that the steps of a length differ by one window at most.
+
+Nulls and empty texts consist of the end id; a very long text is encoded whole and
+cut into full windows; repeated rows are packed each time; an empty table gives no
+rows. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annulus.llm.workspace import written
+
 CONTEXT = 2048
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of one step.
@@ -31,18 +36,18 @@ STEP_TOKENS = 8 * 2048
 #: Rests held back before a partition packs them: memory is bounded by tokens, not by rows.
 FLUSH_TOKENS = 1 << 20
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int"
+#: Bits of a sequence's number within its partition.
+SHARD_BITS = 40
 
 
 class Packer:
-    """Packs one partition; `rows` gathers (doc, start, ids, doc_tokens, sequence, offset, tier, step)."""
-
-    def __init__(self, shard: int, tiers=TIERS, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.step_tokens = tiers, step_tokens
-        self.base, self.sequences = shard << 40, 0
-        self.in_step = {t: 0 for t in tiers}
-        self.step_of = {t: -1 for t in tiers}
-        self.steps = 0
+    """Packs one partition; `rows` gathers (doc, start, ids, doc_tokens, sequence, offset, tier, nth window of its tier)."""
+
+    def __init__(self, shard: int, tiers=TIERS):
+        self.tiers = tiers
+        self.base, self.sequences = shard << SHARD_BITS, 0
+        self.windows: dict[int, int] = {}
         # A tier's rests: sorted keys (length, number), and the pieces by number.
         self.waiting: dict[int, list[tuple[int, int]]] = {t: [] for t in tiers}
         self.pieces: dict[int, tuple] = {}
@@ -124,16 +129,12 @@ class Packer:
             total -= size
 
     def _close(self, window, size: int) -> None:
-        step_size = self.step_tokens // size
-        if size not in self.in_step or self.in_step[size] % step_size == 0:
-            self.step_of[size] = self.base | self.steps
-            self.steps += 1
-            self.in_step[size] = 0
-        self.in_step[size] += 1
+        nth = self.windows.get(size, 0)
+        self.windows[size] = nth + 1
         offset, sequence = 0, self.base | self.sequences
         self.sequences += 1
         for doc, start, ids, n in window:
-            self.rows.append((doc, start, ids, n, sequence, offset, size, self.step_of[size]))
+            self.rows.append((doc, start, ids, n, sequence, offset, size, nth))
             offset += len(ids)
 
 
@@ -145,22 +146,23 @@ def pack(
     step_tokens: int = STEP_TOKENS,
     ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: SCHEMA, and with `ids` the piece's ids as little-endian unsigned 32-bit integers.
+    """One row per piece: SCHEMA, step_id, and with `ids` the piece's ids as little-endian unsigned 32-bit integers.
 
-    sequence_id and step_id count within the partition named by their upper bits. A piece is never
-    longer than its window; offsets in a window have no gaps; no window is padded, as those that
-    can't be filled have the length of a power of two.
+    sequence_id counts within the partition named by its upper bits. A piece is never longer than
+    its window; offsets in a window have no gaps; no window is padded, as those that can't be filled
+    have the length of a power of two. A step has at most step_tokens tokens.
     """
-    if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
-        raise ValueError("tiers are increasing powers of two")
-    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * ids
+    if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)) or step_tokens < tiers[-1]:
+        raise ValueError("tiers are increasing powers of two, and a step holds the longest")
+    schema = SCHEMA + ", nth long" + ", ids binary" * ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def packed(batches):
         from pyspark import TaskContext
 
         from annulus.llm.tokens import encoder
 
-        enc, packer = encoder(tokenizer), Packer(TaskContext.get().partitionId(), tiers, step_tokens)
+        enc, packer = encoder(tokenizer), Packer(TaskContext.get().partitionId(), tiers)
 
         def out():
             rows, packer.rows = packer.rows, []
@@ -186,4 +188,20 @@ def pack(
         packer.finish()
         yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, SCHEMA + ", ids binary" * ids)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, schema)
+    return with_steps(written(pieces, "pieces"), step_tokens)
+
+
+def with_steps(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """The pieces with step_id in the place of nth: their windows' steps, balanced over all partitions."""
+    shard = F.shiftright("sequence_id", SHARD_BITS).alias("shard")
+    counts = pieces.where("offset = 0").groupBy("tier", shard).agg(F.count("*").alias("n"))  # a window has one first piece
+    before = Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    total = F.sum("n").over(Window.partitionBy("tier"))
+    steps = F.ceil(total / F.floor(F.lit(step_tokens) / F.col("tier")))
+    table = written(counts.select("tier", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), total.alias("total"), steps.alias("steps")), "steps")
+    joined = pieces.withColumn("shard", shard).join(table, ["tier", "shard"])
+    number = F.expr("(before + nth) * steps div total")
+    own = [c for c in pieces.columns if c not in ("nth", "ids")]
+    step = (F.shiftleft(number, 6) + F.log2("tier").cast("int")).alias("step_id")  # lengths are powers of two
+    return joined.select(*own, step, *(c for c in pieces.columns if c == "ids"))
