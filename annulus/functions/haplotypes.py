@@ -7,35 +7,60 @@ import math
 import numpy as np
 
 
-def pair_hmm(read: str, qualities, haplotype: str, gap_open: float = 1e-3, gap_extend: float = 0.3, band: int | None = None) -> float:
-    """log10 likelihood of a read anywhere on a haplotype: match, insertion and deletion states, free ends on the
-    haplotype. `band` bounds the distance from the main diagonal, which is that of equal ends."""
-    n, m = len(read), len(haplotype)
-    if not n or not m:
-        return -math.inf
-    error = 10 ** (-np.asarray(qualities, float) / 10)
-    bases = np.frombuffer(haplotype.encode(), np.uint8)
+def pair_hmm_batch(reads: list[str], qualities, haplotype: str, gap_open: float = 1e-3, gap_extend: float = 0.3, band: int | None = None) -> np.ndarray:
+    """log10 likelihood of each read anywhere on a haplotype: match, insertion and deletion states, free ends on the
+    haplotype. `band` bounds the distance from the main diagonal, which is that of equal ends.
+
+    All reads advance together, a base at a time; what a deletion gathers along the haplotype is a product with a
+    triangle of its powers, so no column is looped over.
+    """
+    sizes, m = np.array([len(r) for r in reads]), len(haplotype)
+    out = np.full(len(reads), -math.inf)
+    if not len(reads) or not m or not sizes.max():
+        return out
+    n = int(sizes.max())
+    bases, error = np.zeros((len(reads), n), np.uint8), np.ones((len(reads), n))
+    for i, (read, q) in enumerate(zip(reads, qualities)):
+        bases[i, : len(read)] = np.frombuffer(read.encode(), np.uint8)
+        error[i, : len(read)] = 10 ** (-np.asarray(q, float)[: len(read)] / 10)
+    own = np.frombuffer(haplotype.encode(), np.uint8)
     stay = 1 - 2 * gap_open
-    match, insert, delete = np.zeros(m + 1), np.zeros(m + 1), np.full(m + 1, 1.0 / m)
-    log = 0.0
-    for i, base in enumerate(read.encode()):
-        fits = np.where(bases == base, 1 - error[i], error[i] / 3)
-        new = np.zeros(m + 1)
-        new[1:] = fits * (stay * match[:-1] + (1 - gap_extend) * (insert[:-1] + delete[:-1]))
+    step = np.arange(m + 1)[None, :] - np.arange(m + 1)[:, None]  # columns from a match to the end of its deletion
+    reach = np.where(step >= 1, gap_open * np.power(gap_extend, np.maximum(step - 1, 0), dtype=float), 0.0)
+    match, insert, delete = np.zeros((len(reads), m + 1)), np.zeros((len(reads), m + 1)), np.full((len(reads), m + 1), 1.0 / m)
+    log = np.zeros(len(reads))
+    for i in range(n):
+        going = sizes > i
+        fits = np.where(own[None, :] == bases[:, i, None], 1 - error[:, i, None], error[:, i, None] / 3)
+        new = np.zeros_like(match)
+        new[:, 1:] = fits * (stay * match[:, :-1] + (1 - gap_extend) * (insert[:, :-1] + delete[:, :-1]))
         ins = 0.25 * (gap_open * match + gap_extend * insert)
-        gone = np.zeros(m + 1)
-        for j in range(1, m + 1):
-            gone[j] = gap_open * new[j - 1] + gap_extend * gone[j - 1]
+        gone = new @ reach
         if band is not None:
-            off = np.abs(np.arange(m + 1) - (i + 1) - max(0, m - n) / 2) > band + abs(m - n) / 2
+            slack = np.abs(m - sizes)
+            off = np.abs(np.arange(m + 1)[None, :] - (i + 1) - np.maximum(0, m - sizes)[:, None] / 2) > band + slack[:, None] / 2
             new[off] = ins[off] = gone[off] = 0
-        match, insert, delete = new, ins, gone
-        total = match.sum() + insert.sum() + delete.sum()
-        if not total:
-            return -math.inf
-        match, insert, delete, log = match / total, insert / total, delete / total, log + math.log10(total)
-    end = match.sum() + insert.sum()
-    return log + math.log10(end) if end > 0 else -math.inf
+        total = new.sum(axis=1) + ins.sum(axis=1) + gone.sum(axis=1)
+        alive = going & (total > 0)
+        scale = np.where(alive, total, 1.0)[:, None]
+        for state, after in ((match, new), (insert, ins), (delete, gone)):
+            state[going] = (after / scale)[going]
+        log[alive] += np.log10(total[alive])
+        log[going & (total <= 0)] = -math.inf
+    end = match.sum(axis=1) + insert.sum(axis=1)
+    sound = (sizes > 0) & (end > 0) & np.isfinite(log)
+    out[sound] = log[sound] + np.log10(end[sound])
+    return out
+
+
+def pair_hmm(read: str, qualities, haplotype: str, gap_open: float = 1e-3, gap_extend: float = 0.3, band: int | None = None) -> float:
+    """`pair_hmm_batch` of one read."""
+    return float(pair_hmm_batch([read], [qualities], haplotype, gap_open, gap_extend, band)[0])
+
+
+def distinguishing_sites(first: np.ndarray, second: np.ndarray, least: float = 0.6) -> int:
+    """Sites at which two components' rates differ by `least` or more."""
+    return int((np.abs(np.asarray(first) - np.asarray(second)) >= least).sum())
 
 
 def bernoulli_mixture(x: np.ndarray, components: int, error: float = 0.01, rounds: int = 40, seed: int = 1):
@@ -71,7 +96,7 @@ def mixture_of(x: np.ndarray, most: int = 4, gain: float = 10.0, distinct: int =
     bic = lambda fit: -2 * fit[3] + (len(fit[0]) * x.shape[1] + len(fit[0]) - 1) * math.log(max(2, len(x)))
     for k in range(2, most + 1):
         fit = bernoulli_mixture(x, k, error)
-        apart = min((np.abs(fit[1][a] - fit[1][b]) >= 0.6).sum() for a in range(k) for b in range(a))
+        apart = min(distinguishing_sites(fit[1][a], fit[1][b]) for a in range(k) for b in range(a))
         if bic(best) - bic(fit) <= gain or apart < distinct:
             break
         best = fit

@@ -51,6 +51,28 @@ def aligned_bases(ops: Column) -> Column:
     return _span(ops, "M=X")
 
 
+def one_base(allele: Column, base: Column) -> Column:
+    """Whether an allele consists of one base alone."""
+    return F.coalesce((F.length(allele) > 0) & (F.replace(allele, base, F.lit("")) == ""), F.lit(False))
+
+
+def base_index(base: Column) -> Column:
+    """0 to 3 of A, C, G, T; null of anything else."""
+    at = F.instr(F.lit("ACGT"), F.upper(base))
+    return F.when((F.length(base) == 1) & (at > 0), at - 1)
+
+
+def phred_at(qualities: Column, i: Column) -> Column:
+    """The quality of a base (from 0); null outside the string or the printable range."""
+    code = F.ascii(F.substring(qualities, i + 1, F.lit(1)))
+    return F.when((i >= 0) & (i < F.length(qualities)) & code.between(33, 126), code - 33)
+
+
+def tag_value_is_valid(x: Column) -> Column:
+    """1 to 256 characters, none of them a control character."""
+    return F.length(x).between(1, 256) & ~F.regexp(x, F.lit(r"[\x00-\x1f\x7f]"))
+
+
 def variant_key(position: Column, ref: Column, alt: Column) -> Column:
     return F.concat_ws(":", position.cast("string"), ref, alt)
 
@@ -61,7 +83,7 @@ def token(x: Column) -> Column:
 
 
 def semicolon_list(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, ";"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(x, ";"), lambda v: F.trim(v)), lambda v: v != "")  # F.trim itself would take the index for what to trim
 
 
 def strict_unsigned(x: Column) -> Column:

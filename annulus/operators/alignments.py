@@ -211,3 +211,27 @@ def merged_events(events: DataFrame, key: str = "event_id", molecule: str = "id"
         F.array_sort(F.collect_set("orientation")).alias("orientations"),
         F.bool_or("known_event").alias("known_event"),
     )
+
+
+def end_position(start: Column, ops: Column) -> Column:
+    """The last reference position of an alignment, not folded; an alignment without a span holds its start."""
+    return start + F.greatest(F.lit(1), text.reference_span(ops)) - 1
+
+
+def as_supplementary(contig: Column, start: Column, flags: Column, cigar: Column, mapq: Column) -> Column:
+    """An alignment as an entry of another's supplementary list."""
+    strand = F.when(flags.bitwiseAND(F.lit(0x10)) != 0, "-").otherwise("+")
+    return F.concat(F.concat_ws(",", contig, start.cast("string"), strand, cigar, mapq.cast("string"), F.lit("0")), F.lit(";"))
+
+
+def span_mismatches(reads: DataFrame, reference: DataFrame, c: Config, length: int = coords.L) -> DataFrame:
+    """id, position, ref, alt of reads without a CIGAR (id, reference_start, sequence, qualities): base by base from their start."""
+    pairs = F.zip_with(F.split("sequence", ""), F.split("qualities", ""), lambda b, q: F.struct(F.upper(b).alias("alt"), (F.ascii(q) - 33).alias("quality")))
+    rows = reads.select("id", "reference_start", F.posexplode(pairs).alias("i", "x")).select("id", coords.fold(F.col("reference_start") + F.col("i"), length).cast("long").alias("position"), "x.*")
+    good = rows.where((F.col("quality") >= c.min_base_quality) & F.col("alt").isin(*"ACGT"))
+    return good.join(reference, "position").where(F.col("ref").isin(*"ACGT") & (F.col("ref") != F.col("alt"))).select("id", "position", "ref", "alt")
+
+
+def occurrences(reads: DataFrame, order: str = "record_index") -> DataFrame:
+    """Adds occurrence: which of the records of its name a record is, from 1."""
+    return reads.withColumn("occurrence", F.row_number().over(Window.partitionBy("id").orderBy(order)).cast("long"))

@@ -116,6 +116,13 @@ def contexts(agreed: DataFrame) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=["position", "base", "strand", "context"]), "position long, base string, strand int, context string")
 
 
+def run_lengths(spark, sequence: str) -> DataFrame:
+    """position, run, unit, span: runs of equal bases around the origin, and the tandem repeat over each position."""
+    repeats = indels.repeat_context(sequence)
+    rows = [(p, indels.homopolymer_run(sequence, p), *repeats[p - 1]) for p in range(1, len(sequence) + 1)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["position", "run", "unit", "span"]), "position long, run long, unit long, span long")
+
+
 def error_fits(cells: DataFrame, agreed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(context, mean, rho) of each class, drawn to the genome's the fewer sites it has, and the genome's (mean, rho)."""
     depth = cells.groupBy("position").agg(F.sum("forward").alias("d0"), F.sum("reverse").alias("d1"))

@@ -11,11 +11,13 @@ from annulus.config import Config
 from annulus.functions import coords, indels, stats
 from annulus.operators import intervals
 from annulus.operators.alignments import walked
+from annulus.operators.annotation import deletion_impact
 from annulus.operators.evidence import band_components
 
 # Fixed values of the calling method.
 SMALL, LARGE, ANCHOR, QUERY_GAP, ORIGIN = 50, 50, 100, 50, 100
-PLACEMENT, LENGTH_TOLERANCE = 30, 8
+PLACEMENT, LENGTH_TOLERANCE, PLACEMENTS = 30, 8, 6
+COMMON = (8483, 4977)
 FDR = 0.01
 
 
@@ -96,7 +98,7 @@ def split_junctions(parts: DataFrame, config: Config, length: int = coords.L) ->
     return out.where(F.col("length").between(LARGE, length - LARGE))
 
 
-def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, molecules_used: int) -> DataFrame:
+def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, molecules_used: int, depths: DataFrame | None = None) -> DataFrame:
     """Deletions that two molecules or more show: start, end, length, microhomology, support by strand, molecules that span
     the breakpoints, fraction and interval, p, q, filters, pass.
 
@@ -120,8 +122,8 @@ def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, mol
     support = first.groupBy("cluster").agg(F.count("*").alias("support"), F.count_if(F.col("strand") == "+").alias("forward"), F.count_if(F.col("strand") == "-").alias("reverse"))
     lone = F.broadcast(support.agg(F.count_if(F.col("support") < 2).alias("singletons")))
     counted = rows.groupBy("cluster", "left", "right", "shift").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("cluster").orderBy(F.desc("n"), "left", "right")
-    place = counted.withColumn("_n", F.row_number().over(order)).withColumn("breakpoint_variants", F.count("*").over(Window.partitionBy("cluster"))).where("_n = 1")
+    variants = counted.withColumn("breakpoint_variants", F.count("*").over(Window.partitionBy("cluster")))
+    place = frequent_placements(variants, 1).withColumnRenamed("rank", "_n")
     found = support.where("support >= 2").crossJoin(lone).join(place.drop("_n", "n"), "cluster")
     size = F.when(F.col("right") > F.col("left"), F.col("right") - F.col("left") - 1).otherwise(n - F.col("left") + F.col("right") - 1)
     found = found.withColumn("length", size.cast("long")).where(F.col("length") >= LARGE)
@@ -146,8 +148,36 @@ def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, mol
     one_way = (F.col("support") >= 8) & ((F.col("forward") == 0) | (F.col("reverse") == 0))
     rules = (("low_support", F.col("support") < 3), ("single_strand_support", one_way), ("linearization_origin", edge), ("not_significant", F.col("q") > FDR))
     filters = F.array_compact(F.array(*(F.when(c, name) for name, c in rules)))
-    names = ("start", "end", "length", "microhomology", "breakpoint_variants", "support", "forward", "reverse", "wild_left", "wild_right", "fraction", "ci_low", "ci_high", "p", "q")
-    return tested.select(*names, filters.alias("filters"), (F.size(filters) == 0).alias("pass"))
+    tested = tested.withColumn("depth_ratio", F.lit(None).cast("double")) if depths is None else _with_depth_ratio(tested, depths)
+    discordant = (F.col("fraction") >= 0.2) & (F.col("depth_ratio") > 1 - F.col("fraction") / 2)
+    notes = (("breakpoints_not_spanned", ~seen), ("depth_discordant", discordant), ("direct_repeat_flanked", F.length("microhomology") >= 5))
+    flags = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for name, c in notes)))
+    common = (F.col("start") == COMMON[0]) & (F.col("length") == COMMON[1])
+    names = ("start", "end", "length", "microhomology", "breakpoint_variants", "support", "forward", "reverse", "wild_left", "wild_right", "fraction", "ci_low", "ci_high", "p", "q", "depth_ratio")
+    event = F.concat(F.lit("pdeletion:"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+    return tested.select(event.alias("event"), *names, filters.alias("filters"), flags.alias("flags"), common.alias("common"), (F.size(filters) == 0).alias("pass"))
+
+
+def frequent_placements(counted: DataFrame, keep: int = PLACEMENTS) -> DataFrame:
+    """The commonest placements (cluster, left, right, n) of each cluster, ties by place."""
+    order = Window.partitionBy("cluster").orderBy(F.desc("n"), "left", "right")
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+
+
+def _with_depth_ratio(deletions: DataFrame, depths: DataFrame, step: int = 20) -> DataFrame:
+    """Adds the median depth inside over that outside, at every `step`-th position; depths is as long as the genome."""
+    some = depths.where((F.col("position") - 1) % step == 0).agg(F.collect_list(F.struct("position", "depth")).alias("_depths"))
+    a, b = F.col("left_start"), F.col("end")
+    inside = lambda x: F.when(a <= b, x["position"].between(a, b)).otherwise((x["position"] >= a) | (x["position"] <= b))
+    median = lambda values: F.when(F.size(values) > 0, (F.get(values, F.floor((F.size(values) - 1) / 2).cast("int")) + F.get(values, F.floor(F.size(values) / 2).cast("int"))) / 2.0)
+    part = lambda test: median(F.array_sort(F.transform(F.filter("_depths", test), lambda x: x["depth"])))
+    ratio = part(inside) / F.nullif(part(lambda x: ~inside(x)), F.lit(0.0))
+    return deletions.crossJoin(F.broadcast(some)).withColumn("depth_ratio", ratio).drop("_depths")
+
+
+def with_impact(deletions: DataFrame) -> DataFrame:
+    """The calls with what they do to genes."""
+    return deletions.drop("start", "end").join(deletion_impact(deletions), "event").join(deletions.select("event", "start", "end"), "event")
 
 
 def _spanning_by_cluster(pieces: DataFrame, points: DataFrame, carriers: DataFrame, flank: int = 25) -> DataFrame:

@@ -1,10 +1,24 @@
-"""Lineage candidates of clusters: markers matched, missing and extra, scores, the best few."""
+"""Lineage calls of clusters: majority markers within callable ranges, typed matching, scores, the best few.
+
+A marker is (position, kind, index, bases, encoded). Clusters with the same
+markers and ranges are scored once. Definitions and ranges are tables bounded by
+the tree and the genome; what grows with the reads is joined by cluster alone,
+and stays dealt by cluster from the first join to the ranking.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annulus.functions import coords, text
+from annulus.operators import intervals
+from annulus.operators.shared import written
+
+#: Candidates reported, and the lead below which two macro groups are a warning.
+KEPT, CLEAR_LEAD = 3, 3.0
+MARKER = ("position", "kind", "index", "bases", "encoded")
+
 
 def parse_marker(token: Column) -> Column:
     """(position, kind, index, bases, back): `P[ACGT]` substitution, `Pd` deletion, `P.nSEQ` or `P.XSEQ` insertion, `!` behind for a back mutation."""
@@ -16,22 +30,164 @@ def parse_marker(token: Column) -> Column:
     return F.when(F.regexp(plain, F.lit(pattern)), fields)
 
 
+def marker_order(m: Column) -> Column:
+    """The order of markers: position, kind (substitution, deletion, insertion), index, name."""
+    kind = F.when(m["kind"] == "substitution", 0).when(m["kind"] == "deletion", 1).otherwise(2)
+    return F.struct(m["position"].alias("position"), kind.alias("kind"), m["index"].alias("index"), m["encoded"].alias("encoded"))
+
+
+def restores_reference(token: Column) -> Column:
+    """Whether a token of a rule is a position alone, which puts the reference back."""
+    return F.regexp(token, F.lit("^[0-9]+$"))
+
+
+def consensus_markers(calls: DataFrame, level: float = 0.5) -> DataFrame:
+    """Markers of calls (position, ref, alt, fraction, pass) that pass at `level` or more: a base each, `d` for each
+    deleted base, `.1` and the bases of an insertion. VCF alleles: of a deletion or insertion the first base is the anchor."""
+    sure = calls.where(F.col("pass") & (F.col("fraction") >= level))
+    gone, more = F.length("ref") > F.length("alt"), F.length("alt") > F.length("ref")
+    none = F.lit(None).cast("string")
+    one = lambda position, kind, index, bases: F.struct(position.cast("long").alias("position"), F.lit(kind).alias("kind"), index.alias("index"), bases.alias("bases"))
+    deleted = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("ref") - 1)), lambda i: one(coords.fold(F.col("position") + i), "deletion", none, none))
+    added = F.array(one(F.col("position"), "insertion", F.lit("1"), F.expr("substring(alt, 2)")))
+    changed = F.array(one(F.col("position"), "substitution", none, F.col("alt")))
+    rows = sure.select(F.explode(F.when(gone, deleted).when(more, added).otherwise(changed)).alias("m")).select("m.*")
+    name = F.when(F.col("kind") == "deletion", F.concat(F.col("position").cast("string"), F.lit("d")))
+    name = name.when(F.col("kind") == "insertion", F.concat(F.col("position").cast("string"), F.lit(".1"), F.col("bases")))
+    return rows.withColumn("encoded", name.otherwise(F.concat(F.col("position").cast("string"), F.col("bases")))).distinct()
+
+
+def typed_match(expected: Column, observed: Column) -> Column:
+    """Whether an observed marker of the same position and kind is the expected one: the same base; any deletion; an
+    insertion that holds the expected bases where their index says, or consists of their repeats (index X)."""
+    e, o = expected["bases"], observed["bases"]
+    repeats = F.substring(F.repeat(e, F.ceil(F.length(o) / F.length(e)).cast("int")), F.lit(1), F.length(o)) == o
+    offset = expected["index"].try_cast("int") - observed["index"].try_cast("int")
+    fits = (offset >= 0) & (F.length(e) + offset <= F.length(o)) & (F.substring(o, offset + 1, F.length(e)) == e)
+    some = (F.length(e) > 0) & (F.length(o) > 0)
+    inserted = some & F.when(expected["index"] == "X", repeats).otherwise(fits)
+    found = F.when(expected["kind"] == "substitution", e == o).when(expected["kind"] == "deletion", F.lit(True)).otherwise(inserted)
+    return (expected["position"] == observed["position"]) & (expected["kind"] == observed["kind"]) & F.coalesce(found, F.lit(False))
+
+
+def callable_segments(members: DataFrame, ranges: DataFrame) -> DataFrame:
+    """cluster, start, end, active: stretches with the number of members that can be called there.
+
+    members (cluster, molecule), ranges (molecule, start, end; disjoint for a molecule)."""
+    counts = intervals.active_counts(ranges.join(members, "molecule").select("cluster", "start", "end"), ["cluster"])
+    following = F.lead("position").over(Window.partitionBy("cluster").orderBy("position"))  # a row for each position at most
+    return counts.select("cluster", F.col("position").alias("start"), (following - 1).alias("end"), "active").where("active > 0 and end is not null")
+
+
+def majority_markers(members: DataFrame, markers: DataFrame, ranges: DataFrame) -> DataFrame:
+    """cluster, marker columns, carriers, callable: markers of more than half of the members that can be called at their
+    position; where none can, of all members. markers: (molecule, MARKER); a molecule's repeated marker counts once."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
+    counted = markers.select("molecule", *MARKER).distinct().join(members, "molecule").groupBy("cluster", *MARKER).agg(F.count("*").alias("carriers"))
+    segments = callable_segments(members, ranges)
+    at = counted.select("cluster", "position").distinct().join(segments, "cluster").where("position between start and end").select("cluster", "position", "active")
+    joined = counted.join(sizes, "cluster").join(at, ["cluster", "position"], "left").withColumn("callable", F.coalesce("active", "members"))
+    return joined.where(F.col("carriers") * 2 > F.col("callable")).select("cluster", *MARKER, "carriers", "callable")
+
+
+def majority_ranges(members: DataFrame, ranges: DataFrame, length: int = coords.L) -> DataFrame:
+    """cluster, start, end, known: where enough members can be called, more than min(n div 2, max(2, n div 20)); the whole
+    genome, not known, if not more than half of the members have ranges. A single member's ranges are its cluster's."""
+    having = members.join(ranges.select("molecule").distinct().withColumn("has", F.lit(1)), "molecule", "left")
+    sizes = having.groupBy("cluster").agg(F.count("*").alias("n"), F.count("has").alias("with"))
+    known = F.when(F.col("n") == 1, F.col("with") == 1).otherwise(F.col("with") * 2 > F.col("n"))
+    least = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.least(F.expr("n div 2"), F.greatest(F.lit(2), F.expr("n div 20"))))
+    judged = sizes.select("cluster", known.alias("known"), least.alias("least"))
+    deep = callable_segments(members, ranges).join(judged.where("known"), "cluster").where("active > least")
+    found = intervals.merged(deep, ["cluster"]).withColumn("known", F.lit(True))
+    whole = judged.where("not known").select("cluster", F.lit(1).cast("long").alias("start"), F.lit(length).cast("long").alias("end"), F.lit(False).alias("known"))
+    return found.unionByName(whole)
+
+
+def within_ranges(markers: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Markers of clusters at positions inside their ranges (disjoint, few for a cluster)."""
+    inside = F.col("position").between(F.col("start"), F.col("end"))
+    return markers.join(ranges.select("cluster", "start", "end"), "cluster").where(inside).drop("start", "end")
+
+
+def lineage_calls(observed: DataFrame, definitions: DataFrame, ranges: DataFrame, weights: DataFrame | None = None, keep: int = KEPT) -> DataFrame:
+    """The best definitions of each cluster: cluster, rank, name, score, matched_count, matched, missing, extra (names of
+    markers, in order), contamination (the two best are close and of different macro groups).
+
+    observed (cluster, MARKER), definitions (name, source_order, MARKER), ranges (cluster, start, end), weights (encoded,
+    weight; 1 by default). Candidates share a position with an observed marker and match one; a definition's markers
+    outside the ranges count neither way. Equal scores go by source_order, then by name.
+    """
+    # One scoring for each set of markers and ranges.
+    marks = observed.groupBy("cluster").agg(F.sort_array(F.collect_set("encoded")).alias("marks"))
+    spans = ranges.groupBy("cluster").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    signed = marks.join(spans, "cluster")
+    same = written(signed.select("cluster", F.min("cluster").over(Window.partitionBy(F.xxhash64("marks", "spans"), "marks", "spans")).alias("key")), "signatures")
+    first = same.where("cluster = key").select("key")
+    weigh = lambda df: df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(weights, "encoded", "left").fillna(1.0, ["weight"])
+    seen = weigh(observed.withColumnRenamed("cluster", "key").join(first, "key", "left_semi").select("key", *MARKER))
+    seen = written(seen.repartition("key"), "observed")
+    known = written(weigh(definitions), "definitions")  # bounded by the tree: broadcast by its size
+    span = ranges.withColumnRenamed("cluster", "key").join(first, "key", "left_semi").select("key", "start", "end")
+
+    near = seen.select("key", "position").join(known.select("name", "source_order", "position").distinct(), "position").select("key", "name", "source_order").distinct()
+    asked = near.join(known.drop("source_order"), "name").join(span, "key").where("position between start and end").drop("start", "end")
+    marker = lambda p="": F.struct(*(F.col(p + c).alias(c) for c in MARKER))
+    shown = seen.groupBy("key").agg(F.collect_list(marker()).alias("seen"), F.sum("weight").alias("observed_weight"))  # bounded by the genome
+    judged = asked.join(shown, "key").withColumn("hit", F.exists("seen", lambda o: typed_match(marker(), o)))
+    scored = judged.groupBy("key", "name", "source_order").agg(
+        F.sum("weight").alias("expected"),
+        F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0.0)).alias("matched_weight"),
+        F.count_if("hit").alias("matched_count"),
+        F.first("observed_weight").alias("observed"),
+    )
+    score = 50.0 * (F.col("matched_weight") / F.col("expected") + F.col("matched_weight") / F.col("observed"))
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "source_order", "name")
+    best = scored.where("matched_count > 0 and expected > 0 and observed > 0").withColumn("score", score).where("score > 0")
+    best = written(best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= keep).select("key", "name", "score", "rank", "matched_count"), "candidates")
+
+    listed = lambda c, name: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(marker_order(marker()).alias("o"))))), lambda x: x["o"]["encoded"]).alias(name)
+    lists = judged.join(best.select("key", "name"), ["key", "name"]).groupBy("key", "name").agg(listed(F.col("hit"), "matched"), listed(~F.col("hit"), "missing"))
+    whole = known.groupBy("name").agg(F.collect_list(marker()).alias("all"))
+    foreign = seen.join(best.select("key", "name"), "key").join(whole, "name").where(~F.exists("all", lambda e: typed_match(e, marker())))
+    extra = foreign.groupBy("key", "name").agg(listed(F.lit(True), "extra"))
+    two = best.groupBy("key").agg(F.max_by("score", -F.col("rank")).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"),
+                                  F.max(F.when(F.col("rank") == 1, F.col("name"))).alias("n1"), F.max(F.when(F.col("rank") == 2, F.col("name"))).alias("n2"))
+    doubt = F.coalesce((F.col("s2") > 0) & (F.col("s1") - F.col("s2") < CLEAR_LEAD) & (text.macro_group(F.col("n1")) != text.macro_group(F.col("n2"))), F.lit(False))
+    out = best.join(lists, ["key", "name"], "left").join(extra, ["key", "name"], "left").join(two.select("key", doubt.alias("contamination")), "key")
+    empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return out.join(same, "key").select("cluster", "rank", "name", "score", "matched_count", empty("matched"), empty("missing"), empty("extra"), "contamination")
+
+
+def cluster_lineages(members: DataFrame, markers: DataFrame, ranges: DataFrame, definitions: DataFrame, weights: DataFrame | None = None, corrected=None) -> DataFrame:
+    """`lineage_calls` of clusters (or architectures, under the name cluster) from their members' markers and ranges:
+    majority markers inside the majority's ranges, passed through `corrected` (a rule fixpoint over cluster markers) and
+    restricted again. Clusters whose ranges aren't known get no call."""
+    spans = written(majority_ranges(members, ranges).where("known").select("cluster", "start", "end"), "ranges")
+    seen = within_ranges(majority_markers(members, markers, ranges).select("cluster", *MARKER), spans)
+    if corrected is not None:
+        seen = within_ranges(corrected(seen), spans)
+    return lineage_calls(seen, definitions, spans, weights)
+
+
 def ranked_candidates(observed: DataFrame, defined: DataFrame, keep: int, weights: DataFrame | None = None) -> DataFrame:
     """observed (cluster, marker), defined (definition, marker), weights (marker, weight; 1 by default): the `keep`
-    best definitions of each cluster that match a marker: matched, missing, extra, score, rank."""
+    best definitions of each cluster that match a marker: matched, missing, extra, score, rank.
+
+    Clusters are dealt once; the definitions are written first, so that they are broadcast by their size, and the counts,
+    the scores and the ranking stay in that partitioning.
+    """
     weigh = lambda df: df.withColumn("weight", F.lit(1)) if weights is None else df.join(weights, "marker", "left").fillna(1, ["weight"])
-    seen, wanted = weigh(observed), weigh(defined)
-    seen_sum = seen.groupBy("cluster").agg(F.sum("weight").alias("observed"), F.count("*").alias("_o"))
-    wanted_sum = wanted.groupBy("definition").agg(F.sum("weight").alias("expected"), F.count("*").alias("_e"))
-    met = seen.join(defined, "marker").groupBy("cluster", "definition").agg(F.sum("weight").alias("_w"), F.count("*").alias("matched"))
-    joined = met.join(seen_sum, "cluster").join(wanted_sum, "definition")
+    wanted = written(weigh(defined), "definitions")
+    expected = wanted.groupBy("definition").agg(F.sum("weight").alias("expected"), F.count("*").alias("_e"))
+    of_cluster = Window.partitionBy("cluster")
+    seen = weigh(observed).repartition("cluster")
+    seen = seen.withColumn("observed", F.sum("weight").over(of_cluster)).withColumn("_o", F.count("*").over(of_cluster))
+    met = seen.join(wanted.select("definition", "marker"), "marker").groupBy("cluster", "definition").agg(
+        F.sum("weight").alias("_w"), F.count("*").alias("matched"), F.first("observed").alias("observed"), F.first("_o").alias("_o")
+    )
+    joined = met.join(written(expected, "expected"), "definition")
     score = F.round(F.lit(50.0) * F.col("_w") / F.col("expected") + F.lit(50.0) * F.col("_w") / F.col("observed"), 6)
     rows = joined.select("cluster", "definition", "matched", (F.col("_e") - F.col("matched")).alias("missing"), (F.col("_o") - F.col("matched")).alias("extra"), score.alias("score"))
-    order = Window.partitionBy("cluster").orderBy(F.desc("score"), "definition")
+    order = of_cluster.orderBy(F.desc("score"), "definition")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
-
-
-def majority(members: DataFrame, markers: DataFrame, callable_counts: DataFrame) -> DataFrame:
-    """cluster, marker: markers that more than half of the members callable at their position carry."""
-    carriers = members.join(markers, "molecule").groupBy("cluster", "marker", "position").agg(F.count("*").alias("n"))
-    return carriers.join(callable_counts, ["cluster", "position"]).where(F.col("n") * 2 > F.col("callable")).select("cluster", "marker")
