@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.functions import coords, genome, stats, text
-from annulus.operators import alignments, architectures, calls, events, evidence, intervals, similarity
+from annulus.operators import alignments, annotation, architectures, calls, comparison, events, evidence, exports, intervals, ordered, paths, similarity
+from annulus.plans import annotations, comparisons, documents, scalars  # noqa: F401 - they register their queries
 from annulus.plans import carriers as C
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from annulus.plans.registry import oracle_sql, queries  # noqa: F401 - what the driver's entry reads
+from annulus.plans.registry import query as _query
 
 def _w(k: str, n: str, bound: str) -> str:
     """Wilson bounds in SQL."""
@@ -325,7 +304,7 @@ SELECT c_custkey, rank, round(min(least(1.0, p * m / rank)) OVER (ORDER BY rank
 )
 def bh_fdr(spark, d):
     rows = C.table(spark, d, "customer").select("c_custkey", (F.abs("c_acctbal") / 10000.0).alias("p"))
-    return stats.benjamini_hochberg(rows, "p", ["c_custkey"]).select("c_custkey", "rank", F.round("q", 6).alias("q"))
+    return ordered.benjamini_hochberg(rows, "p", ["c_custkey"]).select("c_custkey", "rank", F.round("q", 6).alias("q"))
 
 
 @_query(
@@ -342,7 +321,7 @@ def fisher_combined(spark, d):
 SELECT c_custkey, c_acctbal > center + greatest(8.8956 * 0.1 * spread, 0.02) AS outlier FROM customer, c, s"""
 )
 def mad_outliers(spark, d):
-    return evidence.outliers(C.table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", scale=8.8956 * 0.1).select("c_custkey", "outlier")
+    return ordered.outliers(C.table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", scale=8.8956 * 0.1).select("c_custkey", "outlier")
 
 
 @_query(
@@ -361,36 +340,32 @@ FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice / 1000 AS y, l_linen
 )
 def weighted_regression(spark, d):
     x, y, w = F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_linenumber")
-    slope = (F.sum(w) * F.sum(w * x * y) - F.sum(w * x) * F.sum(w * y)) / (F.sum(w) * F.sum(w * x * x) - F.sum(w * x) * F.sum(w * x))
-    return C.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(slope, 6).alias("slope"))
+    return C.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(ordered.weighted_slope(x, y, w), 6).alias("slope"))
 
 
 @_query("SELECT (event_id // 4096) AS page, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def evidence_page(spark, d):
-    page = F.expr("event_id div 4096").alias("page")
-    return C.table(spark, d, "events").groupBy(page).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.round(F.sum("value"), 4).alias("total"))
+    paged = exports.pages(C.table(spark, d, "events").select("event_id", "value"), "event_id")
+    ids, values = F.col("columns.event_id"), F.col("columns.value")
+    total = F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 4)
+    return paged.select("page", "n", F.col("first").alias("first_id"), F.array_max(ids).alias("last_id"), total.alias("total"))
 
 
-@_query("SELECT event_id, user_id, event_type, n, total FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS n, count(*) OVER () AS total FROM events WHERE event_type = 'click') WHERE n BETWEEN 11 AND 110")
+@_query("SELECT event_id, user_id, event_type, n, total, CASE WHEN total > 110 THEN CAST(110 AS BIGINT) END AS next_cursor FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS n, count(*) OVER () AS total FROM events WHERE event_type = 'click') WHERE n BETWEEN 11 AND 110")
 def evidence_search(spark, d):
     found = C.table(spark, d, "events").where("event_type = 'click'")
-    page = found.orderBy("event_id").limit(110)  # a page of the search: offset 10, limit 100
-    numbered = page.withColumn("n", F.row_number().over(Window.orderBy("event_id")).cast("long")).where("n > 10")
-    return numbered.crossJoin(F.broadcast(found.agg(F.count("*").alias("total")))).select("event_id", "user_id", "event_type", "n", "total")
+    return ordered.page(found, "event_id", 10, 100).select("event_id", "user_id", "event_type", "n", "total", "next_cursor")
 
 
 @_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' UNION ALL (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_totalprice, o_orderkey LIMIT 200)")
 def top_filtered_union(spark, d):
     rows = C.table(spark, d, "orders")
-    rest = rows.where("o_orderstatus <> 'F'").orderBy("o_totalprice", "o_orderkey").limit(200)
-    return rows.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus").union(rest.select("o_orderkey", "o_orderstatus"))
+    return ordered.best_of_the_rest(rows, F.col("o_orderstatus") == "F", ["o_totalprice", "o_orderkey"], 200).select("o_orderkey", "o_orderstatus")
 
 
 @_query("SELECT o_custkey, o_orderkey, n, total * 1.0 / ((total + 2) // 3) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) WHERE (n - 1) % 3 = 0")
 def systematic_sample(spark, d):
-    key = Window.partitionBy("o_custkey")
-    rows = C.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(key.orderBy("o_orderkey")).cast("long").alias("n"), F.count("*").over(key).alias("total"))
-    return rows.where("(n - 1) % 3 = 0").select("o_custkey", "o_orderkey", "n", (F.col("total") / F.expr("(total + 2) div 3")).alias("weight"))
+    return ordered.systematic_sample(C.table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 3)
 
 
 @_query("SELECT 'part' AS kind, p_partkey AS id, CAST(p_size AS BIGINT) AS size FROM part UNION ALL SELECT 'supplier', s_suppkey, NULL FROM supplier")
@@ -403,7 +378,7 @@ def event_rows_union(spark, d):
 def sort_nulls_last(spark, d):
     value = F.when(F.pmod("c_custkey", F.lit(5)) != 0, F.col("c_acctbal"))
     rows = C.table(spark, d, "customer").select("c_custkey", value.alias("v"))
-    return rows.select("c_custkey", F.row_number().over(Window.orderBy(F.desc_nulls_last("v"), "c_custkey")).cast("long").alias("n"))
+    return ordered.numbered(rows, F.desc_nulls_last("v"), "c_custkey", name="n").select("c_custkey", "n")
 
 
 @_query("SELECT p_partkey, reverse(translate(upper(replace(p_name, ' ', '')), 'ACGT', 'TGCA')) AS rc FROM part")
@@ -413,15 +388,13 @@ def reverse_complement(spark, d):
 
 @_query("SELECT c_custkey, round((rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) - 1) * 1.0 / count(*) OVER (PARTITION BY c_mktsegment), 6) AS share FROM customer")
 def percentile_rank(spark, d):
-    key = Window.partitionBy("c_mktsegment")
-    return C.table(spark, d, "customer").select("c_custkey", F.round((F.rank().over(key.orderBy("c_acctbal")) - 1) / F.count("*").over(key), 6).alias("share"))
+    return ordered.share_below(C.table(spark, d, "customer"), "c_mktsegment", "c_acctbal").select("c_custkey", F.round("share", 6).alias("share"))
 
 
 @_query(f"""WITH {C.ALN_SQL} SELECT start // 300 AS event, count(DISTINCT molecule) AS support, bool_or(status = 'F') AS known, max(len) AS longest, string_agg(DISTINCT strand, ',' ORDER BY strand) AS strands FROM aln GROUP BY 1""")
 def merge_events(spark, d):
-    rows = C.aln(spark, d).withColumn("event", F.expr("start div 300"))
-    strands = F.array_join(F.array_sort(F.collect_set("strand")), ",")
-    return rows.groupBy("event").agg(F.countDistinct("molecule").alias("support"), F.bool_or(F.col("status") == "F").alias("known"), F.max("len").alias("longest"), strands.alias("strands"))
+    rows = C.aln(spark, d).select(F.expr("start div 300").alias("event"), "molecule", (F.col("status") == "F").alias("known"), F.col("len").alias("length"), "strand")
+    return paths.merged_supports(rows, "event", "molecule")
 
 
 @_query("SELECT doc_id, sha256(text) AS sha, md5(text) AS md5 FROM documents")
@@ -451,9 +424,8 @@ FROM (SELECT DISTINCT l_partkey || ':' || l_returnflag AS k FROM lineitem WHERE
 )
 def callset_differential(spark, d):
     key = F.concat_ws(":", F.col("l_partkey").cast("string"), "l_returnflag").alias("k")
-    side = lambda n: C.table(spark, d, "lineitem").where(F.col("l_linestatus") == n).select(key).distinct()
-    a, b = side("F").withColumn("a", F.lit(True)), side("O").withColumn("b", F.lit(True))
-    return a.join(b, "k", "full").select("k", F.when(F.col("b").isNull(), "only_first").when(F.col("a").isNull(), "only_second").otherwise("both").alias("side"))
+    side = lambda n: C.table(spark, d, "lineitem").where(F.col("l_linestatus") == n).select(key, F.lit(1.0).alias("level")).distinct()
+    return comparison.differential(side("F"), side("O"), ["k"], "level").select("k", "side")
 
 
 @_query(
@@ -461,8 +433,10 @@ def callset_differential(spark, d):
 SELECT array_to_string(s, '|') AS signature, count(*) AS members FROM callable GROUP BY s HAVING count(*) >= 2"""
 )
 def seed_signatures(spark, d):
-    sets = C.obs(spark, d).where("state = 'ALTERNATE'").groupBy("molecule").agg(F.array_sort(F.collect_list("event")).alias("s"))
-    return sets.groupBy(F.array_join("s", "|").alias("signature")).agg(F.count("*").alias("members")).where("members >= 2")
+    observed = C.obs(spark, d)
+    signed = architectures.signatures(observed.where("state = 'ALTERNATE'").select("molecule").distinct(), observed)
+    members = architectures.seeds(signed, Config(max_candidate_architectures=4096))
+    return members.groupBy(F.array_join("signature", "|").alias("signature")).agg(F.count("*").alias("members"))
 
 
 @_query(
@@ -500,7 +474,7 @@ SELECT l_orderkey, l_linenumber, l_partkey AS position, assertion, coalesce(asse
 def clinical_left_join(spark, d):
     dim = C.table(spark, d, "part").where("p_size > 20").groupBy(F.col("p_partkey").alias("position")).agg(F.min("p_type").alias("assertion"), F.count("*").alias("assertions"))
     rows = C.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("position"))
-    return rows.join(dim, "position", "left").select("l_orderkey", "l_linenumber", "position", "assertion", F.coalesce("assertions", F.lit(0)).cast("long").alias("assertions"))
+    return annotation.with_assertions(rows, dim, ["position"]).select("l_orderkey", "l_linenumber", "position", "assertion", "assertions")
 
 
 @_query(
@@ -516,9 +490,7 @@ def structure_map(spark, d):
     differs = part.where("p_size = 7").select(gene, F.pmod(n, F.lit(350)).alias("residue")).distinct()
     lines = C.table(spark, d, "lineitem").select("l_partkey", F.pmod(F.col("l_suppkey") * 13, F.lit(350)).alias("residue"))
     asked = lines.join(part, lines.l_partkey == part.p_partkey).select(gene, "residue").distinct()
-    residues = model.select("gene", F.explode(F.sequence("first", "last")).alias("residue"))  # ranges of a gene, so the join is an equi-join
-    models = residues.groupBy("gene", "residue").agg(F.count("*").alias("models"))  # counted first: the join meets a row for each residue
-    return asked.join(differs, ["gene", "residue"], "left_anti").join(models, ["gene", "residue"])
+    return annotation.modelled(asked, model, differs)
 
 
 @_query(
@@ -569,7 +541,7 @@ SELECT ref, min(position) AS start, max(position) AS "end" FROM r GROUP BY ref,
 def homopolymer_runs(spark, d):
     base = F.substring(F.lit("ACGT"), (F.pmod(F.col("p_size") + F.pmod("p_partkey", F.lit(3)), F.lit(4)) + 1).cast("int"), F.lit(1))
     bases = C.table(spark, d, "part").select(F.col("p_partkey").alias("position"), base.alias("ref"))
-    return intervals.islands(bases, ["ref"], "position").where("end > start")
+    return ordered.islands(bases, ["ref"], "position").where("end > start")
 
 
 @_query(
