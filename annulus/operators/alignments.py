@@ -166,53 +166,68 @@ def segments(reads: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def split_events(parts: DataFrame, c: Config, length: int = coords.L) -> DataFrame:
-    """id, type, start, end, length, orientation, event_id, known_event, from each two segments that follow on the query."""
+#: Where the ends of the known common deletion lie, and bits of a record's flags.
+KNOWN_START, KNOWN_END = (8400, 8500), (13400, 13550)
+
+
+def _junctions(parts: DataFrame) -> DataFrame:
+    """id, from_strand, strand, out, in, jump, skipped: a row for each two segments that follow on the query. `out` and `in` are
+    the reference positions where the first is left and the second entered; `jump` counts the bases between them as the
+    strand reads the reference, negative where they overlap; `skipped` those of the query."""
     order = Window.partitionBy("id").orderBy("query_start", "query_end", "reference_start", "strand")
-    before = lambda name: F.lag(name).over(order)
-    forward = F.col("strand") == "+"
-    pairs = parts.select(
-        "id",
-        before("strand").alias("from_strand"),
-        "strand",
-        F.when(before("strand") == "+", before("reference_end")).otherwise(before("reference_start")).alias("leave"),
-        F.when(forward, F.col("reference_start")).otherwise(F.col("reference_end")).alias("enter"),
-        (F.col("query_start") - before("query_end") - 1).alias("query_gap"),
-    ).where("from_strand is not null")
-    step = F.when(forward, F.col("enter") - F.col("leave")).otherwise(F.col("leave") - F.col("enter"))
-    follows, linear, shared, circle = step > 0, step - 1, 1 - step, F.lit(length) + step - 1
-    low, high = F.least("leave", "enter"), F.greatest("leave", "enter")
-    least = c.sv_min_length
-    rules = (
-        (F.col("from_strand") != F.col("strand"), "inversion", low, high, high - low + 1),
-        (~follows & (circle < shared), "circular_origin", high, low, circle),
-        (~follows & (circle == shared) & (shared >= least), "ambiguous_adjacency", low, high, shared),
-        (follows & (linear >= least), "deletion", low + 1, high - 1, linear),
-        (~follows & (shared >= least), "duplication", low, high, shared),
-        (F.col("query_gap") >= least, "insertion", low, low, F.col("query_gap")),
-    )
-    event = F.lit(None).cast("struct<type:string,start:long,end:long,length:long>")
-    for condition, name, start, end, n in reversed(rules):
-        event = F.when(condition, F.struct(F.lit(name).alias("type"), start.cast("long").alias("start"), end.cast("long").alias("end"), n.cast("long").alias("length"))).otherwise(event)
-    rows = pairs.select("id", event.alias("e"), F.concat_ws("/", "from_strand", "strand").alias("orientation")).where("e is not null").select("id", "e.*", "orientation")
-    mark = F.when(F.col("type") == "insertion", F.concat(F.lit("+"), F.col("length").cast("string"))).otherwise(F.concat(F.lit("-"), F.col("end").cast("string")))
-    known = (F.col("type") == "deletion") & F.col("start").between(8400, 8500) & F.col("end").between(13400, 13550)
-    return rows.withColumn("event_id", F.concat(F.col("type"), F.lit(":"), F.col("start").cast("string"), mark)).withColumn("known_event", known)
+    ends = F.struct("strand", "query_end", F.when(F.col("strand") == "+", F.col("reference_end")).otherwise(F.col("reference_start")).alias("out"))
+    entered = F.when(F.col("strand") == "+", F.col("reference_start")).otherwise(F.col("reference_end"))
+    rows = parts.select("id", "strand", "query_start", entered.alias("in"), F.lag(ends).over(order).alias("last")).where("last is not null")
+    along = F.when(F.col("strand") == "+", F.lit(1)).otherwise(F.lit(-1))
+    jump = along * (F.col("in") - F.col("last.out")) - 1
+    return rows.select("id", F.col("last.strand").alias("from_strand"), "strand", F.col("last.out").alias("out"), "in", jump.alias("jump"), (F.col("query_start") - F.col("last.query_end") - 1).alias("skipped"))
+
+
+def split_events(parts: DataFrame, c: Config, length: int = coords.L) -> DataFrame:
+    """id, type, start, end, length, orientation, event_id, known_event of reads in several segments.
+
+    A change of strand is an inversion. On one strand, a jump ahead of the least length is a deletion. A jump
+    back is read the short way round the circle: if that leaves less than the overlap, the read crosses the origin;
+    if as much, the adjacency is ambiguous; else the overlap is a duplication. What is then left may hold an insertion
+    of skipped query bases.
+    """
+    rows, least, jump = _junctions(parts), F.lit(c.sv_min_length), F.col("jump")
+    overlap, around = -jump, length + jump
+    back = jump < 0
+    kind = F.when(F.col("from_strand") != F.col("strand"), "inversion").when(back & (around < overlap), "circular_origin")
+    kind = kind.when(back & (around == overlap) & (overlap >= least), "ambiguous_adjacency").when(back & (overlap >= least), "duplication")
+    kind = kind.when(~back & (jump >= least), "deletion").when(F.col("skipped") >= least, "insertion")
+    low, high = F.least("out", "in"), F.greatest("out", "in")
+    is_ = lambda *names: F.col("type").isin(*names)
+    start = F.when(is_("deletion"), low + 1).when(is_("circular_origin"), high).otherwise(low)
+    end = F.when(is_("deletion"), high - 1).when(is_("circular_origin", "insertion"), low).otherwise(high)
+    size = F.when(is_("inversion"), high - low + 1).when(is_("circular_origin"), around).when(is_("deletion"), jump).when(is_("insertion"), F.col("skipped")).otherwise(overlap)
+    told = rows.withColumn("type", kind).where("type is not null")
+    out = told.select("id", "type", start.cast("long").alias("start"), end.cast("long").alias("end"), size.cast("long").alias("length"), F.concat_ws("/", "from_strand", "strand").alias("orientation"))
+    place = F.when(F.col("type") == "insertion", F.concat_ws("+", "start", "length")).otherwise(F.concat_ws("-", "start", "end"))
+    known = (F.col("type") == "deletion") & F.col("start").between(*KNOWN_START) & F.col("end").between(*KNOWN_END)
+    return out.withColumn("event_id", F.concat_ws(":", "type", place)).withColumn("known_event", known)
 
 
 def merged_events(events: DataFrame, key: str = "event_id", molecule: str = "id") -> DataFrame:
-    """One row for each event: type, start, end, length, supporters, orientations, whether known."""
+    """One row for each event: type, start, end, length, support (molecules), orientations (four at most), whether known. Who
+    supports an event stays in rows (`event_members`), as a common event is in every read."""
     return events.groupBy(key).agg(
         F.min("type").alias("type"),
         F.min("start").alias("start"),
         F.min("end").alias("end"),
         F.min("length").alias("length"),
-        F.array_sort(F.collect_set(molecule)).alias("supporting_reads"),
+        F.countDistinct(molecule).alias("support"),
         F.array_sort(F.collect_set("orientation")).alias("orientations"),
         F.bool_or("known_event").alias("known_event"),
     )
 
 
+def event_members(events: DataFrame, key: str = "event_id", molecule: str = "id") -> DataFrame:
+    """key, molecule: who supports each event, once each."""
+    return events.select(key, molecule).distinct()
+
+
 def end_position(start: Column, ops: Column) -> Column:
     """The last reference position of an alignment, not folded; an alignment without a span holds its start."""
     return start + F.greatest(F.lit(1), text.reference_span(ops)) - 1

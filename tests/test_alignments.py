@@ -22,19 +22,21 @@ def row(name, position, cigar, sequence, flags=0, mapq=60, contig="MT", quality=
 
 
 def test_levels_with_interval(spark, tmp_path):
-    """Two molecules with G and one with A at 3243; one on a nuclear contig is no molecule."""
-    rows = [row("a", 3238, "12M", "GGCAGGGCCCGG"), row("b", 3238, "12M", "GGCAGGGCCCGG"), row("c", 3238, "12M", "GGCAGAGCCCGG"), row("d nuclear", 3238, "12M", "GGGGGGGGGGGG", contig="chr1")]
+    """Three molecules with T and two with C at 1504; one on a nuclear contig is no molecule."""
+    rows = [row(f"m{i}", 1500, "10M", "TTGA" + ("T" if i < 3 else "C") + "CAGTC") for i in range(5)] + [row("elsewhere", 1500, "10M", "T" * 10, contig="chr3")]
     reads = source.read_sam(spark, sam(tmp_path, *rows))
     config = Config()
     scored = alignments.with_numt(reads, config)
-    assert {r.id for r in scored.where("numt").collect()} == {"d nuclear"}
+    assert {r.id for r in scored.where("numt").collect()} == {"elsewhere"}
     bases = alignments.aligned_bases(scored.where(~F.col("numt")).where(alignments.passes_filters(config)))
     best = evidence.best_observation(bases.select(F.col("id").alias("molecule"), F.col("record_index").alias("fragment"), "position", "query", "base", "quality"))
-    reference = source.reference_table(spark, "N" * 3237 + "GGCAGAGCCCGG")
+    reference = source.reference_table(spark, "N" * 1499 + "TTGACCAGTC")
     found = evidence.variants(evidence.locus_levels(best), reference).collect()
-    assert len(found) == 1 and (found[0].position, found[0].ref, found[0].alt, found[0].support, found[0].callable) == (3243, "A", "G", 2, 3)
-    assert found[0].level == pytest.approx(0.666667, abs=1e-6)
-    assert (found[0].ci_low, found[0].ci_high) == (pytest.approx(0.207660, abs=1e-6), pytest.approx(0.938508, abs=1e-6))
+    assert len(found) == 1 and (found[0].position, found[0].ref, found[0].alt, found[0].support, found[0].callable) == (1504, "C", "T", 3, 5)
+    # the bounds are the shares q at which 3 of 5 is 1.96 standard errors away: (q - 0.6)^2 = z^2 q (1 - q) / 5
+    for bound in (found[0].ci_low, found[0].ci_high):
+        assert (bound - 0.6) ** 2 == pytest.approx(1.959963984540054**2 * bound * (1 - bound) / 5)
+    assert found[0].level == 0.6 and found[0].ci_low < 0.6 < found[0].ci_high
 
 
 def test_bases_wrap_the_origin(spark, tmp_path):
@@ -55,6 +57,11 @@ def test_split_events(spark, tmp_path):
     reads = source.read_sam(spark, sam(tmp_path, *rows))
     got = {r.id: r.event_id for r in alignments.split_events(alignments.segments(reads), Config()).collect()}
     assert got == {"del": "deletion:110-299", "origin": "circular_origin:16559-20", "dup": "duplication:1000-1009", "inv": "inversion:509-809", "ins": "insertion:1209+10"}
+    again = source.read_sam(spark, sam(tmp_path, *rows, ("del2", *rows[0][1:])))
+    events = alignments.split_events(alignments.segments(again), Config())
+    merged = {r.event_id: (r.support, r.length, r.orientations) for r in alignments.merged_events(events).collect()}
+    assert merged["deletion:110-299"] == (2, 190, ["+/+"]) and len(merged) == 5
+    assert {tuple(r) for r in alignments.event_members(events).where("event_id like 'del%'").collect()} == {("deletion:110-299", "del"), ("deletion:110-299", "del2")}
 
 
 def test_cigar_events(spark, tmp_path):
