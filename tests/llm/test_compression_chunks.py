@@ -35,3 +35,41 @@ def test_whole_texts_between_noise_and_prose_are_rejected(monkeypatch):
     noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(9)) for _ in range(90))
     got = compression_bands.measure(" ".join(rng.choice(words) for _ in range(400)) + " " + noise, zstandard.ZstdCompressor(level=3))
     assert 1.45 < got[5] < 1.82 and not got[-2] and not got[-1]
+
+
+def test_verdicts_are_those_of_the_limits_spelt_out(spark):
+    """Every verdict against a version of its own: ratios of whole texts and of 1 KB chunks, the last one ending with the text."""
+    import random
+    import re
+
+    import zstandard
+
+    rng = random.Random(31)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(1, 10))) for _ in range(600)]
+    texts = [None, "", "a b"]
+    for n in (49, 50, 60, 120, 300, 800, 2500):
+        texts += [" ".join(rng.choice(words) for _ in range(n)) for _ in range(6)]
+        texts += [" ".join(rng.choice(words[:40]) for _ in range(n)), "\n".join(["one two three four five"] * (n // 5 + 1))]
+        texts += [" ".join("".join(chr(rng.randrange(33, 127)) for _ in range(7)) for _ in range(n)), "é " * n]
+    prose, noise = (" ".join(x) for x in ([rng.choice(words) for _ in range(2000)], ["".join(chr(rng.randrange(33, 127)) for _ in range(9)) for _ in range(300)]))
+    texts += [prose + noise, noise + prose, prose[:5000] + noise + prose[5000:]]
+    pack = lambda raw: len(raw) / len(zstandard.ZstdCompressor(level=compression_bands.LEVEL).compress(raw))
+    band = lambda table, size: next((a, b) for most, a, b in table if size <= most)
+
+    def verdict(text):
+        raw = (text or "").encode()
+        tokens = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(tokens[i : i + 3]) for i in range(len(tokens) - 2)]
+        repeated = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)} if len(set(windows)) < len(windows) else set()
+        if len(tokens) < 50 or 2 * len(repeated) > len(tokens):
+            return False
+        low, high = band(compression_bands.BANDS, len(raw))
+        size = min(len(raw), 1024)
+        ends = sorted({*range(size, len(raw) + 1, size), len(raw)})
+        least, most = band(compression_bands.CHUNK_BANDS, size)
+        bad = sum(not least <= pack(raw[e - size : e]) <= most for e in ends)
+        return low <= pack(raw) <= high and bad <= compression_bands.MAX_BAD_CHUNKS * len(ends)
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in compression_bands.with_quality(frame).collect()}
+    assert got == {i: verdict(t) for i, t in enumerate(texts)} and set(got.values()) == {True, False}
