@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annulus.functions import haplotypes, indels, stats
+from annulus.functions import coords, haplotypes, indels, stats
 from annulus.operators import intervals, ordered
+from annulus.operators.alignments import walked
 
 # Fixed values.
 TRIM, MEAN_FLOOR, RHO_FLOOR = 0.01, 1e-5, 5e-4
@@ -42,6 +43,35 @@ def without_placeholders(events: DataFrame, reference: str) -> DataFrame:
     return events.where(~(short & (F.array_contains(places, F.col("left")) | F.array_contains(places, F.col("right")))))
 
 
+def counted(reads: DataFrame, reference: str, longest: int = 49) -> DataFrame:
+    """deletion, left, right, allele, forward, reverse: molecules by strand that show each insertion or deletion of up to
+    `longest` bases in an alignment (molecule, flags, reference_start, cigar_operations, sequence), at the leftmost and rightmost
+    place of the circular reference that gives the same sequence. An insertion stands behind its left position."""
+    n = len(reference)
+    ops = F.filter(walked(F.col("cigar_operations")), lambda o: o["code"].isin("I", "D") & (o["length"] <= longest))
+    at = lambda o: coords.fold(F.col("reference_start") + o["reference"], n).cast("long")
+    found = F.transform(ops, lambda o: F.struct((o["code"] == "D").alias("deletion"), at(o).alias("at"), o["length"].alias("length"), F.upper(F.substring(F.col("sequence"), o["query"] + 1, o["length"])).alias("bases")))
+    strand = F.when(F.col("flags").bitwiseAND(F.lit(0x10)) != 0, 1).otherwise(0)
+    rows = reads.select("molecule", strand.alias("strand"), F.explode(found).alias("o")).select("molecule", "strand", "o.*")
+    rows = rows.where(F.col("deletion") | F.regexp("bases", F.lit("^[ACGT]+$")))
+    distinct = rows.select("deletion", "at", "length", F.when(~F.col("deletion"), F.col("bases")).alias("bases")).distinct()
+    kind = T.StructType([T.StructField("left", T.LongType()), T.StructField("right", T.LongType()), T.StructField("allele", T.StringType())])
+
+    @F.pandas_udf(kind)
+    def placed(deletion: pd.Series, at: pd.Series, length: pd.Series, bases: pd.Series) -> pd.DataFrame:
+        out = []
+        for d, p, k, b in zip(deletion, at, length, bases):
+            gone = "".join(reference[(p - 1 + i) % n] for i in range(k))
+            place = indels.placements(reference, int(p), gone, False) if d else indels.placements(reference, int(p - 2) % n + 1, b, True)
+            out.append((place.left, place.right, place.left_bases))
+        return pd.DataFrame(out, columns=kind.names)
+
+    named = distinct.withColumn("p", placed("deletion", "at", "length", "bases")).select("deletion", "at", "length", "bases", "p.*")
+    joined = rows.withColumn("bases", F.when(~F.col("deletion"), F.col("bases"))).alias("r").join(named.alias("n"), F.expr("r.deletion = n.deletion and r.at = n.at and r.length = n.length and r.bases <=> n.bases"))
+    once = joined.groupBy("r.molecule", "n.deletion", "n.left", "n.right", "n.allele").agg(F.min("r.strand").alias("strand"))
+    return once.groupBy("deletion", "left", "right", "allele").agg(F.count_if(F.col("strand") == 0).alias("forward"), F.count_if(F.col("strand") == 1).alias("reverse"))
+
+
 @dataclass(frozen=True)
 class Context:
     """Runs of equal bases and tandem repeats of a circular consensus, by position from 1."""
