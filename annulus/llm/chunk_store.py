@@ -260,16 +260,22 @@ def _checked_chunks(spark: SparkSession, path: str) -> DataFrame:
     def checked(batches):
         for batch in batches:
             keys, sizes, ids = (batch.column(k) for k in range(3))
-            sizes, crcs, sound, last = sizes.to_pylist(), [], [], 0
-            raws = ids.to_pylist()
-            joined = b"".join(raws)
-            wide = memoryview(joined)
-            if len(joined) == 2 * sum(sizes):
-                wide = memoryview(np.frombuffer(joined, "<u2").astype("<u4")).cast("B")
-            for key, n, raw in zip(keys.to_pylist(), sizes, raws):
-                crcs.append(zlib.crc32(wide[last : last + 4 * n]))
-                last += 4 * n
-                sound.append(address(raw) == key)
+            # The ids lie one after the other in the column's buffer, which is read in place.
+            kind = np.int64 if pa.types.is_large_binary(ids.type) else np.int32
+            ends = np.frombuffer(ids.buffers()[1], kind)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) if len(ids) else np.zeros(1, np.int64)
+            raw = memoryview(ids.buffers()[2] or b"")[ends[0] : ends[-1]]
+            ends -= ends[0]
+            counts, times, wide = sizes.to_numpy(zero_copy_only=False), 1, raw
+            if (np.diff(ends) == 2 * counts).all():
+                times, wide = 2, memoryview(np.frombuffer(raw, "<u2").astype("<u4")).cast("B")
+            crcs, sound, last = [], [], 0
+            for key, n, end in zip(keys.to_pylist(), counts.tolist(), ends[1:].tolist()):
+                own = wide[times * last : times * end]
+                if times == 1 and end - last == 2 * n:  # beside a chunk of another size, which is damaged
+                    own = np.frombuffer(own, "<u2").astype("<u4").tobytes()
+                crcs.append(zlib.crc32(own))
+                sound.append(address(raw[last:end]) == key)
+                last = end
             columns = [keys, batch.column(1), pa.array(crcs, pa.int64()), pa.array(sound, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["address", "size", "crc", "sound"])
 

@@ -9,7 +9,8 @@ detection, an interval of words. Intervals are ordered by start, then longer
 first, then by priority; a detection contained in one of the same or a higher
 priority is suppressed. Labels come from what is left; a rule without a label
 says that a license doesn't hold ("not under the MIT license") and suppresses
-what it contains.
+what it contains. Rules go by the first anchor of their keywords: only the rules
+of anchors that a text holds are looked at.
 
 The four base phrases are rules too, but their places are reported in full.
 
@@ -43,7 +44,7 @@ BASE = (
 
 #: Each rule's keyword contains one of these.
 ANCHORS = (
-    "licen", "cc", "gpl", "spdx", "public domain", "creative", "apache", "clause", "permission", "redistribut", "as is", "warrant",
+    "licen", "cc by", "cc0", "gpl", "spdx", "public domain", "creative", "apache", "clause", "permission", "redistribut", "as is", "warrant",
     "liab", "reserved", "copyright", "confidential", "trade secret", "exception", "reproduce", "unauthori", "endorse", "advertising",
 )
 
@@ -371,31 +372,27 @@ def _unsuppressed(ordered: Column) -> Column:
     return F.when(F.size(ordered) > 0, _let(_blocks(ordered, reach), kept)).otherwise(F.array().cast(_PLACE))
 
 
+_RULE = "array<struct<id:int,keyword:string,pattern:string,priority:int>>"
+
+
+def _table(anchor: str) -> Column:
+    """The rules that have this anchor as their first."""
+    rows = [(i, r) for i, r in enumerate(RULES) if next(a for a in ANCHORS if a in r.keyword) == anchor]
+    fields = lambda i, r: (("id", i), ("keyword", r.keyword), ("pattern", f"(?<= )(?:{r.pattern})(?= )"), ("priority", r.priority))
+    return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in fields(i, r))) for i, r in rows)).cast(_RULE)
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` with n_words, base (places of base phrases) and detections (what suppression leaves),
     both arrays of (first_word, n_words, rule, label, priority, score)."""
     added = ("n_words", "base", "detections")
     own = [F.col(c) for c in docs.columns if c not in added]
-    table = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("id"),
-                F.lit(r.keyword).alias("keyword"),
-                F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"),
-                F.lit(r.priority).alias("priority"),
-            )
-            for i, r in enumerate(RULES)
-        )
-    )
     line_name, raw_name = free_name(docs, "_line"), free_name(docs, "_raw")
     lined = docs.select(*own, word_line(F.col(text)).alias(line_name))
     line, raw_ = F.col(line_name), F.col(raw_name)
-    gate = F.lit(False)
-    for a in ANCHORS:
-        gate = gate | F.contains(line, F.lit(a))
-    tried = F.filter(table, lambda r: F.contains(line, r["keyword"]))
+    tried = F.concat(*(F.when(F.contains(line, F.lit(a)), F.filter(_table(a), lambda r: F.contains(line, r["keyword"]))).otherwise(F.array().cast(_RULE)) for a in ANCHORS))
     found = F.array_sort(F.flatten(F.transform(tried, lambda r: _matches(line, r))))
-    raw = lined.withColumn(raw_name, F.when(gate, found).otherwise(F.array().cast(_PLACE)))
+    raw = lined.withColumn(raw_name, found)
     labels = F.array(*(F.lit(r.label) for r in RULES))
     scores = F.array(*(F.lit(r.score) for r in RULES))
 

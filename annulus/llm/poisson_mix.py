@@ -67,17 +67,24 @@ def _cdf(rate):
     return F.when(rate > 0, found).otherwise(F.array(F.lit(1.0)))
 
 
-def repetitions(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float = 1.0, seed: int = SEED) -> DataFrame:
-    """The rows of `docs` with rate and n_copies."""
+def _drawn(docs: DataFrame, weights: dict[str | None, float] | None, budget: float, seed: int) -> tuple[DataFrame, str]:
+    """The rows of `docs` with rate, n_copies and their names, and the name of that column."""
     table = rates(docs.select("source", "text"), weights, budget)
     # Written first, so that its size is known when the join is planned: a row for each source.
     own = docs.drop("rate", "n_copies")
-    source, cdf, point = (free_name(own, x) for x in ("_source", "_cdf", "_point"))
+    source, cdf, name = (free_name(own, x) for x in ("_source", "_cdf", "_name"))
     table = written(table.select(F.col("source").alias(source), "rate", _cdf(F.col("rate")).alias(cdf)), "rates")
-    joined = own.join(table, F.col("source").eqNullSafe(F.col(source)))
-    joined = joined.withColumn(point, _point(F.lit(f"{seed}"), _name()))
-    count = F.size(F.filter(cdf, lambda c: c <= F.col(point))).cast("long")
-    return joined.withColumn("n_copies", count).select(*own.columns, "rate", "n_copies")
+    # Texts are hashed once, below the join; a point is found once for each row, not for each step of its source's curve.
+    joined = own.withColumn(name, _name()).join(table, F.col("source").eqNullSafe(F.col(source)))
+    points = F.array(_point(F.lit(f"{seed}"), F.col(name)))
+    count = F.element_at(F.transform(points, lambda p: F.size(F.filter(cdf, lambda c: c <= p))), 1).cast("long")
+    return joined.withColumn("n_copies", count).select(*own.columns, "rate", "n_copies", name), name
+
+
+def repetitions(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float = 1.0, seed: int = SEED) -> DataFrame:
+    """The rows of `docs` with rate and n_copies."""
+    drawn, name = _drawn(docs, weights, budget, seed)
+    return drawn.drop(name)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float = 1.0, seed: int = SEED) -> DataFrame:
@@ -86,7 +93,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, budget:
     Adds rate, n_copies, copy (from 0) and shuffle_key, by whose hash rows are dealt to partitions
     and by which they are sorted there.
     """
-    drawn = repetitions(docs.drop("copy", "shuffle_key"), weights, budget, seed)
+    drawn, name = _drawn(docs.drop("copy", "shuffle_key"), weights, budget, seed)
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), _name(), F.col("copy").cast("string")).cast("binary"))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.col(name), F.col("copy").cast("string")).cast("binary"))
+    return copies.withColumn("shuffle_key", key).drop(name).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

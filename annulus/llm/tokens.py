@@ -19,11 +19,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 
 #: Pieces of a table's generation, a bound on memory only: a full one becomes the old one, whose pieces move up when met.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 600_000
 #: Characters encoded between two looks at the tables' sizes.
 SLICE_CHARS = 1 << 20
 
@@ -32,6 +33,7 @@ _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 _MARK = "!-&(-/:-@\\[-`{-~"
 #: A piece of words, numbers, marks and single line ends between them, and the tokens that the pre-tokenizer's pattern makes of it.
 _PLAIN = re.compile(f"[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*")
+_ENDS = frozenset(".,;:!?)]}\"")
 _PARTS = re.compile(f"[{_LETTER}]+|[0-9]+|[{_MARK}]+|\n")
 
 
@@ -55,8 +57,10 @@ def _letters(text: str) -> str:
 class _Table(dict):
     """Ids by key, in two generations: `old` is looked at when a key isn't found."""
 
-    def __init__(self):
+    def __init__(self, encoder: Encoder):
         self.old: dict[str, bytes] = {}
+        tokenize, raw, id_of = encoder.tokenizer.model.tokenize, encoder.raw.__getitem__, attrgetter("id")
+        self.joined = lambda letters: b"".join(map(raw, map(id_of, tokenize(letters))))
 
     def aged(self, encoder: Encoder) -> _Table:
         """This table, or where it is full a new one that has it as the old one."""
@@ -70,14 +74,9 @@ class _Table(dict):
 class _Bare(_Table):
     """Ids of tokens of the pre-tokenizer without a space in front, by the model alone."""
 
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.tokenize, self.raw = encoder.tokenizer.model.tokenize, encoder.raw
-
     def __missing__(self, token: str) -> bytes:
         if (ids := self.old.get(token)) is None:
-            raw = self.raw
-            ids = b"".join([raw[t.id] for t in self.tokenize(token if token.isascii() and token != "\n" else _letters(token))])
+            ids = self.joined(token if token.isascii() and token != "\n" else _letters(token))
         self[token] = ids
         return ids
 
@@ -86,23 +85,22 @@ class _Pieces(_Table):
     """Ids of pieces with the space in front of them; a word is a piece, too."""
 
     def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.tokenize, self.raw = encoder.tokenizer.model.tokenize, encoder.raw
+        super().__init__(encoder)
         self.bare, self.whole, self.space = encoder.bare, encoder.whole, _letters(" ")
 
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is not None:
             pass
         elif piece.isalpha() and (piece.isascii() or max(piece) < "\u0180"):
-            raw, letters = self.raw, self.space + (piece if piece.isascii() else _letters(piece))
-            ids = b"".join([raw[t.id] for t in self.tokenize(letters)])
+            ids = self.joined(self.space + (piece if piece.isascii() else _letters(piece)))
+        elif piece[-1:] in _ENDS and (word := piece[:-1]).isalpha() and (word.isascii() or max(word) < "\u0180"):
+            ids = self[word] + self.bare[piece[-1]]
         elif _PLAIN.fullmatch(piece):
             head, *parts = _PARTS.findall(piece)
             if parts:
                 ids = self[head] + b"".join(map(self.bare.__getitem__, parts))
             else:  # a number, or marks
-                raw = self.raw
-                ids = b"".join([raw[t.id] for t in self.tokenize(self.space + head)])
+                ids = self.joined(self.space + head)
         elif not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Unsafe
         else:

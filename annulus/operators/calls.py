@@ -15,6 +15,7 @@ from annulus.functions import coords, indels, stats
 from annulus.operators.alignments import base_places, walked
 from annulus.operators.evidence import outliers
 from annulus.operators.intervals import depth, merged, split_at_origin
+from annulus.operators.shared import written
 
 # Fixed values of the calling method.
 QUALITY_BINS = 8
@@ -222,8 +223,8 @@ def call_substitutions(reads: DataFrame, reference: DataFrame, config: Config, l
     bases = read_bases(reads, config, length)
     first = consensus(pileup(bases), reference)
     gone = divergent(bases, first).where("outlier").select("molecule")
-    cells = pileup(bases.join(gone, "molecule", "left_anti")).cache()
-    return substitutions(cells, consensus(cells, reference).cache())
+    cells = written(pileup(bases.join(gone, "molecule", "left_anti")), "cells")
+    return substitutions(cells, written(consensus(cells, reference), "consensus"))
 
 
 def aligned_pieces(reads: DataFrame, length: int = coords.L, gap: int = 50, guard: int = 0) -> DataFrame:

@@ -13,6 +13,7 @@ from annulus.operators import intervals
 from annulus.operators.alignments import walked
 from annulus.operators.annotation import deletion_impact
 from annulus.operators.evidence import band_components
+from annulus.operators.shared import written
 
 # Fixed values of the calling method.
 SMALL, LARGE, ANCHOR, QUERY_GAP, ORIGIN = 50, 50, 100, 50, 100
@@ -113,11 +114,12 @@ def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, mol
         return pd.DataFrame([indels.junction(consensus, int(a), int(b)) for a, b in zip(left, right)], columns=["left", "right", "shift"])
 
     distinct = junctions.groupBy("left", "right", "length").agg(F.count("*").alias("n"))
-    moved = distinct.withColumn("m", leftmost("left", "right")).select(F.col("left").alias("raw_left"), F.col("right").alias("raw_right"), "length", "m.*").cache()
+    moved = distinct.withColumn("m", leftmost("left", "right")).select(F.col("left").alias("raw_left"), F.col("right").alias("raw_right"), "length", "m.*")
+    moved = written(moved, "placements")
     nodes = moved.select("left", "length").distinct().withColumn("node", F.struct("left", "length"))
     clusters = band_components(nodes.select("node", "left", "length"), "node", {"left": PLACEMENT, "length": LENGTH_TOLERANCE})
     rows = junctions.withColumnsRenamed({"left": "raw_left", "right": "raw_right"}).join(moved, ["raw_left", "raw_right", "length"])
-    rows = rows.withColumn("node", F.struct("left", "length")).join(clusters, "node").withColumn("cluster", F.to_json("component")).cache()
+    rows = written(rows.withColumn("node", F.struct("left", "length")).join(clusters, "node").withColumn("cluster", F.to_json("component")), "junctions")
     first = rows.groupBy("cluster", "molecule").agg(F.min("strand").alias("strand"))
     support = first.groupBy("cluster").agg(F.count("*").alias("support"), F.count_if(F.col("strand") == "+").alias("forward"), F.count_if(F.col("strand") == "-").alias("reverse"))
     lone = F.broadcast(support.agg(F.count_if(F.col("support") < 2).alias("singletons")))

@@ -79,3 +79,43 @@ def test_refusals(spark, tmp_path):
 def test_long_cigar_comes_from_its_tag():
     row = bam.record(packed("x", 0, "MT", 1, 9, "4S9N", "ACGT", "IIII", [("CG", "B", ("I", [2 << 4, 1 << 4 | 1, 1 << 4]))])[4:], NAMES)
     assert row[5] == "2M1I1M" and "CG" not in row[8]
+
+
+def blocked(path, rows, cut):
+    """A BAM in true BGZF blocks of up to `cut` bytes each, which records cross."""
+    import zlib
+
+    def block(data):
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = deflate.compress(data) + deflate.flush()
+        return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+    data = bam.MAGIC + struct.pack("<i", 3) + b"@CO" + struct.pack("<i", len(NAMES)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", 16569) for n in NAMES) + b"".join(rows)
+    path.write_bytes(b"".join(block(data[i : i + cut]) for i in range(0, len(data), cut)) + block(b""))
+    return str(path)
+
+
+@pytest.mark.parametrize("cut,size", [(100, 300), (700, 900), (5000, 2000), (65000, 4000), (40, 1 << 20)])
+def test_splits_hold_every_record_once(spark, tmp_path, cut, size):
+    import random
+
+    rng = random.Random(cut)
+    rows = []
+    for i in range(400):
+        n = rng.choice([1, 5, 40, 300, 3000 if i % 50 == 0 else 20])
+        bases = "".join(rng.choice("ACGT") for _ in range(n))
+        rows.append((f"read{i}", rng.choice([0, 16]), "MT", 1 + rng.randrange(9000), 60, f"{n}M", bases, "I" * n, [("NM", "i", i), ("XF", "f", 0.1)]))
+    path = blocked(tmp_path / "x.bam", [packed(*r) for r in rows], cut)
+    whole = list(bam.records(path))
+    parts = bam.splits(path, size)
+    assert len(parts) > 1 or size >= 1 << 20
+    got = [r for p, a, b in parts for r in (bam.records(p) if b < 0 else bam.split_records(p, a, b))]
+    assert [r[3:] for r in got] == [r[3:] for r in whole] and len(got) == 400
+    table = bam.read_bam(spark, path, split_bytes=size).orderBy("record_index").collect()
+    assert [(r.record_index, r.id) for r in table] == [(i, f"read{i}") for i in range(400)]
+    assert table[0].aux_tags["XF"] == "0.10000000149011612"
+
+
+def test_the_supplementary_tag_is_text(spark, tmp_path):
+    with pytest.raises(AnalysisError, match="E1103"):
+        bam.record(packed("x", 0, "MT", 1, 9, "1M", "A", "I", [("SA", "i", 1)])[4:], NAMES)
