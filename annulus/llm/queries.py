@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annulus.llm import (
     chunk_store,
     compression_bands,
+    filter_audit,
     langid,
     length_histogram,
     license_rules,
@@ -17,7 +18,9 @@ from annulus.llm import (
     packing,
     poisson_mix,
     projection_forest,
+    sentencepiece_bpe,
     simhash,
+    vector_codes,
 )
 
 
@@ -27,6 +30,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,6 +94,25 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
+def op11_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_bpe.encode(docs, piece_model_path(), verify=True).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "verified",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,6 +131,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_poisson_mix,
         op9_byte_index_simhash,
         op10_hierarchical_packing,
+        op11_va_file_codes,
+        op12_filter_audit,
+        op13_sentencepiece_agenda,
         pipeline,
     )
     return {f.__name__: f for f in own}
@@ -182,5 +213,77 @@ FROM embeddings e JOIN parts ON n = e.vec_id LEFT JOIN counts ON a = e.vec_id
 """
 
 
+def _round_sql(k: int) -> str:
+    """Assignment by the codebooks of round k, and those of the next round."""
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, label, part, q, entry, d FROM (
+    SELECT p.*, b.entry, list_sum(list_transform(list_zip(p.q, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts p JOIN b{k} b USING (part))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1
+), b{k + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, e) AS e FROM b{k} LEFT JOIN (
+    SELECT part, entry, list(v ORDER BY i) AS m FROM (
+      SELECT part, entry, i, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+      FROM (SELECT part, entry, generate_subscripts(q, 1) AS i, unnest(q) AS x FROM a{k}) GROUP BY ALL) GROUP BY ALL
+  ) USING (part, entry)
+)"""
+
+
+_CODES_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) > 0 AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, part, q[part * len(q) // {vector_codes.PARTS} + 1 : (part + 1) * len(q) // {vector_codes.PARTS}] AS q FROM v, range(0, {vector_codes.PARTS}) t(part)
+), b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, q AS e FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {vector_codes.ENTRIES})
+), {",".join(_round_sql(k) for k in range(vector_codes.ROUNDS + 1))}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{vector_codes.ROUNDS} GROUP BY ALL
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i))
+  FROM (SELECT part, entry, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM b{vector_codes.ROUNDS})) AS codebooks_sha256
+FROM coded
+"""
+
+
+_AUDIT_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words
+  FROM documents
+), said AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN said USING (doc_id)
+), masks AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY ALL
+), orders(filter_order) AS (VALUES {", ".join(f"('{o}')" for o in filter_audit.ORDERS)}
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, filter_order[1 : step - 1] AS earlier FROM orders, range(1, 6) t(step)
+), seen AS (
+  SELECT part, filter_order, step, f, contains(fails, f) AS failed, len(list_filter(string_split(earlier, ''), lambda c: c <> '' AND contains(fails, c))) > 0 AS gone, fails, n, good, toxic
+  FROM masks, steps
+), told AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, f,
+         coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (failed AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (failed AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (failed AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (failed AND NOT gone), 0) AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM told
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_projection_forest": _FOREST_SQL, "op7_line_runs": _LINE_RUNS_SQL, "op8_poisson_mix": _MIX_SQL}
+    return {"op11_va_file_codes": _CODES_SQL, "op12_filter_audit": _AUDIT_SQL, "op3_projection_forest": _FOREST_SQL, "op7_line_runs": _LINE_RUNS_SQL, "op8_poisson_mix": _MIX_SQL}
