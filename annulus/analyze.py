@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.functions import coords
-from annulus.operators import alignments, annotation, calls, deletions, documents, exports, indel_calls, intervals, lineage, molecules, reports
+from annulus.operators import alignments, annotation, calls, deletions, documents, exports, haplotypes, indel_calls, intervals, lineage, molecules, reports
 from annulus.operators.shared import written
 from annulus.sources import alignments as sources
 
@@ -29,7 +29,10 @@ class Analysis:
     indels: DataFrame
     deletions: DataFrame
     effects: DataFrame
-    lineages: DataFrame | None
+    haplotypes: haplotypes.Haplotypes
+    clusters: DataFrame  # molecule, cluster, outlier: haplotypes as clusters
+    lineages: DataFrame | None  # of the consensus
+    haplotype_lineages: DataFrame | None  # of each haplotype
 
     def variants(self) -> DataFrame:
         """Calls that pass as variants for the exports: position, ref, alt, support, callable, level, ci_low, ci_high, gene."""
@@ -46,9 +49,11 @@ class Analysis:
             "indels": (self.indels.where("pass"), ["left", "id"]),
             "deletions": (self.deletions.where("pass"), ["start", "end"]),
             "effects": (self.effects, ["position", "alt", "gene"]),
+            "haplotypes": (self.haplotypes.summary, ["haplotype"]),
         }
         if self.lineages is not None:
             sections["lineages"] = (self.lineages, ["cluster", "rank"])
+            sections["haplotype_lineages"] = (self.haplotype_lineages, ["cluster", "rank"])
         return documents.document(spark, {"sample": name, "schema_version": "0.5"}, sections)
 
     def write(self, folder: str, name: str = "sample") -> None:
@@ -73,7 +78,8 @@ def analyze(spark: SparkSession, path: str, reference: str, config: Config = Con
     bases = calls.read_bases(used, config, n)
     gone = calls.divergent(bases, calls.consensus(calls.pileup(bases), table)).where("outlier").select("molecule")
     kept = written(used.join(written(gone, "divergent"), "molecule", "left_anti"), "kept")
-    cells = written(calls.pileup(calls.read_bases(kept, config, n)), "cells")
+    held = calls.read_bases(kept, config, n)
+    cells = written(calls.pileup(held), "cells")
     agreed = written(calls.consensus(cells, table), "consensus")
     sequence = "".join(r.major for r in agreed.orderBy("position").select("major").toLocalIterator())  # as long as the genome
     substitutions = written(calls.substitutions(cells, agreed), "substitutions")
@@ -93,16 +99,22 @@ def analyze(spark: SparkSession, path: str, reference: str, config: Config = Con
     low = kept.groupBy("molecule").agg(F.min("mapping_quality").alias("mapping_quality"))
     split = parts.withColumnRenamed("id", "molecule").join(low, "molecule")
     junctions = written(deletions.cigar_junctions(kept, n).unionByName(deletions.split_junctions(split, config, n)), "junctions")
-    large = deletions.large_deletions(junctions, pieces.select("molecule", "start", "end"), sequence, kept.select("molecule").distinct().count(), depths)
+    large = deletions.large_deletions(junctions, pieces.select("molecule", "start", "end"), sequence, kept.select("molecule").distinct().count(), depths, kept)
+    if n == coords.L:
+        large = deletions.with_impact(large)
 
     passing = substitutions.where("pass")
     # genes are those of the annotated genome; on another reference nothing is annotated
     effects = annotation.substitution_effects(passing.select("position", "alt").where(F.lit(n == coords.L)), reference)
-    lineages = None
+    mixed = haplotypes.haplotypes(held, substitutions, calls.run_lengths(spark, sequence))
+    lineages = by_haplotype = None
     if definitions is not None:
         small = indels.where("pass").select(F.col("vcf_position").alias("position"), F.col("vcf_ref").alias("ref"), F.col("vcf_alt").alias("alt"), "fraction", "pass")
         marks = lineage.consensus_markers(passing.select("position", "ref", "alt", "fraction", "pass").unionByName(small)).withColumn("cluster", F.lit(0))
         ranges = intervals.deep_ranges(depths).withColumn("cluster", F.lit(0))
         lineages = lineage.lineage_calls(lineage.within_ranges(marks, ranges), definitions, ranges)
+        each = ranges.drop("cluster").crossJoin(F.broadcast(mixed.summary.select(F.col("haplotype").alias("cluster"))))  # four haplotypes at most
+        by_haplotype = lineage.lineage_calls(lineage.within_ranges(mixed.markers, each), definitions, each)
     coverage = reports.molecule_bins(depths, min(180, n), n)
-    return Analysis(reads, assembled, coverage, substitutions, indels, large, effects, lineages)
+    clusters = haplotypes.as_clusters(assembled, mixed.members)
+    return Analysis(reads, assembled, coverage, substitutions, indels, large, effects, mixed, clusters, lineages, by_haplotype)

@@ -1,4 +1,4 @@
-"""Likelihood of reads under haplotypes, and mixtures of molecules over binary sites."""
+"""Likelihood of reads under haplotypes, and how far two haplotypes are apart."""
 
 from __future__ import annotations
 
@@ -61,43 +61,3 @@ def pair_hmm(read: str, qualities, haplotype: str, gap_open: float = 1e-3, gap_e
 def distinguishing_sites(first: np.ndarray, second: np.ndarray, least: float = 0.6) -> int:
     """Sites at which two components' rates differ by `least` or more."""
     return int((np.abs(np.asarray(first) - np.asarray(second)) >= least).sum())
-
-
-def bernoulli_mixture(x: np.ndarray, components: int, error: float = 0.01, rounds: int = 40, seed: int = 1):
-    """Weights, site rates, posteriors and log likelihood of molecules x sites (1, 0, NaN: not seen) by EM."""
-    x = np.asarray(x, float)
-    seen, rng = ~np.isnan(x), np.random.default_rng(seed)
-    ones = np.nan_to_num(x)
-    starts = [int(np.argmax(seen.sum(axis=1)))]
-    while len(starts) < components:  # the molecule farthest from those chosen
-        distance = np.min([(seen & seen[s] & (ones != ones[s])).sum(axis=1) for s in starts], axis=0)
-        starts.append(int(np.argmax(distance + 1e-9 * rng.random(len(x)))))
-    rate = np.array([np.where(seen[s], np.where(ones[s] > 0, 1 - error, error), 0.5) for s in starts])
-    weight, before = np.full(components, 1 / components), -math.inf
-    for _ in range(rounds):
-        logs = np.log(weight) + ones @ np.log(rate).T + (seen & (ones == 0)) @ np.log1p(-rate).T
-        top = logs.max(axis=1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-        posterior = np.exp(logs - total[:, None])
-        likelihood = float(total.sum())
-        if abs(likelihood - before) < 1e-7:
-            break
-        before = likelihood
-        weight = np.maximum(1e-12, posterior.mean(axis=0))
-        rate = np.clip((posterior.T @ ones) / np.maximum(1e-12, posterior.T @ seen), error, 1 - error)
-    order = np.argsort(-weight, kind="stable")
-    return weight[order], rate[order], posterior[:, order], likelihood
-
-
-def mixture_of(x: np.ndarray, most: int = 4, gain: float = 10.0, distinct: int = 3, error: float = 0.01):
-    """The mixture with the most components whose BIC gains over the last, with at least `distinct` sites that differ by 0.6."""
-    x = np.asarray(x, float)
-    best = bernoulli_mixture(x, 1, error)
-    bic = lambda fit: -2 * fit[3] + (len(fit[0]) * x.shape[1] + len(fit[0]) - 1) * math.log(max(2, len(x)))
-    for k in range(2, most + 1):
-        fit = bernoulli_mixture(x, k, error)
-        apart = min(distinguishing_sites(fit[1][a], fit[1][b]) for a in range(k) for b in range(a))
-        if bic(best) - bic(fit) <= gain or apart < distinct:
-            break
-        best = fit
-    return best

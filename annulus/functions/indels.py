@@ -53,12 +53,12 @@ def placements(reference: str, position: int, bases: str, insertion: bool) -> Pl
 
 
 def junction(reference: str, left: int, right: int) -> tuple[int, int, int]:
-    """A deletion between kept positions left and right, moved as far left as it goes: (left, right, shift to the right end)."""
+    """A deletion between kept positions left and right, moved as far left as it goes: (left, right, shift to the right end). It passes no unknown base."""
     n = len(reference)
     a = b = 0
-    while a < n and _at(reference, left - a) == _at(reference, right - 1 - a):
+    while a < n and _at(reference, left - a) == _at(reference, right - 1 - a) != "N":
         a += 1
-    while b < n and _at(reference, left + 1 + b) == _at(reference, right + b):
+    while b < n and _at(reference, left + 1 + b) == _at(reference, right + b) != "N":
         b += 1
     return (left - a - 1) % n + 1, (right - a - 1) % n + 1, a + b
 

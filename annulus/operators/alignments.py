@@ -180,11 +180,11 @@ def _junctions(parts: DataFrame) -> DataFrame:
     rows = parts.select("id", "strand", "query_start", entered.alias("in"), F.lag(ends).over(order).alias("last")).where("last is not null")
     along = F.when(F.col("strand") == "+", F.lit(1)).otherwise(F.lit(-1))
     jump = along * (F.col("in") - F.col("last.out")) - 1
-    return rows.select("id", F.col("last.strand").alias("from_strand"), "strand", F.col("last.out").alias("out"), "in", jump.alias("jump"), (F.col("query_start") - F.col("last.query_end") - 1).alias("skipped"))
+    return rows.select("id", F.col("last.strand").alias("from_strand"), "strand", F.col("last.out").alias("out"), "in", jump.alias("jump"), (F.col("query_start") - F.col("last.query_end") - 1).alias("skipped"), F.col("query_start").alias("place"))
 
 
 def split_events(parts: DataFrame, c: Config, length: int = coords.L) -> DataFrame:
-    """id, type, start, end, length, orientation, event_id, known_event of reads in several segments.
+    """id, type, start, end, length, orientation, place (on the query), event_id, known_event of reads in several segments.
 
     A change of strand is an inversion. On one strand, a jump ahead of the least length is a deletion. A jump
     back is read the short way round the circle: if that leaves less than the overlap, the read crosses the origin;
@@ -203,7 +203,7 @@ def split_events(parts: DataFrame, c: Config, length: int = coords.L) -> DataFra
     end = F.when(is_("deletion"), high - 1).when(is_("circular_origin", "insertion"), low).otherwise(high)
     size = F.when(is_("inversion"), high - low + 1).when(is_("circular_origin"), around).when(is_("deletion"), jump).when(is_("insertion"), F.col("skipped")).otherwise(overlap)
     told = rows.withColumn("type", kind).where("type is not null")
-    out = told.select("id", "type", start.cast("long").alias("start"), end.cast("long").alias("end"), size.cast("long").alias("length"), F.concat_ws("/", "from_strand", "strand").alias("orientation"))
+    out = told.select("id", "type", start.cast("long").alias("start"), end.cast("long").alias("end"), size.cast("long").alias("length"), F.concat_ws("/", "from_strand", "strand").alias("orientation"), "place")
     place = F.when(F.col("type") == "insertion", F.concat_ws("+", "start", "length")).otherwise(F.concat_ws("-", "start", "end"))
     known = (F.col("type") == "deletion") & F.col("start").between(*KNOWN_START) & F.col("end").between(*KNOWN_END)
     return out.withColumn("event_id", F.concat_ws(":", "type", place)).withColumn("known_event", known)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from annulus.config import Config
 from annulus.functions import coords, indels, stats
-from annulus.operators import intervals
+from annulus.operators import breakpoints, intervals
 from annulus.operators.alignments import walked
 from annulus.operators.annotation import deletion_impact
 from annulus.operators.evidence import band_components
@@ -17,7 +17,7 @@ from annulus.operators.shared import written
 
 # Fixed values of the calling method.
 SMALL, LARGE, ANCHOR, QUERY_GAP, ORIGIN = 50, 50, 100, 50, 100
-PLACEMENT, LENGTH_TOLERANCE, PLACEMENTS = 30, 8, 6
+PLACEMENT, LENGTH_TOLERANCE = 30, 8
 COMMON = (8483, 4977)
 FDR = 0.01
 
@@ -67,24 +67,26 @@ def small_indels(reads: DataFrame, reference: str, config: Config) -> DataFrame:
 
 
 def cigar_junctions(reads: DataFrame, length: int = coords.L) -> DataFrame:
-    """molecule, left, right, length, strand: gaps of at least 50 with 100 aligned bases on both sides."""
+    """molecule, left, right, length, strand, record, query, size: gaps of at least 50 with 100 aligned bases on both sides;
+    query are the bases of the record's sequence in front of the gap, size all of them."""
     ops = walked(F.col("cigar_operations"))
     aligned = lambda items: F.aggregate(F.filter(items, lambda o: o["code"].isin("M", "=", "X")), F.lit(0), lambda s, o: s + o["length"])
-    rows = reads.select("molecule", "flags", "reference_start", ops.alias("ops"))
+    rows = reads.select("molecule", "record_index", F.length("sequence").alias("size"), "flags", "reference_start", ops.alias("ops"))
     big = F.filter(
-        F.transform("ops", lambda o, i: F.struct(o["code"].alias("code"), o["length"].alias("length"), o["reference"].alias("reference"), F.when(o["code"].isin("D", "N") & (o["length"] >= LARGE), aligned(F.slice("ops", F.lit(1), i))).alias("before"))),
+        F.transform("ops", lambda o, i: F.struct(o["code"].alias("code"), o["length"].alias("length"), o["reference"].alias("reference"), o["query"].alias("query"), F.when(o["code"].isin("D", "N") & (o["length"] >= LARGE), aligned(F.slice("ops", F.lit(1), i))).alias("before"))),
         lambda o: o["before"] >= ANCHOR,
     )
-    gaps = rows.select("molecule", "flags", "reference_start", aligned("ops").alias("all"), F.explode(big).alias("o"))
+    gaps = rows.select("molecule", "record_index", "size", "flags", "reference_start", aligned("ops").alias("all"), F.explode(big).alias("o"))
     gaps = gaps.where((F.col("all") - F.col("o.before") >= ANCHOR) & (F.col("o.length") < length))
     at = F.col("reference_start") + F.col("o.reference")
     strand = F.when(F.col("flags").bitwiseAND(F.lit(0x10)) != 0, "-").otherwise("+")
-    return gaps.select("molecule", coords.fold(at - 1, length).cast("long").alias("left"), coords.fold(at + F.col("o.length"), length).cast("long").alias("right"), F.col("o.length").cast("long").alias("length"), strand.alias("strand"))
+    return gaps.select("molecule", coords.fold(at - 1, length).cast("long").alias("left"), coords.fold(at + F.col("o.length"), length).cast("long").alias("right"), F.col("o.length").cast("long").alias("length"), strand.alias("strand"), F.col("record_index").cast("long").alias("record"), F.col("o.query").cast("int").alias("query"), F.col("size").cast("int").alias("size"))
 
 
 def split_junctions(parts: DataFrame, config: Config, length: int = coords.L) -> DataFrame:
     """The same from segments (molecule, strand, query_start, query_end, reference_start, reference_end, mapping_quality) that
-    follow each other on the query and strand; bases that both claim count once."""
+    follow each other on the query and strand; bases that both claim count once. There is no record, and query counts on the
+    read's own strand."""
     order = Window.partitionBy("molecule").orderBy("query_start", "query_end", "reference_start", "strand")
     names = ("strand", "query_end", "reference_start", "reference_end", "mapping_quality")
     rows = parts.select("*", *(F.lag(c).over(order).alias(f"p_{c}") for c in names)).where("p_strand = strand")
@@ -93,18 +95,20 @@ def split_junctions(parts: DataFrame, config: Config, length: int = coords.L) ->
     forward, gap = F.col("strand") == "+", F.col("query_start") - F.col("p_query_end") - 1
     left = F.when(forward, F.col("p_reference_end")).otherwise(F.col("reference_end")) + F.least(gap, F.lit(0))
     right = F.when(forward, F.col("reference_start")).otherwise(F.col("p_reference_start"))
-    rows = rows.where(gap <= QUERY_GAP).select("molecule", left.alias("l"), right.alias("r"), "strand")
+    query = F.col("p_query_end") + F.least(gap, F.lit(0))
+    rows = rows.where(gap <= QUERY_GAP).select("molecule", left.alias("l"), right.alias("r"), "strand", query.alias("query"))
     size = F.when(F.col("r") > F.col("l"), F.col("r") - F.col("l") - 1).otherwise(F.col("r") - F.col("l") - 1 + length)
-    out = rows.select("molecule", coords.fold("l", length).cast("long").alias("left"), coords.fold("r", length).cast("long").alias("right"), size.cast("long").alias("length"), "strand")
+    out = rows.select("molecule", coords.fold("l", length).cast("long").alias("left"), coords.fold("r", length).cast("long").alias("right"), size.cast("long").alias("length"), "strand", F.lit(None).cast("long").alias("record"), F.col("query").cast("int").alias("query"), F.lit(None).cast("int").alias("size"))
     return out.where(F.col("length").between(LARGE, length - LARGE))
 
 
-def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, molecules_used: int, depths: DataFrame | None = None) -> DataFrame:
+def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, molecules_used: int, depths: DataFrame | None = None, reads: DataFrame | None = None) -> DataFrame:
     """Deletions that two molecules or more show: start, end, length, microhomology, support by strand, molecules that span
     the breakpoints, fraction and interval, p, q, filters, pass.
 
     junctions as above; pieces (molecule, start, end) are aligned stretches without gaps of 50 or more. Equal junctions are
-    one node, so clusters are found among distinct placements; a cluster's place is its commonest.
+    one node, so clusters are found among distinct placements. A cluster's place is where its reads (molecule, record_index,
+    flags, sequence, qualities) are likeliest, see `breakpoints`; without reads it is its commonest.
     """
     n = len(consensus)
     kind = T.StructType([T.StructField(c, T.LongType()) for c in ("left", "right", "shift")])
@@ -125,8 +129,14 @@ def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, mol
     lone = F.broadcast(support.agg(F.count_if(F.col("support") < 2).alias("singletons")))
     counted = rows.groupBy("cluster", "left", "right", "shift").agg(F.count("*").alias("n"))
     variants = counted.withColumn("breakpoint_variants", F.count("*").over(Window.partitionBy("cluster")))
-    place = frequent_placements(variants, 1).withColumnRenamed("rank", "_n")
-    found = support.where("support >= 2").crossJoin(lone).join(place.drop("_n", "n"), "cluster")
+    place = breakpoints.frequent_placements(variants, 1).drop("rank", "n")
+    if reads is not None:
+        told = written(support.where("support >= 2").select("cluster"), "supported")
+        best = breakpoints.refined(rows.join(told, "cluster", "left_semi"), counted.join(told, "cluster", "left_semi"), reads, consensus)
+        moved = best.withColumn("m", leftmost("left", "right")).select("cluster", F.col("m").alias("better"))
+        own = F.coalesce("better", F.struct("left", "right", "shift"))
+        place = place.join(moved, "cluster", "left").withColumn("m", own).select("cluster", "breakpoint_variants", "m.*")
+    found = support.where("support >= 2").crossJoin(lone).join(written(place, "places"), "cluster")
     size = F.when(F.col("right") > F.col("left"), F.col("right") - F.col("left") - 1).otherwise(n - F.col("left") + F.col("right") - 1)
     found = found.withColumn("length", size.cast("long")).where(F.col("length") >= LARGE)
     start, end = coords.fold(F.col("left") + 1 + F.col("shift"), n), coords.fold(F.col("right") + F.col("shift") - 1, n)
@@ -160,12 +170,6 @@ def large_deletions(junctions: DataFrame, pieces: DataFrame, consensus: str, mol
     return tested.select(event.alias("event"), *names, filters.alias("filters"), flags.alias("flags"), common.alias("common"), (F.size(filters) == 0).alias("pass"))
 
 
-def frequent_placements(counted: DataFrame, keep: int = PLACEMENTS) -> DataFrame:
-    """The commonest placements (cluster, left, right, n) of each cluster, ties by place."""
-    order = Window.partitionBy("cluster").orderBy(F.desc("n"), "left", "right")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
-
-
 def _with_depth_ratio(deletions: DataFrame, depths: DataFrame, step: int = 20) -> DataFrame:
     """Adds the median depth inside over that outside, at every `step`-th position; depths is as long as the genome."""
     some = depths.where((F.col("position") - 1) % step == 0).agg(F.collect_list(F.struct("position", "depth")).alias("_depths"))
@@ -179,7 +183,7 @@ def _with_depth_ratio(deletions: DataFrame, depths: DataFrame, step: int = 20) -
 
 def with_impact(deletions: DataFrame) -> DataFrame:
     """The calls with what they do to genes."""
-    return deletions.drop("start", "end").join(deletion_impact(deletions), "event").join(deletions.select("event", "start", "end"), "event")
+    return deletions.join(deletion_impact(deletions.select("event", "start", "end").distinct()), "event")
 
 
 def _spanning_by_cluster(pieces: DataFrame, points: DataFrame, carriers: DataFrame, flank: int = 25) -> DataFrame:

@@ -110,53 +110,76 @@ def within_ranges(markers: DataFrame, ranges: DataFrame) -> DataFrame:
     return markers.join(ranges.select("cluster", "start", "end"), "cluster").where(inside).drop("start", "end")
 
 
+def _side(alias: str) -> Column:
+    """The marker of one side of a join."""
+    return F.struct(*(F.col(f"{alias}.{c}").alias(c) for c in MARKER))
+
+
+def _met(*also: str) -> Column:
+    """Whether an expected marker `e` and an observed one `o` meet: equal position, kind and `also`, and a typed match."""
+    same = F.lit(True)
+    for c in ("position", "kind", *also):
+        same = same & (F.col(f"e.{c}") == F.col(f"o.{c}"))
+    return same & typed_match(_side("e"), _side("o"))
+
+
 def lineage_calls(observed: DataFrame, definitions: DataFrame, ranges: DataFrame, weights: DataFrame | None = None, keep: int = KEPT) -> DataFrame:
     """The best definitions of each cluster: cluster, rank, name, score, matched_count, matched, missing, extra (names of
     markers, in order), contamination (the two best are close and of different macro groups).
 
-    observed (cluster, MARKER), definitions (name, source_order, MARKER), ranges (cluster, start, end), weights (encoded,
-    weight; 1 by default). Candidates share a position with an observed marker and match one; a definition's markers
-    outside the ranges count neither way. Equal scores go by source_order, then by name.
+    observed (cluster, MARKER), definitions (name, source_order, MARKER; a definition's repeated marker counts once), ranges
+    (cluster, start, end), weights (encoded, weight; 1 by default). Candidates match an observed marker; a definition's
+    markers outside the ranges count neither way. Equal scores go by source_order, then by name.
+
+    Markers meet by an equi-join on position and kind, so a row is a match and not a question. What a definition expects
+    within a cluster's ranges is summed over its own list of markers, once for each candidate; lists of names are made for
+    the best few alone.
     """
     # One scoring for each set of markers and ranges.
     marks = observed.groupBy("cluster").agg(F.sort_array(F.collect_set("encoded")).alias("marks"))
     spans = ranges.groupBy("cluster").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     signed = marks.join(spans, "cluster")
-    same = written(signed.select("cluster", F.min("cluster").over(Window.partitionBy(F.xxhash64("marks", "spans"), "marks", "spans")).alias("key")), "signatures")
-    first = same.where("cluster = key").select("key")
+    same = signed.select("cluster", "spans", F.min("cluster").over(Window.partitionBy(F.xxhash64("marks", "spans"), "marks", "spans")).alias("key"))
+    same = written(same, "signatures")
+    first = same.where("cluster = key").select("key", "spans")
     weigh = lambda df: df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(weights, "encoded", "left").fillna(1.0, ["weight"])
-    seen = weigh(observed.withColumnRenamed("cluster", "key").join(first, "key", "left_semi").select("key", *MARKER))
-    seen = written(seen.repartition("key"), "observed")
-    known = written(weigh(definitions), "definitions")  # bounded by the tree: broadcast by its size
-    span = ranges.withColumnRenamed("cluster", "key").join(first, "key", "left_semi").select("key", "start", "end")
-
-    near = seen.select("key", "position").join(known.select("name", "source_order", "position").distinct(), "position").select("key", "name", "source_order").distinct()
-    asked = near.join(known.drop("source_order"), "name").join(span, "key").where("position between start and end").drop("start", "end")
-    marker = lambda p="": F.struct(*(F.col(p + c).alias(c) for c in MARKER))
-    shown = seen.groupBy("key").agg(F.collect_list(marker()).alias("seen"), F.sum("weight").alias("observed_weight"))  # bounded by the genome
-    judged = asked.join(shown, "key").withColumn("hit", F.exists("seen", lambda o: typed_match(marker(), o)))
-    scored = judged.groupBy("key", "name", "source_order").agg(
-        F.sum("weight").alias("expected"),
-        F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0.0)).alias("matched_weight"),
-        F.count_if("hit").alias("matched_count"),
-        F.first("observed_weight").alias("observed"),
-    )
+    seen = weigh(observed.withColumnRenamed("cluster", "key").join(first.select("key"), "key", "left_semi").select("key", *MARKER).distinct())
+    seen = written(seen, "observed")
+    known = written(weigh(definitions.select("name", "source_order", *MARKER).distinct()), "definitions")  # bounded by the tree: broadcast by its size
+    profile = written(known.groupBy("name").agg(F.collect_list(F.struct("position", "weight")).alias("profile")), "profiles")
+    covered = lambda position, held: F.exists(held, lambda s: position.between(s["start"], s["end"]))
+    held = seen.repartition("key").join(first, "key")
+
+    inside = held.where(covered(F.col("position"), F.col("spans"))).select("key", *MARKER)
+    hits = known.alias("e").join(inside.alias("o"), _met()).groupBy("key", "name", "source_order", *(F.col(f"e.{c}").alias(c) for c in MARKER)).agg(F.first("weight").alias("weight"))
+    matched = hits.groupBy("key", "name", "source_order").agg(F.sum("weight").alias("matched_weight"), F.count("*").alias("matched_count"))
+    total = seen.groupBy("key").agg(F.sum("weight").alias("observed"))
+    asked = F.filter("profile", lambda m: covered(m["position"], F.col("spans")))
+    expected = F.aggregate(asked, F.lit(0.0), lambda a, m: a + m["weight"])
+    scored = matched.join(first.join(total, "key"), "key").join(profile, "name").withColumn("expected", expected)
     score = 50.0 * (F.col("matched_weight") / F.col("expected") + F.col("matched_weight") / F.col("observed"))
     order = Window.partitionBy("key").orderBy(F.desc("score"), "source_order", "name")
-    best = scored.where("matched_count > 0 and expected > 0 and observed > 0").withColumn("score", score).where("score > 0")
-    best = written(best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= keep).select("key", "name", "score", "rank", "matched_count"), "candidates")
-
-    listed = lambda c, name: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(marker_order(marker()).alias("o"))))), lambda x: x["o"]["encoded"]).alias(name)
-    lists = judged.join(best.select("key", "name"), ["key", "name"]).groupBy("key", "name").agg(listed(F.col("hit"), "matched"), listed(~F.col("hit"), "missing"))
-    whole = known.groupBy("name").agg(F.collect_list(marker()).alias("all"))
-    foreign = seen.join(best.select("key", "name"), "key").join(whole, "name").where(~F.exists("all", lambda e: typed_match(e, marker())))
-    extra = foreign.groupBy("key", "name").agg(listed(F.lit(True), "extra"))
+    best = scored.where("expected > 0 and observed > 0").withColumn("score", score).where("score > 0")
+    best = best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= keep)
+    best = written(best.select("key", "name", "score", "rank", "matched_count", "spans"), "candidates")
+
+    few = best.join(known, "name").where(covered(F.col("position"), F.col("spans"))).select("key", "name", *MARKER).alias("e")
+    own = seen.join(best.select("key", "name"), "key").select("key", "name", *MARKER).alias("o")
+    marker = F.struct(*MARKER)
+    names = F.transform(F.array_sort(F.collect_list(F.struct(marker_order(marker).alias("o")))), lambda x: x["o"]["encoded"])
+    lists = (
+        ("matched", few.join(seen.alias("o"), _met("key"), "left_semi")),
+        ("missing", few.join(seen.alias("o"), _met("key"), "left_anti")),
+        ("extra", own.join(known.alias("e"), _met("name"), "left_anti")),
+    )
     two = best.groupBy("key").agg(F.max_by("score", -F.col("rank")).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"),
                                   F.max(F.when(F.col("rank") == 1, F.col("name"))).alias("n1"), F.max(F.when(F.col("rank") == 2, F.col("name"))).alias("n2"))
     doubt = F.coalesce((F.col("s2") > 0) & (F.col("s1") - F.col("s2") < CLEAR_LEAD) & (text.macro_group(F.col("n1")) != text.macro_group(F.col("n2"))), F.lit(False))
-    out = best.join(lists, ["key", "name"], "left").join(extra, ["key", "name"], "left").join(two.select("key", doubt.alias("contamination")), "key")
+    out = best.drop("spans").join(two.select("key", doubt.alias("contamination")), "key")
+    for name, rows in lists:
+        out = out.join(rows.groupBy("key", "name").agg(names.alias(name)), ["key", "name"], "left")
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
-    return out.join(same, "key").select("cluster", "rank", "name", "score", "matched_count", empty("matched"), empty("missing"), empty("extra"), "contamination")
+    return out.join(same.select("cluster", "key"), "key").select("cluster", "rank", "name", "score", "matched_count", empty("matched"), empty("missing"), empty("extra"), "contamination")
 
 
 def cluster_lineages(members: DataFrame, markers: DataFrame, ranges: DataFrame, definitions: DataFrame, weights: DataFrame | None = None, corrected=None) -> DataFrame:

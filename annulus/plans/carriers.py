@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from annulus.functions import text
 from annulus.functions.genome import GENES
 
 ALN_SQL = """aln AS (
@@ -116,3 +117,51 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aln(spark, sf_dir).where("mapq < 30").select("molecule", F.col("frag").alias("alignment"), (F.col("start") + 5).alias("anchor"))
+
+
+#: A made circular genome: its bases follow a rule with many short repeats.
+GENOME_SIZE = 900
+_BASE = lambda p: "ACGT"[((p // 3) * 5 + (p // 7) * (p // 11)) % 4]
+GENOME = "".join(map(_BASE, range(1, GENOME_SIZE + 1)))
+GENOME_SQL = f"""genome AS (SELECT string_agg(substr('ACGT', CAST((p // 3 * 5 + (p // 7) * (p // 11)) % 4 AS INTEGER) + 1, 1), '' ORDER BY p) AS g FROM range(1, {GENOME_SIZE + 1}) t(p))"""
+#: Reads of it, one for each line item: a bases, x inserted ones, 30 more, y deleted ones (60 at five places, or up to 3), 110 more.
+READS_SQL = GENOME_SQL + """, parts AS (
+  SELECT l_orderkey AS molecule, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag) AS record_index, l_linenumber AS line, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 16 END AS flags,
+         CAST(round(l_discount * 100) AS BIGINT) * 6 AS mapq, 105 + CAST(floor(l_quantity) AS BIGINT) AS a, l_partkey % 4 AS x, l_suppkey % 5 = 0 AS large,
+         CASE WHEN l_suppkey % 5 = 0 THEN 60 ELSE l_suppkey % 4 END AS y, 200 + 100 * (l_suppkey // 5 % 5) + l_partkey % 3 AS kept, (l_partkey * 7 + l_suppkey) % 500 + 1 AS own,
+         l_orderkey % 3 = 0 AS changed
+  FROM lineitem
+), placed AS (SELECT *, CASE WHEN large THEN kept - a - 29 ELSE own END AS start FROM parts),
+made AS (SELECT p.*, CASE WHEN molecule % 2 = 0 THEN substr(g, start + a, x) ELSE substr('GATTACA', 1, x) END AS ins, mapq >= 20 AS usable FROM placed p, genome)"""
+
+
+def made_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads above as alignments, with CIGARs, bases and qualities; inserted bases of a first line are bad."""
+    key, line, part, supp = (F.col(f"l_{c}") for c in ("orderkey", "linenumber", "partkey", "suppkey"))
+    a, x, large = (F.floor("l_quantity") + 105).cast("int"), F.pmod(part, F.lit(4)).cast("int"), F.pmod(supp, F.lit(5)) == 0
+    y = F.when(large, 60).otherwise(F.pmod(supp, F.lit(4))).cast("int")
+    kept = 200 + 100 * F.pmod(F.floor(supp / 5), F.lit(5)) + F.pmod(part, F.lit(3))
+    start = F.when(large, kept - a - 29).otherwise(F.pmod(part * 7 + supp, F.lit(500)) + 1).cast("int")
+    of_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")  # some lines each
+    rows = table(spark, sf_dir, "lineitem").select(key.alias("molecule"), (key * 1000 + F.row_number().over(of_order)).alias("record_index"), line.alias("line"), (F.round(F.col("l_discount") * 100) * 6).cast("int").alias("mapping_quality"),
+                                                   F.when(F.col("l_returnflag") == "N", 0).otherwise(16).alias("flags"), a.alias("a"), x.alias("x"), y.alias("y"), start.alias("reference_start"))
+    cut = lambda at, n: F.substring(F.lit(GENOME), at, n)
+    s, a, x, y = (F.col(c) for c in ("reference_start", "a", "x", "y"))
+    first = cut(s, a)
+    swapped = F.concat(F.substring(first, 1, 10), F.translate(F.substring(first, 11, 1), "ACGT", "CGTA"), F.substring(first, F.lit(12), a))
+    head = F.when(F.pmod("molecule", F.lit(3)) == 0, swapped).otherwise(first)
+    inserted = F.when(F.pmod("molecule", F.lit(2)) == 0, cut(s + a, x)).otherwise(F.substring(F.lit("GATTACA"), F.lit(1), x))
+    piece = lambda n, code: F.when(n > 0, F.concat(n.cast("string"), F.lit(code)))
+    fine = lambda n: F.repeat(F.lit("I"), n)
+    return rows.select(
+        "molecule",
+        "record_index",
+        F.concat(F.lit("m"), F.col("molecule").cast("string")).alias("id"),
+        "flags",
+        "mapping_quality",
+        F.lit("MT").alias("reference_name"),
+        "reference_start",
+        F.concat_ws("", piece(a, "M"), piece(x, "I"), F.lit("30M"), piece(y, "D"), F.lit("110M")).alias("cigar"),
+        F.concat(head, inserted, cut(s + a, F.lit(30)), cut(s + a + 30 + y, F.lit(110))).alias("sequence"),
+        F.concat(fine(a), F.repeat(F.when(F.col("line") == 1, "!").otherwise("I"), x), fine(F.lit(140))).alias("qualities"),
+    ).withColumn("cigar_operations", text.cigar_operations(F.col("cigar"))).withColumn("supplementary_alignments", F.array().cast("array<struct<reference_name:string,position:int,strand:string,cigar:string>>"))

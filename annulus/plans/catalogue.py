@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annulus.config import Config
 from annulus.functions import coords, genome, stats, text
 from annulus.operators import alignments, annotation, architectures, calls, comparison, events, evidence, exports, intervals, ordered, paths, similarity
-from annulus.plans import annotations, comparisons, documents, scalars  # noqa: F401 - they register their queries
+from annulus.plans import annotations, comparisons, documents, reads, scalars  # noqa: F401 - they register their queries
 from annulus.plans import carriers as C
 from annulus.plans.registry import oracle_sql, queries  # noqa: F401 - what the driver's entry reads
 from annulus.plans.registry import query as _query

@@ -71,3 +71,33 @@ def test_document_and_exports(spark, found, tmp_path):
     vcf = [x for p in sorted((tmp_path / "vcf").glob("part-*")) for x in p.read_text().splitlines() if not x.startswith("#")]
     assert len(vcf) == 1 and vcf[0].split("\t")[1] == "5600" and "GENE=MT-TA" in vcf[0]
     assert found.coverage.agg(F.max("mean_depth")).first()[0] > 100
+
+
+def test_one_haplotype_is_the_sample(found):
+    assert [(r.haplotype, r.fraction) for r in found.haplotypes.summary.collect()] == [(0, 1.0)]
+    assert [(r.name, r.cluster) for r in found.haplotype_lineages.collect()] == [("H1", 0)]
+    assert found.clusters.where("not outlier and cluster = 0").count() == found.haplotypes.members.count() > 140
+
+
+def test_two_haplotypes_from_a_file(spark, tmp_path):
+    """A quarter of the reads has its own bases at four places, the others at two more."""
+    rng, rows = random.Random(7), []
+    minor, major = (5350, 5480, 5610, 5740), (5400, 5660)
+    for i in range(200):
+        start, sites = 5000 + rng.randrange(250), minor if i % 4 == 0 else major
+        bases = list(REFERENCE[start - 1 : start + 899])
+        for p in sites:
+            bases[p - start] = OTHER[bases[p - start]]
+        bases = "".join(b if rng.random() > 0.003 else OTHER[b] for b in bases)
+        rows.append((f"r{i}", 16 * (i // 4 % 2), "MT", start, 60, "900M", "*", 0, 0, bases, "5" * 900))
+    path = tmp_path / "two.sam"
+    path.write_text("".join("\t".join(map(str, r)) + "\n" for r in rows))
+    known = [(name, order, p, "substitution", None, OTHER[REFERENCE[p - 1]], f"{p}{OTHER[REFERENCE[p - 1]]}") for order, (name, sites) in enumerate((("H5", major), ("U2", minor))) for p in sites]
+    definitions = spark.createDataFrame(known, "name string, source_order int, position long, kind string, index string, bases string, encoded string")
+    found = analyze(spark, str(path), REFERENCE, Config(), definitions, realign=False)
+    told = {r.haplotype: r for r in found.haplotypes.summary.collect()}
+    assert told[0].fraction == pytest.approx(0.75, abs=0.02) and told[1].molecules == 50
+    assert len(told[1].defining) == 6
+    assert {(r.cluster, r.name) for r in found.haplotype_lineages.where("rank = 1").collect()} == {(0, "H5"), (1, "U2")}
+    names = found.molecules.join(found.clusters, "molecule").select("cluster", "molecule").groupBy("cluster").count().collect()
+    assert {r.cluster: r["count"] for r in names} == {0: 150, 1: 50}

@@ -56,15 +56,3 @@ def test_pair_hmm_prefers_the_true_haplotype():
     assert haplotypes.pair_hmm(read, q, b) > haplotypes.pair_hmm(read, q, a) + 1
     assert haplotypes.pair_hmm(read, q, b, band=8) == pytest.approx(haplotypes.pair_hmm(read, q, b), abs=0.5)
     assert haplotypes.pair_hmm("", [], a) == -np.inf
-
-
-def test_mixture_finds_two_haplotypes():
-    rng = np.random.default_rng(2)
-    sites = np.array([[1] * 6 + [0] * 6, [0] * 6 + [1] * 6])
-    which = (rng.random(300) < 0.25).astype(int)
-    x = np.where(rng.random((300, 12)) < 0.01, 1 - sites[which], sites[which]).astype(float)
-    x[rng.random(x.shape) < 0.2] = np.nan
-    weight, rate, posterior, _ = haplotypes.mixture_of(x)
-    assert len(weight) == 2 and weight[0] == pytest.approx(0.75, abs=0.06)
-    assert ((posterior[:, 1] > 0.5) == (which == 1)).mean() > 0.98
-    assert len(haplotypes.mixture_of(x[which == 0])[0]) == 1
