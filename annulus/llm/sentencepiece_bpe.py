@@ -1,15 +1,18 @@
 """Operator 13: SentencePiece encoding and decoding for merge-type vocabularies.
 
 The vocabulary's merges are applied here: a text's characters are symbols, an
-agenda (a heap) holds every pair of adjacent symbols whose joined string is a
-piece, the pair with the best score is merged first (of equal scores the
-leftmost), and the new symbol's pairs with its neighbours join the agenda, until
-none is left. Characters outside the vocabulary become their UTF-8 bytes' pieces.
-
-No piece of such a vocabulary has a space mark behind another character, so no
-merge crosses such a place (this is looked up in the vocabulary, not assumed;
-the same holds for line ends). A text is cut there, and each distinct segment
-goes through the agenda once per worker. Spark deals out the rows; a worker sees
+agenda holds every pair of adjacent symbols whose joined string is a piece, the
+pair with the best score is merged first (of equal scores the leftmost), and the
+new symbol's pairs with its neighbours join the agenda, until none is left.
+Characters outside the vocabulary become their UTF-8 bytes' pieces.
+
+No piece of such a vocabulary has a space mark behind another character, or marks
+beside letters, or digits and line ends beside anything, so no merge crosses such
+places (this is looked up in the vocabulary, not assumed). A text is cut there, and
+each distinct segment goes through the agenda once per worker: those of up to WIDE
+characters together, a row of costs for each, of which every round takes the best;
+longer ones each with a heap, whose work grows with n log n. Decoding joins the
+pieces' bytes of a whole slice at once. Spark deals out the rows; a worker sees
 Arrow batches and gives its results back in slices of bounded size. There is no
 shuffle and no state besides the table of segments, whose size is bounded.
 
@@ -26,9 +29,10 @@ is encoded as a space and decodes to one, as in the library.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -37,25 +41,14 @@ from pyspark.sql.types import StructType
 SPACE, UNKNOWN, BAD_BYTE = "▁", " ⁇ ", "�"
 #: Segments in a generation of the table: a bound on memory only.
 CACHE_SEGMENTS = 400_000
+#: Characters of segments whose agendas are worked off together, and how many at a time.
+WIDE, ROWS = 24, 4096
+#: Ids as a worker holds them, and as Arrow takes them.
+DTYPE = np.dtype("<i4")
 #: Characters of the texts in one slice of results.
 SLICE_CHARS = 1 << 20
 
 
-class _Segments(dict):
-    """(ids, decoded text) by segment, in two generations."""
-
-    def __init__(self, codec: Codec, old: dict | None = None):
-        self.codec, self.old = codec, old or {}
-
-    def __missing__(self, segment: str) -> tuple[list[int], str]:
-        found = self.old.get(segment)
-        if found is None:
-            ids = self.codec.merged(segment)
-            found = ids, self.codec.surface(ids)
-        self[segment] = found
-        return found
-
-
 class Codec:
     """A merge-type vocabulary read from a sentencepiece model file."""
 
@@ -82,37 +75,56 @@ class Codec:
         self.byte_id = {b: i for i, b in self.bytes.items()}
         self.silent = {i for i, p in enumerate(spec.pieces) if p.type == kinds.CONTROL}
         self.unknown = {i for i, p in enumerate(spec.pieces) if p.type == kinds.UNKNOWN}
-        joined = [p for p in self.id_of if len(p) > 1]
-        spaced = not any(SPACE in p.lstrip(SPACE) for p in joined)
-        lines = not any("\n" in p for p in joined)
-        if spaced and lines:
-            pattern = f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
-        else:
-            pattern = f"{SPACE}+[^{SPACE}]*" if spaced else "(?s:.+)"
-        self.cut = re.compile(pattern).findall
-        self.segments = _Segments(self)
+        self.cut = re.compile(_segments(p for p in self.id_of if len(p) > 1)).findall
+        beside = {(a.isalpha(), b.isalpha()) for p in self.id_of for a, b in zip(p, p[1:]) if _kind(a) == "-" and b.isalpha() or _kind(b) == "-" and a.isalpha()}
+        self.word = None if beside else re.compile(f"( *[^\\W\\d_]+)([{_CLASSES['-']}]+)").fullmatch
+        self.segments: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.one = np.full(0x110000, -1, np.int32)  # a character's piece
+        for p, i in self.id_of.items():
+            if len(p) == 1:
+                self.one[ord(p)] = i
+        self.one[ord(" ")] = self.one[ord(SPACE)]
+        pairs = sorted((self.id_of[p[:k]] * len(self.pieces) + self.id_of[p[k:]], self.cost[p], i) for p, i in self.id_of.items() for k in range(1, len(p)) if p[:k] in self.id_of and p[k:] in self.id_of)
+        self.pair_keys, self.pair_costs, self.pair_ids = (np.array(x, t) for x, t in zip(list(zip(*pairs)) or [[]] * 3, (np.int64, np.float64, np.int32)))
+        self.whole = all(self.one[ord(c)] >= 0 for p in self.id_of for c in p)
+        texts = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in self.silent else (UNKNOWN if i in self.unknown else p.replace(SPACE, " ")).encode() for i, p in enumerate(self.pieces)]
+        self.text_ends = np.cumsum([0, *map(len, texts)])
+        self.text_bytes = np.frombuffer(b"".join(texts), np.uint8)
 
     def merged(self, segment: str) -> list[int]:
         """Ids of a segment by the agenda."""
-        cost, symbols = self.cost, list(segment)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = [(cost[pair], i, i + 1, 2) for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if pair in cost]
+        segment = segment.replace(" ", SPACE)
+        cost, symbols = self.cost.get, list(segment)
+        n, left = len(symbols), 0
+        agenda = []
+        for a, b in zip(segment, segment[1:]):
+            c = cost(a + b)
+            if c is not None:
+                agenda.append((c, left, left + 1, 2))
+            left += 1
         heapify(agenda)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         while agenda:
             _, left, right, size = heappop(agenda)
             a, b = symbols[left], symbols[right]
             if not a or not b or len(a) + len(b) != size:
                 continue  # one of them was merged meanwhile
-            symbols[left], symbols[right] = a + b, ""
+            new = a + b
+            symbols[left], symbols[right] = new, ""
             after[left] = beyond = after[right]
             if beyond >= 0:
                 before[beyond] = left
-            for x, y in ((before[left], left), (left, beyond)):
-                if x >= 0 and y >= 0:
-                    pair = symbols[x] + symbols[y]
-                    if pair in cost:
-                        heappush(agenda, (cost[pair], x, y, len(pair)))
+                pair = new + symbols[beyond]
+                c = cost(pair)
+                if c is not None:
+                    heappush(agenda, (c, left, beyond, len(pair)))
+            ahead = before[left]
+            if ahead >= 0:
+                pair = symbols[ahead] + new
+                c = cost(pair)
+                if c is not None:
+                    heappush(agenda, (c, ahead, left, len(pair)))
         ids: list[int] = []
         for symbol in filter(None, symbols):
             known = self.id_of.get(symbol)
@@ -120,18 +132,17 @@ class Codec:
         return ids
 
     def surface(self, ids: list[int]) -> str:
-        """The text of ids, the space in front included."""
-        out, run = [], bytearray()
-        for i in [*ids, -1]:
-            if i in self.bytes:
-                run.append(self.bytes[i])
-                continue
-            if run:
-                out.append(_utf8(bytes(run)))
-                run.clear()
-            if i >= 0 and i not in self.silent:
-                out.append(UNKNOWN if i in self.unknown else self.pieces[i].replace(SPACE, " "))
-        return "".join(out)
+        """The text of any ids, the space in front included. A silent id parts the bytes beside it."""
+        ids = np.array(ids, np.int64)
+        parts = np.split(ids, np.flatnonzero(np.isin(ids, list(self.silent))))
+        return "".join(_utf8(self._joined(p)[0].tobytes()) for p in parts)
+
+    def _joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and how many each has."""
+        starts, sizes = self.text_ends[ids], np.diff(self.text_ends)[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.text_bytes[places], sizes
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids; the space that encoding puts in front is taken away."""
@@ -139,22 +150,114 @@ class Codec:
         text = self.surface(ids)
         return text[1:] if first is not None and first not in self.bytes and self.pieces[first].startswith(SPACE) else text
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids of a text, and the text they decode to."""
-        if not text:
-            return [], ""
-        found = [self.segments[s] for s in self.cut(SPACE + text.replace(" ", SPACE))]
-        ids: list[int] = []
-        for x in found:
-            ids += x[0]
-        return ids, "".join([x[1] for x in found])[1:]
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and id of what pairs of symbols merge to; an endless cost where they don't."""
+        keys = left.astype(np.int64) * len(self.pieces) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        found = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
+        return np.where(found, self.pair_costs[at], np.inf), self.pair_ids[at]
+
+    def merged_together(self, segments: list[str]) -> list[bytes]:
+        """Ids of short segments: every round merges the best pair of each, until none has one."""
+        k, sizes = len(segments), np.fromiter(map(len, segments), np.int64, len(segments))
+        width = int(sizes.max())
+        codes = np.array(segments, f"<U{width}").view(np.uint32).reshape(k, width)
+        symbols = np.full((k, width + 1), -2, np.int32)  # -1: outside the vocabulary, -2: merged into another, or beyond the end
+        symbols[:, :-1] = np.where(np.arange(width) < sizes[:, None], self.one[codes], -2)
+        # a pair stands where its left symbol does; the last column takes what would be beside the edges
+        costs, made = np.full((k, width + 1), np.inf), np.zeros((k, width + 1), np.int32)
+        costs[:, :-1], made[:, :-1] = self._pair(symbols[:, :-1], symbols[:, 1:])
+        after = np.tile(np.arange(1, width + 2), (k, 1))
+        before = np.tile(np.arange(-1, width), (k, 1))
+        rows = np.arange(k)
+        while len(rows):
+            at = costs[rows].argmin(axis=1)  # of equal costs the leftmost
+            going = costs[rows, at] < np.inf
+            rows, at = rows[going], at[going]
+            right, left = after[rows, at], before[rows, at]
+            beyond = np.minimum(after[rows, right], width)
+            symbols[rows, at] = new = made[rows, at]
+            symbols[rows, right], costs[rows, right] = -2, np.inf
+            after[rows, at], before[rows, beyond] = beyond, at
+            costs[rows, at], made[rows, at] = self._pair(new, symbols[rows, beyond])
+            costs[rows, left], made[rows, left] = self._pair(symbols[rows, left], new)
+        kept = symbols != -2
+        ends = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]) * DTYPE.itemsize
+        raw = symbols[kept].astype(DTYPE).tobytes()
+        found = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        for i in np.flatnonzero((symbols == -1).any(axis=1)):
+            found[i] = np.array(self.merged(segments[i]), DTYPE).tobytes()
+        return found
 
-    def aged(self) -> None:
-        """A full table of segments becomes the old generation."""
-        if len(self.segments) > CACHE_SEGMENTS:
-            full, full_old = self.segments, {}
-            full.old = full_old
-            self.segments = _Segments(self, full)
+    def learn(self, segments: set[str]) -> None:
+        """Put segments into the table."""
+        new, made = set(), []
+        for x in segments:
+            if (ids := self.old.get(x)) is not None:
+                self.segments[x] = ids
+            elif self.word and (parts := self.word(x)):  # a word with marks behind it: often a known word
+                made.append((x, *parts.groups()))
+                new.update(parts.groups())
+            else:
+                new.add(x)
+        short = []
+        for x in new - self.segments.keys():
+            if len(x) <= WIDE and self.whole and len(self.pair_keys):
+                short.append(x)
+            else:
+                self.segments[x] = np.array(self.merged(x), DTYPE).tobytes()
+        short.sort(key=len)
+        for k in range(0, len(short), ROWS):
+            self.segments.update(zip(short[k : k + ROWS], self.merged_together(short[k : k + ROWS])))
+        for x, word, marks in made:
+            self.segments[x] = self.segments[word] + self.segments[marks]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts."""
+        cuts = [self.cut(" " + t.replace(SPACE, " ")) if t else [] for t in texts]  # with plain spaces most texts are narrow strings
+        if len(self.segments) > CACHE_SEGMENTS:  # a full table becomes the old one
+            self.segments, self.old = {}, self.segments
+        self.learn(set().union(*cuts) - self.segments.keys())
+        return [b"".join(map(self.segments.__getitem__, c)) for c in cuts]
+
+    def decode_own(self, raws: list[bytes]) -> pa.Array:
+        """The texts of ids as `encode` gives them: whole characters behind a space. All are joined at once."""
+        counts = np.array([len(r) // DTYPE.itemsize for r in raws], np.int64)
+        joined, sizes = self._joined(np.frombuffer(b"".join(raws), DTYPE))
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ends = upto[np.concatenate([[0], np.cumsum(counts)])]
+        starts = ends[:-1][counts > 0]
+        kept = np.delete(joined, starts)  # the space in front of each text
+        offsets = (ends - np.concatenate([[0], np.cumsum(counts > 0)])).astype(np.int32)
+        return pa.StringArray.from_buffers(len(raws), pa.py_buffer(offsets.tobytes()), pa.py_buffer(kept.tobytes()))
+
+    def agrees(self, texts: list[str], raws: list[bytes], decoded: list[str]) -> list[bool]:
+        """Whether the library has the same ids for each text, and the same text for the ids."""
+        again = self.library.encode(texts, num_threads=1)
+        back = self.library.decode(again, num_threads=1)
+        return [np.array(ids, DTYPE).tobytes() == raw and text == own for ids, text, raw, own in zip(again, back, raws, decoded)]
+
+
+def _segments(pieces: Iterable[str]) -> str:
+    """A pattern of the stretches of a text that no merge leaves, for the pieces of two characters or more. Spaces stand for space marks."""
+    pairs = {(_kind(a), _kind(b)) for p in pieces for a, b in zip(p, p[1:])}
+    never = lambda *more: not pairs & {*more}
+    alone = [k for k in "nd" if never(*((k, x) for x in "nds-w"), *((x, k) for x in "nds-w"))]
+    if not never(("w", "s"), ("-", "s"), ("n", "s"), ("d", "s")) or "n" not in alone:
+        return "(?s:.+)"
+    solo = "".join(_CLASSES[k] for k in alone)
+    if never(("w", "-"), ("-", "w")) and "d" in alone:
+        return f"[{solo}]| *[{_CLASSES['-']}]+| *[^ {solo}{_CLASSES['-']}]+| +"
+    return f"[{solo}]| *[^ {solo}]+| +"
+
+
+#: Kinds of characters, as a pattern's classes: line ends, digits, ASCII marks; besides them spaces (s) and all others (w).
+_CLASSES = {"n": "\\n", "d": "0-9", "-": "!-/:-@\\[-`{-~"}
+_MATCHES = {k: re.compile(f"[{c}]").match for k, c in _CLASSES.items()}
+
+
+def _kind(c: str) -> str:
+    return "s" if c == SPACE else next((k for k, found in _MATCHES.items() if found(c)), "w")
 
 
 def _utf8(raw: bytes) -> str:
@@ -204,13 +307,12 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", verify: bool =
         bpe = codec(model_path)
         for batch in batches:
             for part, texts in _slices(batch, place):
-                found = [bpe.encode(t) for t in texts]
-                ids = [x[0] for x in found]
-                values = [pa.array(ids, pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.string())]
+                raws = bpe.encode(texts)
+                ends = np.cumsum([0, *(len(x) // DTYPE.itemsize for x in raws)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), DTYPE)))
+                values = [ids, bpe.decode_own(raws)]
                 if verify:
-                    again = bpe.library.encode(texts, num_threads=1)
-                    values.append(pa.array([a == x[0] and bpe.library.decode(x[0]) == x[1] for a, x in zip(again, found)], pa.bool_()))
-                bpe.aged()
+                    values.append(pa.array(bpe.agrees(texts, raws, values[1].to_pylist()), pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *values], [*columns, *(x.split()[0] for x in added.split(", "))])
 
     return own.mapInArrow(encoded, StructType([*own.schema.fields, *StructType.fromDDL(added).fields]))

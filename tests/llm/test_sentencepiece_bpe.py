@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -25,10 +26,15 @@ def texts(seed, n):
     return ["".join(rng.choice(BITS) for _ in range(rng.randrange(0, 40))) for _ in range(n)]
 
 
+def ids_of(raw):
+    return np.frombuffer(raw, sentencepiece_bpe.DTYPE).tolist()
+
+
 def test_agenda_gives_the_librarys_ids_and_texts(library):
     bpe = sentencepiece_bpe.Codec(PATH)
     for t in [*texts(1, 6000), "x" * 5000, " " * 999, "ab " * 3000, "", " ", "▁", "\n"]:
-        ids, decoded = bpe.encode(t)
+        (raw,) = bpe.encode([t])
+        ids, (decoded,) = ids_of(raw), bpe.decode_own([raw]).to_pylist()
         assert ids == library.encode(t), t
         assert decoded == library.decode(ids) == bpe.decode(ids), t
 
@@ -63,10 +69,27 @@ def test_query_digests(spark, library):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.verified) for r in got} == want
 
 
+def test_a_difference_is_seen(library):
+    bpe = sentencepiece_bpe.Codec(PATH)
+    raws = bpe.encode(["a b", "d", "x y", ""])
+    assert bpe.decode_own(raws).to_pylist() == ["a b", "d", "x y", ""] and bpe.decode_own([]).to_pylist() == []
+    assert bpe.agrees(["a b", "c", "x y", ""], raws, ["a b", "d", "x y!", ""]) == [True, False, False, True]
+
+
+def test_pieces_decide_where_texts_are_cut():
+    assert sentencepiece_bpe._segments(["▁a", "ab", "..", "▁▁"]) != sentencepiece_bpe._segments(["▁a", "a.", "▁▁"])
+    assert sentencepiece_bpe._segments(["a▁b"]) == sentencepiece_bpe._segments(["a\n"]) == "(?s:.+)"
+
+
 def test_small_tables_of_segments_change_nothing(library, monkeypatch):
     monkeypatch.setattr(sentencepiece_bpe, "CACHE_SEGMENTS", 5)
     bpe = sentencepiece_bpe.Codec(PATH)
     for t in texts(4, 300):
-        assert bpe.encode(t)[0] == library.encode(t)
-        bpe.aged()
-        assert len(bpe.segments) <= 5 and len(bpe.segments.old) < 100
+        assert ids_of(bpe.encode([t])[0]) == library.encode(t)
+        assert len(bpe.segments) < 100 and len(bpe.old) < 100
+
+
+def test_agendas_together_are_agendas_one_by_one():
+    bpe, rng = sentencepiece_bpe.Codec(PATH), random.Random(6)
+    rows = ["".join(rng.choice("▁▁aetinrslo.,é日①\x00ß") for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    assert [ids_of(x) for x in bpe.merged_together(rows)] == [bpe.merged(x) for x in rows]
