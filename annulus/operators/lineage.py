@@ -135,22 +135,20 @@ def lineage_calls(observed: DataFrame, definitions: DataFrame, ranges: DataFrame
     within a cluster's ranges is summed over its own list of markers, once for each candidate; lists of names are made for
     the best few alone.
     """
+    every = written(observed.select("cluster", *MARKER).distinct(), "observed")
     # One scoring for each set of markers and ranges.
-    marks = observed.groupBy("cluster").agg(F.sort_array(F.collect_set("encoded")).alias("marks"))
+    marks = every.groupBy("cluster").agg(F.sort_array(F.collect_set("encoded")).alias("marks"))
     spans = ranges.groupBy("cluster").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     signed = marks.join(spans, "cluster")
     same = signed.select("cluster", "spans", F.min("cluster").over(Window.partitionBy(F.xxhash64("marks", "spans"), "marks", "spans")).alias("key"))
     same = written(same, "signatures")
     first = same.where("cluster = key").select("key", "spans")
     weigh = lambda df: df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(weights, "encoded", "left").fillna(1.0, ["weight"])
-    seen = weigh(observed.withColumnRenamed("cluster", "key").join(first.select("key"), "key", "left_semi").select("key", *MARKER).distinct())
-    seen = written(seen, "observed")
+    seen = weigh(every.withColumnRenamed("cluster", "key").join(first.select("key"), "key", "left_semi").select("key", *MARKER))
     known = written(weigh(definitions.select("name", "source_order", *MARKER).distinct()), "definitions")  # bounded by the tree: broadcast by its size
     profile = written(known.groupBy("name").agg(F.collect_list(F.struct("position", "weight")).alias("profile")), "profiles")
     covered = lambda position, held: F.exists(held, lambda s: position.between(s["start"], s["end"]))
-    held = seen.repartition("key").join(first, "key")
-
-    inside = held.where(covered(F.col("position"), F.col("spans"))).select("key", *MARKER)
+    inside = seen.join(first, "key").where(covered(F.col("position"), F.col("spans"))).select("key", *MARKER)
     hits = known.alias("e").join(inside.alias("o"), _met()).groupBy("key", "name", "source_order", *(F.col(f"e.{c}").alias(c) for c in MARKER)).agg(F.first("weight").alias("weight"))
     matched = hits.groupBy("key", "name", "source_order").agg(F.sum("weight").alias("matched_weight"), F.count("*").alias("matched_count"))
     total = seen.groupBy("key").agg(F.sum("weight").alias("observed"))
