@@ -81,7 +81,11 @@ def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = poisson_mix.mix(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    # target weights by a rule that any table's sources have: the number at the end of the name, from 1 to 8
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    targets = docs.select("source").distinct().select("source", (1 + F.pmod(number, F.lit(8))).alias("weight"))
+    mixed = poisson_mix.mix(docs, targets)
     return mixed.select("doc_id", "source", "text", F.round("rate", 9).alias("rate"), "n_copies", "copy", "shuffle_key")
 
 
@@ -91,7 +95,7 @@ def op9_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op11_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,15 +181,15 @@ _MIX_SQL = f"""
 WITH sizes AS (
   SELECT source, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS size FROM documents GROUP BY source
 ), rates AS (
-  SELECT source, CASE WHEN size > 0 THEN pow(size, {poisson_mix.TEMPERATURE}) / sum(pow(size, {poisson_mix.TEMPERATURE})) OVER () * sum(size) OVER () / size ELSE 1.0 END AS rate
-  FROM sizes
+  SELECT source, CASE WHEN size > 0 THEN CAST(weight AS DOUBLE) / CAST(sum(weight) OVER () AS DOUBLE) * sum(size) OVER () / size ELSE 1.0 END AS rate
+  FROM (SELECT *, 1 + coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) % 8 AS weight FROM sizes)
 ), points AS (
   SELECT doc_id, d.source, text, rate,
          CAST(('0x' || substr(md5('{poisson_mix.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) / pow(2, 52) AS u
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 ), steps AS (
   SELECT source, rate, k, exp(-rate + sum(CASE WHEN k = 0 THEN 0 ELSE ln(rate / k) END) OVER (PARTITION BY source ORDER BY k)) AS p
-  FROM rates, range(0, 200) t(k)
+  FROM rates, range(0, 2000) t(k)
 ), cdf AS (SELECT source, list(c ORDER BY k) AS cs FROM (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM steps WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)) GROUP BY source
 ), drawn AS (

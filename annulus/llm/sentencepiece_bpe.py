@@ -217,8 +217,12 @@ class Codec:
         cuts = [self.cut(" " + t.replace(SPACE, " ")) if t else [] for t in texts]  # with plain spaces most texts are narrow strings
         if len(self.segments) > CACHE_SEGMENTS:  # a full table becomes the old one
             self.segments, self.old = {}, self.segments
-        self.learn(set().union(*cuts) - self.segments.keys())
-        return [b"".join(map(self.segments.__getitem__, c)) for c in cuts]
+        found = [list(map(self.segments.get, c)) for c in cuts]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        self.learn({x for k in lacking for x, ids in zip(cuts[k], found[k]) if ids is None})
+        for k in lacking:
+            found[k] = list(map(self.segments.__getitem__, cuts[k]))
+        return list(map(b"".join, found))
 
     def decode_own(self, raws: list[bytes]) -> pa.Array:
         """The texts of ids as `encode` gives them: whole characters behind a space. All are joined at once."""

@@ -516,3 +516,21 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == columns
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
     assert len(a) == len(b) and all((a[c] == b[c]).all() for c in columns)
+
+
+def test_poisson_curves_and_their_search(spark):
+    rates = spark.createDataFrame([("a", 0.3), ("b", 7.5), (None, 40.0), ("z", 0.0), ("big", 2500.0)], "source string, rate double")
+    for r in poisson_mix.curves(rates).collect():
+        p, c, want = -r.rate, 0.0, []
+        for k in range(len(r.curve)):
+            p += math.log(r.rate / k) if k else 0.0
+            c += math.exp(p)
+            want.append(c)
+        assert r.curve == pytest.approx(want, abs=1e-9) and r.curve[-1] > 1 - 1e-9
+    points = spark.createDataFrame([(x, [0.1, 0.4, 0.4, 0.9]) for x in (0.0, 0.1, 0.3, 0.4, 0.5, 0.95)] + [(0.5, [1.0]), (1.0, [1.0])], "x double, curve array<double>")
+    for r in points.select("x", "curve", poisson_mix._above("curve", F.col("x")).alias("n")).collect():
+        assert r.n == sum(c <= r.x for c in r.curve)
+    frame = spark.createDataFrame([(i, "x" * 10, f"s{i % 2}") for i in range(2000)], "doc_id long, text string, source string")
+    table = spark.createDataFrame([("s0", 3), ("s1", 1)], "source string, weight int")
+    as_table, as_dict = (sorted((r.doc_id, r.n_copies) for r in poisson_mix.repetitions(frame, w).collect()) for w in (table, {"s0": 3, "s1": 1}))
+    assert as_table == as_dict and abs(sum(n for i, n in as_table if i % 2 == 0) / 1500 - 1) < 0.1
