@@ -8,20 +8,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.functions import coords
-from annulus.operators import alignments, annotation, calls, deletions, documents, exports, haplotypes, indel_calls, intervals, lineage, molecules, reports
-from annulus.operators.shared import written
+from annulus.operators import alignments, annotation, calls, deletions, documents, exports, features, haplotypes, indel_calls, intervals, lineage, molecules, paths, reports
+from annulus.operators.shared import dropped, written
 from annulus.sources import alignments as sources
 
 
+#: Versions of the parts of a result document.
+SCHEMAS = {"schema_version": "0.5", "sv_event_schema_version": "1.0", "complex_sv_event_schema_version": "1.0", "clinical_annotation_schema_version": "1.0", "engine_version": "0.3"}
+
+
 @dataclass
 class Analysis:
     """The tables of an analysis."""
 
+    config: Config
+    reference: str
+    assessment: dict  # whether nuclear copies can be told apart
     reads: DataFrame  # every record with its NUMT score
     molecules: DataFrame
     coverage: DataFrame
@@ -40,10 +47,42 @@ class Analysis:
         genes = self.effects.groupBy("position", "alt").agg(F.array_join(F.array_sort(F.collect_set("gene")), "/").alias("gene"))  # an effect for each gene
         return own.join(genes, ["position", "alt"], "left").withColumn("significance", F.lit(None).cast("string")).withColumn("sources", F.array().cast("array<string>"))
 
-    def document(self, name: str = "sample") -> DataFrame:
-        """One row (json) with the sections of the result."""
-        spark = self.reads.sparkSession
+    def features(self) -> DataFrame:
+        """A row of features for each record, with its cluster."""
+        shown = features.read_features(self.reads, self.reference, self.config)
+        keyed = molecules.keyed(self.reads, self.config).select("record_index", "molecule")
+        return shown.join(keyed.join(self.clusters, "molecule"), "record_index", "left").drop("molecule")
+
+    def events(self) -> tuple[DataFrame, DataFrame]:
+        """Structural events of all reads, and complex rearrangements."""
+        n = len(self.reference)
+        used = self.reads.where(~F.col("numt")).withColumn("id", F.col("record_index").cast("string"))
+        split = alignments.split_events(alignments.segments(used), self.config, n)
+        own = alignments.cigar_events(used.where(F.size("cigar_operations") > 0), self.config, n).withColumn("orientation", F.lit(None).cast("string")).withColumn("known_event", F.lit(False))
+        junctions = split.select(F.col("id").alias("read"), "place", F.col("event_id").alias("id"), "orientation")
+        return alignments.merged_events(own.unionByName(split.drop("place"))), paths.merged_paths(paths.complex_events(junctions))
+
+    def filter_stats(self) -> dict:
+        """Counts of records and molecules, and whether nuclear copies can be told apart."""
+        counts = self.reads.agg(F.count("*").alias("n"), F.count_if("numt").alias("numt")).first()
+        found = self.molecules.agg(F.count("*").alias("n"), F.count_if("analysis_eligible").alias("able")).first()
+        return {
+            "input_alignment_records": counts.n, "input_molecules": found.n, "evidence_eligible_molecules": found.able, "passed_reads": counts.n - counts.numt, "numt_filtered_reads": counts.numt,
+            "numt_threshold": self.config.numt_threshold, "numt_assessment": self.assessment,
+        }
+
+    def sections(self) -> dict[str, tuple[DataFrame, list[str]]]:
+        """The result's sections: a table and its key each."""
+        svs, complexes = self.events()
+        rows = self.features()
+        named = rows.select(F.col("record_index").alias("read"), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "length")
+        signatures = rows.select(F.col("record_index").alias("read"), F.explode("sv_ids").alias("event"))
         sections = {
+            "reads": (rows, ["record_index"]),
+            "variants": (self.variants(), ["position", "alt"]),
+            "svs": (svs, ["event_id"]),
+            "complex_events": (complexes, ["event"]),
+            "clusters": (reports.cluster_summary(named, signatures), ["cluster"]),
             "coverage": (self.coverage, ["bin"]),
             "substitutions": (self.substitutions.where("pass"), ["position", "alt"]),
             "indels": (self.indels.where("pass"), ["left", "id"]),
@@ -54,21 +93,44 @@ class Analysis:
         if self.lineages is not None:
             sections["lineages"] = (self.lineages, ["cluster", "rank"])
             sections["haplotype_lineages"] = (self.haplotype_lineages, ["cluster", "rank"])
-        return documents.document(spark, {"sample": name, "schema_version": "0.5"}, sections)
+        return sections
+
+    def metadata(self, name: str) -> dict:
+        return {"sample": name, **SCHEMAS, "reference_length": len(self.reference), "resources": []}
 
-    def write(self, folder: str, name: str = "sample") -> None:
-        """The document, a VCF and a table of variants under a folder."""
-        self.document(name).coalesce(1).write.text(f"{folder}/document")
+    def document(self, name: str = "sample") -> DataFrame:
+        """One row (json) with the sections of the result, if none is too large for one value."""
+        return documents.document(self.reads.sparkSession, self.metadata(name), self.sections(), {"filter_stats": self.filter_stats()})
+
+    def write(self, folder: str, name: str = "sample", whole: bool = True) -> None:
+        """The result under a folder: the document (as one value, or not `whole` as sections of lines), a VCF and a table of variants."""
+        if whole:
+            self.document(name).coalesce(1).write.text(f"{folder}/document")
+        else:
+            documents.write_sections(self.reads.sparkSession, f"{folder}/document", self.metadata(name), self.sections(), {"filter_stats": self.filter_stats()})
         exports.write_vcf(self.variants(), f"{folder}/vcf", name)
         found = self.variants().withColumnsRenamed({"support": "alt_molecules", "callable": "callable_molecules", "level": "heteroplasmy", "ci_low": "ci95_low", "ci_high": "ci95_high", "significance": "clinical_significance", "sources": "qc_flags"})
         exports.write_variant_table(found, f"{folder}/variants")
 
 
+def charged(reads: DataFrame, config: Config, length: int) -> DataFrame:
+    """The reads with their scores as nuclear copies, written; what they cost is summed in the same pass and must be within the budget."""
+    spent = Observation("input")
+    counted = reads.observe(spent, F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("cost"), F.lit(0)).alias("bases"))
+    table = written(alignments.with_numt(counted.drop("cost"), config, length), "reads")
+    try:
+        sources.require_budget(spent.get, config)
+    except Exception:
+        dropped(table)
+        raise
+    return table
+
+
 def analyze(spark: SparkSession, path: str, reference: str, config: Config = Config(), definitions: DataFrame | None = None, realign: bool = True) -> Analysis:
     """Everything of one sample. `reference` is the circular sequence; `definitions` (name, source_order, position, kind, index,
     bases, encoded) are lineages, called from the sample's consensus."""
     n = len(reference)
-    reads = written(alignments.with_numt(sources.read(spark, path), config, n), "reads")
+    reads = charged(sources.read(spark, path), config, n)
     assembled = written(molecules.assemble(reads, config), "molecules")
     eligible = assembled.where("analysis_eligible").select("molecule")
     used = molecules.keyed(reads.where(~F.col("numt")), config).where(alignments.passes_filters(config)).join(eligible, "molecule", "left_semi")
@@ -117,4 +179,4 @@ def analyze(spark: SparkSession, path: str, reference: str, config: Config = Con
         by_haplotype = lineage.lineage_calls(lineage.within_ranges(mixed.markers, each), definitions, each)
     coverage = reports.molecule_bins(depths, min(180, n), n)
     clusters = haplotypes.as_clusters(assembled, mixed.members)
-    return Analysis(reads, assembled, coverage, substitutions, indels, large, effects, mixed, clusters, lineages, by_haplotype)
+    return Analysis(config, reference, sources.numt_assessment(spark, path), reads, assembled, coverage, substitutions, indels, large, effects, mixed, clusters, lineages, by_haplotype)

@@ -27,6 +27,7 @@ class Config:
     max_evidence_observations: int = 5_000_000
     max_phase_links: int = 1_000_000
     max_phase_work: int = 20_000_000
+    max_phase_molecule_references: int = 5_000_000
     max_input_records: int = 50_000_000
     max_input_bases: int = 10_000_000_000
     min_architecture_molecules: int = 2

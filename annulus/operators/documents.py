@@ -1,8 +1,8 @@
 """Result documents: sections as JSON with a fixed order of rows, numbers with six digits, projections of fields.
 
-A section is a table; its rows are ordered by its key and gathered once, when
-the document is put together, since a document is one value by definition.
-What may be large (observations) belongs into pages, not into the document.
+A section is a table. `write_sections` writes each as lines in the order of its key, dealt by ranges,
+with a manifest of the sections: that is the form of any size. A document as one value is put together from sections of at most
+MOST_ROWS rows, which is checked first; what may be large (observations) belongs into pages.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from annulus.errors import AnalysisError
 
 
+#: Rows of a section that may go into one value.
+MOST_ROWS = 100_000
+
+
 def six_digits(x: Column) -> Column:
     """A number with six significant digits; null if it isn't finite."""
     value = x.cast("double")
@@ -27,25 +31,57 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(six_digits(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def _json(columns: list[str]) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """n (from 1), line: the table's rows as JSON in order of the key, numbered over ranges of it; no row meets all others."""
+    from annulus.operators.ordered import numbered
+
+    rows = rounded(df)
+    return numbered(rows.select(*order, _json(rows.columns).alias("line")), *order, "line", name="n").select("n", "line")
+
+
 def section(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row (json, n): the table's rows as a JSON array in order of the key; an empty table gives []."""
+    """One row (json, n): the rows of a small table as a JSON array in order of the key; an empty table gives []."""
     rows = rounded(df)
-    every = F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("_row"))))
+    every = F.array_sort(F.collect_list(F.struct(*order, _json(rows.columns).alias("_row"))))
     return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(every, lambda x: x["_row"]), ","), F.lit("]")).alias("json"), F.count("*").alias("n"))
 
 
-def document(spark: SparkSession, metadata: dict, sections: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """One row (json): metadata (a flat mapping) and the sections (name: table and key), in the order given."""
+def document(spark: SparkSession, metadata: dict, sections: dict[str, tuple[DataFrame, list[str]]], objects: dict[str, dict] | None = None, most: int = MOST_ROWS) -> DataFrame:
+    """One row (json): metadata, objects (name: mapping) and the sections (name: table and key), in the order given. A section of more
+    than `most` rows is refused: it goes into files, see `write_sections`."""
     import json
 
-    out = spark.range(1).select(F.lit(json.dumps(metadata, ensure_ascii=False)).alias("_m"))
-    parts = [F.concat(F.lit('{"metadata":'), F.col("_m"))]
+    held = {"metadata": metadata, **(objects or {})}
+    out = spark.range(1).select(*(F.lit(json.dumps(v, ensure_ascii=False)).alias(f"_m{i}") for i, v in enumerate(held.values())))
+    parts = [F.concat(F.lit("{" if i == 0 else ","), F.lit(f"{json.dumps(name)}:"), F.col(f"_m{i}")) for i, name in enumerate(held)]
     for i, (name, (table, order)) in enumerate(sections.items()):
+        if table.limit(most + 1).count() > most:
+            raise AnalysisError("E1601", f"section {name} has more than {most} rows")
         out = out.crossJoin(section(table, order).select(F.col("json").alias(f"_s{i}")))  # one row each
         parts.append(F.concat(F.lit(f",{json.dumps(name)}:"), F.col(f"_s{i}")))
     return out.select(F.concat(*parts, F.lit("}")).alias("json"))
 
 
+def write_sections(spark: SparkSession, folder: str, metadata: dict, sections: dict[str, tuple[DataFrame, list[str]]], objects: dict[str, dict] | None = None) -> None:
+    """A document of any size: `head` with the metadata and objects, a folder of JSON lines in order for each section, and a
+    manifest (section, rows)."""
+    import json
+
+    head = json.dumps({"metadata": metadata, **(objects or {})}, ensure_ascii=False)
+    spark.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{folder}/head")
+    counts = []
+    for name, (table, order) in sections.items():
+        rows = rounded(table)
+        ordered = rows.orderBy(*order).select(_json(rows.columns).alias("value"))
+        ordered.write.text(f"{folder}/sections/{name}")
+        counts.append((name, spark.read.text(f"{folder}/sections/{name}").count()))
+    spark.createDataFrame(counts, "section string, rows long").coalesce(1).write.json(f"{folder}/manifest")
+
+
 def valid_text(raw: Column) -> Column:
     """Bytes as text for a document: invalid sequences are replaced, control characters are escaped by the JSON writer."""
     return F.make_valid_utf8(raw.cast("string"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.functions import stats
+from annulus.operators.shared import written
 
 CALLABLE = ("REFERENCE", "ALTERNATE", "EVENT_ABSENT")
 
@@ -82,6 +83,99 @@ def phase_links(observations: DataFrame, molecule: str = "molecule", event: str
     return rows.withColumn("delta", F.col("fraction") - F.col("expected"))
 
 
+def phase_work(observations: DataFrame, molecule: str = "molecule") -> DataFrame:
+    """One row (work): what linking the observations takes, counted before anything is joined: a unit for each observation, molecule,
+    partner of an alternate one and pair of a molecule."""
+    each = observations.groupBy(molecule).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "ALTERNATE").alias("a"))
+    units = F.col("n") + 1 + F.col("a") * F.col("n") + F.col("n") * (F.col("n") - 1) / 2
+    return each.agg(F.coalesce(F.sum(units), F.lit(0)).cast("long").alias("work"))
+
+
+def assessed_links(observations: DataFrame, events: DataFrame, config, molecule: str = "molecule", event: str = "event") -> DataFrame:
+    """`phase_links` within the limits of an analysis, with complete (absence of both events can be assessed), assessability and qc_flags.
+
+    events (event, absence_assessable). The work is counted first and refused if it is too much, so that a pair explosion
+    never starts; the number of links and of molecules that they name is checked on the links. Molecules that
+    aren't eligible must be left out before.
+    """
+    from annulus.errors import AnalysisError
+
+    def within(spent, most: int, what: str) -> None:
+        if (spent or 0) > most:
+            raise AnalysisError("E1601", f"{what}: {spent} of {most} allowed")
+
+    within(phase_work(observations, molecule).first().work, config.max_phase_work, "phase work")
+    links = written(phase_links(observations, molecule, event), "links")
+    total = links.agg(F.count("*").alias("n"), F.sum(F.col("both") + F.col("uncertain")).alias("named")).first()
+    within(total.n, config.max_phase_links, "phase links")
+    within(total.named, config.max_phase_molecule_references, "molecules named by phase links")
+    side = lambda x: events.select(F.col(event).alias(f"event_{x}"), F.col("absence_assessable").alias(f"_{x}"))
+    full = F.coalesce(F.col("_a") & F.col("_b"), F.lit(False))
+    rows = links.join(side("a"), "event_a", "left").join(side("b"), "event_b", "left").withColumn("complete", full).drop("_a", "_b")
+    flags = F.array_compact(F.array(F.when(~F.col("complete"), "SUPPORT_CONDITIONED"), F.when(F.col("uncertain") > 0, "UNCERTAIN_COOCCURRENCE_EXCLUDED")))
+    level = F.when(F.col("complete"), "COMPLETE_FOR_BOTH_EVENTS").otherwise("SUPPORT_CONDITIONED")
+    return rows.withColumn("assessability", level).withColumn("qc_flags", flags)
+
+
+def target_observations(bases: DataFrame, targets: DataFrame, least_quality: int) -> DataFrame:
+    """molecule, event, state, observed_allele, base_quality, mapping_quality, strand, center_proximity, fragment: what each molecule shows
+    at the positions of events.
+
+    bases (molecule, fragment, query, position, base, quality, mapping_quality, strand, size) are all aligned bases, good or not;
+    targets (event, position, ref, alt) are bounded by the genome, so bases are cut down to their positions by a semi-join before
+    anything is shuffled. One aggregation by molecule and position then finds the first fragment over it, whether two good
+    bases differ (CONFLICT), and the best good base by quality, fragment and place; without a good one the state is LOW_QUALITY.
+    A base that is neither the reference nor the alternate is EVENT_ABSENT. Null qualities are not good.
+    """
+    at = targets.select("position").distinct()
+    near = bases.join(at, "position", "left_semi")
+    good = F.coalesce((F.col("quality") >= least_quality) & F.col("base").isin(*"ACGT"), F.lit(False))
+    last = F.col("size") - 1
+    center = F.when(last > 0, 2.0 * F.least(F.col("query"), last - F.col("query")) / last).otherwise(0.0)
+    best = F.struct("quality", (-F.col("fragment")).alias("f"), (-F.col("query")).alias("q"), "base", "mapping_quality", "strand", center.alias("center"))
+    one = near.groupBy("molecule", "position").agg(
+        F.min(F.struct("fragment", "mapping_quality", "strand")).alias("first"),
+        F.max(F.when(good, best)).alias("best"),
+        F.min(F.when(good, F.col("base"))).alias("low"),
+        F.max(F.when(good, F.col("base"))).alias("high"),
+    )
+    met = one.join(targets, "position")
+    sure = F.col("best").isNotNull() & (F.col("low") == F.col("high"))
+    state = F.when(F.col("best").isNull(), "LOW_QUALITY").when(F.col("low") != F.col("high"), "CONFLICT")
+    state = state.when(F.col("best.base") == F.col("alt"), "ALTERNATE").when(F.col("best.base") == F.col("ref"), "REFERENCE").otherwise("EVENT_ABSENT")
+    seen = lambda c: F.coalesce(F.col(f"best.{c}"), F.col(f"first.{c}")).alias(c)
+    return met.select(
+        "molecule",
+        "event",
+        state.alias("state"),
+        F.when(sure, F.col("best.base")).alias("observed_allele"),
+        F.when(sure, F.col("best.quality")).alias("base_quality"),
+        seen("mapping_quality"),
+        seen("strand"),
+        F.when(sure, F.col("best.center")).alias("center_proximity"),
+        F.coalesce(-F.col("best.f"), F.col("first.fragment")).alias("fragment"),
+    )
+
+
+def event_evidence(observations: DataFrame) -> DataFrame:
+    """A row for each event of `target_observations`: depths by state (alternate, reference, other, low_quality, conflict, callable), level
+    and its interval; and for alternates, references and others each: forward, reverse, the least, greatest and mean base quality
+    and mapping quality, and the mean place in the read. Nulls where there is none. All are sums and extremes, so they merge."""
+    sides = {"alternate": F.col("state") == "ALTERNATE", "reference": F.col("state") == "REFERENCE", "other": F.col("state") == "EVENT_ABSENT"}
+    aggs = [F.count_if(c).alias(name) for name, c in sides.items()]
+    aggs += [F.count_if(F.col("state") == s).alias(s.lower()) for s in ("LOW_QUALITY", "CONFLICT")]
+    for name, c in sides.items():
+        at = lambda x: F.when(c, F.col(x))  # noqa: E731, B023 - used at once
+        aggs += [F.count_if(c & (F.col("strand") == "+")).alias(f"{name}_forward"), F.count_if(c & (F.col("strand") == "-")).alias(f"{name}_reverse")]
+        for column, short in (("base_quality", "quality"), ("mapping_quality", "mapq")):
+            aggs += [f(at(column)).alias(f"{name}_{short}_{what}") for what, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+        aggs.append(F.avg(at("center_proximity")).alias(f"{name}_read_position"))
+    rows = observations.groupBy("event").agg(*aggs).withColumn("callable", F.col("alternate") + F.col("reference") + F.col("other"))
+    low, high = stats.wilson(F.col("alternate"), F.col("callable"))
+    level = F.when(F.col("callable") > 0, F.col("alternate") / F.col("callable")).otherwise(0.0)
+    return rows.withColumn("level", level).withColumn("ci_low", F.when(F.col("callable") > 0, low).otherwise(0.0)).withColumn("ci_high", F.when(F.col("callable") > 0, high).otherwise(0.0))
+
+
 def spanning(intervals: DataFrame, points: DataFrame, carriers: DataFrame, flank: int = 25) -> DataFrame:
     """point, n: molecules with an interval over the point and its flanks that aren't carriers of it."""
     from annulus.operators.intervals import overlapping

@@ -129,7 +129,7 @@ READS_SQL = GENOME_SQL + """, parts AS (
   SELECT l_orderkey AS molecule, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag) AS record_index, l_linenumber AS line, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 16 END AS flags,
          CAST(round(l_discount * 100) AS BIGINT) * 6 AS mapq, 105 + CAST(floor(l_quantity) AS BIGINT) AS a, l_partkey % 4 AS x, l_suppkey % 5 = 0 AS large,
          CASE WHEN l_suppkey % 5 = 0 THEN 60 ELSE l_suppkey % 4 END AS y, 200 + 100 * (l_suppkey // 5 % 5) + l_partkey % 3 AS kept, (l_partkey * 7 + l_suppkey) % 500 + 1 AS own,
-         l_orderkey % 3 = 0 AS changed
+         l_orderkey % 3 = 0 AS changed, l_suppkey AS supp, l_partkey AS part
   FROM lineitem
 ), placed AS (SELECT *, CASE WHEN large THEN kept - a - 29 ELSE own END AS start FROM parts),
 made AS (SELECT p.*, CASE WHEN molecule % 2 = 0 THEN substr(g, start + a, x) ELSE substr('GATTACA', 1, x) END AS ins, mapq >= 20 AS usable FROM placed p, genome)"""
@@ -144,7 +144,7 @@ def made_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.when(large, kept - a - 29).otherwise(F.pmod(part * 7 + supp, F.lit(500)) + 1).cast("int")
     of_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")  # some lines each
     rows = table(spark, sf_dir, "lineitem").select(key.alias("molecule"), (key * 1000 + F.row_number().over(of_order)).alias("record_index"), line.alias("line"), (F.round(F.col("l_discount") * 100) * 6).cast("int").alias("mapping_quality"),
-                                                   F.when(F.col("l_returnflag") == "N", 0).otherwise(16).alias("flags"), a.alias("a"), x.alias("x"), y.alias("y"), start.alias("reference_start"))
+                                                   F.when(F.col("l_returnflag") == "N", 0).otherwise(16).alias("flags"), supp.alias("supp"), part.alias("part"), a.alias("a"), x.alias("x"), y.alias("y"), start.alias("reference_start"))
     cut = lambda at, n: F.substring(F.lit(GENOME), at, n)
     s, a, x, y = (F.col(c) for c in ("reference_start", "a", "x", "y"))
     first = cut(s, a)
@@ -156,6 +156,9 @@ def made_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "molecule",
         "record_index",
+        "line",
+        "supp",
+        "part",
         F.concat(F.lit("m"), F.col("molecule").cast("string")).alias("id"),
         "flags",
         "mapping_quality",

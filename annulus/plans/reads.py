@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.config import Config
-from annulus.operators import deletions, features, haplotypes, indel_calls, intervals
+from annulus.operators import deletions, evidence, features, haplotypes, indel_calls, intervals, molecules
 from annulus.operators.calls import aligned_pieces, run_lengths, spanning_depths
 from annulus.operators.shared import written
 from annulus.plans import carriers as C
@@ -123,3 +123,101 @@ def haplotype_mixture(spark, d) -> DataFrame:
     levels = rows.groupBy("position").agg(F.avg((F.col("base") == "T").cast("int")).alias("fraction"))
     calls = levels.select("position", F.lit("C").alias("ref"), F.lit("T").alias("alt"), "fraction", F.lit(True).alias("pass"))
     return haplotypes.haplotypes(written(rows, "bases"), written(calls, "levels"), run_lengths(spark, "ACGT" * 200)).members
+
+
+# Reads with tags: a molecule is two orders, some lines lack its tag, some orders have none or two.
+_TAGGED_SQL = C.READS_SQL + """, tagged AS (
+  SELECT record_index, 'q' || molecule AS id, flags + CASE line WHEN 2 THEN 2048 WHEN 3 THEN 256 WHEN 4 THEN 1024 ELSE 0 END AS flags, mapq, CASE WHEN supp % 7 = 0 THEN 'chr1' ELSE 'MT' END AS contig,
+         CASE WHEN molecule % 11 = 0 OR line = 6 THEN NULL WHEN molecule % 13 = 0 AND line = 5 THEN 'Z' ELSE 'M' || (molecule // 2) END AS mi,
+         CASE WHEN supp % 5 = 0 THEN NULL WHEN molecule % 17 = 0 THEN 'U' || (part % 2) ELSE 'U0' END AS rx, start + a + y + 139 > 600 AS over
+  FROM made), sided AS (SELECT *, flags & 2304 = 0 AS prime FROM tagged),
+names AS (SELECT id, count(*) FILTER (prime) AS primaries, count(*) FILTER (mi IS NULL) AS lacking, CASE WHEN min(mi) IS NULL THEN 'missing' WHEN min(mi) <> max(mi) THEN 'conflict' ELSE 'tag' END AS state, min(mi) AS mi FROM sided GROUP BY id),
+keyed AS (SELECT s.* EXCLUDE (mi), state, primaries, lacking, CASE state WHEN 'missing' THEN 'UNASSIGNED:MI:' || s.id WHEN 'conflict' THEN 'CONFLICT:MI:' || s.id ELSE 'MI:' || n.mi END AS molecule_id FROM sided s JOIN names n ON n.id = s.id),
+whole AS (SELECT molecule_id, min(state) AS state, count(*) AS fragments, count(DISTINCT id) AS qnames, count(*) FILTER (prime) AS primaries, count(*) FILTER (prime AND flags & 1540 = 0) AS usable,
+    list(record_index ORDER BY prime DESC, CASE WHEN prime THEN mapq ELSE 0 END DESC, record_index)[1] AS representative, bool_or(flags & 256 <> 0) AS secondary, bool_or(flags & 2048 <> 0) AS supplementary, bool_or(flags & 1024 <> 0) AS duplicate,
+    min(rx) AS low, max(rx) AS high, count(*) FILTER (rx IS NULL) AS bare, count(DISTINCT contig) AS contigs, bool_or(over) AS over, bool_or(primaries <> 1) AS unclear, bool_or(lacking > 0) AS partial FROM keyed GROUP BY 1),
+told AS (SELECT *, CASE WHEN state <> 'tag' THEN state WHEN unclear THEN 'malformed' END AS problem FROM whole),
+reasoned AS (SELECT *, [CASE problem WHEN 'missing' THEN 'MISSING_MOLECULE_ID_TAG' WHEN 'conflict' THEN 'CONFLICTING_MOLECULE_ID_TAG' WHEN 'malformed' THEN 'INVALID_PRIMARY_COUNT_PER_QNAME' END,
+    CASE WHEN low <> high THEN 'CONFLICTING_UMI_TAG_VALUES' END, CASE WHEN primaries > 0 AND usable = 0 THEN 'NO_ELIGIBLE_PRIMARY_EVIDENCE' END] AS reasons FROM told)
+SELECT molecule_id, CASE problem WHEN 'missing' THEN 'missing_explicit_molecule_id' WHEN 'conflict' THEN 'conflicting_explicit_molecule_id' WHEN 'malformed' THEN 'invalid_tagged_fragment_group' ELSE CASE WHEN qnames > 1 THEN 'explicit_tag_multi_qname_group' ELSE 'explicit_tag_single_qname_group' END END AS assembly_status,
+  representative, fragments, qnames, primaries, problem IS NOT NULL OR coalesce(low <> high, false) AS ambiguous, len(list_filter(reasons, lambda x: x IS NOT NULL)) = 0 AS analysis_eligible,
+  array_to_string(list_sort(list_filter(reasons, lambda x: x IS NOT NULL)), ',') AS exclusion_reasons,
+  array_to_string(list_sort(list_filter(list_concat(reasons, [CASE WHEN low IS NULL THEN 'MISSING_UMI_TAG' END, CASE WHEN low = high AND bare > 0 THEN 'PARTIAL_UMI_TAG_INHERITED' END, CASE WHEN state = 'tag' AND partial THEN 'PARTIAL_MOLECULE_ID_TAG_INHERITED' END]), lambda x: x IS NOT NULL)), ',') AS warnings,
+  array_to_string(list_sort(list_filter(['EXPLICIT_MOLECULE_ID', CASE WHEN low = high THEN 'UMI_RECORDED' END, CASE WHEN qnames > 1 THEN 'MULTI_QNAME_MOLECULE' END, CASE WHEN secondary THEN 'SECONDARY_EVIDENCE_PRESENT' END, CASE WHEN supplementary THEN 'SUPPLEMENTARY_EVIDENCE_PRESENT' END,
+    CASE WHEN duplicate THEN 'SAM_DUPLICATE_FLAG_PRESENT' END, CASE WHEN contigs > 1 THEN 'MULTI_REFERENCE_ALIGNMENT' END, CASE WHEN over THEN 'ORIGIN_SPANNING_ALIGNMENT' END], lambda x: x IS NOT NULL)), ',') AS protocol_flags
+FROM reasoned"""
+
+
+@_query("WITH " + _TAGGED_SQL)
+def molecule_assembly(spark, d) -> DataFrame:
+    order, line = F.col("molecule"), F.col("line")
+    extra = F.when(line == 2, 2048).when(line == 3, 256).when(line == 4, 1024).otherwise(0)
+    none = F.lit(None).cast("string")
+    mi = F.when((F.pmod(order, F.lit(11)) == 0) | (line == 6), none).when((F.pmod(order, F.lit(13)) == 0) & (line == 5), "Z").otherwise(F.concat(F.lit("M"), F.floor(order / 2).cast("string")))
+    rx = F.when(F.pmod("supp", F.lit(5)) == 0, none).when(F.pmod(order, F.lit(17)) == 0, F.concat(F.lit("U"), F.pmod("part", F.lit(2)).cast("string"))).otherwise("U0")
+    rows = C.made_reads(spark, d).withColumns(
+        {
+            "id": F.concat(F.lit("q"), order.cast("string")),
+            "flags": F.col("flags") + extra,
+            "reference_name": F.when(F.pmod("supp", F.lit(7)) == 0, "chr1").otherwise("MT"),
+            "aux_tags": F.map_filter(F.create_map(F.lit("MI"), mi, F.lit("RX"), rx), lambda k, v: v.isNotNull()),
+        }
+    )
+    found = molecules.assembly(rows, Config(result_schema="0.6", molecule_id_tag="MI", umi_tag="RX"), 600)
+    joined = (F.array_join(c, ",").alias(c) for c in ("exclusion_reasons", "warnings", "protocol_flags"))
+    return found.select("molecule_id", "assembly_status", "representative", "fragments", "qnames", "primaries", "ambiguous", "analysis_eligible", *joined)
+
+
+_TARGETS_SQL = C.BASES_SQL.replace("l_orderkey AS query", "l_orderkey % 100 AS query, CAST(round(l_discount * 100) AS BIGINT) * 6 AS mapq, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand") + """, targets AS (
+  SELECT DISTINCT 'snv:' || position || ':' || ref || '>' || alt AS event, position, ref, alt FROM (
+    SELECT p_partkey * 7 % 60 + 1 AS position, substr('ACGT', CAST((p_partkey * 7 % 60 + 1) % 4 AS INTEGER) + 1, 1) AS ref, substr('ACGT', CAST((p_partkey * 7 % 60 + 2 + p_partkey % 3) % 4 AS INTEGER) + 1, 1) AS alt FROM part WHERE p_size < 20)
+), near AS (SELECT *, quality >= 10 AS good, 2.0 * least(query, 99 - query) / 99 AS center FROM bases WHERE position IN (SELECT position FROM targets)),
+one AS (SELECT molecule, position, min(base) FILTER (good) AS low, max(base) FILTER (good) AS high,
+    list({'q': quality, 'b': base, 'm': mapq, 's': strand, 'c': center} ORDER BY quality DESC, fragment, query, base DESC, mapq DESC, strand DESC) FILTER (good)[1] AS best,
+    list({'m': mapq, 's': strand} ORDER BY fragment, mapq, strand)[1] AS first FROM near GROUP BY 1, 2),
+seen AS (SELECT molecule, event, CASE WHEN best IS NULL THEN 'LOW_QUALITY' WHEN low <> high THEN 'CONFLICT' WHEN best.b = alt THEN 'ALTERNATE' WHEN best.b = ref THEN 'REFERENCE' ELSE 'EVENT_ABSENT' END AS state,
+    CASE WHEN low = high THEN best.q END AS quality, coalesce(best.m, first.m) AS mapq, coalesce(best.s, first.s) AS strand, CASE WHEN low = high THEN best.c END AS center FROM one JOIN targets USING (position))
+SELECT event, count(*) FILTER (state = 'ALTERNATE') AS alternate, count(*) FILTER (state = 'REFERENCE') AS reference, count(*) FILTER (state = 'EVENT_ABSENT') AS other, count(*) FILTER (state = 'LOW_QUALITY') AS low_quality, count(*) FILTER (state = 'CONFLICT') AS conflict,
+  count(*) FILTER (state IN ('ALTERNATE', 'REFERENCE', 'EVENT_ABSENT')) AS callable, count(*) FILTER (state = 'ALTERNATE' AND strand = '+') AS alternate_forward, count(*) FILTER (state = 'REFERENCE' AND strand = '-') AS reference_reverse,
+  round(avg(quality) FILTER (state = 'ALTERNATE'), 6) AS alternate_quality_mean, min(mapq) FILTER (state = 'ALTERNATE') AS alternate_mapq_min, max(mapq) FILTER (state = 'REFERENCE') AS reference_mapq_max,
+  round(avg(mapq) FILTER (state = 'EVENT_ABSENT'), 6) AS other_mapq_mean, round(avg(center) FILTER (state = 'ALTERNATE'), 6) AS alternate_read_position FROM seen GROUP BY event"""
+
+
+@_query("WITH " + _TARGETS_SQL)
+def event_evidence(spark, d) -> DataFrame:
+    """Depths, qualities and places of alleles at target positions, by the state that each molecule shows."""
+    rows = C.table(spark, d, "lineitem")
+    bases = rows.select(
+        F.pmod("l_orderkey", F.lit(200)).alias("molecule"),
+        F.col("l_linenumber").alias("fragment"),
+        (F.pmod("l_partkey", F.lit(60)) + 1).alias("position"),
+        F.substring(F.lit("ACGT"), (F.pmod(F.col("l_suppkey") + F.col("l_partkey"), F.lit(4)) + 1).cast("int"), F.lit(1)).alias("base"),
+        F.floor("l_quantity").cast("long").alias("quality"),
+        F.pmod("l_orderkey", F.lit(100)).alias("query"),
+        (F.round(F.col("l_discount") * 100).cast("long") * 6).alias("mapping_quality"),
+        F.when(F.pmod("l_orderkey", F.lit(2)) == 0, "+").otherwise("-").alias("strand"),
+        F.lit(100).alias("size"),
+    )
+    at = F.pmod(F.col("p_partkey") * 7, F.lit(60)) + 1
+    letter = lambda n: F.substring(F.lit("ACGT"), (F.pmod(n, F.lit(4)) + 1).cast("int"), F.lit(1))
+    targets = C.table(spark, d, "part").where("p_size < 20").select(at.alias("position"), letter(at).alias("ref"), letter(at + 1 + F.pmod("p_partkey", F.lit(3))).alias("alt"))
+    targets = targets.withColumn("event", F.concat(F.lit("snv:"), F.col("position").cast("string"), F.lit(":"), "ref", F.lit(">"), "alt")).distinct()
+    found = evidence.event_evidence(evidence.target_observations(bases, targets, 10))
+    six = lambda c: F.round(c, 6).alias(c)
+    return found.select("event", "alternate", "reference", "other", "low_quality", "conflict", "callable", "alternate_forward", "reference_reverse", six("alternate_quality_mean"),
+                        "alternate_mapq_min", "reference_mapq_max", six("other_mapq_mean"), six("alternate_read_position"))
+
+
+@_query(
+    f"""WITH {C.OBS_SQL}, t AS (
+  SELECT a.event AS event_a, b.event AS event_b, count(*) FILTER (a.state = 'ALTERNATE' OR b.state = 'ALTERNATE') AS seen, count(*) FILTER (a.state = 'ALTERNATE' AND b.state = 'ALTERNATE') AS "both", count(*) FILTER (a.state = 'LOW_QUALITY' OR b.state = 'LOW_QUALITY') AS uncertain
+  FROM obs a JOIN obs b ON a.molecule = b.molecule AND a.event < b.event GROUP BY 1, 2), linked AS (SELECT *, CAST(right(event_a, 1) AS INTEGER) % 2 = 0 AND CAST(right(event_b, 1) AS INTEGER) % 2 = 0 AS complete FROM t WHERE seen > 0)
+SELECT event_a, event_b, "both", uncertain, complete, CASE WHEN complete THEN 'COMPLETE_FOR_BOTH_EVENTS' ELSE 'SUPPORT_CONDITIONED' END AS assessability,
+  concat_ws(',', CASE WHEN NOT complete THEN 'SUPPORT_CONDITIONED' END, CASE WHEN uncertain > 0 THEN 'UNCERTAIN_COOCCURRENCE_EXCLUDED' END) AS qc_flags FROM linked"""
+)
+def assessed_links(spark, d) -> DataFrame:
+    seen = C.obs(spark, d)
+    events = seen.select("event").distinct().withColumn("absence_assessable", F.pmod(F.expr("right(event, 1)").cast("int"), F.lit(2)) == 0)
+    limits = Config(max_phase_work=10**15, max_phase_links=10**12, max_phase_molecule_references=10**15)
+    found = evidence.assessed_links(seen, events, limits)
+    return found.select("event_a", "event_b", "both", "uncertain", "complete", "assessability", F.array_join("qc_flags", ",").alias("qc_flags"))

@@ -29,9 +29,42 @@ def _refuse(df: DataFrame, bad, what: str) -> DataFrame:
     return df.withColumn("id", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(message)).otherwise(F.col("id")))
 
 
+def header_contigs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the `@SQ` lines at the head of SAM files, each once, sorted. A task reads no further than the first line that is none
+    of the header, so that files are not read for it."""
+
+    def named(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            head = next((i for i, x in enumerate(lines) if not x.startswith("@")), len(lines))
+            fields = [f for x in lines[:head] if x.startswith("@SQ\t") for f in x.rstrip("\r").split("\t") if f.startswith("SN:")]
+            yield pa.RecordBatch.from_arrays([pa.array([f[3:] for f in fields], pa.string())], ["name"])
+            if head < len(lines):
+                return
+
+    rows = spark.read.text(path).mapInArrow(named, "name string").distinct()
+    return sorted(r["name"] for r in rows.collect())  # the contigs of a genome
+
+
+def nuclear(spark: SparkSession, names: list[str]) -> bool:
+    """Whether one of the contigs is a nuclear one."""
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    return rows.where(text.nuclear_contig(F.col("name"))).limit(1).count() > 0
+
+
+def require_budget(spent: dict, config) -> None:
+    """Fail if what was charged (records, bases) while reading is more than the options allow."""
+    for name, most in (("records", config.max_input_records), ("bases", config.max_input_bases)):
+        if (spent.get(name) or 0) > most:
+            raise AnalysisError("E1601", f"the input has {spent[name]} {name}, {most} are allowed")
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """reads: record_index, id, flags, reference_name, reference_start (1-based, 0: none), mapping_quality, cigar,
-    cigar_operations, sequence, qualities, aux_tags, supplementary_alignments."""
+    cigar_operations, sequence, qualities, aux_tags, supplementary_alignments, cost (what a record counts against the budget: its
+    bases, a quarter of its text, or its reference span, whichever is most)."""
     lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.trim("value") != ""))
     field = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     at = lambda i: F.get(field, F.lit(i))
@@ -46,6 +79,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         at(9).alias("sequence"),
         at(10).alias("qualities"),
         F.slice(field, F.lit(12), F.greatest(F.size(field) - 11, F.lit(0))).alias("tags"),
+        F.length("value").alias("line_length"),
     )
     has_bases = F.col("sequence") != "*"
     ops = text.cigar_operations(F.col("cigar"))
@@ -77,6 +111,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         F.when(has_bases, F.upper("sequence")).otherwise("").alias("sequence"),
         F.when(F.col("qualities") != "*", F.col("qualities")).otherwise(F.repeat(F.lit("!"), F.when(has_bases, F.length("sequence")).otherwise(0))).alias("qualities"),
         F.map_from_entries(last).alias("aux_tags"),
+        F.greatest(F.when(has_bases, F.length("sequence")).otherwise(0), F.ceil(F.col("line_length") / 4), text.reference_span(ops)).cast("long").alias("cost"),
     )
     return out.withColumn("supplementary_alignments", supplementary(F.try_element_at("aux_tags", F.lit("SA"))))
 
@@ -110,16 +145,19 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     rows = numbered.groupBy("record_index").agg(*(F.max(F.when(F.col("k") == k, F.col("line"))).alias(c) for k, c in enumerate(("header", "sequence", "plus", "qualities"))))
     rows = rows.withColumn("id", F.regexp_extract("header", "^@([^ \t]+)", 1))
     bad = ~F.col("header").startswith("@") | ~F.col("plus").startswith("+") | (F.length("sequence") != F.length("qualities"))
-    return _refuse(rows, bad, "malformed FASTQ record").select("record_index", "id", "header", F.upper("sequence").alias("sequence"), "qualities")
+    return _refuse(rows, bad, "malformed FASTQ record").select("record_index", "id", "header", F.upper("sequence").alias("sequence"), "qualities", F.length("sequence").cast("long").alias("cost"))
 
 
-def read_reference(spark: SparkSession, path: str) -> str:
-    """The one sequence of a FASTA file: a small file, read on the driver."""
+def read_reference(spark: SparkSession, path: str, length: int | None = None) -> str:
+    """The one sequence of a FASTA file: a small file, read on the driver. `length` is what it must have: the genome that
+    genes and lineages are told by has coords.L bases."""
     whole = spark.read.text(path, wholetext=True).first()
     lines = [x.strip() for x in (whole.value if whole else "").splitlines() if x.strip()]
     sequence = "".join(lines[1:]).upper()
     if not lines or not lines[0].startswith(">") or any(x.startswith(">") for x in lines[1:]) or not sequence or set(sequence) - set("ACGTN"):
         raise AnalysisError("E1202", f"{path} isn't one sequence of A, C, G, T and N")
+    if length is not None and len(sequence) != length:
+        raise AnalysisError("E1202", f"{path} has {len(sequence)} bases, {length} are needed")
     return sequence
 
 
@@ -141,3 +179,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
         return read_bam(spark, path)  # CRAM is refused by its first bytes
     raise AnalysisError("E1102", path)
+
+
+def contigs(spark: SparkSession, path: str) -> list[str]:
+    """The contigs that the header of an alignment names; none of other files."""
+    name = path.lower().removesuffix(".gz")
+    if name.endswith(".sam"):
+        return header_contigs(spark, path)
+    if name.endswith(".bam"):
+        from annulus.sources.bam import reference_names
+
+        return sorted(set(reference_names(path)))
+    return []
+
+
+def numt_assessment(spark: SparkSession, path: str) -> dict:
+    """Whether nuclear copies can be told apart: mode, nuclear_contigs_present, specificity_assessable, provenance_status and
+    provenance_reason, from the header's contigs and the manifest beside the file."""
+    from annulus.sources.tables import numt_provenance
+
+    aligned = path.lower().removesuffix(".gz").endswith((".sam", ".bam"))
+    present = aligned and nuclear(spark, contigs(spark, path))
+    status, sure, reason = numt_provenance(spark, path, present, aligned)
+    mode = "competitive_alignment" if sure else "mt_only_or_unknown" if aligned else "unaligned_fastq"
+    return {"mode": mode, "nuclear_contigs_present": present, "specificity_assessable": sure, "provenance_status": status, "provenance_reason": reason}

@@ -31,7 +31,7 @@ LARGEST_RECORD = 1 << 28
 #: Compressed bytes of a partition, and records that must follow each other where one is looked for.
 SPLIT, CHAIN = 64 << 20, 8
 
-SCHEMA = "file string, split long, file_index long, id string, flags int, reference_name string, reference_start int, mapping_quality int, cigar string, sequence string, qualities string, aux_tags map<string,string>"
+SCHEMA = "file string, split long, file_index long, id string, flags int, reference_name string, reference_start int, mapping_quality int, cigar string, sequence string, qualities string, aux_tags map<string,string>, cost long"
 
 
 def _open(path: str):
@@ -116,7 +116,7 @@ def _cigar(words) -> str:
 
 
 def record(data: bytes, names: list[str]) -> tuple:
-    """A record as the columns from `id` on."""
+    """A record as the columns from `id` on; the last is its cost: its bases, a quarter of its bytes, or its reference span, whichever is most."""
     if len(data) < FIXED.size:
         raise AnalysisError("E1103", "a record is too short")
     ref, pos, l_name, mapq, _, n_ops, flags, l_seq, *_rest = FIXED.unpack_from(data)
@@ -135,7 +135,14 @@ def record(data: bytes, names: list[str]) -> tuple:
         cigar = _cigar([int(x) for x in tags.pop("CG").split(",")[1:]])  # more operations than the field can count
     missing = not quals or quals[0] == 0xFF
     qualities = "!" * l_seq if missing else "".join(chr(min(q, 93) + 33) for q in quals)
-    return name, flags, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, sequence.upper(), qualities, tags
+    cost = max(l_seq, -(-len(data) // 4), _reference_span(cigar))
+    return name, flags, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, sequence.upper(), qualities, tags, cost
+
+
+def reference_names(path: str) -> list[str]:
+    """The names of the references in a file's header."""
+    with _open(path) as raw, gzip.GzipFile(fileobj=raw) as stream:
+        return _header(stream, path)
 
 
 def _header(stream, path: str) -> list[str]:
@@ -153,15 +160,14 @@ def _header(stream, path: str) -> list[str]:
 
 
 def records(path: str, most_bases: int | None = None):
-    """The records of a file. `most_bases` bounds the sum of what each costs: its bases, a quarter of its bytes, or its
-    reference span, whichever is most."""
+    """The records of a file. `most_bases` bounds the sum of their costs."""
     spent = 0
     with _open(path) as raw, gzip.GzipFile(fileobj=raw) as stream:
         names = _header(stream, path)
         for index, body in enumerate(_bodies(stream)):
             row = record(body, names)
             if most_bases is not None:
-                spent += max(len(row[6]), -(-len(body) // 4), _reference_span(row[5]))
+                spent += row[-1]
                 if spent > most_bases:
                     raise AnalysisError("E1601", f"{path} holds more than {most_bases} bases")
             yield (path, 0, index, *row)
@@ -379,5 +385,5 @@ def read_bam(spark: SparkSession, paths: str | list[str], most_bases: int | None
     ops = text.cigar_operations(F.col("cigar"))
     fits = (F.col("sequence") == "") | (F.col("cigar") == "*") | (text.query_span(ops) == F.length("sequence"))
     id_ = F.when(~fits, F.raise_error(F.concat(F.lit("E1103: malformed alignment record: "), F.col("id")))).otherwise(F.col("id"))
-    out = numbered.select("record_index", id_.alias("id"), "flags", "reference_name", "reference_start", "mapping_quality", "cigar", ops.alias("cigar_operations"), "sequence", "qualities", "aux_tags")
+    out = numbered.select("record_index", id_.alias("id"), "flags", "reference_name", "reference_start", "mapping_quality", "cigar", ops.alias("cigar_operations"), "sequence", "qualities", "aux_tags", "cost")
     return out.withColumn("supplementary_alignments", supplementary(F.try_element_at("aux_tags", F.lit("SA"))))

@@ -223,6 +223,13 @@ def competitive_reference_is_sound(spark: SparkSession, manifest: str, digest: s
     return found[manifest] == digest.lower() and found[index] == index_digest.lower()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+#: The statuses and reasons of numt_provenance are fixed values: a result shows them as they are.
 def numt_provenance(spark: SparkSession, alignment: str, nuclear_contigs: bool, is_alignment: bool = True) -> tuple[str, bool, str]:
     """(status, assessable, reason): whether nuclear copies competed for the reads of an alignment, by the chain of digests in
     the manifest beside it."""
@@ -231,12 +238,8 @@ def numt_provenance(spark: SparkSession, alignment: str, nuclear_contigs: bool,
     if not nuclear_contigs:
         return "NOT_VERIFIED", False, "alignment header has no nuclear contigs"
     folder = alignment.rsplit("/", 1)[0]
-    try:
-        fields = read_fields(spark, f"{folder}/competitive-mapping-manifest.tsv")
-    except Exception as e:  # noqa: BLE001 - Spark's error of a missing path has no class of its own
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fields = None
+    manifest = f"{folder}/competitive-mapping-manifest.tsv"
+    fields = read_fields(spark, manifest) if exists(spark, manifest) else None
     if fields is None:
         return "NOT_VERIFIED", False, "competitive mapping manifest is absent or malformed"
     have = {r.field: r.value for r in fields.collect()}

@@ -106,3 +106,20 @@ def test_ranges(spark):
     assert {tuple(r) for r in intervals.islands(points, [], "position").collect()} == {(1, 2), (4, 6)}
     deep = {r.position: r.depth for r in intervals.depth(rows.select("start", "end"), 20).collect()}
     assert deep == {p: sum(a <= p <= b for a, b in ((1, 5), (6, 9), (12, 20), (13, 14), (3, 4))) for p in range(1, 21)}
+
+
+def test_header_contigs_and_costs(spark, tmp_path):
+    line = lambda name, cigar, seq: f"{name}\t0\tMT\t5\t60\t{cigar}\t*\t0\t0\t{seq}\t{'I' * len(seq)}\n"
+    one, two = tmp_path / "a.sam", tmp_path / "b.sam"
+    one.write_text("@HD\tVN:1.6\n@SQ\tSN:MT\tLN:9\r\n@SQ\tLN:9\tSN:chr2\n@PG\tSN:chr9\n" + line("r1", "4M9000N4M", "ACGTACGT") + "@SQ\tSN:chr7\tLN:1\n")
+    two.write_text(line("r2", "200M", "ACGT" * 50))
+    assert source.header_contigs(spark, str(one)) == ["MT", "chr2"] and source.header_contigs(spark, str(two)) == []
+    assert source.nuclear(spark, ["MT", "chr2"]) and not source.nuclear(spark, ["MT"]) and not source.nuclear(spark, [])
+    assert source.numt_assessment(spark, str(two))["provenance_reason"] == "alignment header has no nuclear contigs"
+    assert source.numt_assessment(spark, str(one))["nuclear_contigs_present"]
+    costs = {r.id: r.cost for r in source.read_sam(spark, str(two)).union(source.read_sam(spark, str(one)).where("id = 'r1'")).collect()}
+    assert costs == {"r1": 9008, "r2": 200}
+    (tmp_path / "g.fa").write_text(">g\nACGT\n")
+    assert source.read_reference(spark, str(tmp_path / "g.fa"), 4) == "ACGT"
+    with pytest.raises(AnalysisError, match="E1202"):
+        source.read_reference(spark, str(tmp_path / "g.fa"), 16569)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from annulus.analyze import analyze
 from annulus.config import Config
+from annulus.errors import AnalysisError
 from annulus.functions.coords import L
+from annulus.operators import contracts, documents, result_contracts
 
 REFERENCE = "".join(random.Random(41).choices("ACGT", k=L))
 OTHER = {b: "ACGT"[("ACGT".index(b) + 1) % 4] for b in "ACGT"}
@@ -34,7 +36,8 @@ def sample(tmp_path_factory):
         rows.append((f"r{i}", 16 * (i // 2 % 3 % 2), "MT", start, 60, cigar, "*", 0, 0, noisy(sequence), "5" * len(sequence)))
     rows.append(("nuclear", 0, "chr1", 5200, 60, "300M", "*", 0, 0, REFERENCE[5199:5499], "5" * 300))
     path = tmp_path_factory.mktemp("sam") / "reads.sam"
-    path.write_text("".join("\t".join(map(str, r)) + "\n" for r in rows))
+    head = "@HD\tVN:1.6\n@SQ\tSN:MT\tLN:16569\n@SQ\tLN:9\tSN:chr1\n"
+    path.write_text(head + "".join("\t".join(map(str, r)) + "\n" for r in rows))
     return str(path)
 
 
@@ -63,6 +66,31 @@ def test_lineage_and_effects(found):
     assert {r.gene for r in found.effects.collect()} == {"MT-TA"}  # 5587-5655
 
 
+def test_document_fits_the_contract(spark, found, tmp_path):
+    """The document holds all sections of its schema, whole and as sections of lines."""
+    whole = found.document("me").select(F.lit("me").alias("name"), "json").cache()
+    contracts.require(contracts.document(whole))
+    assert result_contracts.broken(whole).collect() == []
+    held = json.loads(whole.first().json)
+    stats = held["filter_stats"]
+    assert stats["input_alignment_records"] == 161 and stats["passed_reads"] == 160 == len([r for r in held["reads"] if not r["filtered_numt"]])
+    assert stats["numt_assessment"] == {"mode": "mt_only_or_unknown", "nuclear_contigs_present": True, "specificity_assessable": False, "provenance_status": "NOT_VERIFIED", "provenance_reason": "competitive mapping manifest is absent or malformed"}
+    assert any(x["event_id"] == "deletion:5450-5949" and x["support"] == 8 for x in held["svs"]) and held["clusters"][0]["cluster"] == -1
+    documents.write_sections(spark, str(tmp_path / "s"), found.metadata("me"), {k: found.sections()[k] for k in ("reads", "coverage")}, {"filter_stats": stats})
+    rows = [json.loads(x) for p in sorted((tmp_path / "s/sections/reads").glob("part-*")) for x in p.read_text().splitlines()]
+    assert rows == held["reads"] and [r["record_index"] for r in rows] == sorted(r["record_index"] for r in rows)
+    assert {r.section: r.rows for r in spark.read.json(str(tmp_path / "s/manifest")).collect()} == {"reads": 161, "coverage": 180}
+    with pytest.raises(AnalysisError, match="E1601"):
+        documents.document(spark, {}, {"reads": (spark.range(11), ["id"])}, most=10)
+
+
+def test_input_budget(spark, sample):
+    with pytest.raises(AnalysisError, match="E1601.*161 records"):
+        analyze(spark, sample, REFERENCE, Config(max_input_records=100))
+    with pytest.raises(AnalysisError, match="E1601.*bases"):
+        analyze(spark, sample, REFERENCE, Config(max_input_bases=1000))
+
+
 def test_document_and_exports(spark, found, tmp_path):
     found.write(str(tmp_path), "me")
     text = "".join(p.read_text() for p in (tmp_path / "document").glob("part-*"))

@@ -53,7 +53,7 @@ def test_same_as_sam(spark, tmp_path):
     made = written(tmp_path / "a.bam", [packed(*r) for r in RECORDS])
     want, got = alignments.read(spark, str(sam)), alignments.read(spark, made)
     assert got.columns == want.columns
-    assert [r.asDict(True) for r in got.orderBy("record_index").collect()] == [r.asDict(True) for r in want.orderBy("record_index").collect()]
+    assert [r.asDict(True) for r in got.drop("cost").orderBy("record_index").collect()] == [r.asDict(True) for r in want.drop("cost").orderBy("record_index").collect()]  # a record's size is its format's
 
 
 def test_files_are_numbered_in_order(spark, tmp_path):
