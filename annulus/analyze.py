@@ -7,6 +7,7 @@ tables that several results need, which are written to the shared folder once.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +48,14 @@ class Analysis:
         genes = self.effects.groupBy("position", "alt").agg(F.array_join(F.array_sort(F.collect_set("gene")), "/").alias("gene"))  # an effect for each gene
         return own.join(genes, ["position", "alt"], "left").withColumn("significance", F.lit(None).cast("string")).withColumn("sources", F.array().cast("array<string>"))
 
+    @cached_property
     def features(self) -> DataFrame:
-        """A row of features for each record, with its cluster."""
+        """A row of features for each record, with its cluster; found and written when first asked for."""
         shown = features.read_features(self.reads, self.reference, self.config)
         keyed = molecules.keyed(self.reads, self.config).select("record_index", "molecule")
-        return shown.join(keyed.join(self.clusters, "molecule"), "record_index", "left").drop("molecule")
+        return written(shown.join(keyed.join(self.clusters, "molecule"), "record_index", "left").drop("molecule"), "features")
 
+    @cached_property
     def events(self) -> tuple[DataFrame, DataFrame]:
         """Structural events of all reads, and complex rearrangements."""
         n = len(self.reference)
@@ -60,7 +63,8 @@ class Analysis:
         split = alignments.split_events(alignments.segments(used), self.config, n)
         own = alignments.cigar_events(used.where(F.size("cigar_operations") > 0), self.config, n).withColumn("orientation", F.lit(None).cast("string")).withColumn("known_event", F.lit(False))
         junctions = split.select(F.col("id").alias("read"), "place", F.col("event_id").alias("id"), "orientation")
-        return alignments.merged_events(own.unionByName(split.drop("place"))), paths.merged_paths(paths.complex_events(junctions))
+        svs = alignments.merged_events(own.unionByName(split.drop("place")))
+        return written(svs, "svs"), written(paths.merged_paths(paths.complex_events(junctions)), "complex-events")
 
     def filter_stats(self) -> dict:
         """Counts of records and molecules, and whether nuclear copies can be told apart."""
@@ -73,8 +77,7 @@ class Analysis:
 
     def sections(self) -> dict[str, tuple[DataFrame, list[str]]]:
         """The result's sections: a table and its key each."""
-        svs, complexes = self.events()
-        rows = self.features()
+        (svs, complexes), rows = self.events, self.features
         named = rows.select(F.col("record_index").alias("read"), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "length")
         signatures = rows.select(F.col("record_index").alias("read"), F.explode("sv_ids").alias("event"))
         sections = {
@@ -162,12 +165,11 @@ def analyze(spark: SparkSession, path: str, reference: str, config: Config = Con
     split = parts.withColumnRenamed("id", "molecule").join(low, "molecule")
     junctions = written(deletions.cigar_junctions(kept, n).unionByName(deletions.split_junctions(split, config, n)), "junctions")
     large = deletions.large_deletions(junctions, pieces.select("molecule", "start", "end"), sequence, kept.select("molecule").distinct().count(), depths, kept)
-    if n == coords.L:
-        large = deletions.with_impact(large)
+    large = written(deletions.with_impact(large) if n == coords.L else large, "deletions")
 
     passing = substitutions.where("pass")
     # genes are those of the annotated genome; on another reference nothing is annotated
-    effects = annotation.substitution_effects(passing.select("position", "alt").where(F.lit(n == coords.L)), reference)
+    effects = written(annotation.substitution_effects(passing.select("position", "alt").where(F.lit(n == coords.L)), reference), "effects")
     mixed = haplotypes.haplotypes(held, substitutions, calls.run_lengths(spark, sequence))
     lineages = by_haplotype = None
     if definitions is not None:

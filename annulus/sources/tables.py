@@ -272,6 +272,8 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     return _require(rows, rules, path).select("gene", "model", "chain", "complex", "first", "last", "differs")
 
 
+#: Items whose sizes are summed together.
+_BLOCK = 64
 _CS = "(=[A-Za-z]+|[*][a-z][a-z]|[+][a-z]+|-[a-z]+)"
 
 
@@ -280,8 +282,16 @@ def difference_edits(df: DataFrame, cs: str = "cs", start: str = "start") -> Dat
     `start`; unknown bases are no edits, but take their places."""
     parts = F.regexp_extract_all(F.col(cs), F.lit(_CS), F.lit(1))
     size = lambda x: F.when(F.startswith(x, F.lit("*")), 1).when(F.startswith(x, F.lit("+")), 0).otherwise(F.length(x) - 1)
-    before = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + size(x)))
-    rows = df.select(*df.columns, F.explode(F.arrays_zip(parts.alias("op"), before.alias("before"))).alias("_x"))
+    own = [*df.columns]
+    table = df.withColumn("_parts", parts).withColumn("_sizes", F.transform("_parts", size))
+    # Offsets in blocks: sums of blocks before, and of a block's own items before, so that a long string costs in proportion to its edits.
+    total = lambda items, at, n: F.aggregate(F.slice(items, at, n), F.lit(0), lambda a, x: a + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_sizes") - 1) / _BLOCK)), lambda b: total("_sizes", (b * _BLOCK + 1).cast("int"), F.lit(_BLOCK)))
+    table = table.where(F.size("_parts") > 0).withColumn("_blocks", blocks)
+    table = table.withColumn("_starts", F.transform("_blocks", lambda _, i: total("_blocks", F.lit(1), i)))
+    place = lambda i: F.floor(i / _BLOCK).cast("int")
+    before = F.transform("_sizes", lambda _, i: F.get("_starts", place(i)) + total("_sizes", place(i) * _BLOCK + 1, i - place(i) * _BLOCK))
+    rows = table.select(*own, F.explode(F.arrays_zip(F.col("_parts").alias("op"), before.alias("before"))).alias("_x"))
     op, known = F.col("_x.op"), lambda c: ~F.regexp(c, F.lit("n"))
     changed = F.startswith(op, F.lit("*")) & known(op)
     added = F.startswith(op, F.lit("+"))
