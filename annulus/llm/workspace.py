@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annulus.operators.shared import dropped, free_name, new_path, shared_dir, written
+from annulus.operators.shared import dropped, free_name, new_path, shared_dir, temporary, written
 
-__all__ = ["dropped", "free_name", "keyed", "new_path", "shared_dir", "written"]
+__all__ = ["dropped", "free_name", "keyed", "new_path", "shared_dir", "temporary", "written"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
