@@ -31,11 +31,16 @@ def placed(df: DataFrame, *order: Column | str) -> tuple[DataFrame, str, str]:
 def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """Adds each row's number in the whole order, from 1, and `_total`, the number of rows."""
     rows, part, place = placed(df, *order)
+    return _counted(rows, part, place, name).select(*df.columns, name, "_total")
+
+
+def _counted(rows: DataFrame, part: str, place: str, name: str) -> DataFrame:
+    """Placed rows with their number and the number of all."""
     sizes = rows.groupBy(part).agg(F.count("*").alias("_n"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = sizes.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     joined = rows.join(F.broadcast(starts), part)  # as many rows as the shuffle has partitions
-    return joined.select(*df.columns, (F.col(place) + F.col("_start") + 1).alias(name), "_total")
+    return joined.withColumn(name, F.col(place) + F.col("_start") + 1).drop("_start")
 
 
 def cumulated(df: DataFrame, amount: str, *order: Column | str, name: str = "before") -> DataFrame:
@@ -67,10 +72,10 @@ def outliers(df: DataFrame, value: str, scale: float = 6 * 1.4826, least: float
 
 def benjamini_hochberg(df: DataFrame, p: str, order: list[str], hypotheses: int = 0) -> DataFrame:
     """Adds rank and q over the whole table: the smallest p * m / rank of this row and all later ones, at most 1; m is the
-    number of rows, or of hypotheses if there were more."""
-    ranked = numbered(df, p, *order)
+    number of rows, or of hypotheses if there were more. Ranks and minima come from the same ranges: one sort."""
+    placed_rows, part, place = placed(df, p, *order)
     step = F.least(F.lit(1.0), F.col(p) * F.greatest("_total", F.lit(hypotheses)) / F.col("rank"))
-    rows, part, place = placed(ranked.withColumn("_step", step), "rank")
+    rows = _counted(placed_rows, part, place, "rank").withColumn("_step", step)
     behind = Window.orderBy(F.desc(part)).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     later = rows.groupBy(part).agg(F.min("_step").alias("_least")).select(part, F.min("_least").over(behind).alias("_later"))
     here = F.min("_step").over(Window.partitionBy(part).orderBy(F.desc(place)))
