@@ -508,7 +508,7 @@ def test_pipeline(spark, tmp_path, docs, none):
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels"):
         con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
     want = con.sql(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, sf).toPandas()
