@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.functions import coords, stats
-from annulus.operators import contracts, documents, exports, ordered, search
+from annulus.operators import contracts, documents, exports, ordered, result_contracts, search
 from annulus.plans import carriers as C
 from annulus.plans.registry import query as _query
 from annulus.sources import tables
@@ -207,3 +207,28 @@ def difference_edits(spark, d):
 def monotone_rates(spark, d):
     rows = C.table(spark, d, "part").groupBy(F.col("p_size").alias("n"), F.col("p_brand").alias("g")).agg(F.min("p_retailprice").alias("v"))
     return ordered.monotone(rows.withColumn("m", F.col("v")), ["g"], "n", "m").select("n", "v", "m")
+
+
+@_query("""SELECT row_number() OVER (ORDER BY p_partkey, line) AS n, line FROM (
+  SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","p_size":' || p_size || ',"none":null}' AS line FROM part)""")
+def section_lines(spark, d):
+    """A section of a document of any size, as numbered lines."""
+    rows = C.table(spark, d, "part").select("p_partkey", "p_brand", "p_size").withColumn("none", F.lit(None).cast("double"))
+    return documents.lines(rows, ["p_partkey"])
+
+
+@_query("""WITH s AS (SELECT s_suppkey AS k, 's' || s_suppkey AS name FROM supplier)
+SELECT name, 'metadata.schema_version' AS path, CASE WHEN k % 11 = 0 THEN 'not JSON' ELSE 'unknown schema' END AS rule FROM s WHERE k % 11 = 0 OR k % 5 = 0
+UNION ALL SELECT name, 'reads', 'must be array' FROM s WHERE k % 3 = 1 AND k % 11 <> 0 AND k % 5 <> 0
+UNION ALL SELECT name, 'metadata.reference_length', 'must be unsigned' FROM s WHERE k % 7 = 0 AND k % 11 <> 0 AND k % 5 <> 0""")
+def contract_violations(spark, d):
+    """Result documents, one for each supplier, some of them broken: what breaks."""
+    k = F.col("s_suppkey")
+    versions = "".join(f'"{name}":"1.0",' for name in ("sv_event_schema_version", "complex_sv_event_schema_version", "clinical_annotation_schema_version", "engine_version"))
+    parts = [
+        F.lit('{"metadata":{"schema_version":"'), F.when(F.pmod(k, F.lit(5)) == 0, "0.7").otherwise("0.5"), F.lit(f'",{versions}"resources":[],"reference_length":'), F.when(F.pmod(k, F.lit(7)) == 0, "-1").otherwise("16569"),
+        F.lit('},"filter_stats":{"passed_reads":1,"numt_assessment":{}},"variants":[],"svs":[],"complex_events":[],"clusters":[],"reads":'), F.when(F.pmod(k, F.lit(3)) == 1, "{}").otherwise("[]"), F.lit("}"),
+    ]
+    text = F.when(F.pmod(k, F.lit(11)) == 0, "{").otherwise(F.concat(*parts))
+    docs = C.table(spark, d, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("name"), text.alias("json"))
+    return result_contracts.broken(docs)
