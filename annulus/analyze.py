@@ -51,7 +51,11 @@ class Analysis:
     @cached_property
     def features(self) -> DataFrame:
         """A row of features for each record, with its cluster; found and written when first asked for."""
-        shown = features.read_features(self.reads, self.reference, self.config)
+        least, cut = self.config.compact_result_min_molecules, None
+        if least and self.molecules.limit(least).count() >= least:  # of many reads, what calls support
+            svs, complexes = self.events
+            cut = features.supported(self.substitutions, self.indels, self.deletions, svs, complexes, len(self.reference))
+        shown = features.read_features(self.reads, self.reference, self.config, compact=cut)
         keyed = molecules.keyed(self.reads, self.config).select("record_index", "molecule")
         return written(shown.join(keyed.join(self.clusters, "molecule"), "record_index", "left").drop("molecule"), "features")
 

@@ -30,6 +30,7 @@ class Config:
     max_phase_molecule_references: int = 5_000_000
     max_input_records: int = 50_000_000
     max_input_bases: int = 10_000_000_000
+    compact_result_min_molecules: int = 0
     min_architecture_molecules: int = 2
     max_candidate_architectures: int = 256
     architecture_max_distance: float = 0.20

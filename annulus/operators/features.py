@@ -7,6 +7,8 @@ base of a read is looked at twice.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +16,16 @@ from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.functions import coords, text
-from annulus.operators import alignments, paths
+from annulus.operators import alignments, intervals, paths
 from annulus.operators.callability import runs
 from annulus.operators.lineage import MARKER, marker_order, parse_marker
 from annulus.operators.shared import written
 from annulus.sources.alignments import reference_table
 
-#: Fixed value: bases of the longest indel that is a marker of lineages.
+#: Bases of the longest indel that is a marker of lineages; of a compact result the longest tag, the gaps between
+#: ranges that are bridged, the reads of a rearrangement, and the bases of an insertion that is one.
 LONGEST = 50
+LONGEST_TAG, BRIDGED, REARRANGED_READS, LARGE = 32, 25, 3, 50
 _MARKERS = "array<struct<position:long,kind:string,index:string,bases:string,encoded:string>>"
 _RANGES = "array<struct<start:long,end:long>>"
 
@@ -150,16 +154,58 @@ def _told(used: DataFrame, length: int) -> dict[str, DataFrame]:
     }
 
 
-def read_features(reads: DataFrame, reference: str, config: Config, clinical: DataFrame | None = None) -> DataFrame:
+@dataclass
+class Supported:
+    """What a compact result shows of single reads: rows that calls support."""
+
+    snps: DataFrame  # position, ref, alt
+    markers: DataFrame  # encoded
+    events: DataFrame  # event_id
+    complexes: DataFrame  # event
+    carriers: DataFrame | None = None  # record_index, event_id: events that calls found in reads, whatever their alignments say
+
+
+def supported(substitutions: DataFrame, indels: DataFrame, deletions: DataFrame, svs: DataFrame, complexes: DataFrame, length: int, carriers: DataFrame | None = None) -> Supported:
+    """What passing calls support: substitutions (position, ref, alt, pass), indels (deletion, left, right, allele, pass), deletions (start,
+    end, pass), and of svs (event_id, type, length, support) and complexes (event, support) the rearrangements of three reads or more.
+
+    A noisy read shows hundreds of errors; a result of many reads keeps of them what others show as well.
+    """
+    snps = substitutions.where("pass").select("position", "ref", "alt").distinct()
+    size = F.length("allele")
+    turn = F.pmod(F.col("right") - F.col("left"), size)
+    at_right = F.substring(F.concat("allele", "allele"), (turn + 1).cast("int"), size)
+    place = lambda i: coords.fold(F.col("right") + i, length).cast("string")
+    names = F.when(F.col("deletion"), F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.concat(place(i), F.lit("d"))))
+    names = names.otherwise(F.array(F.concat(place(F.lit(0)), F.lit(".1"), at_right)))
+    changed = snps.select(F.concat(F.col("position").cast("string"), "alt").alias("encoded"))
+    markers = changed.unionByName(indels.where("pass").select(F.explode(names).alias("encoded"))).distinct()
+    called = deletions.where("pass").select(F.concat(F.lit("deletion:"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("event_id"))
+    moved = F.col("type").isin("inversion", "duplication", "ambiguous_adjacency") | ((F.col("type") == "insertion") & (F.col("length") >= LARGE))
+    events = called.unionByName(svs.where(moved & (F.col("support") >= REARRANGED_READS)).select("event_id")).distinct()
+    return Supported(snps, markers, events, complexes.where(F.col("support") >= REARRANGED_READS).select("event"), carriers)
+
+
+def bridged(ranges: DataFrame) -> DataFrame:
+    """Ranges of records with the small gaps between them closed: a marker in one is not observed, and that is all."""
+    rows = ranges.select("record_index", F.explode("ranges").alias("r")).select("record_index", "r.start", "r.end")
+    joined = intervals.merged(rows, ["record_index"], gap=BRIDGED)
+    one = joined.groupBy("record_index").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    none = F.array().cast(_RANGES)
+    return ranges.select("record_index").join(one, "record_index", "left").select("record_index", F.coalesce("ranges", none).alias("ranges"))
+
+
+def read_features(reads: DataFrame, reference: str, config: Config, clinical: DataFrame | None = None, compact: Supported | None = None) -> DataFrame:
     """One row for each record: record_index, id, length, mean_quality, numt_evidence, numt_score, filtered_numt, mapping_quality,
-    flags, reference_name, snps, markers, range_known, ranges, sv_ids, complex_event_ids.
+    flags, reference_name, aux_tags (if the reads have them), snps, markers, range_known, ranges, sv_ids, complex_event_ids.
 
     snps (position, ref, alt, clinical) are mismatches, of records without a CIGAR those base by base; clinical is a struct of
     the columns of `clinical` (position, ref, alt, ...) or null. markers are substitutions and indels in the tree's order,
     each name once; ranges hold the indels' own positions. Soft clips don't count beside split alignments.
     With development tags the header's tokens are united with what alignments show, and stated ranges replace found ones. A read
     that is dropped as a nuclear copy has empty lists; an empty table gives no rows. Lists are a record's own, so they
-    are bounded by its length; records are dealt by their number.
+    are bounded by its length; records are dealt by their number. With `compact` lists are cut down to what calls support before they
+    are gathered, long tags go, and small gaps between ranges are closed.
     """
     n = len(reference)
     base = reads if "numt" in reads.columns else alignments.with_numt(reads, config, n)
@@ -173,6 +219,13 @@ def read_features(reads: DataFrame, reference: str, config: Config, clinical: Da
     marks = changed.unionByName(indels)
     if told:
         marks, events = marks.unionByName(told["markers"]), events.unionByName(told["events"])
+    if compact is not None:
+        snps = snps.join(compact.snps, ["position", "ref", "alt"], "left_semi")
+        marks = marks.join(compact.markers, "encoded", "left_semi")
+        events = events.join(compact.events, "event_id", "left_semi")
+        complexes = complexes.join(compact.complexes, "event", "left_semi")
+        if compact.carriers is not None:
+            events = events.unionByName(compact.carriers.select("record_index", "event_id"))
     if clinical is None:
         noted = snps.withColumn("clinical", F.lit(None).cast("struct<significance:string>"))
     else:
@@ -181,8 +234,12 @@ def read_features(reads: DataFrame, reference: str, config: Config, clinical: Da
     by_place = lambda a, b: F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).when(a["alt"] < b["alt"], -1).otherwise(1)
     listed = noted.groupBy("record_index").agg(F.array_sort(F.collect_list(F.struct("position", "ref", "alt", "clinical")), by_place).alias("snps"))
     gathered = lambda rows, c, name: rows.groupBy("record_index").agg(F.sort_array(F.collect_set(c)).alias(name))
-    parts = [listed, _markers(marks), marker_ranges(used, reference, config, indels), gathered(events, "event_id", "sv_ids"), gathered(complexes, "event", "complex_event_ids")]
+    shown = marker_ranges(used, reference, config, indels)
+    parts = [listed, _markers(marks), shown if compact is None else bridged(shown), gathered(events, "event_id", "sv_ids"), gathered(complexes, "event", "complex_event_ids")]
     own = ("record_index", "id", "length", "mean_quality", "numt_evidence", "numt_score", "filtered_numt", "mapping_quality", "flags", "reference_name")
+    if "aux_tags" in base.columns:
+        own = (*own, "aux_tags")
+        base = base if compact is None else base.withColumn("aux_tags", F.map_filter("aux_tags", lambda _, v: F.length(v) <= LONGEST_TAG))
     out = base.withColumns({"length": F.length("sequence"), "mean_quality": text.mean_phred(F.col("qualities")), "filtered_numt": F.col("numt")}).select(*own)
     for part in parts + ([told["ranges"]] if told else []):
         out = out.join(part, "record_index", "left")
