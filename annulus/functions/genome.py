@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Gene, start, end, strand, kind, on the revised Cambridge reference sequence.
@@ -87,6 +87,18 @@ def genes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GENES, "gene string, gene_start long, gene_end long, gene_strand string, biotype string")
 
 
+def report_genes(spark):
+    """The 15 genes of a report: those of proteins and ribosomal RNA."""
+    return genes(spark).where("biotype <> 'tRNA'")
+
+
+def labels(spark):
+    """label, gene, n: the report's gene labels in the order in which they are placed, the longest genes first, then by start."""
+    length = F.col("gene_end") - F.col("gene_start") + 1
+    order = Window.orderBy(F.desc(length), "gene_start")  # 15 rows
+    return report_genes(spark).select(F.row_number().over(order).cast("long").alias("n"), "gene", F.regexp_replace("gene", "^MT-", "").alias("label"))
+
+
 def translate_codon(codon: Column) -> Column:
     """The amino acid of a codon; X with an unknown base."""
     at = lambda i: F.instr(F.lit("TCAG"), F.substring(codon, i, 1))

@@ -145,9 +145,10 @@ def _no_scores(signed: DataFrame) -> DataFrame:
     return signed.select("molecule", F.lit("").alias("architecture"), *(none.alias(c) for c in ("distance", "overlap", "score"))).where("false")
 
 
-def infer(molecules: DataFrame, observations: DataFrame, weights: DataFrame, config: Config) -> Inference:
+def infer(molecules: DataFrame, observations: DataFrame, weights: DataFrame, config: Config, callability: DataFrame | None = None) -> Inference:
     """Architectures of eligible molecules (molecule) from their observations (molecule, event, state) and the events'
-    weights (event, weight). With fewer molecules or no seed with support, all are UNASSIGNED."""
+    weights (event, weight). With fewer molecules or no seed with support, all are UNASSIGNED. `callability` (molecule,
+    callable_fraction) adds the median of an architecture's members to its summary."""
     observations = observations.join(molecules, "molecule", "left_semi")
     signed = _cut(signatures(molecules, observations))
     nothing = lambda: assigned(signed, _no_scores(signed), config)
@@ -178,7 +179,7 @@ def infer(molecules: DataFrame, observations: DataFrame, weights: DataFrame, con
             break
     flags = [] if stable else ["MAXIMUM_ASSIGNMENT_ITERATIONS_REACHED"]
     result = _cut(result)
-    return Inference("CANDIDATES_INFERRED" if stable else "CANDIDATES_INFERRED_WITH_WARNING", flags, summary(members, result, observations, config), result)
+    return Inference("CANDIDATES_INFERRED" if stable else "CANDIDATES_INFERRED_WITH_WARNING", flags, summary(members, result, observations, config, callability), result)
 
 
 def _without_dropped(rows: DataFrame) -> DataFrame:
@@ -190,9 +191,9 @@ def _without_dropped(rows: DataFrame) -> DataFrame:
     return rows.select(*(fields.get(c, F.col(c)).alias(c) for c in rows.columns if c != "_kept"))
 
 
-def summary(members: DataFrame, assignments: DataFrame, observations: DataFrame, config: Config) -> DataFrame:
+def summary(members: DataFrame, assignments: DataFrame, observations: DataFrame, config: Config, callability: DataFrame | None = None) -> DataFrame:
     """architecture, members, fraction and its interval, mean and least confidence, five representatives, defining and
-    optional events."""
+    optional events, median_callable_fraction (the true median; null without `callability`)."""
     eligible = assignments.agg(F.count("*").alias("eligible"))
     rows = assignments.where("status = 'ASSIGNED'").groupBy("architecture").agg(F.count("*").alias("members"), F.avg("confidence").alias("mean_confidence"), F.min("confidence").alias("min_confidence"))
     order = Window.partitionBy("architecture").orderBy(F.desc("confidence"), "molecule")
@@ -203,4 +204,9 @@ def summary(members: DataFrame, assignments: DataFrame, observations: DataFrame,
     lists = share.groupBy("architecture").agg(F.array_sort(F.collect_list(F.when(F.col("expected_alternate"), F.col("event")))).alias("defining"), F.array_sort(F.collect_list(F.when(optional, F.col("event")))).alias("optional"))
     low, high = stats.wilson(F.col("members"), F.col("eligible"))
     rows = rows.crossJoin(F.broadcast(eligible)).withColumn("fraction", F.col("members") / F.col("eligible")).withColumn("ci_low", low).withColumn("ci_high", high)
-    return reduce(lambda a, b: a.join(b, "architecture", "left"), (rows.drop("eligible"), first, lists))
+    if callability is None:
+        middle = rows.select("architecture", F.lit(None).cast("double").alias("median_callable_fraction"))
+    else:
+        shares = assignments.where("status = 'ASSIGNED'").select("architecture", "molecule").join(callability, "molecule")
+        middle = shares.groupBy("architecture").agg(F.median("callable_fraction").alias("median_callable_fraction"))
+    return reduce(lambda a, b: a.join(b, "architecture", "left"), (rows.drop("eligible"), first, lists, middle))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.functions import coords, genome
-from annulus.operators import annotation, lineage, paths
+from annulus.operators import annotation, intervals, lineage, paths
 from annulus.plans import carriers as C
 from annulus.plans.registry import query as _query
 
@@ -317,3 +317,15 @@ def united_changes(spark, d):
     return paths.united(first, second, ["change"])
 
 
+_REPORT_SQL = f"WITH {C.GENES_SQL}, report AS (SELECT *, gene_end - gene_start + 1 AS size FROM genes WHERE biotype <> 'tRNA'), {C.PIECES_SQL}"
+
+
+@_query(
+    _REPORT_SQL + """, labels AS (SELECT gene, row_number() OVER (ORDER BY size DESC, gene_start) AS n FROM report)
+SELECT n, r.gene, replace(r.gene, 'MT-', '') AS label, count(*) AS fragments FROM pieces JOIN report r ON start <= gene_end AND "end" >= gene_start JOIN labels l ON l.gene = r.gene GROUP BY 1, 2, 3"""
+)
+def report_gene_labels(spark, d):
+    """A report's genes in the order of their labels, with the fragments over each."""
+    pieces = intervals.split_at_origin(C.ranged(spark, d).select("molecule", "frag", "start", "end"))
+    met = intervals.overlapping(pieces, F.broadcast(genome.report_genes(spark)), "start", "end", "gene_start", "gene_end")  # 15 rows
+    return genome.labels(spark).join(met.groupBy("gene").agg(F.count("*").alias("fragments")), "gene").select("n", "gene", "label", "fragments")

@@ -1,5 +1,7 @@
 """Architectures and the evidence graph on small cases whose results are plain."""
 
+from pyspark.sql import functions as F
+
 from annulus.config import Config
 from annulus.operators import architectures, events
 
@@ -73,3 +75,12 @@ def test_structural_states(spark):
     broken = spark.createDataFrame([], "molecule long, alignment long, anchor long")
     rows = events.structural(supports, molecules, ranges, broken).collect()
     assert {(r.event, r.molecule, r.state) for r in rows} == {(e, 0, "ALTERNATE") for e in ("deletion:100-200", "inversion:5-9", "deletion:16000-50")} | {("deletion:100-200", 1, "EVENT_ABSENT")}
+
+
+def test_median_callable_fraction(spark):
+    molecules = spark.range(6).select(F.col("id").cast("string").alias("molecule"))
+    seen = spark.createDataFrame([(str(m), "e" if m < 4 else "f", "ALTERNATE") for m in range(6)], "molecule string, event string, state string")
+    weights = spark.createDataFrame([("e", 3.0), ("f", 3.0)], "event string, weight double")
+    shares = spark.createDataFrame([(str(m), x) for m, x in enumerate((0.9, 0.1, 0.5, 0.6, 0.2, 0.8))], "molecule string, callable_fraction double")
+    found = architectures.infer(molecules, seen, weights, Config(), shares).architectures
+    assert {tuple(r.defining): round(r.median_callable_fraction, 9) for r in found.collect()} == {("e",): 0.55, ("f",): 0.5}
