@@ -35,6 +35,8 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 8 * 2048
 #: Rests held back before a partition packs them: memory is bounded by tokens, not by rows.
 FLUSH_TOKENS = 1 << 20
+#: Tokens of closed windows that go out in one batch: 4 MB of ids.
+OUT_TOKENS = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int"
 #: Bits of a sequence's number within its partition.
@@ -53,6 +55,7 @@ class Packer:
         self.pieces: dict[int, tuple] = {}
         self.number = self.held = 0
         self.rows: list[tuple] = []
+        self.ready = 0  # tokens in rows
         self.rest: list[tuple] = []
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -133,6 +136,7 @@ class Packer:
         self.windows[size] = nth + 1
         offset, sequence = 0, self.base | self.sequences
         self.sequences += 1
+        self.ready += size
         for doc, start, ids, n in window:
             self.rows.append((doc, start, ids, n, sequence, offset, size, nth))
             offset += len(ids)
@@ -165,7 +169,7 @@ def pack(
         enc, packer = encoder(tokenizer), Packer(TaskContext.get().partitionId(), tiers)
 
         def out():
-            rows, packer.rows = packer.rows, []
+            rows, packer.rows, packer.ready = packer.rows, [], 0
             raw = [x[2].tobytes() for x in rows]
             columns = [
                 [x[0] for x in rows],
@@ -183,7 +187,7 @@ def pack(
                 whole = np.empty(len(got) + 1, "<u4")
                 whole[:-1], whole[-1] = got, end_id
                 packer.add(doc, whole)
-                if len(packer.rows) >= 20_000:
+                if packer.ready >= OUT_TOKENS:
                     yield out()
         packer.finish()
         yield out()
