@@ -104,6 +104,16 @@ def assigned(signed: DataFrame, scored: DataFrame, config: Config) -> DataFrame:
     """molecule, status (ASSIGNED, AMBIGUOUS, UNASSIGNED), architecture, candidates, distance, overlap, score, confidence."""
     fits = (F.col("distance") <= config.architecture_max_distance) & (F.col("overlap") >= config.architecture_min_overlap_fraction)
     ranked = scored.groupBy("molecule").agg(F.array_sort(F.collect_list(F.struct("score", "architecture", "distance", "overlap", fits.alias("fits")))).alias("all"))
+def pattern_scores(signed: DataFrame, observations: DataFrame, candidates: DataFrame, profiles: DataFrame, weights: DataFrame) -> DataFrame:
+    """`scores` with molecules of equal observations scored once; the groups' scores are written, so that a small table of them is
+    broadcast to the molecules and the result needs no shuffle."""
+    alike = _cut(_alike(signed, observations))
+    first = _cut(alike.select(F.col("first").alias("molecule")).distinct())
+    few, few_observations = (df.join(first, "molecule", "left_semi") for df in (signed, observations))
+    scored = _cut(scores(few, few_observations, candidates, profiles, weights).withColumnRenamed("molecule", "first"))
+    return alike.join(scored, "first").drop("first")
+
+
     best, second = F.get("all", F.lit(0)), F.get("all", F.lit(1))
     margin = config.architecture_ambiguity_margin
     near = F.filter("all", lambda x: x["fits"] & (x["score"] - best["score"] <= margin))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annulus.config import Config
 from annulus.functions import coords, genome, stats, text
 from annulus.operators import alignments, annotation, architectures, calls, comparison, events, evidence, exports, intervals, ordered, paths, similarity
+from annulus.operators.shared import written
 from annulus.plans import annotations, comparisons, documents, reads, scalars  # noqa: F401 - they register their queries
 from annulus.plans import carriers as C
 from annulus.plans.registry import oracle_sql, queries  # noqa: F401 - what the driver's entry reads
@@ -630,10 +631,11 @@ SELECT molecule, signature, round(distance, 6) AS distance, round(overlap, 6) AS
 )
 def architecture_scores(spark, d):
     molecules, observed, weights = _architecture_input(spark, d)
-    signed = architectures.signatures(molecules, observed)
+    observed = written(observed, "observed")
+    signed = written(architectures.signatures(observed.select("molecule").distinct(), observed), "signed")
     members = architectures.seeds(signed, Config())
     named = members.select("architecture", "signature").distinct()
-    rows = architectures.scores(signed, observed, named, architectures.member_profiles(members, observed, Config()), weights)
+    rows = architectures.pattern_scores(signed, observed, named, architectures.member_profiles(members, observed, Config()), weights)
     named = named.select("architecture", F.array_join("signature", "|").alias("signature"))
     return rows.join(named, "architecture").select("molecule", "signature", *(F.round(c, 6).alias(c) for c in ("distance", "overlap", "score")))
 
