@@ -57,14 +57,19 @@ def signatures(molecules: DataFrame, observations: DataFrame) -> DataFrame:
     return molecules.select("molecule").join(shown, "molecule", "left").withColumn("signature", F.coalesce("signature", F.array().cast("array<string>")))
 
 
+def supported(signed: DataFrame, config: Config) -> DataFrame:
+    """signature, n: the signatures that enough molecules show, however many they are."""
+    return signed.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= config.min_architecture_molecules)
+
+
 def seeds(signed: DataFrame, config: Config) -> DataFrame:
     """architecture, signature, molecule: signatures with enough molecules; if none has, single events with enough."""
     enough = lambda rows: rows.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= config.min_architecture_molecules).drop("n")
     rows = signed
-    kept = _cut(enough(rows))
+    kept = _cut(supported(rows, config).drop("n"))
     if kept.isEmpty():
         rows = signed.select("molecule", F.explode("signature").alias("e")).select("molecule", F.array("e").alias("signature"))
-        kept = _cut(enough(rows))
+        kept = _cut(supported(rows, config).drop("n"))
     if kept.limit(config.max_candidate_architectures + 1).count() > config.max_candidate_architectures:
         raise AnalysisError("E1601", f"candidate architecture limit exceeded (max_candidate_architectures={config.max_candidate_architectures})")
     return rows.join(kept, "signature").select(architecture_name(F.col("signature")).alias("architecture"), "signature", "molecule")

@@ -436,8 +436,7 @@ SELECT array_to_string(s, '|') AS signature, count(*) AS members FROM callable G
 def seed_signatures(spark, d):
     observed = C.obs(spark, d)
     signed = architectures.signatures(observed.where("state = 'ALTERNATE'").select("molecule").distinct(), observed)
-    members = architectures.seeds(signed, Config(max_candidate_architectures=4096))
-    return members.groupBy(F.array_join("signature", "|").alias("signature")).agg(F.count("*").alias("members"))
+    return architectures.supported(signed, Config()).select(F.array_join("signature", "|").alias("signature"), F.col("n").alias("members"))
 
 
 @_query(
