@@ -41,14 +41,16 @@ def restores_reference(token: Column) -> Column:
     return F.regexp(token, F.lit("^[0-9]+$"))
 
 
-def consensus_markers(calls: DataFrame, level: float = 0.5) -> DataFrame:
+def consensus_markers(calls: DataFrame, level: float = 0.5, length: int | None = coords.L) -> DataFrame:
     """Markers of calls (position, ref, alt, fraction, pass) that pass at `level` or more: a base each, `d` for each
-    deleted base, `.1` and the bases of an insertion. VCF alleles: of a deletion or insertion the first base is the anchor."""
+    deleted base, `.1` and the bases of an insertion. VCF alleles: of a deletion or insertion the first base is the anchor.
+    Deleted bases go on behind the origin of a genome of `length`; without one (None) positions are a line's."""
     sure = calls.where(F.col("pass") & (F.col("fraction") >= level))
     gone, more = F.length("ref") > F.length("alt"), F.length("alt") > F.length("ref")
     none = F.lit(None).cast("string")
+    place = lambda p: p if length is None else coords.fold(p, length)
     one = lambda position, kind, index, bases: F.struct(position.cast("long").alias("position"), F.lit(kind).alias("kind"), index.alias("index"), bases.alias("bases"))
-    deleted = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("ref") - 1)), lambda i: one(coords.fold(F.col("position") + i), "deletion", none, none))
+    deleted = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("ref") - 1)), lambda i: one(place(F.col("position") + i), "deletion", none, none))
     added = F.array(one(F.col("position"), "insertion", F.lit("1"), F.expr("substring(alt, 2)")))
     changed = F.array(one(F.col("position"), "substitution", none, F.col("alt")))
     rows = sure.select(F.explode(F.when(gone, deleted).when(more, added).otherwise(changed)).alias("m")).select("m.*")
