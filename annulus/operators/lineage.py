@@ -17,6 +17,8 @@ from annulus.operators.shared import written
 
 #: Candidates reported, and the lead below which two macro groups are a warning.
 KEPT, CLEAR_LEAD = 3, 3.0
+#: Counts of matches that a task of `ranked_candidates` gets: about 100 MB.
+MATCHES = 1_000_000
 MARKER = ("position", "kind", "index", "bases", "encoded")
 
 
@@ -46,9 +48,9 @@ def consensus_markers(calls: DataFrame, level: float = 0.5, length: int | None =
     deleted base, `.1` and the bases of an insertion. VCF alleles: of a deletion or insertion the first base is the anchor.
     Deleted bases go on behind the origin of a genome of `length`; without one (None) positions are a line's."""
     sure = calls.where(F.col("pass") & (F.col("fraction") >= level))
+    place = lambda p: p if length is None else coords.fold(p, length)
     gone, more = F.length("ref") > F.length("alt"), F.length("alt") > F.length("ref")
     none = F.lit(None).cast("string")
-    place = lambda p: p if length is None else coords.fold(p, length)
     one = lambda position, kind, index, bases: F.struct(position.cast("long").alias("position"), F.lit(kind).alias("kind"), index.alias("index"), bases.alias("bases"))
     deleted = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("ref") - 1)), lambda i: one(place(F.col("position") + i), "deletion", none, none))
     added = F.array(one(F.col("position"), "insertion", F.lit("1"), F.expr("substring(alt, 2)")))
@@ -197,20 +199,33 @@ def ranked_candidates(observed: DataFrame, defined: DataFrame, keep: int, weight
     """observed (cluster, marker), defined (definition, marker), weights (marker, weight; 1 by default): the `keep`
     best definitions of each cluster that match a marker: matched, missing, extra, score, rank.
 
-    Clusters are dealt once; the definitions are written first, so that they are broadcast by their size, and the counts,
-    the scores and the ranking stay in that partitioning.
+    Definitions with the same markers have the same score everywhere, so each set of markers is counted once, for the first
+    `keep` definitions that have it. Matches are counted before they are made: clusters are dealt once, to as many tasks as keep a task's counts
+    in memory, and the counts, the scores and the ranking stay in that partitioning.
     """
     weigh = lambda df: df.withColumn("weight", F.lit(1)) if weights is None else df.join(weights, "marker", "left").fillna(1, ["weight"])
-    wanted = written(weigh(defined), "definitions")
+    signed = defined.groupBy("definition").agg(F.sort_array(F.collect_list(F.struct("marker"))).alias("markers"))
+    of_set = Window.partitionBy("markers").orderBy("definition")
+    sets = signed.withColumn("set", F.first("definition").over(of_set)).withColumn("_n", F.row_number().over(of_set))
+    sets = written(sets.where(F.col("_n") <= keep).drop("_n"), "sets")
+    named = sets.select("set", "definition")
+    firsts = sets.where("definition = set").select("definition", F.explode("markers").alias("m")).select("definition", "m.marker")
+    wanted = written(weigh(firsts), "definitions")
     expected = wanted.groupBy("definition").agg(F.sum("weight").alias("expected"), F.count("*").alias("_e"))
     of_cluster = Window.partitionBy("cluster")
-    seen = weigh(observed).repartition("cluster")
+    spread = observed.groupBy("marker").agg(F.count("*").alias("n")).join(wanted.groupBy("marker").agg(F.count("*").alias("m")), "marker")
+    matches = spread.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, matches // MATCHES + 1))
+    seen = weigh(observed).repartition(tasks, "cluster")
     seen = seen.withColumn("observed", F.sum("weight").over(of_cluster)).withColumn("_o", F.count("*").over(of_cluster))
     met = seen.join(wanted.select("definition", "marker"), "marker").groupBy("cluster", "definition").agg(
         F.sum("weight").alias("_w"), F.count("*").alias("matched"), F.first("observed").alias("observed"), F.first("_o").alias("_o")
     )
     joined = met.join(written(expected, "expected"), "definition")
     score = F.round(F.lit(50.0) * F.col("_w") / F.col("expected") + F.lit(50.0) * F.col("_w") / F.col("observed"), 6)
+    joined = joined.withColumnRenamed("definition", "set")
+    few = joined.withColumn("_s", score).withColumn("_n", F.rank().over(of_cluster.orderBy(F.desc("_s")))).where(F.col("_n") <= keep)
+    joined = few.join(named, "set")
     rows = joined.select("cluster", "definition", "matched", (F.col("_e") - F.col("matched")).alias("missing"), (F.col("_o") - F.col("matched")).alias("extra"), score.alias("score"))
     order = of_cluster.orderBy(F.desc("score"), "definition")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
