@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.functions import coords
+from annulus.operators.shared import written
 
 #: Names of filters as a report shows them; others are shown as they are, with spaces.
 FILTER_LABELS = {
@@ -230,15 +231,33 @@ def first_of_each(rows: DataFrame, group: str, order: list[str], keep: int) -> D
 def contacts(residues: DataFrame, neighbours: DataFrame, cutoff: float) -> DataFrame:
     """residue, neighbour, distance: the nearest atom pair of each pair of residues within the cutoff.
 
-    Atoms (residue, x, y, z) are dealt to cells as wide as the cutoff and meet those of the cells around.
+    Residues with the same atoms are one shape. Shapes' atoms (residue, x, y, z) are dealt to cells as wide as the cutoff and meet those
+    of the cells around; pairs of shapes become pairs of residues at the end, so nothing is shuffled for each of those.
     """
+    a, mine = _shapes(residues, "residue")
+    b, theirs = (a, mine) if neighbours is residues else _shapes(neighbours, "residue")
+    near = written(_near(a, b, cutoff), "near")
+    return near.join(mine, "shape").join(theirs.select(F.col("shape").alias("other"), F.col("residue").alias("neighbour")), "other").where("residue <> neighbour").select("residue", "neighbour", "distance")
+
+
+def _shapes(atoms: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(shape, x, y, z) of each distinct set of atoms, and (shape, residue); a shape is named by its first residue."""
+    sets = atoms.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("x", "y", "z"))).alias("atoms"))
+    sets = written(sets, "sets")
+    named = written(sets.groupBy("atoms").agg(F.min(key).alias("shape")), "shapes")
+    rows = named.select("shape", F.explode("atoms").alias("p")).select("shape", "p.*")
+    return rows, written(sets.join(named, "atoms").select("shape", key), "members")
+
+
+def _near(residues: DataFrame, neighbours: DataFrame, cutoff: float) -> DataFrame:
+    """shape, other, distance: shapes within the cutoff, a shape and itself included."""
     cell = lambda c: F.floor(F.col(c) / cutoff)
-    a = residues.select("residue", "x", "y", "z", cell("x").alias("i"), cell("y").alias("j"), cell("z").alias("k"))
-    b = neighbours.select(F.col("residue").alias("neighbour"), *(F.col(c).alias(f"n{c}") for c in "xyz"), *(cell(c).alias(f"_{c}") for c in "xyz"))
+    a = residues.select("shape", "x", "y", "z", cell("x").alias("i"), cell("y").alias("j"), cell("z").alias("k"))
+    b = neighbours.select(F.col("shape").alias("other"), *(F.col(c).alias(f"n{c}") for c in "xyz"), *(cell(c).alias(f"_{c}") for c in "xyz"))
     for c, name in zip("xyz", "ijk"):
         b = b.withColumn(name, F.explode(F.array(F.col(f"_{c}") - 1, F.col(f"_{c}"), F.col(f"_{c}") + 1)))
     near = a.join(b, ["i", "j", "k"]).withColumn("distance", distance(*(F.col(c) for c in ("x", "y", "z", "nx", "ny", "nz"))))
-    return near.where((F.col("distance") <= cutoff) & (F.col("residue") != F.col("neighbour"))).groupBy("residue", "neighbour").agg(F.min("distance").alias("distance"))
+    return near.where(F.col("distance") <= cutoff).groupBy("shape", "other").agg(F.min("distance").alias("distance"))
 
 
 def distance(x: Column, y: Column, z: Column, x2: Column, y2: Column, z2: Column) -> Column:
