@@ -636,7 +636,7 @@ def architecture_scores(spark, d):
     named = members.select("architecture", "signature").distinct()
     rows = architectures.pattern_scores(signed, observed, named, architectures.member_profiles(members, observed, Config()), weights)
     named = named.select("architecture", F.array_join("signature", "|").alias("signature"))
-    return rows.join(named, "architecture").select("molecule", "signature", *(F.round(c, 6).alias(c) for c in ("distance", "overlap", "score")))
+    return rows.join(F.broadcast(named), "architecture").select("molecule", "signature", *(F.round(c, 6).alias(c) for c in ("distance", "overlap", "score")))
 
 
 @_query()
