@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.functions import coords
@@ -16,8 +16,13 @@ a AS (SELECT * FROM sets WHERE side = 'F'), b AS (SELECT * FROM sets WHERE side
 
 
 def _sets(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = C.table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("side"), F.col("l_partkey").alias("position"), F.col("l_returnflag").alias("alt"))
-    sets = rows.agg(F.avg(F.col("l_discount") * 10).alias("level"), F.count("*").alias("depth"))
+    """The levels are summed in the table's own order: a sum of doubles depends on its order, and levels lie on the limits."""
+    keys = ("side", "position", "alt")
+    at = F.struct("_metadata.file_path", "_metadata.row_index").alias("at")
+    rows = C.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("side"), F.col("l_partkey").alias("position"), F.col("l_returnflag").alias("alt"), (F.col("l_discount") * 10).alias("x"), at)
+    running = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("so_far", F.sum("x").over(running)).groupBy(*keys)
+    sets = summed.agg((F.max_by("so_far", "at") / F.count("x")).alias("level"), F.count("*").alias("depth"))
     return sets.where("side = 'F'").drop("side"), sets.where("side = 'O'").drop("side")
 
 
