@@ -108,15 +108,21 @@ def assembly(reads: DataFrame, c: Config, length: int) -> DataFrame:
     placed = F.nullif(F.nullif("reference_name", F.lit("*")), F.lit(""))
     best = F.struct(primary.cast("int").alias("p"), F.when(primary & F.lit(tagged), F.col("mapping_quality")).otherwise(0).alias("q"), (-F.col("record_index")).alias("i"))
     own = lambda tag: _checked(tag) if tag else F.lit(None).cast("string")
+    # the aggregation sorts its rows, so they hold what it needs and no sequence
+    facts = {
+        "_primary": primary, "_usable": primary & ~flag(UNUSABLE), "_best": best, "_secondary": flag(SECONDARY), "_supplementary": flag(SUPPLEMENTARY), "_duplicate": flag(0x400),
+        "_contig": placed, "_long": F.floor(F.length("sequence") / 2) >= length, "_over": over, "_tag": own(c.molecule_id_tag), **{f"_own{i}": own(tag) for i, (_, tag) in enumerate(optional)},
+    }
+    rows = reads.select("id", *(v.alias(k) for k, v in facts.items()))
     sums = [
-        F.count("*").alias("n"), F.count_if(primary).alias("primaries"), F.count_if(primary & ~flag(UNUSABLE)).alias("usable"), F.max(best).alias("best"),
-        F.bool_or(flag(SECONDARY)).alias("secondary"), F.bool_or(flag(SUPPLEMENTARY)).alias("supplementary"), F.bool_or(flag(0x400)).alias("duplicate"),
-        F.min(placed).alias("first_contig"), F.max(placed).alias("last_contig"), F.bool_or(F.floor(F.length("sequence") / 2) >= length).alias("long"), F.bool_or(over).alias("over"),
+        F.count("*").alias("n"), F.count_if("_primary").alias("primaries"), F.count_if("_usable").alias("usable"), F.max("_best").alias("best"),
+        F.bool_or("_secondary").alias("secondary"), F.bool_or("_supplementary").alias("supplementary"), F.bool_or("_duplicate").alias("duplicate"),
+        F.min("_contig").alias("first_contig"), F.max("_contig").alias("last_contig"), F.bool_or("_long").alias("long"), F.bool_or("_over").alias("over"),
     ]
-    for i, (_, tag) in enumerate(optional):
-        sums += [F.min(own(tag)).alias(f"low{i}"), F.max(own(tag)).alias(f"high{i}"), F.count_if(own(tag).isNull()).alias(f"lacking{i}")]
-    name_of = F.struct(F.min(own(c.molecule_id_tag)).alias("low"), F.max(own(c.molecule_id_tag)).alias("high"), F.count_if(own(c.molecule_id_tag).isNull()).alias("lacking"))
-    names = reads.groupBy("id").agg(*sums, name_of.alias("tag"))
+    for i in range(len(optional)):
+        sums += [F.min(f"_own{i}").alias(f"low{i}"), F.max(f"_own{i}").alias(f"high{i}"), F.count_if(F.col(f"_own{i}").isNull()).alias(f"lacking{i}")]
+    name_of = F.struct(F.min("_tag").alias("low"), F.max("_tag").alias("high"), F.count_if(F.col("_tag").isNull()).alias("lacking"))
+    names = rows.groupBy("id").agg(*sums, name_of.alias("tag"))
     state = F.lit("name") if not tagged else F.when(F.col("tag.low").isNull(), "missing").when(F.col("tag.low") != F.col("tag.high"), "conflict").otherwise("tag")
     names = names.withColumn("state", state)
     rest = F.concat(F.lit(f":{c.molecule_id_tag}:"), F.col("id"))
