@@ -2,61 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annulus.operators.graph import components
+from annulus.operators.ordered import numbered
+from annulus.operators.shared import written
 
 
 def profiles(df: DataFrame, key: str, token: str) -> DataFrame:
-    """profile, tokens (rarest first), n, members: equal token sets are one profile, named by its smallest key."""
-    frequency = df.select(key, token).distinct().groupBy(token).agg(F.count("*").alias("_f"))
-    sets = df.select(key, token).distinct().join(frequency, token)
-    ordered = sets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_f", F.col(token).alias("t")))).alias("x"))
-    tokens = ordered.select(key, F.transform("x", lambda s: s["t"]).alias("tokens"))
-    return tokens.groupBy("tokens").agg(F.min(key).alias("profile"), F.count("*").alias("members")).withColumn("n", F.size("tokens"))
+    """profile, tokens, n, members: equal token sets are one profile, named by its smallest key; n counts its tokens, and
+    `tokens` are those that other profiles have as well, rarest first: the others meet nothing."""
+    own = df.select(key, token).where(F.col(token).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(token)).alias("_all"))
+    sets = written(own.groupBy("_all").agg(F.min(key).alias("profile"), F.count("*").alias("members")), "sets")
+    rows = sets.select("profile", F.explode("_all").alias("t"))
+    frequency = written(rows.groupBy("t").agg(F.count("*").alias("_f")).where("_f > 1"), "frequency")
+    shared = rows.join(frequency, "t").groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("_f", "t"))).alias("x"))
+    named = sets.select("profile", F.size("_all").alias("n"), "members").join(shared.select("profile", F.transform("x", lambda s: s["t"]).alias("tokens")), "profile", "left")
+    return written(named.select("profile", F.coalesce("tokens", F.array().cast(sets.schema["_all"].dataType)).alias("tokens"), "n", "members"), "profiles")
 
 
-def similar_pairs(sets: DataFrame, epsilon: float) -> DataFrame:
-    """a < b, distance: profiles at a Jaccard distance of at most epsilon.
+def _classes(sets: DataFrame, epsilon: float) -> DataFrame:
+    """class, tokens, n, weight, whole: profiles with the same shared tokens and the same n are as near to any other; `whole`
+    says whether they are near each other."""
+    shared = F.size("tokens")
+    whole = 1 - shared / (2 * F.col("n") - shared) <= epsilon + 1e-12
+    one = sets.where(shared > 0).groupBy("tokens", "n").agg(F.min("profile").alias("class"), F.sum("members").alias("weight"))
+    return written(one.select("class", "tokens", "n", "weight", whole.alias("whole")), "classes")
+
+
+def _length(n: Column) -> Column:
+    """The bin of a set's size: one for each up to 8, then as wide as half their start."""
+    return F.when(n <= 8, n).otherwise(8 + F.floor(F.log(n / 8) / F.log(F.lit(1.5)))).cast("int")
+
 
-    Sets that near share a token within their first n - ceil((1 - epsilon) n) + 1; rare tokens
-    come first, so the lists that meet are short.
+def _class_pairs(classes: DataFrame, epsilon: float) -> DataFrame:
+    """a < b, distance: classes at a Jaccard distance of at most epsilon.
+
+    Sets of na and nb tokens that near share at least (1 - epsilon) / (2 - epsilon) (na + nb). The first token they share
+    has that many at or behind it in both sets. So a token near the end of a set, where the frequent ones are,
+    meets only sets that are short enough; they meet by token and bin of sizes.
     """
-    share = 1 - epsilon
-    prefix = F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int") + 1
-    heads = sets.select("profile", "n", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token"))
-    a = heads.select(F.col("profile").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), "token")
-    b = heads.select(F.col("profile").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), "token")
-    needed = F.ceil(F.lit(share / (1 + share)) * (F.col("na") + F.col("nb")) - 1e-9)
-    possible = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    share = max(1 - epsilon, 1e-9)
+    bound = share / (1 + share)
+    heads = classes.select("class", "n", (F.col("n") - F.size("tokens")).alias("lone"), F.posexplode("tokens").alias("i", "token"))
+    heads = heads.select("class", "n", "token", (F.col("n") - F.col("lone") - F.col("i")).alias("rest"))
+    longest = F.least(F.floor(F.col("n") / share + 1e-6), F.floor(F.col("rest") / bound + 1e-6) - F.col("n"))
+    shortest = F.greatest(F.ceil(F.col("n") * share - 1e-6), F.lit(1))
+    reach = F.when(longest >= shortest, F.sequence(_length(shortest), _length(longest)))
+    a = heads.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "token", F.explode(reach).alias("bin"))
+    b = heads.where(longest >= shortest).select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "token", _length(F.col("n")).alias("bin"))
+    needed = F.ceil(F.lit(bound) * (F.col("na") + F.col("nb")) - 1e-9)
     lengths = (F.col("na") >= F.lit(share) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(share) * F.col("na") - 1e-9)
-    met = a.join(b, "token").where("a < b").where(lengths)
-    first = met.groupBy("a", "b").agg(F.max(possible >= needed - F.least("pa", "pb")).alias("hope")).where("hope")
-    texts = sets.select("profile", "tokens")
-    full = first.join(texts.select(F.col("profile").alias("a"), F.col("tokens").alias("ta")), "a").join(texts.select(F.col("profile").alias("b"), F.col("tokens").alias("tb")), "b")
-    distance = 1 - F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return full.select("a", "b", distance.alias("distance")).where(F.col("distance") <= epsilon + 1e-12)
+    met = a.join(b, ["token", "bin"]).where("a < b").where(lengths & (F.col("ra") >= needed) & (F.col("rb") >= needed)).select("a", "b").distinct()
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("tokens").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    full = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", (1 - shared / (F.col("na") + F.col("nb") - shared)).alias("distance"))
+    return written(full.where(F.col("distance") <= epsilon + 1e-12), "class-pairs")
+
+
+def similar_pairs(sets: DataFrame, epsilon: float) -> DataFrame:
+    """a < b, distance: profiles at a Jaccard distance of at most epsilon. Classes of profiles are compared, then spelt out."""
+    classes = _classes(sets, epsilon)
+    members = written(sets.join(classes.select("class", "tokens", "n", "whole"), ["tokens", "n"]).select("class", "profile", "whole", F.size("tokens").alias("s"), "n"), "members")
+    one = members.select(F.col("class").alias("a"), F.col("profile").alias("p"))
+    other = members.select(F.col("class").alias("b"), F.col("profile").alias("q"))
+    apart = _class_pairs(classes, epsilon).join(one, "a").join(other, "b").select("p", "q", "distance")
+    inner = members.where("whole").select("class", "profile", "s", "n")
+    inside = inner.join(inner.select("class", F.col("profile").alias("q")), "class").where("profile < q")
+    inside = inside.select(F.col("profile").alias("p"), "q", (1 - F.col("s") / (2 * F.col("n") - F.col("s"))).alias("distance"))
+    return apart.unionByName(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
 def density_clusters(sets: DataFrame, epsilon: float, least: int = 1) -> DataFrame:
     """profile, cluster: profiles with at least `least` members within epsilon (themselves included) are cores; cores
     that near are one cluster; others join the first cluster that reaches them, or are noise (-1). Clusters are
-    numbered by their smallest core."""
-    pairs = similar_pairs(sets, epsilon).select("a", "b")
+    numbered by their smallest core. Classes of profiles are compared, pairs of profiles are never spelt out."""
+    classes = _classes(sets, epsilon)
+    pairs = _class_pairs(classes, epsilon).select("a", "b")
     both = pairs.union(pairs.select("b", "a"))
-    weights = sets.select(F.col("profile").alias("b"), "members")
-    around = both.join(weights, "b").groupBy("a").agg(F.sum("members").alias("near"))
-    weighed = sets.join(around, sets.profile == around.a, "left").select("profile", (F.col("members") + F.coalesce("near", F.lit(0))).alias("near"))
-    cores = weighed.where(F.col("near") >= least).select(F.col("profile").alias("node"))
-    inner = pairs.join(cores.select(F.col("node").alias("a")), "a", "left_semi").join(cores.select(F.col("node").alias("b")), "b", "left_semi")
-    labels = components(cores, inner)
-    edge = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("reached"))
-    placed = sets.select(F.col("profile").alias("node")).join(labels, "node", "left").join(edge, "node", "left")
-    placed = placed.select("node", F.coalesce("component", "reached").alias("root"))
-    names = labels.select("component").distinct()
-    numbered = names.withColumn("cluster", (F.row_number().over(Window.orderBy("component")) - 1).cast("long"))  # a row for each cluster
-    return placed.join(numbered, placed.root == numbered.component, "left").select(F.col("node").alias("profile"), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+    around = both.join(classes.select(F.col("class").alias("b"), "weight"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("weight").alias("_near"))
+    told = classes.join(around, "class", "left")
+    inside = F.when(F.col("whole"), F.col("weight")).otherwise(F.col("members"))
+    near = F.coalesce(inside, "members") + F.coalesce("_near", F.lit(0))
+    rows = written(sets.join(told, ["tokens", "n"], "left").select("profile", "class", "whole", (near >= least).alias("core")), "cores")
+    inner = written(rows.where("core and class is not null").groupBy("class").agg(F.min("profile").alias("node"), F.first("whole").alias("whole")), "inner")
+    one, other = inner.select(F.col("class").alias("a"), F.col("node").alias("x")), inner.select(F.col("class").alias("b"), F.col("node").alias("y"))
+    edges = written(pairs.join(one, "a").join(other, "b").select("x", "y"), "edges")
+    linked = edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct().withColumn("_linked", F.lit(True))
+    # the cores of a class are one cluster if they are near each other or all near another class's core
+    found = inner.join(components(inner.select("node"), edges.toDF("a", "b")), "node").join(linked, "node", "left")
+    found = written(found.select("class", "component", (F.col("whole") | F.coalesce("_linked", F.lit(False))).alias("joint"), "whole"), "found")
+    edge = both.join(found.select(F.col("class").alias("b"), "component"), "b").select(F.col("a").alias("class"), "component")
+    edge = edge.unionByName(found.where("whole").select("class", "component")).groupBy("class").agg(F.min("component").alias("reached"))
+    placed = rows.drop("whole").join(found.select("class", "component", "joint"), "class", "left").join(edge, "class", "left")
+    root = F.when(F.col("core"), F.when(F.col("joint"), F.col("component")).otherwise(F.col("profile"))).otherwise(F.col("reached"))
+    placed = written(placed.select("profile", root.alias("root")), "roots")
+    names = numbered(placed.where("root is not null").select(F.col("root").alias("_root")).distinct(), "_root")
+    return placed.join(names, placed.root == names._root, "left").select("profile", F.coalesce(F.col("rank") - 1, F.lit(-1)).cast("long").alias("cluster"))
 
 
 def weighted_jaccard(items: DataFrame, left: str, right: str, key: str, item: str, weight: str) -> DataFrame:
