@@ -45,14 +45,18 @@ def profile_ranges(raw: Column, length: int = coords.L) -> Column:
     """Array of (start, end) of `S-E;S;...`, sorted and distinct; a range over the origin is two; null where an item is no range."""
     items = F.filter(F.transform(F.split(F.regexp_replace(raw, r'^\s*"*|"*\s*$', ""), ";"), lambda x: F.regexp_replace(x, r"\s", "")), lambda x: x != "")
 
+    # Each value is an argument of the next function: what is only named in a function's body is computed at each use.
+    def ends(x):
+        parts = F.split(x, "-")
+        return F.struct(F.get(parts, F.lit(0)).try_cast("long").alias("start"), F.get(parts, F.size(parts) - 1).try_cast("long").alias("end"))
+
     def spans(x):
-        start = F.regexp_extract(x, "^([0-9]+)(?:-[0-9]+)?$", 1).try_cast("long")
-        end = F.coalesce(F.regexp_extract(x, "^[0-9]+-([0-9]+)$", 1).try_cast("long"), start)
-        fits = start.between(1, length) & end.between(1, length)
-        return F.when(fits, coords.spans(start, end, length))
+        fits = x["start"].between(1, length) & x["end"].between(1, length)
+        return F.when(fits, coords.spans(x["start"], x["end"], length))
 
-    found = F.transform(items, spans)
-    return F.when((F.size(items) > 0) & F.forall(found, lambda s: s.isNotNull()), F.array_sort(F.array_distinct(F.flatten(found))))
+    parsed = F.transform(items, lambda x: F.when(F.regexp(x, F.lit("^[0-9]+(-[0-9]+)?$")), ends(x)))
+    found = F.filter(F.array(F.transform(parsed, spans)), lambda s: (F.size(s) > 0) & F.forall(s, lambda x: x.isNotNull()))
+    return F.get(F.transform(found, lambda s: F.array_sort(F.array_distinct(F.flatten(s)))), F.lit(0))
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
