@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annulus.config import Config
 from annulus.functions import coords, genome, stats, text
 from annulus.operators import alignments, annotation, architectures, calls, comparison, events, evidence, exports, intervals, ordered, paths, similarity
-from annulus.operators.shared import written
+from annulus.operators.shared import dealt, written
 from annulus.plans import annotations, comparisons, documents, reads, scalars  # noqa: F401 - they register their queries
 from annulus.plans import carriers as C
 from annulus.plans.registry import oracle_sql, queries  # noqa: F401 - what the driver's entry reads
@@ -92,12 +92,12 @@ def _merged_sql(gap: int) -> str:
 
 @_query(_merged_sql(1))
 def callable_ranges(spark, d):
-    return intervals.merged(intervals.split_at_origin(C.ranged(spark, d).select("molecule", "start", "end")), ["molecule"])
+    return intervals.merged(intervals.split_at_origin(dealt(C.ranged(spark, d).select("molecule", "start", "end"), "molecule")), ["molecule"])
 
 
 @_query(_merged_sql(26))
 def bridged_ranges(spark, d):
-    return intervals.merged(intervals.split_at_origin(C.ranged(spark, d).select("molecule", "start", "end")), ["molecule"], gap=26)
+    return intervals.merged(intervals.split_at_origin(dealt(C.ranged(spark, d).select("molecule", "start", "end"), "molecule")), ["molecule"], gap=26)
 
 
 @_query(
