@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annulus.errors import AnalysisError
 from annulus.functions import stats
+from annulus.operators.shared import dealt
 
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,7 +17,8 @@ def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dangling(df: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataFrame:
-    lost = df.join(dim.select(F.col(dim_key).alias(key)), key, "left_anti")
+    known = dim.select(F.col(dim_key).alias(key))
+    lost = df.join(dealt(known, key, rows=max(df.count(), known.count())), key, "left_anti")  # Spark joins `df` before it deals it
     return lost.select(F.col(key).cast("string").alias("what"), F.lit("dangling").alias("rule"))
 
 
@@ -25,7 +27,7 @@ def disordered(ranges: DataFrame, keys: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.max("end").over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("_before", before).where((F.col("start") > F.col("end")) | (F.col("start") <= F.col("_before")))
+    marked = dealt(ranges.select(*keys, "start", "end"), *keys).withColumn("_before", before).where((F.col("start") > F.col("end")) | (F.col("start") <= F.col("_before")))
     return marked.select(F.concat_ws(":", *keys).alias("what"), F.lit("disordered").alias("rule"))
 
 
