@@ -1,14 +1,16 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, shingle sets decide.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash's index and MinHash bands propose pairs, shingle sets decide.
 
 A text's words (in lower case) give the set of its runs of WIDTH words. Two texts
 are linked if their sets have a Jaccard similarity of LEAST or more, computed on
-the sets; MinHash only chooses which pairs are looked at. A signature has BANDS
-bands of ROWS minima each, and texts that share a band's minima meet: a pair with
-similarity s is missed with probability (1 - s^ROWS)^BANDS, 4 in 10,000 at 0.8.
+the sets; fingerprints and MinHash only choose which pairs are looked at.
 
-SimHash's positional bytes cannot find these pairs: at a similarity of 0.8 two
-fingerprints of 64 bits differ in 10 bits on average, and 8 bytes with 10
-differing bits need not agree in any.
+Operator 9's index over positional bytes proposes sets with fingerprints within
+2 bits, and sets with equal fingerprints the smallest of them. It can't find all
+pairs: at a similarity of 0.8 two fingerprints of 64 bits differ in 10 bits on
+average, and 8 bytes with 10 differing bits need not agree in any. So a signature
+also has BANDS bands of ROWS minima each, and texts that share a band's minima
+meet: a pair with similarity s is missed there with probability
+(1 - s^ROWS)^BANDS, 4 in 10,000 at 0.8.
 
 Texts with equal sets are one node, so copies form no pairs. The members of a
 band's list are compared with its smallest member first, one row each. Where this
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annulus.llm import simhash
 from annulus.llm.components import components
 from annulus.llm.workspace import keyed, written
 
@@ -90,18 +93,19 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def signatures(keyed_docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """row, doc_id, node (equal for equal sets), size (of the set), bands, for every keyed row."""
+    """row, doc_id, node (equal for equal sets), size (of the set), fp (its fingerprint), bands, for every keyed row."""
 
     def rows(batches):
         factors = _factors(seed)
         for batch in batches:
             sets = [shingle_set(t.as_py(), width, seed) for t in batch.column(2)]
             values = pa.array([bands(s, factors) for s in sets], pa.list_(pa.int64()))
-            columns = [*batch.columns[:2], pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), values]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "size", "bands"])
+            fps = pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64))
+            columns = [*batch.columns[:2], pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), fps, values]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "size", "fp", "bands"])
 
     own = keyed_docs.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
-    return own.mapInArrow(rows, "row long, doc_id long, node long, size int, bands array<bigint>")
+    return own.mapInArrow(rows, "row long, doc_id long, node long, size int, fp long, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -128,6 +132,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
 
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, size, fp) that operator 9's index finds and whose sizes allow LEAST: the smallest nodes of
+    fingerprints that it links, and each node with the smallest of its own fingerprint."""
+    own = nodes.select("node", "size", "fp")
+    firsts = written(own.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")), "fingerprints")
+    near = written(simhash.linked(firsts.select("fp")), "near")
+    end = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    found = near.join(end("a"), "a").join(end("b"), "b").select(F.col("first_a").alias("x"), F.col("first_b").alias("y"))
+    alike = own.join(written(firsts.where("n > 1").select("fp", "first"), "alike"), "fp").where(F.col("node") != F.col("first.node"))
+    both = found.union(alike.select(F.struct("node", "size").alias("x"), F.col("first").alias("y")))
+    fits = _enough(F.least("x.size", "y.size"), F.col("x.size"), F.col("y.size"))
+    return both.where(fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def _block_edges(names: np.ndarray, parts: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges between similar nodes that connect all components which any pair of different sides (or of the only side) connects."""
     _, members = np.unique(np.concatenate(sets), return_inverse=True)
@@ -173,21 +191,24 @@ def _compared(left: DataFrame, sets: DataFrame, block_nodes: int) -> DataFrame:
 def linked(
     keyed_docs: DataFrame, rows: DataFrame, width: int = WIDTH, seed: int = SEED, most: int = LIST, block_nodes: int = BLOCK_NODES
 ) -> DataFrame:
-    """Verified edges (a, b) between nodes that share a band; pairs that others connect may be left out."""
-    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    postings = nodes.where("size > 0").select("node", "size", F.posexplode("bands").alias("k", "v"))
+    """Verified edges (a, b) between nodes that the index proposes or that share a band; pairs that others connect may be left out."""
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("size > 0")
+    index = written(proposed(nodes), "proposed")
+    postings = nodes.select("node", "size", F.posexplode("bands").alias("k", "v"))
     lists = postings.groupBy("k", "v").agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n")).where("n > 1")
     lists = written(lists, "lists")  # before it is joined back: broadcast if small, else a join that can split a long list
     listed = written(postings.join(lists, ["k", "v"]), "postings")
     can = lambda a, b: _enough(F.least(a, b), a, b)
 
-    met = written(listed.select("node").distinct(), "met")
+    ends = index.select(F.explode(F.array("a", "b")).alias("node"))
+    met = written(listed.select("node").union(ends).distinct(), "met")
     one = written(rows.join(met, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row"), "rows")  # a text of each node
     texts = keyed_docs.join(one, "row", "left_semi").select(F.col("doc.text").alias("text"))
     sets = written(_sets(texts, width, seed), "sets")
 
     stars = listed.where(F.col("node") != F.col("least.node")).where(can(F.col("size"), F.col("least.size")))
-    near = written(_verified(stars.select(F.col("node").alias("a"), F.col("least.node").alias("b")).distinct(), sets), "links")
+    pairs = index.union(stars.select(F.col("node").alias("a"), F.col("least.node").alias("b")))
+    near = written(_verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets), "links")
     parts = written(components(near, "a", "b"), "components")
     # The least member has been compared with all others.
     named = listed.where(F.col("node") != F.col("least.node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annulus.llm import minhash
 from annulus.llm.components import components
 from annulus.llm.workspace import written
 
@@ -60,12 +59,16 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - width + 1
     spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-    hashes = np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in spans), np.uint64, n)
+    return majority(np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in spans), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, HASHES):
+    for i in range(0, len(hashes), HASHES):
         some = hashes[i : i + HASHES].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -139,6 +142,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) ->
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """One document of each group of near duplicates by shingles of `width` words and a Jaccard similarity of 0.8.
 
-    At that similarity fingerprints differ in more bits than positional bytes can find, so the pairs come from another
-    search (`minhash`), which decides on the shingle sets; its docstring has the cases."""
+    The index over positional bytes proposes the pairs within MAX_BITS. At that similarity most fingerprints differ in more
+    bits, so `minhash` proposes the others and decides all of them on the shingle sets; its docstring has the cases."""
+    from annulus.llm import minhash  # which takes its fingerprints and index from here
+
     return minhash.one_of_each(docs, width)
