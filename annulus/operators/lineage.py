@@ -1,9 +1,10 @@
 """Lineage calls of clusters: majority markers within callable ranges, typed matching, scores, the best few.
 
 A marker is (position, kind, index, bases, encoded). Clusters with the same
-markers and ranges are scored once. Definitions and ranges are tables bounded by
-the tree and the genome; what grows with the reads is joined by cluster alone,
-and stays dealt by cluster from the first join to the ranking.
+markers and ranges are scored once, and so are definitions with the same markers.
+Definitions and ranges are tables bounded by the tree and the genome; what grows
+with the reads is joined by cluster alone, and stays dealt by cluster from the
+first join to the ranking.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from annulus.functions import coords, text
 from annulus.operators import intervals
-from annulus.operators.shared import written
+from annulus.operators.shared import dealt, written
 
 #: Candidates reported, and the lead below which two macro groups are a warning.
 KEPT, CLEAR_LEAD = 3, 3.0
@@ -127,6 +128,20 @@ def _met(*also: str) -> Column:
     return same & typed_match(_side("e"), _side("o"))
 
 
+def definition_sets(definitions: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """Definitions with the same markers are one set: (set, MARKER), and (set, source_order, name, n) of the first `keep`
+    definitions of each by source_order and name, which are all that can be among the best `keep` of anything."""
+    of = ("source_order", "name")
+    # dealt first: a table of names is one small file, whose task would hold the markers of all of them
+    rows = dealt(definitions.select(*of, *MARKER), *of)
+    listed = rows.groupBy(*of).agg(F.sort_array(F.collect_set(F.struct(*MARKER))).alias("markers"))
+    listed = written(listed.withColumn("set", F.sha2(F.to_json("markers"), 256)), "definitions")
+    order = Window.partitionBy("set").orderBy(*of)
+    members = written(listed.select("set", *of).withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep), "members")
+    firsts = listed.join(members.where("n = 1").select("set", *of), ["set", *of], "left_semi")
+    return firsts.select("set", F.explode("markers").alias("m")).select("set", "m.*"), members
+
+
 def lineage_calls(observed: DataFrame, definitions: DataFrame, ranges: DataFrame, weights: DataFrame | None = None, keep: int = KEPT) -> DataFrame:
     """The best definitions of each cluster: cluster, rank, name, score, matched_count, matched, missing, extra (names of
     markers, in order), contamination (the two best are close and of different macro groups).
@@ -135,9 +150,9 @@ def lineage_calls(observed: DataFrame, definitions: DataFrame, ranges: DataFrame
     (cluster, start, end), weights (encoded, weight; 1 by default). Candidates match an observed marker; a definition's
     markers outside the ranges count neither way. Equal scores go by source_order, then by name.
 
-    Markers meet by an equi-join on position and kind, so a row is a match and not a question. What a definition expects
-    within a cluster's ranges is summed over its own list of markers, once for each candidate; lists of names are made for
-    the best few alone.
+    Definitions with the same markers are scored as one set. Markers meet by an equi-join on position and kind, so a row is a
+    match and not a question. What a set expects within a cluster's ranges is summed over its own list of markers, once for
+    each candidate; lists of names are made for the best few alone.
     """
     every = written(observed.select("cluster", *MARKER).distinct(), "observed")
     # One scoring for each set of markers and ranges.
@@ -149,37 +164,42 @@ def lineage_calls(observed: DataFrame, definitions: DataFrame, ranges: DataFrame
     first = same.where("cluster = key").select("key", "spans")
     weigh = lambda df: df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(weights, "encoded", "left").fillna(1.0, ["weight"])
     seen = weigh(every.withColumnRenamed("cluster", "key").join(first.select("key"), "key", "left_semi").select("key", *MARKER))
-    known = written(weigh(definitions.select("name", "source_order", *MARKER).distinct()), "definitions")  # bounded by the tree: broadcast by its size
-    profile = written(known.groupBy("name").agg(F.collect_list(F.struct("position", "weight")).alias("profile")), "profiles")
+    sets, members = definition_sets(definitions, keep)
+    known = written(weigh(sets).select("set", *MARKER, "weight"), "sets")  # bounded by the tree: broadcast by its size
+    profile = known.groupBy("set").agg(F.collect_list(F.struct("position", "weight")).alias("profile"))
+    profile = written(profile.join(members.where("n = 1").drop("n"), "set"), "profiles")
     covered = lambda position, held: F.exists(held, lambda s: position.between(s["start"], s["end"]))
     inside = seen.join(first, "key").where(covered(F.col("position"), F.col("spans"))).select("key", *MARKER)
-    hits = known.alias("e").join(inside.alias("o"), _met()).groupBy("key", "name", "source_order", *(F.col(f"e.{c}").alias(c) for c in MARKER)).agg(F.first("weight").alias("weight"))
-    matched = hits.groupBy("key", "name", "source_order").agg(F.sum("weight").alias("matched_weight"), F.count("*").alias("matched_count"))
+    hits = known.alias("e").join(inside.alias("o"), _met()).groupBy("key", "set", *(F.col(f"e.{c}").alias(c) for c in MARKER)).agg(F.first("weight").alias("weight"))
+    matched = hits.groupBy("key", "set").agg(F.sum("weight").alias("matched_weight"), F.count("*").alias("matched_count"))
     total = seen.groupBy("key").agg(F.sum("weight").alias("observed"))
     asked = F.filter("profile", lambda m: covered(m["position"], F.col("spans")))
     expected = F.aggregate(asked, F.lit(0.0), lambda a, m: a + m["weight"])
-    scored = matched.join(first.join(total, "key"), "key").join(profile, "name").withColumn("expected", expected)
+    scored = matched.join(first.join(total, "key"), "key").join(profile, "set").withColumn("expected", expected)
     score = 50.0 * (F.col("matched_weight") / F.col("expected") + F.col("matched_weight") / F.col("observed"))
     order = Window.partitionBy("key").orderBy(F.desc("score"), "source_order", "name")
     best = scored.where("expected > 0 and observed > 0").withColumn("score", score).where("score > 0")
-    best = best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= keep)
-    best = written(best.select("key", "name", "score", "rank", "matched_count", "spans"), "candidates")
-
-    few = best.join(known, "name").where(covered(F.col("position"), F.col("spans"))).select("key", "name", *MARKER).alias("e")
-    own = seen.join(best.select("key", "name"), "key").select("key", "name", *MARKER).alias("o")
+    # the best sets by their first definitions, then the best of what they hold
+    first_sets = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("key", "set", "score", "matched_count", "spans")
+    ranked = first_sets.join(members.drop("n"), "set").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= keep)
+    best = written(ranked.select("key", "set", "name", "score", "rank", "matched_count", "spans"), "candidates")
+    chosen = best.select("key", "set", "spans").distinct()
+
+    few = chosen.join(known, "set").where(covered(F.col("position"), F.col("spans"))).select("key", "set", *MARKER).alias("e")
+    own = seen.join(chosen.select("key", "set"), "key").select("key", "set", *MARKER).alias("o")
     marker = F.struct(*MARKER)
     names = F.transform(F.array_sort(F.collect_list(F.struct(marker_order(marker).alias("o")))), lambda x: x["o"]["encoded"])
     lists = (
         ("matched", few.join(seen.alias("o"), _met("key"), "left_semi")),
         ("missing", few.join(seen.alias("o"), _met("key"), "left_anti")),
-        ("extra", own.join(known.alias("e"), _met("name"), "left_anti")),
+        ("extra", own.join(known.alias("e"), _met("set"), "left_anti")),
     )
     two = best.groupBy("key").agg(F.max_by("score", -F.col("rank")).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"),
                                   F.max(F.when(F.col("rank") == 1, F.col("name"))).alias("n1"), F.max(F.when(F.col("rank") == 2, F.col("name"))).alias("n2"))
     doubt = F.coalesce((F.col("s2") > 0) & (F.col("s1") - F.col("s2") < CLEAR_LEAD) & (text.macro_group(F.col("n1")) != text.macro_group(F.col("n2"))), F.lit(False))
     out = best.drop("spans").join(two.select("key", doubt.alias("contamination")), "key")
     for name, rows in lists:
-        out = out.join(rows.groupBy("key", "name").agg(names.alias(name)), ["key", "name"], "left")
+        out = out.join(rows.groupBy("key", "set").agg(names.alias(name)), ["key", "set"], "left")
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
     return out.join(same.select("cluster", "key"), "key").select("cluster", "rank", "name", "score", "matched_count", empty("matched"), empty("missing"), empty("extra"), "contamination")
 
