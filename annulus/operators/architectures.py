@@ -1,8 +1,9 @@
 """Candidate architectures: molecules that share a pattern of events, found by seeds and reassignment.
 
-Observations stay a table; candidates are few (a configured limit), so a round
+Observations stay a table; molecules with equal ones are a class with their number n,
+and rounds see classes alone. Candidates are few (a configured limit), so a round
 is a join of observations with the candidates' profiles and a sum for each
-molecule and candidate. Rounds are cut by checkpoints in the shared folder.
+class and candidate. Rounds are cut by checkpoints in the shared folder.
 """
 
 from __future__ import annotations
@@ -57,21 +58,26 @@ def signatures(molecules: DataFrame, observations: DataFrame) -> DataFrame:
     return molecules.select("molecule").join(shown, "molecule", "left").withColumn("signature", F.coalesce("signature", F.array().cast("array<string>")))
 
 
+def _number(rows: DataFrame) -> Column:
+    """How many molecules rows are: a row each, or n."""
+    return F.sum("n") if "n" in rows.columns else F.count("*")
+
+
 def supported(signed: DataFrame, config: Config) -> DataFrame:
     """signature, n: the signatures that enough molecules show, however many they are."""
-    return signed.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= config.min_architecture_molecules)
+    return signed.groupBy("signature").agg(_number(signed).alias("n")).where(F.col("n") >= config.min_architecture_molecules)
 
 
 def seeds(signed: DataFrame, config: Config) -> DataFrame:
-    """architecture, signature, molecule: signatures with enough molecules; if none has, single events with enough."""
-    rows = signed
+    """architecture, signature, molecule (and n, if there): signatures with enough molecules; if none has, single events with enough."""
+    rows, kept_columns = signed, [c for c in ("molecule", "n") if c in signed.columns]
     kept = _cut(supported(rows, config).drop("n"))
     if kept.isEmpty():
-        rows = signed.select("molecule", F.explode("signature").alias("e")).select("molecule", F.array("e").alias("signature"))
+        rows = signed.select(*kept_columns, F.explode("signature").alias("e")).select(*kept_columns, F.array("e").alias("signature"))
         kept = _cut(supported(rows, config).drop("n"))
     if kept.limit(config.max_candidate_architectures + 1).count() > config.max_candidate_architectures:
         raise AnalysisError("E1601", f"candidate architecture limit exceeded (max_candidate_architectures={config.max_candidate_architectures})")
-    return rows.join(kept, "signature").select(architecture_name(F.col("signature")).alias("architecture"), "signature", "molecule")
+    return rows.join(kept, "signature").select(architecture_name(F.col("signature")).alias("architecture"), "signature", *kept_columns)
 
 
 def scores(signed: DataFrame, observations: DataFrame, candidates: DataFrame, profiles: DataFrame, weights: DataFrame) -> DataFrame:
@@ -105,12 +111,11 @@ def scores(signed: DataFrame, observations: DataFrame, candidates: DataFrame, pr
 
 
 def pattern_scores(signed: DataFrame, observations: DataFrame, candidates: DataFrame, profiles: DataFrame, weights: DataFrame) -> DataFrame:
-    """`scores` with molecules of equal observations scored once; the groups' scores are written, so that a small table of them is
+    """`scores` with molecules of equal observations scored once; the classes' scores are written, so that a small table of them is
     broadcast to the molecules and the result needs no shuffle."""
-    alike = _cut(_alike(signed, observations))
-    first = _cut(alike.select(F.col("first").alias("molecule")).distinct())
-    few, few_observations = (df.join(first, "molecule", "left_semi") for df in (signed, observations))
-    scored = _cut(scores(few, few_observations, candidates, profiles, weights).withColumnRenamed("molecule", "first"))
+    alike, few, seen = classes(signed, observations)
+    first = signed.join(few, "molecule", "left_semi")
+    scored = _cut(scores(first, seen, candidates, profiles, weights).withColumnRenamed("molecule", "first"))
     return alike.join(scored, "first").drop("first")
 
 
@@ -143,15 +148,24 @@ def assigned(signed: DataFrame, scored: DataFrame, config: Config) -> DataFrame:
 
 def member_profiles(members: DataFrame, observations: DataFrame, config: Config) -> DataFrame:
     """Each candidate's events that enough of its members are callable at, with the share that shows them."""
-    rows = event_profile(observations.join(members.select("architecture", "molecule"), "molecule"), "architecture", config)
+    own = members.select("architecture", "molecule", *(c for c in members.columns if c == "n"))
+    rows = event_profile(observations.join(own, "molecule"), "architecture", config, "n" if "n" in own.columns else None)
     return rows.where("fraction is not null")
 
 
-def _alike(signed: DataFrame, observations: DataFrame) -> DataFrame:
-    """molecule, first: the smallest molecule with the same observations; each such group is scored once."""
-    pairs = observations.groupBy("molecule").agg(F.array_sort(F.collect_list(F.struct("event", "state"))).alias("pattern"))
-    named = signed.select("molecule").join(pairs, "molecule", "left").select("molecule", F.sha2(F.coalesce(F.to_json("pattern"), F.lit("")), 256).alias("pattern"))
-    return named.join(named.groupBy("pattern").agg(F.min("molecule").alias("first")), "pattern").select("molecule", "first")
+def classes(molecules: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Molecules with the same observations are one class, named by the smallest: (molecule, first) of all, (molecule, n) and
+    (molecule, event, state) of the classes. Observations are shuffled once, by molecule; the classes are counted first."""
+    own = observations.select("molecule", "event", "state", F.lit(True).alias("_seen"))
+    every = molecules.select("molecule").distinct().join(own, "molecule", "left")
+    seen = F.array_sort(F.collect_list(F.when(F.col("_seen"), F.struct("event", "state"))))
+    listed = every.groupBy("molecule").agg(seen.alias("seen"))
+    listed = _cut(listed.withColumn("pattern", F.unhex(F.sha2(F.to_json("seen"), 256))))
+    counted = _cut(listed.groupBy("pattern").agg(F.min("molecule").alias("first"), F.count("*").alias("n")))
+    alike = listed.select("molecule", "pattern").join(counted.select("pattern", "first"), "pattern").select("molecule", "first")
+    few = counted.select(F.col("first").alias("molecule"), "n")
+    shown = _cut(listed.join(few, "molecule", "left_semi").select("molecule", F.explode("seen").alias("o")).select("molecule", "o.*"))
+    return alike, few, shown
 
 
 def _no_scores(signed: DataFrame) -> DataFrame:
@@ -163,36 +177,35 @@ def infer(molecules: DataFrame, observations: DataFrame, weights: DataFrame, con
     """Architectures of eligible molecules (molecule) from their observations (molecule, event, state) and the events'
     weights (event, weight). With fewer molecules or no seed with support, all are UNASSIGNED. `callability` (molecule,
     callable_fraction) adds the median of an architecture's members to its summary."""
-    observations = observations.join(molecules, "molecule", "left_semi")
-    signed = _cut(signatures(molecules, observations))
-    nothing = lambda: assigned(signed, _no_scores(signed), config)
-    if signed.limit(config.min_architecture_molecules).count() < config.min_architecture_molecules:
+    alike, few, observations = classes(molecules, observations)
+    signed = _cut(signatures(few, observations).join(few, "molecule"))
+    spread = lambda rows: alike.join(rows.drop("n").withColumnRenamed("molecule", "first"), "first").drop("first")
+    nothing = lambda: spread(assigned(signed, _no_scores(signed), config))
+    if (few.agg(F.sum("n")).first()[0] or 0) < config.min_architecture_molecules:
         return Inference("INSUFFICIENT_ELIGIBLE_MOLECULES", ["INSUFFICIENT_INDEPENDENT_MOLECULE_SUPPORT"], None, nothing())
     members = _cut(seeds(signed, config))
     if members.isEmpty():
         return Inference("NO_SUPPORTED_SEEDS", ["NO_SIGNATURE_REACHED_MINIMUM_SUPPORT"], None, nothing())
     candidates = _cut(members.select("architecture", "signature").distinct())
-    alike = _cut(_alike(signed, observations))
-    few, few_observations = (df.join(alike.select(F.col("first").alias("molecule")).distinct(), "molecule", "left_semi") for df in (signed, observations))
     stable = False
     for _ in range(ROUNDS):
         profiles = _cut(member_profiles(members, observations, config))
-        judged = assigned(few, scores(few, few_observations, candidates, profiles, weights), config)
-        result = _cut(alike.join(judged.withColumnRenamed("molecule", "first"), "first").drop("first"))
-        enough = result.where("status = 'ASSIGNED'").groupBy("architecture").agg(F.count("*").alias("n")).where(F.col("n") >= config.min_architecture_molecules)
+        judged = assigned(signed, scores(signed, observations, candidates, profiles, weights), config)
+        result = _cut(judged.join(few, "molecule"))
+        enough = result.where("status = 'ASSIGNED'").groupBy("architecture").agg(F.sum("n").alias("n")).where(F.col("n") >= config.min_architecture_molecules)
         kept = _cut(candidates.join(enough.select("architecture"), "architecture", "left_semi"))
         if kept.isEmpty():
             return Inference("NO_STABLE_ARCHITECTURES", ["ASSIGNMENTS_DID_NOT_RETAIN_MINIMUM_SUPPORT"], None, nothing())
         names = F.broadcast(kept.agg(F.collect_list("architecture").alias("_kept")))  # as many as the limit allows
         result = _without_dropped(result.crossJoin(names))
-        now = _cut(result.where("status = 'ASSIGNED'").select("architecture", "molecule").join(kept, "architecture"))
+        now = _cut(result.where("status = 'ASSIGNED'").select("architecture", "molecule", "n").join(kept, "architecture"))
         was, is_ = members.select("architecture", "molecule"), now.select("architecture", "molecule")
         stable = was.exceptAll(is_).isEmpty() and is_.exceptAll(was).isEmpty()
         members, candidates = now, kept
         if stable:
             break
     flags = [] if stable else ["MAXIMUM_ASSIGNMENT_ITERATIONS_REACHED"]
-    result = _cut(result)
+    result = spread(_cut(result))
     return Inference("CANDIDATES_INFERRED" if stable else "CANDIDATES_INFERRED_WITH_WARNING", flags, summary(members, result, observations, config, callability), result)
 
 

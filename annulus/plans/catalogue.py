@@ -618,7 +618,7 @@ grid AS (SELECT s.molecule, c.signature, total, coalesce(joint, 0) AS joint, coa
 
 
 def _architecture_input(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    observed = C.obs(spark, d, "p_type").select("molecule", "event", "state")
+    observed = written(C.obs(spark, d, "p_type").select("molecule", "event", "state"), "observed")
     weights = observed.select("event").distinct().withColumn("weight", F.when(F.col("event") < "M", 2.0).otherwise(1.0))
     return observed.select("molecule").distinct(), observed, weights
 
@@ -631,8 +631,7 @@ SELECT molecule, signature, round(distance, 6) AS distance, round(overlap, 6) AS
 )
 def architecture_scores(spark, d):
     molecules, observed, weights = _architecture_input(spark, d)
-    observed = written(observed, "observed")
-    signed = written(architectures.signatures(observed.select("molecule").distinct(), observed), "signed")
+    signed = written(architectures.signatures(molecules, observed), "signed")
     members = architectures.seeds(signed, Config())
     named = members.select("architecture", "signature").distinct()
     rows = architectures.pattern_scores(signed, observed, named, architectures.member_profiles(members, observed, Config()), weights)
