@@ -14,7 +14,7 @@ from annulus.operators.alignments import base_places, exclusion_reason, walked
 def runs(positions: Column) -> Column:
     """array of (start, end): the runs of an array of positions, in order; repeated positions count once."""
     # a sorted array of distinct values with its neighbours on both sides
-    a = F.array_sort(F.array_distinct(positions))
+    a = F.sort_array(F.array_distinct(positions))
     before = F.concat(F.array(F.lit(None).cast("long")), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
     after = F.concat(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.lit(None).cast("long")))
     first = F.filter(F.zip_with(a, before, lambda x, y: F.when(y.isNull() | (y != x - 1), x)), lambda x: x.isNotNull())
